@@ -263,11 +263,13 @@ def _with_units(periods: DataFrame) -> DataFrame:
     return p.select("run_id", "bar", "rebalance", "nav_pre", "nav_after_cost", "ruin_stage", "_unit", "_prev_unit")
 
 
-def equity_curve(periods: DataFrame, runs: DataFrame) -> DataFrame:
+def equity_curve(periods: DataFrame) -> DataFrame:
     """Equity at the start and after every period: one point more than there are periods."""
-    start = runs.select("run_id", F.col("first_bar").alias("bar"), F.col("capital").cast("double").alias("equity"))
-    start = start.join(periods.select("run_id", "path").distinct(), on="run_id")
-    return start.select("run_id", "path", "bar", "equity").unionByName(periods.select("run_id", "path", (F.col("bar") + 1).alias("bar"), F.col("nav_end").alias("equity")))
+    first = F.min("bar").over(Window.partitionBy("run_id", "path"))
+    end = F.struct((F.col("bar") + 1).alias("bar"), F.col("nav_end").alias("equity"))
+    start = F.struct("bar", F.col("nav_pre").alias("equity"))
+    points = F.when(F.col("bar") == first, F.array(start, end)).otherwise(F.array(end))
+    return periods.select("run_id", "path", points.alias("_points")).select("run_id", "path", F.inline("_points"))
 
 
 def accounting_violations(periods: DataFrame) -> DataFrame:

@@ -16,22 +16,23 @@ def drawdowns(curve: DataFrame, keys: list[str] = ["run_id", "path"]) -> DataFra
 
 
 def performance(
-    periods: DataFrame, curve: DataFrame, periods_per_year: Column | float, risk_free: float = 0.0, mar: float = 0.0,
-    keys: list[str] = ["run_id", "path"],
+    periods: DataFrame, periods_per_year: Column | float, risk_free: float = 0.0, mar: float = 0.0, keys: list[str] = ["run_id", "path"],
 ) -> DataFrame:
     """The ten figures per run. With fewer than two periods everything that needs a spread is NaN; a ratio over
-    zero is NaN; an overflowing growth rate stays infinite."""
+    zero is NaN; an overflowing growth rate stays infinite.
+
+    One pass: the ledger is already partitioned by run, so the running peak (which starts at the capital, the NAV
+    before the first period) and the aggregation that follows need no shuffle of their own."""
     per_year = periods_per_year if isinstance(periods_per_year, Column) else F.lit(float(periods_per_year))
     nan = F.lit(float("nan"))
     r = F.col("net_return")
-    by_run = periods.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_periods"), F.avg(r - risk_free).alias("_excess"), F.avg(r - mar).alias("_over_mar"),
-        F.stddev_samp(r).alias("_std"), F.avg(F.pow(F.least(r - mar, F.lit(0.0)), 2)).alias("_down2"), F.avg("turnover").alias("avg_turnover"),
-    )
-    by_curve = drawdowns(curve, keys).groupBy(*keys).agg(
-        F.min_by("equity", "bar").alias("_first"), F.max_by("equity", "bar").alias("_last"), F.min("drawdown").alias("max_drawdown")
+    so_far = Window.partitionBy(*keys).orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
+    peak = F.greatest(F.first("nav_pre").over(so_far), F.max("nav_end").over(so_far))
+    d = periods.withColumn("_drop", F.least(ratio(F.col("nav_end"), peak) - 1.0, F.lit(0.0))).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_periods"), F.avg(r - risk_free).alias("_excess"), F.avg(r - mar).alias("_over_mar"), F.stddev_samp(r).alias("_std"),
+        F.avg(F.pow(F.least(r - mar, F.lit(0.0)), 2)).alias("_down2"), F.avg("turnover").alias("avg_turnover"), F.min_by("nav_pre", "bar").alias("_first"),
+        F.max_by("nav_end", "bar").alias("_last"), F.min("_drop").alias("max_drawdown"),
     )
-    d = by_run.join(by_curve, on=keys)
     many = F.col("n_periods") >= 2
     grown = ratio(F.col("_last"), F.col("_first"))
     d = d.withColumns(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tapeledger.operators import compare, ledger, metrics, quality, signals
 from tapeledger.plans import views as V
 from tapeledger.plans.registry import query
+from tapeledger.session import cut_lineage
 
 _PERF_COLS = {"total_return": 9, "cagr": 8, "annualized_volatility": 8, "sharpe": 7, "downside_dev_ann": 8, "sortino": 7, "max_drawdown": 9, "calmar": 7, "avg_turnover": 9, "annualized_turnover": 8}
 _PERF_SQL = """round(total_return, 9) AS total_return, round(cagr, 8) AS cagr, round(vol, 8) AS annualized_volatility, round(sharpe, 7) AS sharpe, round(dd, 8) AS downside_dev_ann, round(sortino, 7) AS sortino,
@@ -17,8 +18,13 @@ def _rounded(df, digits):
     return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
+def _stored(**tables):
+    return tuple(cut_lineage(df, name) for name, df in tables.items())
+
+
 def supplier_inputs(spark, sf):
-    return V.supplier_market(spark, sf), V.supplier_targets(spark, sf), V.supplier_runs(spark, sf)
+    """Prices, targets and settings as stored tables: the ledger reads each of them more than once."""
+    return _stored(market=V.supplier_market(spark, sf), targets=V.supplier_targets(spark, sf), runs=V.supplier_runs(spark, sf))
 
 
 def supplier_ledger(spark, sf, counterfactual=True):
@@ -39,11 +45,11 @@ def ledger_periods(spark, sf):
     return d.select("run_id", "path", "bar", "rebalance", "turnover", *_MONEY, "net_return", "gross_exposure", "net_exposure", "ruin_stage")
 
 
-@query("ledger_returns", """SELECT run_id, path, bar, round(asset_pnl / nav_pre, 9) AS gross_return, round(funding_pnl / nav_pre, 9) AS funding_return, round((nav_after_cost - nav_pre) / nav_pre, 9) AS cost_return FROM led""", ("led",))
+@query("ledger_returns", """SELECT run_id, path, bar, round(asset_pnl / nav_pre, 9) AS gross_return, round(funding_pnl / nav_pre, 9) AS funding_return, round((nav_after_cost - nav_pre) / nav_pre, 11) AS cost_return FROM led""", ("led",))
 def ledger_returns(spark, sf):
     """The additive parts of each period's return."""
     d = supplier_ledger(spark, sf).select("run_id", "path", "bar", "gross_return", "funding_return", (F.col("fee_return") + F.col("slippage_return")).alias("cost_return"))
-    return _rounded(d, {"gross_return": 9, "funding_return": 9, "cost_return": 9})
+    return _rounded(d, {"gross_return": 9, "funding_return": 9, "cost_return": 11})
 
 
 _POSITIONS = """SELECT run_id, bar, syms[j] AS symbol, CASE WHEN q_prev[j] <> 0 AND (CASE WHEN rebalance THEN w[j] <> 0 ELSE true END) THEN 'HELD' WHEN q_prev[j] <> 0 THEN 'EXITING' ELSE 'ENTERING' END AS state,
@@ -75,19 +81,19 @@ def ledger_ruin(spark, sf):
 @query("equity_curve", "SELECT run_id, path, bar, round(equity, 3) AS equity FROM curve", ("curve",))
 def equity_curve(spark, sf):
     m, t, r = supplier_inputs(spark, sf)
-    return _rounded(ledger.equity_curve(ledger.ledger(m, t, r, True), r), {"equity": 3})
+    return _rounded(ledger.equity_curve(ledger.ledger(m, t, r, True)), {"equity": 3})
 
 
 @query("drawdown_curve", "SELECT run_id, path, bar, round(equity / max(equity) OVER (PARTITION BY run_id, path ORDER BY bar) - 1, 9) AS drawdown FROM curve", ("curve",))
 def drawdown_curve(spark, sf):
     m, t, r = supplier_inputs(spark, sf)
-    d = metrics.drawdowns(ledger.equity_curve(ledger.ledger(m, t, r, True), r))
+    d = metrics.drawdowns(ledger.equity_curve(ledger.ledger(m, t, r, True)))
     return _rounded(d.select("run_id", "path", "bar", "drawdown"), {"drawdown": 9})
 
 
 def _performance(m, t, r, counterfactual=True):
     p = ledger.ledger(m, t, r, counterfactual)
-    return p, metrics.performance(p, ledger.equity_curve(p, r), 12.0)
+    return p, metrics.performance(p, 12.0)
 
 
 @query("performance_metrics", f"SELECT run_id, path, n AS n_periods, {_PERF_SQL} FROM perf", ("perf",))
@@ -159,7 +165,7 @@ def funding_excluded(spark, sf):
 _SMA_VIEWS = {
     "market": """SELECT *, 0.0::DOUBLE AS rate_sum, 0.0::DOUBLE AS rate_px_sum FROM (SELECT 'S' || (l_partkey % 4) AS symbol, ((year(l_shipdate) - 1990) * 12 + month(l_shipdate) - 1)::INT AS bar,
     round(sum(l_extendedprice) / sum(l_quantity), 6) AS px FROM lineitem GROUP BY 1, 2)""",
-    "runs": """SELECT 'sma/fee_bps=' || fee || '/lag=' || lag AS run_id, first_bar, last_bar, 1000000.0::DOUBLE AS capital, fee::DOUBLE AS fee_bps, 1.0::DOUBLE AS slippage_bps, lag, 'disabled' AS funding
+    "runs": """SELECT 'sma/fee_bps=' || fee || '/lag=' || lag AS run_id, first_bar, last_bar, 1234567.891::DOUBLE AS capital, fee::DOUBLE AS fee_bps, 1.0::DOUBLE AS slippage_bps, lag, 'disabled' AS funding
     FROM (SELECT min(bar) + 5 AS first_bar, max(bar) AS last_bar FROM market), (SELECT unnest(['0.0', '4.5', '20.0']) AS fee), (SELECT unnest([1, 2]) AS lag)""",
     "targets": """SELECT r.run_id, w.bar, w.symbol, w.weight FROM (SELECT symbol, bar, CASE WHEN px > sma THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS weight FROM sma) w
     JOIN (SELECT bar FROM (SELECT symbol, bar, (px > sma) AS s, lag(px > sma) OVER (PARTITION BY symbol ORDER BY bar) AS l FROM sma) GROUP BY bar HAVING bool_or(s IS DISTINCT FROM l)) m ON m.bar = w.bar CROSS JOIN runs r""",
@@ -170,16 +176,16 @@ V.SQL_VIEWS.setdefault("sma", _SMA_VIEWS["sma"])
 
 def sma_inputs(spark, sf):
     """Six-month average on four symbols, equal weights, rebalanced on change, for a grid of fees and lags."""
-    m = V.monthly_prices(spark, sf, 4)
+    (m,) = _stored(market=V.monthly_prices(spark, sf, 4))
     s = signals.sma_signal(m.withColumnRenamed("px", "close"), 6, ["symbol"], "bar")
     w = signals.equal_weights(s, 4).select("symbol", "bar", "target_weight").withColumn("run_id", F.lit("sma"))
     mask = signals.rebalance_on_change(w, ["run_id"], "bar").where("rebalance").select("bar")
     bounds = m.agg((F.min("bar") + 5).alias("first_bar"), F.max("bar").alias("last_bar"))
-    base = bounds.select(F.lit("sma").alias("run_id"), "first_bar", "last_bar", F.lit(1_000_000.0).alias("capital"), F.lit(1.0).alias("slippage_bps"), F.lit("disabled").alias("funding"))
+    base = bounds.select(F.lit("sma").alias("run_id"), "first_bar", "last_bar", F.lit(1234567.891).alias("capital"), F.lit(1.0).alias("slippage_bps"), F.lit("disabled").alias("funding"))
     runs = ledger.run_grid(base, fee_bps=[0.0, 4.5, 20.0], lag=[1, 2])
     marked = w.join(mask, on="bar").select("bar", "symbol", F.col("target_weight").alias("weight"), F.lit("sma").alias("_base"))
     targets = runs.select("run_id", F.lit("sma").alias("_base")).join(marked, on="_base").drop("_base")
-    return m, targets, runs
+    return m, *_stored(targets=targets, runs=runs)
 
 
 _SMA_NEEDS = ("market", "sma", "runs", "targets", "perf")
@@ -231,7 +237,7 @@ def exit_unnamed(spark, sf):
 _TWO = {
     "market": """SELECT *, 0.0::DOUBLE AS rate_sum, 0.0::DOUBLE AS rate_px_sum FROM (SELECT l_returnflag || 'S' || (l_partkey % 4) AS symbol, ((year(l_shipdate) - 1990) * 12 + month(l_shipdate) - 1)::INT AS bar,
     round(sum(l_extendedprice) / sum(l_quantity), 6) AS px FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2)""",
-    "runs": "SELECT v AS run_id, min(bar) + 5 AS first_bar, max(bar) AS last_bar, 1000000.0::DOUBLE AS capital, 4.5::DOUBLE AS fee_bps, 1.0::DOUBLE AS slippage_bps, 1 AS lag, 'disabled' AS funding FROM market, (SELECT unnest(['A', 'R']) AS v) GROUP BY v",
+    "runs": "SELECT v AS run_id, min(bar) + 5 AS first_bar, max(bar) AS last_bar, 1234567.891::DOUBLE AS capital, 4.5::DOUBLE AS fee_bps, 1.0::DOUBLE AS slippage_bps, 1 AS lag, 'disabled' AS funding FROM market, (SELECT unnest(['A', 'R']) AS v) GROUP BY v",
     "targets": """SELECT left(w.symbol, 1) AS run_id, w.bar, w.symbol, w.weight FROM (SELECT symbol, bar, CASE WHEN px > sma THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS weight FROM sma) w
     JOIN (SELECT left(symbol, 1) AS v, bar FROM (SELECT symbol, bar, (px > sma) AS s, lag(px > sma) OVER (PARTITION BY symbol ORDER BY bar) AS l FROM sma) GROUP BY ALL HAVING bool_or(s IS DISTINCT FROM l)) m ON m.v = left(w.symbol, 1) AND m.bar = w.bar""",
     "sma": _SMA_VIEWS["sma"],
@@ -245,14 +251,14 @@ def crossvenue_run_compare(spark, sf):
     li = V.table(spark, sf, "lineitem").where(F.col("l_returnflag").isin("A", "R"))
     symbol = F.concat("l_returnflag", F.lit("S"), (F.col("l_partkey") % 4).cast("string"))
     bar = ((F.year("l_shipdate") - 1990) * 12 + F.month("l_shipdate") - 1).cast("int")
-    m = li.groupBy(symbol.alias("symbol"), bar.alias("bar")).agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("px"))
+    (m,) = _stored(market=li.groupBy(symbol.alias("symbol"), bar.alias("bar")).agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("px")))
     s = signals.sma_signal(m.withColumnRenamed("px", "close"), 6, ["symbol"], "bar")
     w = signals.equal_weights(s, 4).select(F.left("symbol", F.lit(1)).alias("run_id"), "symbol", "bar", "target_weight")
     mask = signals.rebalance_on_change(w, ["run_id"], "bar").where("rebalance").select("run_id", "bar")
     targets = w.join(mask, on=["run_id", "bar"]).select("run_id", "bar", "symbol", F.col("target_weight").alias("weight"))
     bounds = m.agg((F.min("bar") + 5).alias("first_bar"), F.max("bar").alias("last_bar"))
-    runs = bounds.select(F.explode(F.array(F.lit("A"), F.lit("R"))).alias("run_id"), "first_bar", "last_bar", F.lit(1_000_000.0).alias("capital"), F.lit(4.5).alias("fee_bps"), F.lit(1.0).alias("slippage_bps"), F.lit(1).alias("lag"))
-    p, perf = _performance(m, targets, runs, False)
+    runs = bounds.select(F.explode(F.array(F.lit("A"), F.lit("R"))).alias("run_id"), "first_bar", "last_bar", F.lit(1234567.891).alias("capital"), F.lit(4.5).alias("fee_bps"), F.lit(1.0).alias("slippage_bps"), F.lit(1).alias("lag"))
+    p, perf = _performance(m, *_stored(targets=targets, runs=runs), False)
     trades = p.groupBy("run_id").agg(F.count_if("rebalance").alias("n_rebalances"))
     repeats = compare.repeated_closes(m.select("symbol", F.col("bar").alias("timestamp"), F.col("px").alias("close")))
     repeats = repeats.groupBy(F.left("symbol", F.lit(1)).alias("run_id")).agg(F.sum("n_repeated").cast("bigint").alias("n_repeated_prices"))
