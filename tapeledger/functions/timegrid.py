@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SECOND_US = 1_000_000
 MINUTE_US = 60 * SECOND_US
@@ -29,3 +30,13 @@ def bucket_start(col: Column | str, width_us: int) -> Column:
 def time_block(col: Column | str, width_us: int) -> Column:
     """Number of the ``width_us`` wide block a timestamp falls in; used to cut a long series into tasks."""
     return F.floor(epoch_us(col) / F.lit(width_us)).cast("bigint")
+
+
+def moment(df: DataFrame, time: str, tie: str) -> Column:
+    """Sort key of (time, tie) for first/last aggregates. With a whole-number tie both go into one DECIMAL(38,0):
+    its buffer has a fixed size, so the aggregation stays a hash aggregation. Other ties need a struct, and Spark
+    then sorts the rows before it combines them."""
+    if not isinstance(df.schema[tie].dataType, (T.LongType, T.IntegerType, T.ShortType)):
+        return F.struct(time, tie)
+    shifted = epoch_us(time).cast("decimal(18,0)") * F.expr("CAST('10000000000000000000' AS DECIMAL(20,0))")
+    return (shifted.cast("decimal(38,0)") + F.col(tie).cast("decimal(19,0)")).cast("decimal(38,0)")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeledger.functions.timegrid import FREQUENCY_US, HOUR_US, bucket_start, epoch_us
+from tapeledger.functions.timegrid import FREQUENCY_US, HOUR_US, bucket_start, epoch_us, moment
 
 BAR_VALUES = ["open", "high", "low", "close", "volume", "trade_count", "native_traded"]
 BAR_COLUMNS = ["timestamp", "symbol", *BAR_VALUES, "source_venue", "native_or_proxy", "source_type", "dataset_id"]
@@ -24,13 +24,12 @@ def ticks_to_bars(
     time: str = "timestamp", trade_id: str = "trade_id",
 ) -> DataFrame:
     """Left-labelled OHLCV bars. Ticks of equal time are ordered by trade id, so open and close are well defined."""
-    moment = F.struct(time, trade_id)
-    grouped = ticks.select(*keys, time, trade_id, price, size, bucket_start(time, width_us).alias("_bar")).groupBy(*keys, "_bar")
-    bars = grouped.agg(
-        F.min_by(price, moment).alias("open"),
+    slim = ticks.select(*keys, price, size, bucket_start(time, width_us).alias("_bar"), moment(ticks, time, trade_id).alias("_at"))
+    bars = slim.groupBy(*keys, "_bar").agg(
+        F.min_by(price, "_at").alias("open"),
         F.max(price).alias("high"),
         F.min(price).alias("low"),
-        F.max_by(price, moment).alias("close"),
+        F.max_by(price, "_at").alias("close"),
         F.sum(size).alias("volume"),
         F.count(size).alias("trade_count"),
     )

@@ -301,9 +301,9 @@ def chain_breaks(lines: DataFrame, block_lines: int = 1_000_000) -> DataFrame:
     sequence numbers that do not run on by one. The log is one series; it is checked in blocks of lines."""
     hashed = lines.select("seq", "prev_line_sha256", F.sha2("line", 256).alias("_sha"), F.lit(0).alias("_log"))
     seen = with_previous(hashed, ["_log"], ["seq"], F.floor(F.col("seq") / block_lines), {"_before": "_sha", "_before_seq": "seq"})
-    broken = seen.where(~F.col("prev_line_sha256").eqNullSafe(F.col("_before"))).select(F.lit("HISTORY_CHAIN_BROKEN").alias("code"), "seq")
-    jumps = seen.where(F.col("seq") != F.coalesce("_before_seq", F.lit(0)) + 1).select(F.lit("BAD_SEQ").alias("code"), "seq")
-    return broken.unionByName(jumps)
+    broken = F.when(~F.col("prev_line_sha256").eqNullSafe(F.col("_before")), "HISTORY_CHAIN_BROKEN")
+    jump = F.when(F.col("seq") != F.coalesce("_before_seq", F.lit(0)) + 1, "BAD_SEQ")
+    return seen.select(F.explode(F.array_compact(F.array(broken, jump))).alias("code"), "seq")
 
 
 def registry_findings(records: DataFrame, created: DataFrame, schema_version: str, lineage_rows: DataFrame | None = None) -> DataFrame:

@@ -27,14 +27,9 @@ def lineage(records: DataFrame) -> DataFrame:
         "experiment_id", F.col("parent_experiment_id").alias("jump"), F.coalesce("parent_experiment_id", "experiment_id").alias("root"),
         F.when(F.col("parent_experiment_id").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
     )
-    n = None
     for k in range(MAX_ROUNDS):
         d = cut_lineage(d, f"lineage-{k}")
-        open_rows = d.where("jump is not null").count()
-        if open_rows == 0:
-            break
-        n = d.count() if n is None else n
-        if (1 << k) > n:  # a chain longer than the table repeats a record
+        if d.where("jump is not null").isEmpty() or _longer_than_table(records, k):
             break
         far = d.select(F.col("experiment_id").alias("jump"), F.col("jump").alias("_jump"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
         d = d.join(far, on="jump", how="left").select(
@@ -44,30 +39,31 @@ def lineage(records: DataFrame) -> DataFrame:
     return d.select("experiment_id", F.when(~cyclic, F.col("root")).alias("root_id"), F.when(~cyclic, F.col("depth")).alias("depth"), cyclic.alias("in_cycle"))
 
 
-def _jumps(records: DataFrame, rounds: int) -> list[DataFrame]:
+def _jumps(records: DataFrame) -> list[DataFrame]:
+    """Tables of 2^k-th ancestors, k = 0, 1, ..., until no record has one."""
     tables = [cut_lineage(_links(records).select("experiment_id", F.col("parent_experiment_id").alias("ancestor")), "jump-0")]
-    for k in range(1, rounds):
+    for k in range(1, MAX_ROUNDS):
         last = tables[-1]
         nxt = last.select("experiment_id", F.col("ancestor").alias("_mid")).join(last.select(F.col("experiment_id").alias("_mid"), "ancestor"), on="_mid")
         nxt = cut_lineage(nxt.select("experiment_id", "ancestor"), f"jump-{k}")
         if nxt.isEmpty():
             break
+        if _longer_than_table(records, k):
+            raise ValueError("the parent links of these records form a cycle")
         tables.append(nxt)
     return tables
 
 
-def _require_no_cycle(records: DataFrame) -> int:
-    summary = lineage(records).agg(F.max("depth").alias("depth"), F.bool_or("in_cycle").alias("cycle")).first()
-    if summary["cycle"]:
-        raise ValueError("the parent links of these records form a cycle")
-    return int(summary["depth"] or 0)
+def _longer_than_table(records: DataFrame, k: int) -> bool:
+    """Whether a chain of 2^k links is longer than the table has records, so that it must repeat one. Short tables
+    pay a few more rounds instead of a count."""
+    return k >= 6 and (1 << k) > records.count()
 
 
 def lineage_of(records: DataFrame, ids: DataFrame) -> DataFrame:
     """Each given id with all its ancestors and itself: origin_id, experiment_id, distance."""
-    rounds = max(1, _require_no_cycle(records).bit_length())
     found = ids.select(F.col("experiment_id").alias("origin_id"), "experiment_id", F.lit(0).cast("bigint").alias("distance"))
-    for k, table in enumerate(_jumps(records, rounds)):
+    for k, table in enumerate(_jumps(records)):
         step = found.join(table, on="experiment_id").select("origin_id", F.col("ancestor").alias("experiment_id"), (F.col("distance") + (1 << k)).alias("distance"))
         found = cut_lineage(found.unionByName(step), f"ancestors-{k}")
     return found
@@ -75,9 +71,8 @@ def lineage_of(records: DataFrame, ids: DataFrame) -> DataFrame:
 
 def descendants_of(records: DataFrame, ids: DataFrame) -> DataFrame:
     """All records below each given id: origin_id, experiment_id, distance."""
-    rounds = max(1, _require_no_cycle(records).bit_length())
     found = ids.select(F.col("experiment_id").alias("origin_id"), "experiment_id", F.lit(0).cast("bigint").alias("distance"))
-    for k, table in enumerate(_jumps(records, rounds)):
+    for k, table in enumerate(_jumps(records)):
         below = table.select(F.col("ancestor").alias("experiment_id"), F.col("experiment_id").alias("_below"))
         step = found.join(below, on="experiment_id").select("origin_id", F.col("_below").alias("experiment_id"), (F.col("distance") + (1 << k)).alias("distance"))
         found = cut_lineage(found.unionByName(step), f"descendants-{k}")
@@ -87,8 +82,7 @@ def descendants_of(records: DataFrame, ids: DataFrame) -> DataFrame:
 def descendant_counts(records: DataFrame) -> DataFrame:
     """Number of children and of all descendants of every record, without listing them: a record's count within
     2^(k+1) steps is its count within 2^k plus the counts of the records exactly 2^k below it."""
-    rounds = max(1, _require_no_cycle(records).bit_length())
-    tables = _jumps(records, rounds)
+    tables = _jumps(records)
     counts = records.select("experiment_id", F.lit(1).cast("bigint").alias("n"))
     for k, table in enumerate(tables):
         gained = table.join(counts, on="experiment_id").groupBy(F.col("ancestor").alias("experiment_id")).agg(F.sum("n").alias("_gain"))

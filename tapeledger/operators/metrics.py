@@ -18,7 +18,7 @@ def drawdowns(curve: DataFrame, keys: list[str] = ["run_id", "path"]) -> DataFra
 def performance(
     periods: DataFrame, periods_per_year: Column | float, risk_free: float = 0.0, mar: float = 0.0, keys: list[str] = ["run_id", "path"],
 ) -> DataFrame:
-    """The ten figures per run. With fewer than two periods everything that needs a spread is NaN; a ratio over
+    """The ten figures per run, its number of rebalances and whether it was ruined. With fewer than two periods everything that needs a spread is NaN; a ratio over
     zero is NaN; an overflowing growth rate stays infinite.
 
     One pass: the ledger is already partitioned by run, so the running peak (which starts at the capital, the NAV
@@ -32,6 +32,7 @@ def performance(
         F.count(F.lit(1)).alias("n_periods"), F.avg(r - risk_free).alias("_excess"), F.avg(r - mar).alias("_over_mar"), F.stddev_samp(r).alias("_std"),
         F.avg(F.pow(F.least(r - mar, F.lit(0.0)), 2)).alias("_down2"), F.avg("turnover").alias("avg_turnover"), F.min_by("nav_pre", "bar").alias("_first"),
         F.max_by("nav_end", "bar").alias("_last"), F.min("_drop").alias("max_drawdown"),
+        F.count_if("rebalance").alias("rebalance_count"), F.bool_or(F.col("ruin_stage").isNotNull()).alias("ruined"),
     )
     many = F.col("n_periods") >= 2
     grown = ratio(F.col("_last"), F.col("_first"))
@@ -48,39 +49,38 @@ def performance(
         guarded(F.col("_excess") * per_year, "annualized_volatility").alias("sharpe"), "downside_dev_ann",
         guarded(F.col("_over_mar") * per_year, "downside_dev_ann").alias("sortino"), "max_drawdown",
         F.when(F.col("max_drawdown") == 0, nan).otherwise(F.col("cagr") / F.abs("max_drawdown")).alias("calmar"),
-        "avg_turnover", (F.col("avg_turnover") * per_year).alias("annualized_turnover"),
+        "avg_turnover", (F.col("avg_turnover") * per_year).alias("annualized_turnover"), "rebalance_count", "ruined",
     )
 
 
 def run_flags(periods: DataFrame, unexecuted: DataFrame, runs: DataFrame) -> DataFrame:
     """Per run of the actual path: counts, ruin and leverage flags, and the warning tokens in sorted order."""
-    keys = ["run_id"]
-    actual = periods.where("path = 'actual'").groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_periods"), F.count_if("rebalance").alias("rebalance_count"), F.max("ruin_stage").alias("ruin_stage"),
-        F.count_if("leverage_breach").alias("n_leverage_breaches"),
+    actual, other = F.col("path") == "actual", F.col("path") == "counterfactual"
+    ended = lambda path, stage: F.bool_or(path & (F.coalesce(F.col("ruin_stage"), F.lit("")) == stage))
+    both = periods.groupBy("run_id").agg(
+        F.count_if(actual).alias("n_periods"), F.count_if(actual & F.col("rebalance")).alias("rebalance_count"), F.count_if(actual & F.col("leverage_breach")).alias("n_leverage_breaches"),
+        ended(actual, "cost").alias("_cost"), ended(actual, "pnl").alias("_pnl"), F.count_if(other).alias("_cf_periods"), (ended(other, "cost") | ended(other, "pnl")).alias("_cf_ruined"),
     )
-    other = periods.where("path = 'counterfactual'").groupBy(*keys).agg(F.count(F.lit(1)).alias("_cf_periods"), F.max("ruin_stage").alias("_cf_ruin"))
-    late = unexecuted.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_unexecuted"))
-    d = runs.select("run_id", *(["funding"] if "funding" in runs.columns else [])).join(actual, on=keys).join(other, on=keys, how="left").join(late, on=keys, how="left")
-    d = d.withColumn("n_unexecuted", F.coalesce("n_unexecuted", F.lit(0)))
-    status = F.when(F.col("_cf_periods").isNull(), "NOT_COMPUTED").when(F.col("_cf_ruin").isNotNull(), "RUINED").otherwise("COMPLETED")
+    late = unexecuted.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_unexecuted"))
+    d = runs.select("run_id", *(["funding"] if "funding" in runs.columns else [])).join(both, on="run_id").join(late, on="run_id", how="left")
+    d = d.withColumns({"n_unexecuted": F.coalesce("n_unexecuted", F.lit(0)), "ruin_stage": F.when(F.col("_cost"), "cost").when(F.col("_pnl"), "pnl")})
+    status = F.when(F.col("_cf_periods") == 0, "NOT_COMPUTED").when(F.col("_cf_ruined"), "RUINED").otherwise("COMPLETED")
     comparable = (status == "COMPLETED") & F.col("ruin_stage").isNull() & (F.col("_cf_periods") == F.col("n_periods"))
     funded = F.col("funding") != "disabled" if "funding" in runs.columns else F.lit(False)
     tokens = F.array_sort(F.array_compact(F.array(
         F.when(F.col("ruin_stage").isNotNull(), "RUINED"), F.when(F.col("n_leverage_breaches") > 0, "LEVERAGE_BREACH"),
         F.when(~funded, "FUNDING_NOT_MODELLED"), F.when(status != "COMPLETED", F.concat(F.lit("COUNTERFACTUAL_"), status)),
         F.when(F.col("n_unexecuted") > 0, F.concat(F.lit("UNEXECUTED_REBALANCES:"), F.col("n_unexecuted").cast("string"))),
-        F.when(~F.coalesce(comparable, F.lit(False)), "DRAG_NOT_COMPARABLE"),
+        F.when(~comparable, "DRAG_NOT_COMPARABLE"),
     )))
     return d.select("run_id", "n_periods", "rebalance_count", "ruin_stage", "n_leverage_breaches", "n_unexecuted", tokens.alias("warnings"))
 
 
-def cost_drag(performance_rows: DataFrame, periods: DataFrame) -> DataFrame:
+def cost_drag(performance_rows: DataFrame) -> DataFrame:
     """Counterfactual minus actual, only when both paths completed with the same number of periods."""
-    ruined = periods.groupBy("run_id", "path").agg(F.max("ruin_stage").alias("ruin_stage"))
-    d = performance_rows.join(ruined, on=["run_id", "path"])
-    both = d.groupBy("run_id").agg(*[F.max(F.when(F.col("path") == p, F.col(c))).alias(f"{p}_{c}") for p in ("actual", "counterfactual") for c in ("n_periods", "total_return", "cagr", "ruin_stage")])
-    ok = F.col("actual_ruin_stage").isNull() & F.col("counterfactual_ruin_stage").isNull() & (F.col("actual_n_periods") == F.col("counterfactual_n_periods"))
+    side = lambda path, c: F.max(F.when(F.col("path") == path, F.col(c))).alias(f"{path}_{c}")
+    both = performance_rows.groupBy("run_id").agg(*[side(p, c) for p in ("actual", "counterfactual") for c in ("n_periods", "total_return", "cagr", "ruined")])
+    ok = ~F.col("actual_ruined") & ~F.col("counterfactual_ruined") & (F.col("actual_n_periods") == F.col("counterfactual_n_periods"))
     return both.select(
         "run_id", F.coalesce(ok, F.lit(False)).alias("comparable"),
         F.when(ok, F.col("counterfactual_total_return") - F.col("actual_total_return")).alias("total_drag_return"),

@@ -144,7 +144,7 @@ def oos_overlap(spark, sf):
   LEFT JOIN (SELECT config_family_hash AS h, count(*) AS n_others, min(experiment_id) AS first_other FROM records WHERE research_stage <> 'out_of_sample' GROUP BY 1) x ON r.research_stage = 'out_of_sample' AND x.h = r.config_family_hash""", ("records",))
 def record_warnings(spark, sf):
     r = V.records(spark, sf)
-    w = X.record_warnings(r, _overlaps(r))
+    w = X.record_warnings(r, cut_lineage(_overlaps(r), "overlaps"))
     return w.select("experiment_id", F.when(F.size("warnings") > 0, F.concat_ws(",", "warnings")).alias("warnings"))
 
 
@@ -165,7 +165,7 @@ def dup_result_diff(spark, sf):
   SELECT n.experiment_id, n.run_seq, CASE WHEN n.run_seq = 0 THEN 'UNIQUE' WHEN n.folded_status <> 'COMPLETED' OR b.folded_status <> 'COMPLETED' THEN 'NOT_COMPARABLE' WHEN n.sharpe <> b.sharpe THEN 'DIVERGED' ELSE 'REPRODUCED' END AS reproducibility_status,
   CASE WHEN n.run_seq > 0 AND n.folded_status = 'COMPLETED' AND b.folded_status = 'COMPLETED' AND n.sharpe <> b.sharpe THEN 'metrics.sharpe' END AS divergence FROM n JOIN n b ON b.exact_hash = n.exact_hash AND b.run_seq = 0""", ("folded",))
 def reproducibility(spark, sf):
-    d = X.reproducibility(X.run_numbers(folded(spark, sf)))
+    d = X.reproducibility(cut_lineage(X.run_numbers(folded(spark, sf)), "numbered"))
     return d.select("experiment_id", "run_seq", "reproducibility_status", F.when(F.col("divergence").isNotNull(), F.concat_ws(",", "divergence")).alias("divergence"))
 
 
@@ -279,7 +279,7 @@ def hash_chain_check(spark, sf):
     log = V.history(spark, sf).select("seq", F.concat_ws("|", "experiment_id", "to_status", F.col("seq").cast("string")).alias("line"), F.lit(0).alias("_log"))
     log = with_previous(log, ["_log"], ["seq"], F.floor(F.col("seq") / 1_000_000), {"_p": "line"}).withColumn("prev_line_sha256", F.sha2("_p", 256))
     forged = log.withColumn("line", F.when(F.col("seq") % 1009 == 0, F.concat("line", F.lit("!"))).otherwise(F.col("line")))
-    return X.chain_breaks(forged.select("seq", "line", "prev_line_sha256"))
+    return X.chain_breaks(cut_lineage(forged.select("seq", "line", "prev_line_sha256"), "log"))
 
 
 @query("config_hashes", """SELECT key, sha256(s) AS semantic_hash, sha256(f) AS config_family_hash, sha256('dirty_worktree=' || dirty_worktree || '|semantic_hash=' || sha256(s)) AS exact_hash FROM (

@@ -34,22 +34,22 @@ def supplier_ledger(spark, sf, counterfactual=True):
 _MONEY = ["nav_pre", "fee_cost", "slippage_cost", "nav_after_cost", "asset_pnl", "funding_pnl", "nav_end"]
 
 
-@query("ledger_periods", """SELECT l.run_id, l.path, bar, rebalance, round(turnover, 8) AS turnover, round(nav_pre, 3) AS nav_pre, round(turnover * nav_pre * fee, 3) AS fee_cost, round(turnover * nav_pre * slip, 3) AS slippage_cost,
+@query("ledger_periods", """SELECT l.run_id, l.path, bar, rebalance, round(turnover, 11) AS turnover, round(nav_pre, 3) AS nav_pre, round(turnover * nav_pre * fee, 3) AS fee_cost, round(turnover * nav_pre * slip, 3) AS slippage_cost,
   round(nav_after_cost, 3) AS nav_after_cost, round(asset_pnl, 3) AS asset_pnl, round(funding_pnl, 3) AS funding_pnl, round(nav_end, 3) AS nav_end, round(CASE WHEN stage IS NOT NULL THEN -1.0::DOUBLE ELSE nav_end / nav_pre - 1 END, 9) AS net_return,
-  round(CASE WHEN stage = 'cost' THEN list_sum([abs(x) for x in wpre]) ELSE list_sum(list_transform(range(1, len(p) + 1), lambda j: abs(q[j] * p[j]))) / nav_after_cost END, 8) AS gross_exposure,
-  round(CASE WHEN stage = 'cost' THEN list_sum(wpre) ELSE list_sum(list_transform(range(1, len(p) + 1), lambda j: q[j] * p[j])) / nav_after_cost END, 8) AS net_exposure, stage AS ruin_stage
+  round(CASE WHEN stage = 'cost' THEN list_sum([abs(x) for x in wpre]) ELSE list_sum(list_transform(range(1, len(p) + 1), lambda j: abs(q[j] * p[j]))) / nav_after_cost END, 10) AS gross_exposure,
+  round(CASE WHEN stage = 'cost' THEN list_sum(wpre) ELSE list_sum(list_transform(range(1, len(p) + 1), lambda j: q[j] * p[j])) / nav_after_cost END, 10) AS net_exposure, stage AS ruin_stage
   FROM led l JOIN rn r ON r.run_id = l.run_id AND r.path = l.path""", ("led",))
 def ledger_periods(spark, sf):
     d = supplier_ledger(spark, sf)
-    d = _rounded(d, {**{c: 3 for c in _MONEY}, "turnover": 8, "net_return": 9, "gross_exposure": 8, "net_exposure": 8})
+    d = _rounded(d, {**{c: 3 for c in _MONEY}, "turnover": 11, "net_return": 9, "gross_exposure": 10, "net_exposure": 10})
     return d.select("run_id", "path", "bar", "rebalance", "turnover", *_MONEY, "net_return", "gross_exposure", "net_exposure", "ruin_stage")
 
 
-@query("ledger_returns", """SELECT run_id, path, bar, round(asset_pnl / nav_pre, 9) AS gross_return, round(funding_pnl / nav_pre, 9) AS funding_return, round((nav_after_cost - nav_pre) / nav_pre, 11) AS cost_return FROM led""", ("led",))
+@query("ledger_returns", """SELECT run_id, path, bar, round(asset_pnl / nav_pre, 9) AS gross_return, round(funding_pnl / nav_pre, 9) AS funding_return, round((nav_after_cost - nav_pre) / nav_pre, 13) AS cost_return FROM led""", ("led",))
 def ledger_returns(spark, sf):
     """The additive parts of each period's return."""
     d = supplier_ledger(spark, sf).select("run_id", "path", "bar", "gross_return", "funding_return", (F.col("fee_return") + F.col("slippage_return")).alias("cost_return"))
-    return _rounded(d, {"gross_return": 9, "funding_return": 9, "cost_return": 11})
+    return _rounded(d, {"gross_return": 9, "funding_return": 9, "cost_return": 13})
 
 
 _POSITIONS = """SELECT run_id, bar, syms[j] AS symbol, CASE WHEN q_prev[j] <> 0 AND (CASE WHEN rebalance THEN w[j] <> 0 ELSE true END) THEN 'HELD' WHEN q_prev[j] <> 0 THEN 'EXITING' ELSE 'ENTERING' END AS state,
@@ -62,9 +62,9 @@ def _positions(spark, sf):
     return ledger.positions(m, t, r, ledger.ledger(m, t, r))
 
 
-@query("ledger_positions", f"SELECT run_id, bar, symbol, state, round(quantity, 4) AS quantity, round(notional, 3) AS notional, round(weight_held, 8) AS weight_held, round(pre_trade_weight, 8) AS pre_trade_weight, round(trade, 8) AS trade FROM ({_POSITIONS})", ("led",))
+@query("ledger_positions", f"SELECT run_id, bar, symbol, state, round(quantity, 4) AS quantity, round(notional, 3) AS notional, round(weight_held, 11) AS weight_held, round(pre_trade_weight, 11) AS pre_trade_weight, round(trade, 11) AS trade FROM ({_POSITIONS})", ("led",))
 def ledger_positions(spark, sf):
-    return _rounded(_positions(spark, sf), {"quantity": 4, "notional": 3, "weight_held": 8, "pre_trade_weight": 8, "trade": 8})
+    return _rounded(_positions(spark, sf), {"quantity": 4, "notional": 3, "weight_held": 11, "pre_trade_weight": 11, "trade": 11})
 
 
 @query("symbol_state_counts", f"SELECT symbol, state, count(*) AS n FROM ({_POSITIONS}) GROUP BY ALL", ("led",))
@@ -92,22 +92,19 @@ def drawdown_curve(spark, sf):
 
 
 def _performance(m, t, r, counterfactual=True):
-    p = ledger.ledger(m, t, r, counterfactual)
-    return p, metrics.performance(p, 12.0)
+    return metrics.performance(ledger.ledger(m, t, r, counterfactual), 12.0)
 
 
 @query("performance_metrics", f"SELECT run_id, path, n AS n_periods, {_PERF_SQL} FROM perf", ("perf",))
 def performance_metrics(spark, sf):
-    _, perf = _performance(*supplier_inputs(spark, sf))
-    return _rounded(perf, _PERF_COLS)
+    return _rounded(_performance(*supplier_inputs(spark, sf)), _PERF_COLS).drop("rebalance_count", "ruined")
 
 
 @query("cost_drag", """SELECT a.run_id, ok AS comparable, round(CASE WHEN ok THEN c.total_return - a.total_return END, 8) AS total_drag_return, round(CASE WHEN ok THEN c.cagr - a.cagr END, 8) AS cagr_drag FROM (
   SELECT *, a.n = c.n AND NOT EXISTS (SELECT 1 FROM led WHERE led.run_id = a.run_id AND stage IS NOT NULL) AS ok FROM perf a JOIN perf c ON a.run_id = c.run_id AND a.path = 'actual' AND c.path = 'counterfactual')"""
        .replace("SELECT *, a.n = c.n", "SELECT a, c, a.n = c.n").replace("a.run_id, ok", "a.run_id AS run_id, ok"), ("perf",))
 def cost_drag(spark, sf):
-    p, perf = _performance(*supplier_inputs(spark, sf))
-    return _rounded(metrics.cost_drag(perf, p), {"total_drag_return": 8, "cagr_drag": 8})
+    return _rounded(metrics.cost_drag(_performance(*supplier_inputs(spark, sf))), {"total_drag_return": 8, "cagr_drag": 8})
 
 
 @query("ledger_flags", """WITH a AS (SELECT run_id, count(*) AS n_periods, count(*) FILTER (WHERE rebalance) AS rebalance_count, max(stage) AS ruin_stage,
@@ -193,15 +190,13 @@ _SMA_NEEDS = ("market", "sma", "runs", "targets", "perf")
 
 @query("sma_backtest_metrics", f"SELECT run_id, path, n AS n_periods, {_PERF_SQL} FROM perf", _SMA_NEEDS, **_SMA_VIEWS)
 def sma_backtest_metrics(spark, sf):
-    _, perf = _performance(*sma_inputs(spark, sf))
-    return _rounded(perf, _PERF_COLS)
+    return _rounded(_performance(*sma_inputs(spark, sf)), _PERF_COLS).drop("rebalance_count", "ruined")
 
 
 @query("run_grid_metrics", "SELECT run_id, round(c.total_return - a.total_return, 8) AS total_drag_return FROM perf a JOIN perf c USING (run_id) WHERE a.path = 'actual' AND c.path = 'counterfactual'", _SMA_NEEDS, **_SMA_VIEWS)
 def run_grid_metrics(spark, sf):
     """Cost drag of every combination of fee and lag."""
-    p, perf = _performance(*sma_inputs(spark, sf))
-    return _rounded(metrics.cost_drag(perf, p).select("run_id", "total_drag_return"), {"total_drag_return": 8})
+    return _rounded(metrics.cost_drag(_performance(*sma_inputs(spark, sf))).select("run_id", "total_drag_return"), {"total_drag_return": 8})
 
 
 _WEIGHTS = "SELECT symbol, bar, CASE WHEN px > 1530 THEN 0.25::DOUBLE WHEN px < 1480 THEN NULL ELSE 0.0::DOUBLE END AS target_weight FROM monthly_prices"
@@ -258,10 +253,9 @@ def crossvenue_run_compare(spark, sf):
     targets = w.join(mask, on=["run_id", "bar"]).select("run_id", "bar", "symbol", F.col("target_weight").alias("weight"))
     bounds = m.agg((F.min("bar") + 5).alias("first_bar"), F.max("bar").alias("last_bar"))
     runs = bounds.select(F.explode(F.array(F.lit("A"), F.lit("R"))).alias("run_id"), "first_bar", "last_bar", F.lit(1234567.891).alias("capital"), F.lit(4.5).alias("fee_bps"), F.lit(1.0).alias("slippage_bps"), F.lit(1).alias("lag"))
-    p, perf = _performance(m, *_stored(targets=targets, runs=runs), False)
-    trades = p.groupBy("run_id").agg(F.count_if("rebalance").alias("n_rebalances"))
+    perf = _performance(m, *_stored(targets=targets, runs=runs), False)
     repeats = compare.repeated_closes(m.select("symbol", F.col("bar").alias("timestamp"), F.col("px").alias("close")))
     repeats = repeats.groupBy(F.left("symbol", F.lit(1)).alias("run_id")).agg(F.sum("n_repeated").cast("bigint").alias("n_repeated_prices"))
-    d = perf.join(trades, on="run_id").join(repeats, on="run_id")
-    d = d.select(F.col("run_id").alias("venue"), "n_rebalances", "total_return", "max_drawdown", F.col("annualized_volatility").alias("realized_volatility"), "n_repeated_prices")
+    d = perf.join(repeats, on="run_id")
+    d = d.select(F.col("run_id").alias("venue"), F.col("rebalance_count").alias("n_rebalances"), "total_return", "max_drawdown", F.col("annualized_volatility").alias("realized_volatility"), "n_repeated_prices")
     return _rounded(d, {"total_return": 9, "max_drawdown": 9, "realized_volatility": 8})

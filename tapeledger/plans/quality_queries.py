@@ -11,6 +11,7 @@ from tapeledger.operators.ordered import exact_percentiles
 from tapeledger.plans import views as V
 from tapeledger.plans.market_queries import labelled_bars
 from tapeledger.plans.registry import query
+from tapeledger.session import cut_lineage
 
 # Bars with defects put in by rules on their own values, so that every check has something to find.
 _BAD_SQL = """SELECT CASE WHEN open < 2 THEN '@' || symbol ELSE symbol END AS symbol, timestamp, CASE WHEN high > 99 THEN NULL ELSE open END AS open,
@@ -23,6 +24,11 @@ _BAD_SQL = """SELECT CASE WHEN open < 2 THEN '@' || symbol ELSE symbol END AS sy
 
 
 def defective_bars(spark, sf):
+    """The bars as a stored table; validation reads them once per kind of check."""
+    return cut_lineage(_defective_bars(spark, sf), "defective")
+
+
+def _defective_bars(spark, sf):
     b = V.bars_1h(spark, sf)
     early = F.col("timestamp") < F.lit("2024-01-01 09:00:00").cast("timestamp_ntz")
     copies = F.explode(F.when(F.col("close").between(60, 62), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
@@ -107,6 +113,10 @@ _CLAIMED_SQL = """SELECT symbol, CASE WHEN n_events % 5 = 0 THEN coverage_start
 
 
 def claimed_coverage(spark, sf):
+    return cut_lineage(_claimed_coverage(spark, sf), "claimed")
+
+
+def _claimed_coverage(spark, sf):
     c = intervals.coverage_islands(V.ticks(spark, sf))
     shorter = (F.col("n_events") % 3 == 0) & (F.unix_micros(F.col("coverage_end").cast("timestamp")) - F.unix_micros(F.col("coverage_start").cast("timestamp")) > 3_600_000_000)
     return c.select(
@@ -210,14 +220,14 @@ def alignment_report(spark, sf):
     """Priced and unpriced events and the exact distribution of the offsets. The offsets are one group of any size,
     so the percentiles are found without gathering it."""
     events, quotes = _sides(spark, sf)
-    priced = asof.asof_price(events, quotes, tolerance_us=30 * MINUTE_US, sequence="quote_id")
+    priced = cut_lineage(asof.asof_price(events, quotes, tolerance_us=30 * MINUTE_US, sequence="quote_id"), "priced")
     seconds = (F.unix_micros(F.col("timestamp").cast("timestamp")) - F.unix_micros(F.col("quote_time").cast("timestamp"))) / 1e6
     offsets = priced.where("quote_time is not null").select(seconds.alias("s"))
     found = exact_percentiles(offsets, [], "s", [*_PERCENTS, 100])
     named = [F.round(F.max(F.when(F.col("percent") == p, F.col("value"))), 6).alias(f"offset_p{p}" if p < 100 else "max_offset") for p in [*_PERCENTS, 100]]
     counts = asof.alignment_counts(events, priced.select("symbol", "timestamp", "trade_id", "oracle_price"), ["symbol", "timestamp", "trade_id"])
-    one = F.lit(1).alias("_one")
-    return found.agg(*named).select("*", one).join(counts.select("*", one), on="_one").drop("_one")
+    packed = counts.select(F.struct("*").alias("c")).scalar()
+    return found.agg(*named).withColumn("_c", packed).select("*", "_c.*").drop("_c")
 
 
 # --- digests -----------------------------------------------------------------------------------------------------

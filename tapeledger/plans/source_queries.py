@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeledger.plans import views as V
 from tapeledger.plans.registry import query
+from tapeledger.session import cut_lineage
 from tapeledger.sources import candles, catalog, kline
 
 _BAR_OUT = "symbol, timestamp, open, high, low, close, volume, trade_count, native_traded"
@@ -70,7 +71,7 @@ def _mapping(spark, sf):
 
 @query("kline_csv_ingest", f"SELECT {_BAR_OUT} FROM bars_1h WHERE NOT (hour(timestamp) = 0 AND close BETWEEN 20 AND 22) AND NOT close BETWEEN 80 AND 81", ("bars_1h",))
 def kline_csv_ingest(spark, sf):
-    bars, _, _ = kline.normalise_klines(kline.parse_lines(kline_lines(spark, sf)), _mapping(spark, sf))
+    bars, _, _ = kline.normalise_klines(kline.parse_lines(cut_lineage(kline_lines(spark, sf), "lines")), _mapping(spark, sf))
     return bars
 
 
@@ -79,12 +80,13 @@ _FILES = """(SELECT *, symbol || 'USDT-1h-' || day || '.zip' AS file FROM (SELEC
 
 @query("kline_manifest", f"SELECT file, count(*) AS n_rows, min(timestamp) AS first_ts, max(timestamp) AS last_ts FROM {_FILES} WHERE NOT close BETWEEN 80 AND 81 GROUP BY file", ("bars_1h",))
 def kline_manifest(spark, sf):
-    return kline.file_manifest(kline.parse_lines(kline_lines(spark, sf)))
+    return kline.file_manifest(kline.parse_lines(cut_lineage(kline_lines(spark, sf), "lines")))
 
 
-@query("kline_findings", f"SELECT symbol, timestamp, CASE WHEN close BETWEEN 80 AND 81 THEN 'TOO_FEW_FIELDS' END AS code FROM {_FILES} WHERE close BETWEEN 80 AND 81", ("bars_1h",))
+@query("kline_findings", f"SELECT symbol, timestamp, 'TOO_FEW_FIELDS' AS code FROM {_FILES} WHERE close BETWEEN 80 AND 81" + "".join(
+    f" UNION ALL SELECT symbol, timestamp, 'MALFORMED_OHLC:{c}' FROM {_FILES} WHERE {c} <= 0 AND NOT close BETWEEN 80 AND 81" for c in ("open", "high", "low", "close")), ("bars_1h",))
 def kline_findings(spark, sf):
-    _, _, findings = kline.normalise_klines(kline.parse_lines(kline_lines(spark, sf)), _mapping(spark, sf))
+    _, _, findings = kline.normalise_klines(kline.parse_lines(cut_lineage(kline_lines(spark, sf), "lines")), _mapping(spark, sf))
     return findings
 
 

@@ -63,7 +63,7 @@ def supplier_targets(spark: SparkSession, sf: str) -> DataFrame:
     whole = Window.partitionBy("l_suppkey", "bar")  # eight symbols at most
     side = F.when(F.col("symbol").isin("S6", "S7"), -0.7).otherwise(1.1)
     gear = F.when(F.col("l_suppkey") % 10 == 0, 9).when(F.col("l_suppkey") % 10 == 5, 2).otherwise(1)
-    return q.select(F.concat(F.lit("R"), F.col("l_suppkey").cast("string")).alias("run_id"), "bar", "symbol", F.round(F.col("q") / F.sum("q").over(whole) * side * gear, 6).alias("weight"))
+    return q.select(F.concat(F.lit("R"), F.col("l_suppkey").cast("string")).alias("run_id"), "bar", "symbol", (F.col("q") / F.sum("q").over(whole) * side * gear).alias("weight"))
 
 
 def supplier_runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,10 +178,10 @@ SQL_VIEWS = {
     "led": "SELECT * FROM serial WHERE nav_pre IS NOT NULL",
     "curve": "SELECT run_id, path, bar + 1 AS bar, nav_end AS equity FROM serial",
     "perf": """SELECT *, CASE WHEN vol = 0 OR vol IS NULL THEN 'nan'::DOUBLE ELSE excess * 12 / vol END AS sharpe, CASE WHEN dd = 0 OR dd IS NULL THEN 'nan'::DOUBLE ELSE excess * 12 / dd END AS sortino,
-    CASE WHEN mdd = 0 THEN 'nan'::DOUBLE ELSE cagr / abs(mdd) END AS calmar FROM (SELECT l.run_id, l.path, n, total_return, pow(1 + total_return, 12.0::DOUBLE / n) - 1 AS cagr, std * sqrt(12) AS vol, down * sqrt(12) AS dd, excess, mdd, avg_turnover FROM
+    CASE WHEN mdd = 0 THEN 'nan'::DOUBLE ELSE cagr / abs(mdd) END AS calmar FROM (SELECT l.run_id, l.path, n, total_return, pow(grown, 12.0::DOUBLE / n) - 1 AS cagr, std * sqrt(12) AS vol, down * sqrt(12) AS dd, excess, mdd, avg_turnover FROM
     (SELECT run_id, path, count(*) AS n, stddev_samp(r) AS std, CASE WHEN count(*) >= 2 THEN sqrt(avg(least(r, 0) * least(r, 0))) END AS down, avg(r) AS excess, avg(turnover) AS avg_turnover
       FROM (SELECT *, CASE WHEN stage IS NOT NULL THEN -1.0::DOUBLE ELSE nav_end / nav_pre - 1 END AS r FROM led) GROUP BY ALL) l
-    JOIN (SELECT run_id, path, last(equity ORDER BY bar) / first(equity ORDER BY bar) - 1 AS total_return, min(equity / peak - 1) AS mdd FROM (SELECT *, max(equity) OVER (PARTITION BY run_id, path ORDER BY bar) AS peak FROM curve) GROUP BY run_id, path) c
+    JOIN (SELECT run_id, path, last(equity ORDER BY bar) / first(equity ORDER BY bar) - 1 AS total_return, last(equity ORDER BY bar) / first(equity ORDER BY bar) AS grown, min(equity / peak - 1) AS mdd FROM (SELECT *, max(equity) OVER (PARTITION BY run_id, path ORDER BY bar) AS peak FROM curve) GROUP BY run_id, path) c
       ON l.run_id = c.run_id AND l.path = c.path)""",
     "mk": "SELECT bar, list(px ORDER BY symbol) AS p, list(rate_sum ORDER BY symbol) AS f, list(rate_px_sum ORDER BY symbol) AS g FROM market GROUP BY bar",
     "names": "SELECT list(symbol ORDER BY symbol) AS syms FROM (SELECT DISTINCT symbol FROM market)",
@@ -190,7 +190,7 @@ SQL_VIEWS = {
     # supplier portfolios: weights from what each supplier ships at quarter starts, some of them short or overgeared
     "market": """SELECT symbol, bar, px, rate_sum, round(rate_sum * px * 1.001::DOUBLE, 9) AS rate_px_sum FROM (SELECT 'S' || (l_partkey % 8) AS symbol, ((year(l_shipdate) - 1990) * 12 + month(l_shipdate) - 1)::INT AS bar,
     round(sum(l_extendedprice) / sum(l_quantity), 6) AS px, round((avg(l_discount) - 0.05::DOUBLE) * 0.05::DOUBLE, 9) AS rate_sum FROM lineitem GROUP BY 1, 2)""",
-    "targets": """SELECT run_id, bar, symbol, round(q / sum(q) OVER (PARTITION BY run_id, bar) * CASE WHEN symbol IN ('S6', 'S7') THEN -0.7::DOUBLE ELSE 1.1::DOUBLE END * CASE WHEN s % 10 = 0 THEN 9 WHEN s % 10 = 5 THEN 2 ELSE 1 END, 6) AS weight FROM (
+    "targets": """SELECT run_id, bar, symbol, q / sum(q) OVER (PARTITION BY run_id, bar) * CASE WHEN symbol IN ('S6', 'S7') THEN -0.7::DOUBLE ELSE 1.1::DOUBLE END * CASE WHEN s % 10 = 0 THEN 9 WHEN s % 10 = 5 THEN 2 ELSE 1 END AS weight FROM (
     SELECT 'R' || l_suppkey AS run_id, l_suppkey AS s, ((year(l_shipdate) - 1990) * 12 + month(l_shipdate) - 1)::INT AS bar, 'S' || (l_partkey % 8) AS symbol, sum(l_quantity) AS q FROM lineitem WHERE month(l_shipdate) IN (1, 4, 7, 10) GROUP BY ALL)""",
     "runs": """SELECT 'R' || s AS run_id, (SELECT min(bar) FROM market) AS first_bar, (SELECT max(bar) FROM market) AS last_bar, 1234567.891::DOUBLE AS capital, CASE WHEN s % 10 = 5 THEN 3000.0::DOUBLE ELSE 4.5::DOUBLE END AS fee_bps, 1.0::DOUBLE AS slippage_bps,
     (1 + s % 2)::INT AS lag, CASE s % 3 WHEN 0 THEN 'disabled' WHEN 1 THEN 'period_start' ELSE 'event_price' END AS funding, 1.05::DOUBLE AS max_leverage FROM (SELECT DISTINCT l_suppkey AS s FROM lineitem)""",

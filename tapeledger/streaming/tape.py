@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tapeledger.functions.timegrid import moment
 from tapeledger.operators.accrete import conflicts
 from tapeledger.operators.asof import PRICE_TOLERANCE_US, incremental_asof
 from tapeledger.operators.bars import native_traded
@@ -17,9 +18,9 @@ from tapeledger.operators.bars import native_traded
 def closed_bars(ticks: DataFrame, delay: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Bars of a tick stream. With a watermark and append mode a bar comes out once, when it is closed; a bar
     still in progress is never stored. Partial aggregates combine before the shuffle, as in batch."""
-    moment = F.struct("timestamp", "trade_id")
+    at = moment(ticks, "timestamp", "trade_id")
     bars = ticks.withWatermark("timestamp", delay).groupBy("symbol", F.window("timestamp", width).alias("w")).agg(
-        F.min_by("px", moment).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", moment).alias("close"), F.sum("sz").alias("volume"), F.count("sz").alias("trade_count"))
+        F.min_by("px", at).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", at).alias("close"), F.sum("sz").alias("volume"), F.count("sz").alias("trade_count"))
     return bars.select("symbol", F.col("w.start").alias("timestamp"), "open", "high", "low", "close", "volume", "trade_count", native_traded(F.col("volume"), F.col("trade_count")).alias("native_traded"))
 
 
