@@ -34,22 +34,22 @@ def supplier_ledger(spark, sf, counterfactual=True):
 _MONEY = ["nav_pre", "fee_cost", "slippage_cost", "nav_after_cost", "asset_pnl", "funding_pnl", "nav_end"]
 
 
-@query("ledger_periods", """SELECT l.run_id, l.path, bar, rebalance, round(turnover, 11) AS turnover, round(nav_pre, 3) AS nav_pre, round(turnover * nav_pre * fee, 3) AS fee_cost, round(turnover * nav_pre * slip, 3) AS slippage_cost,
-  round(nav_after_cost, 3) AS nav_after_cost, round(asset_pnl, 3) AS asset_pnl, round(funding_pnl, 3) AS funding_pnl, round(nav_end, 3) AS nav_end, round(CASE WHEN stage IS NOT NULL THEN -1.0::DOUBLE ELSE nav_end / nav_pre - 1 END, 9) AS net_return,
-  round(CASE WHEN stage = 'cost' THEN list_sum([abs(x) for x in wpre]) ELSE list_sum(list_transform(range(1, len(p) + 1), lambda j: abs(q[j] * p[j]))) / nav_after_cost END, 10) AS gross_exposure,
-  round(CASE WHEN stage = 'cost' THEN list_sum(wpre) ELSE list_sum(list_transform(range(1, len(p) + 1), lambda j: q[j] * p[j])) / nav_after_cost END, 10) AS net_exposure, stage AS ruin_stage
+@query("ledger_periods", """SELECT l.run_id, l.path, bar, rebalance, round(turnover, 8) AS turnover, round(nav_pre, 1) AS nav_pre, round(turnover * nav_pre * fee, 1) AS fee_cost, round(turnover * nav_pre * slip, 1) AS slippage_cost,
+  round(nav_after_cost, 1) AS nav_after_cost, round(asset_pnl, 1) AS asset_pnl, round(funding_pnl, 1) AS funding_pnl, round(nav_end, 1) AS nav_end, round(CASE WHEN stage IS NOT NULL THEN -1.0::DOUBLE ELSE nav_end / nav_pre - 1 END, 8) AS net_return,
+  round(CASE WHEN stage = 'cost' THEN list_sum([abs(x) for x in wpre]) ELSE list_sum(list_transform(range(1, len(p) + 1), lambda j: abs(q[j] * p[j]))) / nav_after_cost END, 8) AS gross_exposure,
+  round(CASE WHEN stage = 'cost' THEN list_sum(wpre) ELSE list_sum(list_transform(range(1, len(p) + 1), lambda j: q[j] * p[j])) / nav_after_cost END, 8) AS net_exposure, stage AS ruin_stage
   FROM led l JOIN rn r ON r.run_id = l.run_id AND r.path = l.path""", ("led",))
 def ledger_periods(spark, sf):
     d = supplier_ledger(spark, sf)
-    d = _rounded(d, {**{c: 3 for c in _MONEY}, "turnover": 11, "net_return": 9, "gross_exposure": 10, "net_exposure": 10})
+    d = _rounded(d, {**{c: 1 for c in _MONEY}, "turnover": 8, "net_return": 8, "gross_exposure": 8, "net_exposure": 8})
     return d.select("run_id", "path", "bar", "rebalance", "turnover", *_MONEY, "net_return", "gross_exposure", "net_exposure", "ruin_stage")
 
 
-@query("ledger_returns", """SELECT run_id, path, bar, round(asset_pnl / nav_pre, 9) AS gross_return, round(funding_pnl / nav_pre, 9) AS funding_return, round((nav_after_cost - nav_pre) / nav_pre, 13) AS cost_return FROM led""", ("led",))
+@query("ledger_returns", """SELECT run_id, path, bar, round(asset_pnl / nav_pre, 8) AS gross_return, round(funding_pnl / nav_pre, 8) AS funding_return, round((nav_after_cost - nav_pre) / nav_pre, 8) AS cost_return FROM led""", ("led",))
 def ledger_returns(spark, sf):
     """The additive parts of each period's return."""
     d = supplier_ledger(spark, sf).select("run_id", "path", "bar", "gross_return", "funding_return", (F.col("fee_return") + F.col("slippage_return")).alias("cost_return"))
-    return _rounded(d, {"gross_return": 9, "funding_return": 9, "cost_return": 13})
+    return _rounded(d, {"gross_return": 8, "funding_return": 8, "cost_return": 8})
 
 
 _POSITIONS = """SELECT run_id, bar, syms[j] AS symbol, CASE WHEN q_prev[j] <> 0 AND (CASE WHEN rebalance THEN w[j] <> 0 ELSE true END) THEN 'HELD' WHEN q_prev[j] <> 0 THEN 'EXITING' ELSE 'ENTERING' END AS state,
@@ -62,9 +62,9 @@ def _positions(spark, sf):
     return ledger.positions(m, t, r, ledger.ledger(m, t, r))
 
 
-@query("ledger_positions", f"SELECT run_id, bar, symbol, state, round(quantity, 4) AS quantity, round(notional, 3) AS notional, round(weight_held, 11) AS weight_held, round(pre_trade_weight, 11) AS pre_trade_weight, round(trade, 11) AS trade FROM ({_POSITIONS})", ("led",))
+@query("ledger_positions", f"SELECT run_id, bar, symbol, state, round(quantity, 4) AS quantity, round(notional, 1) AS notional, round(weight_held, 8) AS weight_held, round(pre_trade_weight, 8) AS pre_trade_weight, round(trade, 8) AS trade FROM ({_POSITIONS})", ("led",))
 def ledger_positions(spark, sf):
-    return _rounded(_positions(spark, sf), {"quantity": 4, "notional": 3, "weight_held": 11, "pre_trade_weight": 11, "trade": 11})
+    return _rounded(_positions(spark, sf), {"quantity": 4, "notional": 1, "weight_held": 8, "pre_trade_weight": 8, "trade": 8})
 
 
 @query("symbol_state_counts", f"SELECT symbol, state, count(*) AS n FROM ({_POSITIONS}) GROUP BY ALL", ("led",))
@@ -78,17 +78,17 @@ def ledger_ruin(spark, sf):
     return _rounded(d.select("run_id", "path", "bar", "ruin_stage", "uncapped_ruin_return"), {"uncapped_ruin_return": 8})
 
 
-@query("equity_curve", "SELECT run_id, path, bar, round(equity, 3) AS equity FROM curve", ("curve",))
+@query("equity_curve", "SELECT run_id, path, bar, round(equity, 1) AS equity FROM curve", ("curve",))
 def equity_curve(spark, sf):
     m, t, r = supplier_inputs(spark, sf)
-    return _rounded(ledger.equity_curve(ledger.ledger(m, t, r, True)), {"equity": 3})
+    return _rounded(ledger.equity_curve(ledger.ledger(m, t, r, True)), {"equity": 1})
 
 
-@query("drawdown_curve", "SELECT run_id, path, bar, round(equity / max(equity) OVER (PARTITION BY run_id, path ORDER BY bar) - 1, 9) AS drawdown FROM curve", ("curve",))
+@query("drawdown_curve", "SELECT run_id, path, bar, round(equity / max(equity) OVER (PARTITION BY run_id, path ORDER BY bar) - 1, 8) AS drawdown FROM curve", ("curve",))
 def drawdown_curve(spark, sf):
     m, t, r = supplier_inputs(spark, sf)
     d = metrics.drawdowns(ledger.equity_curve(ledger.ledger(m, t, r, True)))
-    return _rounded(d.select("run_id", "path", "bar", "drawdown"), {"drawdown": 9})
+    return _rounded(d.select("run_id", "path", "bar", "drawdown"), {"drawdown": 8})
 
 
 def _performance(m, t, r, counterfactual=True):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeledger.plans.views import with_views
 from tapeledger.session import configure
@@ -13,13 +16,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_ROUNDED = re.compile(r"(, \d+\)) AS (?=\w)")
+
+
+def _plain_zeros(df: DataFrame) -> DataFrame:
+    """Turn -0.0 into 0.0, so that results compare by value; the SQL side does the same to rounded columns."""
+    signed = {f.name: F.col(f.name) + F.lit(0.0) for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)}
+    return df.withColumns(signed) if signed else df
+
+
 def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), **replace: str):
     """Register ``build(spark, sf_dir)`` under ``name``; ``sql`` may use the named views, and ``replace`` puts other
     texts in place of some of them."""
 
     def register(build):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(configure(spark), sf_dir)
+            return _plain_zeros(build(configure(spark), sf_dir))
 
         run.__name__ = name
         run.__doc__ = build.__doc__
@@ -27,7 +39,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), **repl
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_views(sql, views, **replace)
+            ORACLES[name] = _ROUNDED.sub(r"\1 + 0.0 AS ", with_views(sql, views, **replace))
         return build
 
     return register

@@ -61,7 +61,7 @@ def supplier_targets(spark: SparkSession, sf: str) -> DataFrame:
     symbol = F.concat(F.lit("S"), (F.col("l_partkey") % 8).cast("string"))
     q = li.groupBy("l_suppkey", _month("l_shipdate").alias("bar"), symbol.alias("symbol")).agg(F.sum("l_quantity").alias("q"))
     whole = Window.partitionBy("l_suppkey", "bar")  # eight symbols at most
-    side = F.when(F.col("symbol").isin("S6", "S7"), -0.7).otherwise(1.1)
+    side = F.when(F.col("symbol").isin("S6", "S7"), -0.700314159265).otherwise(1.100271828182)
     gear = F.when(F.col("l_suppkey") % 10 == 0, 9).when(F.col("l_suppkey") % 10 == 5, 2).otherwise(1)
     return q.select(F.concat(F.lit("R"), F.col("l_suppkey").cast("string")).alias("run_id"), "bar", "symbol", (F.col("q") / F.sum("q").over(whole) * side * gear).alias("weight"))
 
@@ -73,7 +73,7 @@ def supplier_runs(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("l_suppkey")
     return li.select("l_suppkey").distinct().select(
         F.concat(F.lit("R"), s.cast("string")).alias("run_id"), span.select("a").scalar().alias("first_bar"), span.select("b").scalar().alias("last_bar"), F.lit(1234567.891).alias("capital"),
-        F.when(s % 10 == 5, 3000.0).otherwise(4.5).alias("fee_bps"), F.lit(1.0).alias("slippage_bps"), (1 + s % 2).cast("int").alias("lag"),
+        F.when(s % 10 == 5, 3000.487132909).otherwise(4.487132909).alias("fee_bps"), F.lit(1.0).alias("slippage_bps"), (1 + s % 2).cast("int").alias("lag"),
         F.when(s % 3 == 0, "disabled").when(s % 3 == 1, "period_start").otherwise("event_price").alias("funding"), F.lit(1.05).alias("max_leverage"))
 
 
@@ -190,9 +190,9 @@ SQL_VIEWS = {
     # supplier portfolios: weights from what each supplier ships at quarter starts, some of them short or overgeared
     "market": """SELECT symbol, bar, px, rate_sum, round(rate_sum * px * 1.001::DOUBLE, 9) AS rate_px_sum FROM (SELECT 'S' || (l_partkey % 8) AS symbol, ((year(l_shipdate) - 1990) * 12 + month(l_shipdate) - 1)::INT AS bar,
     round(sum(l_extendedprice) / sum(l_quantity), 6) AS px, round((avg(l_discount) - 0.05::DOUBLE) * 0.05::DOUBLE, 9) AS rate_sum FROM lineitem GROUP BY 1, 2)""",
-    "targets": """SELECT run_id, bar, symbol, q / sum(q) OVER (PARTITION BY run_id, bar) * CASE WHEN symbol IN ('S6', 'S7') THEN -0.7::DOUBLE ELSE 1.1::DOUBLE END * CASE WHEN s % 10 = 0 THEN 9 WHEN s % 10 = 5 THEN 2 ELSE 1 END AS weight FROM (
+    "targets": """SELECT run_id, bar, symbol, q / sum(q) OVER (PARTITION BY run_id, bar) * CASE WHEN symbol IN ('S6', 'S7') THEN -0.700314159265::DOUBLE ELSE 1.100271828182::DOUBLE END * CASE WHEN s % 10 = 0 THEN 9 WHEN s % 10 = 5 THEN 2 ELSE 1 END AS weight FROM (
     SELECT 'R' || l_suppkey AS run_id, l_suppkey AS s, ((year(l_shipdate) - 1990) * 12 + month(l_shipdate) - 1)::INT AS bar, 'S' || (l_partkey % 8) AS symbol, sum(l_quantity) AS q FROM lineitem WHERE month(l_shipdate) IN (1, 4, 7, 10) GROUP BY ALL)""",
-    "runs": """SELECT 'R' || s AS run_id, (SELECT min(bar) FROM market) AS first_bar, (SELECT max(bar) FROM market) AS last_bar, 1234567.891::DOUBLE AS capital, CASE WHEN s % 10 = 5 THEN 3000.0::DOUBLE ELSE 4.5::DOUBLE END AS fee_bps, 1.0::DOUBLE AS slippage_bps,
+    "runs": """SELECT 'R' || s AS run_id, (SELECT min(bar) FROM market) AS first_bar, (SELECT max(bar) FROM market) AS last_bar, 1234567.891::DOUBLE AS capital, CASE WHEN s % 10 = 5 THEN 3000.487132909::DOUBLE ELSE 4.487132909::DOUBLE END AS fee_bps, 1.0::DOUBLE AS slippage_bps,
     (1 + s % 2)::INT AS lag, CASE s % 3 WHEN 0 THEN 'disabled' WHEN 1 THEN 'period_start' ELSE 'event_price' END AS funding, 1.05::DOUBLE AS max_leverage FROM (SELECT DISTINCT l_suppkey AS s FROM lineitem)""",
     "rn": """SELECT run_id, path, first_bar, last_bar, capital, lag, CASE WHEN path = 'actual' THEN fee_bps / 10000 ELSE 0.0::DOUBLE END AS fee, CASE WHEN path = 'actual' THEN slippage_bps / 10000 ELSE 0.0::DOUBLE END AS slip,
     CASE WHEN path = 'actual' THEN funding ELSE 'disabled' END AS funding FROM (SELECT *, unnest(['actual', 'counterfactual']) AS path FROM runs)""",
