@@ -63,10 +63,11 @@ def all_artifacts(records: DataFrame, events: DataFrame) -> DataFrame:
     return made.unionByName(events.where("event = 'artifact_added'").select("experiment_id", F.col("artifact.name"), F.col("artifact.path"), F.col("artifact.sha256")))
 
 
-def run_numbers(records: DataFrame) -> DataFrame:
-    """Order of the repeats of one exact hash (0 = first) and the id of the first."""
+def run_numbers(records: DataFrame, block_us: int = DAY_US) -> DataFrame:
+    """Order of the repeats of one exact hash (0 = first) and the id of the first. Repeats are numbered in blocks
+    of time; choose narrower blocks for a log that is denser than a task should hold per hash and day."""
     order = ["logged_at", "experiment_id"]
-    numbered = with_position(records, ["exact_hash"], order, time_block("logged_at", 30 * DAY_US), "_n")
+    numbered = with_position(records, ["exact_hash"], order, time_block("logged_at", block_us), "_n")
     first = records.groupBy("exact_hash").agg(F.min_by("experiment_id", F.struct(*order)).alias("_first"))
     d = numbered.join(first, on="exact_hash").withColumn("run_seq", F.col("_n") - 1)
     return d.withColumn("rerun_of", F.when(F.col("run_seq") > 0, F.col("_first"))).drop("_n", "_first")
@@ -177,7 +178,7 @@ def _space_overlaps(oos: DataFrame, every: DataFrame) -> DataFrame:
         point(others, "eval_start", 0, 1, 0, none, 0).unionByName(point(others, "eval_end", 2, 0, 1, none, 0))
         .unionByName(point(own, "eval_end", 1, 0, 0, F.col("experiment_id"), 1)).unionByName(point(own, "eval_start", 1, 0, 0, F.col("experiment_id"), -1))
     )
-    counted = with_running(points, space, ["_at", "_rank"], time_block("_at", 30 * DAY_US), {"_begun": ("sum", F.col("_b")), "_ended": ("sum", F.col("_e"))})
+    counted = with_running(points, space, ["_at", "_rank"], time_block("_at", DAY_US), {"_begun": ("sum", F.col("_b")), "_ended": ("sum", F.col("_e"))})
     value = F.when(F.col("_sign") == 1, F.col("_begun")).when(F.col("_sign") == -1, -F.col("_ended"))
     return counted.where("_who is not null").groupBy(F.col("_who").alias("experiment_id")).agg(F.sum(value).cast("bigint").alias("_hits"))
 

@@ -16,7 +16,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-_ROUNDED = re.compile(r"(, \d+\)) AS (?=\w)")
+def _plain_zero_sql(sql: str) -> str:
+    """Add 0.0 to every named ``round(...) AS name``, which turns -0.0 into 0.0."""
+    out, at = [], 0
+    for found in re.finditer(r"\bround\(", sql):
+        depth, end = 1, found.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        if end > at and sql[end:].startswith(" AS "):
+            out += [sql[at:end], " + 0.0"]
+            at = end
+    return "".join([*out, sql[at:]])
 
 
 def _plain_zeros(df: DataFrame) -> DataFrame:
@@ -39,7 +50,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), **repl
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = _ROUNDED.sub(r"\1 + 0.0 AS ", with_views(sql, views, **replace))
+            ORACLES[name] = _plain_zero_sql(with_views(sql, views, **replace))
         return build
 
     return register

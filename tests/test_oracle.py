@@ -19,7 +19,10 @@ def duck():
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, duck, name):
     sf = WHOLE_GRID if name in NEEDS_WHOLE_GRID else SF
-    mine = catalogue.QUERIES[name](spark, sf).toPandas()
+    df = catalogue.QUERIES[name](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    mine = df.toPandas()
     assert name in catalogue.ORACLES
     assert difference(mine, duck[sf].execute(catalogue.ORACLES[name]).fetch_df()) is None
 
