@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeledger.llm import url_filter
+from tapeledger.llm import factor_machine, ngram_join, secret_scan, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,24 @@ FROM keyed LEFT JOIN ruled ON host = node_host AND path = node_path LEFT JOIN hi
 def op8_url_filter(spark, sf_dir):
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, action string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op6_secret_scan(spark, sf_dir):
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    number = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(number(k) for k in secret_scan.BASE), F.sha2(secret_scan.spans_text(F.col("found"), secret_scan.BASE).cast("binary"), 256).alias("base_sha256"),
+                        secret_scan.spans_text(F.col("found")).alias("spans"), "n_live", "n_example")
+
+
+@query()
+def op9_quality_classifier(spark, sf_dir):
+    docs, held_out = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = factor_machine.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    scored = factor_machine.score_documents(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
