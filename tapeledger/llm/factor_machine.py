@@ -38,7 +38,7 @@ def _byte_classes() -> np.ndarray:
     return table
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(texts: pa.Array, word_bins: int = WORD_BINS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse ``(row, feature, value)`` of the texts, sorted by row: statistics first, then hashed words.
 
     Statistics are between 0 and 1, so no document's length dominates; word values are square roots of shares
@@ -74,7 +74,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     stats[:, k + 7] = counts < 50
     stats[:, k + 8] = length == 0
     share = np.sqrt(times / some[row])
-    bins = N_STATS + (word_hashes(words) % np.uint64(WORD_BINS)).astype(np.int64)[code] if len(words) else code
+    bins = N_STATS + (word_hashes(words) % np.uint64(word_bins)).astype(np.int64)[code] if len(words) else code
     r, c = np.divmod(np.arange(n * N_STATS), N_STATS)
     all_rows, all_bins, all_values = np.concatenate([r, row]), np.concatenate([c, bins]), np.concatenate([stats.ravel(), share])
     keep = all_values != 0

@@ -4,7 +4,8 @@ Candidates come from multi-match prefixes. All shingles are put in one global or
 sets reach the threshold, the first ``m`` shingles they share lie in the first ``n - ceil(t n) + m`` shingles of
 each, for every ``m`` up to ``ceil(t n)``. Each document chooses its own ``m`` by the estimated cost of its lists:
 a longer prefix, from which correspondingly more shared shingles are asked for before a pair is verified. A pair
-needs as many as the smaller ``m`` of the two. Every pair is verified on the whole sets.
+needs as many as the smaller ``m`` of the two, and as many as the sizes and the rests behind the prefixes demand.
+Every pair is verified on the whole sets.
 
 Groups of copies never become pairs. Equal sets form one class. In a list of documents that share a shingle,
 each is first verified against one centre only, as many pairs as entries; only what these links leave in
@@ -17,8 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeledger.llm.batches import bound_batches, slices, texts_of
@@ -100,7 +103,7 @@ def choose_prefix(level: np.ndarray, percent: int = PERCENT) -> tuple[int, int]:
 
 
 def _prefixes(documents: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataFrame:
-    """``(doc_id, matches, tokens)``: the prefix of every non-empty set."""
+    """``(doc_id, matches, n, tokens)``: the prefix of every non-empty set and the size of the set."""
     known = documents.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,17 +113,35 @@ def _prefixes(documents: DataFrame, levels: np.ndarray, size: int, percent: int)
             order = np.lexsort((value, level, row))
             row, value, level = row[order], value[order], level[order]
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            docs, matches, tokens = [], [], []
+            docs, matches, tokens, size_ = [], [], [], []
             for i in np.flatnonzero(np.diff(ends)):
                 length, m = choose_prefix(level[ends[i]:ends[i + 1]], percent)
                 docs.append(i)
                 matches.append(m)
+                size_.append(int(ends[i + 1] - ends[i]))
                 tokens.append(value[ends[i]:ends[i] + length].view(np.int64))
             sizes = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
             flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(docs, pa.int64())), pa.array(matches, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes), flat)], ["doc_id", "matches", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(docs, pa.int64())), pa.array(matches, pa.int32()), pa.array(size_, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes), flat)], ["doc_id", "matches", "n", "tokens"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, matches int, tokens array<long>")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, matches int, n long, tokens array<long>")
+
+
+def _position(column: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(column), 64 - FILTER_BITS)
+
+
+def _filter(spark: SparkSession, wanted: DataFrame, column: str) -> Broadcast:
+    """A bit for the hash of every value: of a fixed size, so it only lets more pass as the values grow in number."""
+    at = wanted.select(_position(column).alias("position"))
+    words = at.groupBy(F.shiftright("position", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(position & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return spark.sparkContext.broadcast(bits)
+
+
+def _passes(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((bits[at >> 6] >> (at & 63)) & 1).astype(bool)
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -128,17 +149,12 @@ def _sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     A filter of fixed size keeps most other texts from being hashed; the join makes the choice exact.
     """
-    position = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - FILTER_BITS)
-    words = wanted.select(F.shiftright(position, 6).alias("word"), F.expr("1L").alias("one"), position.alias("position")).groupBy("word").agg(
-        F.bit_or(F.call_function("shiftleft", F.col("one"), F.pmod("position", F.lit(64)).cast("int"))).alias("bits")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    known = documents.sparkSession.sparkContext.broadcast(bits)
+    known = _filter(documents.sparkSession, wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             at = batch.column("position").to_numpy()
-            some = np.flatnonzero((known.value[at >> 6] >> (at & 63)) & 1)
+            some = np.flatnonzero(_passes(known.value, at))
             if not len(some):
                 continue
             batch = batch.take(pa.array(some))
@@ -147,10 +163,35 @@ def _sets(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             sets = [value[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(sets, pa.binary())], ["doc_id", "n", "tokens"])
 
-    kept = documents.select("doc_id", "text", position.alias("position")).mapInArrow(run, "doc_id long, n long, tokens binary")
+    kept = documents.select("doc_id", "text", _position("doc_id").alias("position")).mapInArrow(run, "doc_id long, n long, tokens binary")
     return cut_lineage(kept.join(wanted, "doc_id", "left_semi").distinct(), "ngram_sets")
 
 
+def _entries_of(prefixes: DataFrame, known: Broadcast) -> DataFrame:
+    """``(token, doc_id)`` of the prefixes for the tokens that pass the filter; the other ones never leave their task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = _passes(known.value, batch.column("at").flatten().to_numpy(zero_copy_only=False))
+            docs = np.repeat(batch.column("doc_id").to_numpy(), pc.list_value_length(batch.column("tokens")).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("tokens").flatten().filter(pa.array(keep)), pa.array(docs[keep])], ["token", "doc_id"])
+
+    at = F.transform("tokens", lambda t: F.shiftrightunsigned(F.xxhash64(t), 64 - FILTER_BITS))
+    return prefixes.select("doc_id", "tokens", at.alias("at")).mapInArrow(run, "token long, doc_id long")
+
+
+def _possible(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b, n)``, ``n`` shared prefix shingles, that can reach the threshold.
+
+    The sizes must be near enough, and what the prefixes share plus what may follow the prefix that ends first must
+    reach the overlap that the threshold asks for. At least the smaller number of matches is asked for in any case.
+    """
+    columns = ["m", "low", "high", "beyond"]
+    for side in ("a", "b"):
+        pairs = pairs.join(sizes.toDF(side, *(f"{c}_{side}" for c in columns)), side)
+    return pairs.filter(f"""n >= least(m_a, m_b) and 100 * least(high_a, high_b) >= {percent} * greatest(low_a, low_b)
+        and {100 + percent} * (n + greatest(beyond_a, beyond_b)) >= {percent} * (low_a + low_b)""").select("a", "b")
+
+
 def _verified(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` that reach the threshold on their whole sets."""
     pairs = cut_lineage(pairs, "ngram_pairs")
@@ -169,9 +210,7 @@ def _verified(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    sizes = sets.select("doc_id", "n")
-    close = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").filter(near).select("a", "b").distinct()
-    return cut_lineage(close.join(left, "a").join(right, "b").filter(near).mapInArrow(run, "a long, b long"), "ngram_links")
+    return cut_lineage(pairs.join(left, "a").join(right, "b").filter(near).mapInArrow(run, "a long, b long"), "ngram_links")
 
 
 def ngram_links(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -193,7 +232,9 @@ def ngram_links(documents: DataFrame, size: int = SIZE, percent: int = PERCENT)
     prefixes = cut_lineage(_prefixes(documents, _levels(profiles), size, percent).join(heads, "doc_id", "left_semi"), "ngram_prefixes")
     entries = prefixes.select(F.explode("tokens").alias("token"), "doc_id")
     shared = entries.groupBy("token").agg(F.count("*").alias("n"), F.min("doc_id").alias("centre")).filter("n > 1")
-    lists = cut_lineage(entries.join(shared.select("token", "centre"), "token"), "ngram_lists")
+    shared = cut_lineage(shared, "ngram_shared")
+    lists = cut_lineage(_entries_of(prefixes, _filter(spark, shared, "token")).join(shared.select("token", "centre"), "token"), "ngram_lists")
+    sizes = cut_lineage(prefixes.groupBy("doc_id").agg(F.min("matches").alias("m"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.size("tokens")).alias("beyond")), "ngram_sizes")
 
     same = classes.filter("class_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).filter("a <> b")
     links = classes.join(same.select("doc_id", "a"), "doc_id").select("a", F.col("class_id").alias("b")).filter("a <> b").distinct()
@@ -201,8 +242,9 @@ def ngram_links(documents: DataFrame, size: int = SIZE, percent: int = PERCENT)
     while not rest.isEmpty():
         turn += 1
         stars = rest.filter("doc_id <> centre").groupBy("doc_id", "centre").agg(F.count("*").alias("n"))
-        best = stars.groupBy("doc_id").agg(F.max_by("centre", F.struct("n", "centre")).alias("centre"))
-        links = links.unionByName(_verified(documents, best.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")), size, percent))
+        best = stars.groupBy("doc_id").agg(F.max(F.struct("n", "centre")).alias("best"))
+        hoped = best.select(F.least("doc_id", "best.centre").alias("a"), F.greatest("doc_id", "best.centre").alias("b"), "best.n")
+        links = links.unionByName(_verified(documents, _possible(hoped, sizes, percent), size, percent))
         named = connected_components(links.toDF("u", "v"), "ngram_components")
         parts = lists.select("token", "doc_id").join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         groups = parts.groupBy("token", "component").agg(F.count("*").alias("n"), F.max_by("doc_id", F.xxhash64("doc_id", F.lit(turn))).alias("centre"))
@@ -217,9 +259,7 @@ def ngram_links(documents: DataFrame, size: int = SIZE, percent: int = PERCENT)
         left = rest.select("token", F.col("doc_id").alias("a"), F.col("component").alias("part_a"))
         right = rest.select("token", F.col("doc_id").alias("b"), F.col("component").alias("part_b"))
         counted = left.join(right, "token").filter("a < b and part_a <> part_b").groupBy("a", "b").agg(F.count("*").alias("n"))
-        asked = prefixes.groupBy("doc_id").agg(F.min("matches").alias("m"))
-        enough = counted.join(asked.toDF("a", "m_a"), "a").join(asked.toDF("b", "m_b"), "b").filter("n >= least(m_a, m_b)")
-        links = links.unionByName(_verified(documents, enough.select("a", "b"), size, percent))
+        links = links.unionByName(_verified(documents, _possible(counted, sizes, percent), size, percent))
     return classes, cut_lineage(links.distinct(), "ngram_all_links")
 
 

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeledger.llm import factor_machine, ngram_join, secret_scan, url_filter
+from tapeledger.llm import factor_machine, id_files, mixing, ngram_join, packing, secret_scan, url_filter
+
+#: shares of the mixed tokens by domain of the labelled table
+MIX_DOMAINS = {"clean": 0.90, "toxic": 0.05, "junk": 0.04, "junk_toxic": 0.01}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def domains_of(labels: DataFrame) -> DataFrame:
+    """``(doc_id, domain)`` of the labelled rows: clean or junk by quality, with or without ``toxic``."""
+    good, toxic = F.col("quality") == 1, F.col("toxic") == 1
+    return labels.filter("quality in (0, 1) and toxic in (0, 1)").select("doc_id", F.when(good & ~toxic, "clean").when(good, "toxic").when(~toxic, "junk").otherwise("junk_toxic").alias("domain"))
+
+
 URL_SQL = r"""
 WITH RECURSIVE base AS (
   SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -81,3 +96,21 @@ def op9_quality_classifier(spark, sf_dir):
 @query()
 def op1_ngram_join(spark, sf_dir):
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_mix_sources(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mixing.train_domains(docs, domains_of(table(spark, sf_dir, "labels")), list(MIX_DOMAINS))
+    mixed = mixing.mix(docs, model, MIX_DOMAINS, anchor="clean", keep_text=False)
+    return mixed.select("doc_id", "tokens", *(F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)), "rate", "copies")
+
+
+@query()
+def op7_token_id_files(spark, sf_dir):
+    return id_files.encode_corpus(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query()
+def op10_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), with_ids=False)
