@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,8 +15,23 @@ from pyspark.sql import SparkSession
 BATCH_BYTES = 8 << 20
 
 
+def _ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per context: they need not have the repository."""
+    context = spark.sparkContext
+    if getattr(context, "_tapeledger_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = os.path.join(tempfile.mkdtemp(prefix="tapeledger-"), "tapeledger_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, str(path.relative_to(root.parent)))
+    context.addPyFile(archive)
+    context._tapeledger_shipped = True
+
+
 def bound_batches(spark: SparkSession) -> None:
-    """Ask Spark for Arrow batches of a few megabytes, whatever the length of the texts."""
+    """Prepare a session: the package on the executors, and Arrow batches of a few megabytes, whatever the length of the texts."""
+    _ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * BATCH_BYTES))
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeledger.llm import factor_machine, id_files, mixing, ngram_join, packing, secret_scan, url_filter
+from tapeledger.llm import cross_polytope, factor_machine, id_files, license_scan, mixing, ngram_join, packing, secret_scan, simhash, url_filter
+from tapeledger.session import cut_lineage
 
 #: shares of the mixed tokens by domain of the labelled table
 MIX_DOMAINS = {"clean": 0.90, "toxic": 0.05, "junk": 0.04, "junk_toxic": 0.01}
@@ -114,3 +115,23 @@ def op7_token_id_files(spark, sf_dir):
 @query()
 def op10_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), with_ids=False)
+
+
+@query()
+def op3_simhash(spark, sf_dir):
+    prints = simhash.fingerprint_with_next(table(spark, sf_dir, "documents"))
+    prints = cut_lineage(prints.withColumn("fp", F.conv("fingerprint", 16, -10).cast("long")), "simhash_prints")
+    return prints.join(simhash.count_within(prints.select("fp")), "fp").drop("fp")
+
+
+@query()
+def op4_cross_polytope(spark, sf_dir):
+    return cross_polytope.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+@query()
+def op5_license_scan(spark, sf_dir):
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.array_sort("licenses", lambda a, b: F.when(a["dice"] != b["dice"], F.when(a["dice"] > b["dice"], -1).otherwise(1)).otherwise(F.when(a["license"] < b["license"], -1).when(a["license"] > b["license"], 1).otherwise(a["start"] - b["start"])))
+    spans = F.array_join(F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.try_element_at(best, F.lit(1))["license"].alias("license"), F.try_element_at(best, F.lit(1))["dice"].alias("dice"), spans.alias("spans"))
