@@ -8,8 +8,9 @@ needs as many as the smaller ``m`` of the two, and as many as the sizes and the
 Every pair is verified on the whole sets.
 
 Groups of copies never become pairs. Equal sets form one class. In a list of documents that share a shingle,
-each is first verified against one centre only, as many pairs as entries; only what these links leave in
-different components is paired in full.
+each is first verified against one centre only, as many pairs as entries. What these links leave in different
+components is compared whole: lists with many such pairs inside tasks, in tiles from which only links leave, the
+others as pairs.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -37,6 +39,9 @@ COUNTED = 4 << 20
 #: Largest number of shared shingles asked for, and the cost of verifying a pair in list entries.
 MOST_MATCHES, VERIFY_COST = 16, 50
 
+#: A list with more pairs between components is compared in tiles, of at most so many documents from each side.
+HEAVY, TILE, BLOCK_TURNS = 10_000, 512, 2
+
 _PROFILE = "doc_id long, n long, digest binary, token long, times long"
 
 
@@ -94,7 +99,7 @@ def choose_prefix(level: np.ndarray, percent: int = PERCENT) -> tuple[int, int]:
     n = len(level)
     need = int(_least_shared(np.int64(n), percent))
     most = min(MOST_MATCHES, need)
-    foreign = np.cumsum(np.exp2(level[:n - need + most]) - 1)
+    foreign = np.cumsum(np.exp2(level[:n - need + most].astype(float)) - 1)
     m = np.arange(1, most + 1)
     length = n - need + m
     cost = length + foreign[length - 1] * (1 + VERIFY_COST / m)
@@ -213,6 +218,94 @@ def _verified(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -
     return cut_lineage(pairs.join(left, "a").join(right, "b").filter(near).mapInArrow(run, "a long, b long"), "ngram_links")
 
 
+def _tile_links(a: pd.DataFrame, b: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links between the documents of two sides, as many as join their components and no more."""
+    left, right = ([np.frombuffer(t, np.uint64) for t in side["tokens"]] for side in (a, b))
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+
+    def incidence(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row, token = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        at = np.searchsorted(both, token)
+        at[at == len(both)] = 0
+        held = both[at] == token
+        return row[held], at[held]
+
+    shared = np.zeros((len(left), len(right)), np.float32)
+    if len(both):
+        (row_a, at_a), (row_b, at_b) = incidence(left), incidence(right)
+        for start in range(0, len(both), 4096):
+            width = min(4096, len(both) - start)
+            one, two = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+            for matrix, row, at in ((one, row_a, at_a), (two, row_b, at_b)):
+                some = (at >= start) & (at < start + width)
+                matrix[row[some], at[some] - start] = 1
+            shared += one @ two.T
+    shared = shared.astype(np.int64)
+    n_a, n_b = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    part_a, part_b = a["component"].to_numpy(), b["component"].to_numpy()
+    near = (100 * shared >= percent * (n_a[:, None] + n_b - shared)) & (part_a[:, None] != part_b)
+    x, y = np.nonzero(near)
+    parent: dict[int, int] = {}
+
+    def root(p: int) -> int:
+        while parent.get(p, p) != p:
+            p = parent[p]
+        return p
+
+    links = []
+    _, first = np.unique(np.stack([part_a[x], part_b[y]]), axis=1, return_index=True)
+    for i in first:
+        p, q = root(part_a[x[i]]), root(part_b[y[i]])
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            links.append((int(a["doc_id"].iloc[x[i]]), int(b["doc_id"].iloc[y[i]])))
+    return links
+
+
+def _block_links(documents: DataFrame, blocks: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links within the blocks of ``blocks(block, doc_id, component)`` between documents of different components.
+
+    Everything outside a block's largest component is compared with the whole block; the largest is not compared
+    with itself. Tiles hold at most ``TILE`` documents of each side, about.
+    """
+    main = blocks.groupBy("block", "component").agg(F.count("*").alias("n")).groupBy("block").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main")).filter("n > n_main")
+    sets = _sets(documents, blocks.join(main, "block", "left_semi").select("doc_id").distinct(), size)
+    rows = blocks.join(main.select("block", "main", F.ceil((F.col("n") - F.col("n_main")) / TILE).cast("int").alias("outs"), F.ceil(F.col("n") / TILE).cast("int").alias("alls")), "block")
+    own = lambda parts: F.pmod(F.xxhash64("doc_id"), F.col(parts)).cast("int")
+    every = rows.withColumns({"out": F.lit(False), "j": own("alls"), "i": F.explode(F.sequence(F.lit(0), F.col("outs") - 1))})
+    outer = rows.filter("component <> main").withColumns({"out": F.lit(True), "i": own("outs")}).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("alls") - 1)))
+    columns = ["block", "i", "j", "out", "doc_id", "component"]
+    tiles = every.select(columns).unionByName(outer.select(columns)).join(sets.select("doc_id", "tokens"), "doc_id")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["out"]], pdf[~pdf["out"]]
+        return pd.DataFrame(_tile_links(a, b, percent) if len(a) and len(b) else [], columns=["a", "b"]).astype("int64")
+
+    return cut_lineage(tiles.groupBy("block", "i", "j").applyInPandas(compare, "a long, b long").distinct(), "ngram_block_links")
+
+
+def _mixed_lists(lists: DataFrame, links: DataFrame, blocks: DataFrame | None, turn: int) -> tuple[DataFrame, float]:
+    """The lists whose documents are not all of one component, or of one block already compared.
+
+    ``(token, doc_id, component, blocks, pairs, centre)``, ``pairs`` those left to compare in the
+    list (of blocks the last one counts), and the sum of these over all lists. ``blocks(doc_id, blocks)`` has at most ``BLOCK_TURNS`` blocks a document.
+    """
+    named = connected_components(links.toDF("u", "v"), "ngram_components")
+    parts = lists.select("token", "doc_id").join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    nothing = F.array().cast("array<long>")
+    parts = parts.join(blocks, "doc_id", "left").withColumn("blocks", F.coalesce("blocks", nothing)) if blocks is not None else parts.withColumn("blocks", nothing)
+    parts = cut_lineage(parts, "ngram_parts")
+    groups = parts.groupBy("token", "component").agg(F.count("*").alias("n"), F.max_by("doc_id", F.xxhash64("doc_id", F.lit(turn))).alias("centre"))
+    mixed = groups.groupBy("token").agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"), F.max_by("centre", F.col("n")).alias("centre")).filter("k > 1")
+    square = F.sum(F.col("n") * F.col("n"))
+    inside = parts.filter(F.size("blocks") > 0).groupBy("token", F.element_at("blocks", -1).alias("block"), "component").agg(F.count("*").alias("n"))
+    inside = inside.groupBy("token", "block").agg(F.sum("n").alias("n"), square.alias("both")).groupBy("token").agg((square - F.sum("both")).alias("done"))
+    mixed = mixed.join(inside, "token", "left").withColumn("pairs", (F.col("all") * F.col("all") - F.col("own") - F.coalesce("done", F.lit(0))) / 2).filter("pairs > 0")
+    mixed = cut_lineage(mixed.select("token", "pairs", "centre"), "ngram_mixed")
+    rest = cut_lineage(parts.join(mixed, "token"), "ngram_rest")
+    return rest, mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+
+
 def ngram_links(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """``(classes, links)`` of ``documents(doc_id, text)``.
 
@@ -245,20 +338,29 @@ def ngram_links(documents: DataFrame, size: int = SIZE, percent: int = PERCENT)
         best = stars.groupBy("doc_id").agg(F.max(F.struct("n", "centre")).alias("best"))
         hoped = best.select(F.least("doc_id", "best.centre").alias("a"), F.greatest("doc_id", "best.centre").alias("b"), "best.n")
         links = links.unionByName(_verified(documents, _possible(hoped, sizes, percent), size, percent))
-        named = connected_components(links.toDF("u", "v"), "ngram_components")
-        parts = lists.select("token", "doc_id").join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        groups = parts.groupBy("token", "component").agg(F.count("*").alias("n"), F.max_by("doc_id", F.xxhash64("doc_id", F.lit(turn))).alias("centre"))
-        mixed = groups.groupBy("token").agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"), F.max_by("centre", F.col("n")).alias("centre")).filter("k > 1")
-        mixed = cut_lineage(mixed.withColumn("pairs", (F.col("all") * F.col("all") - F.col("own")) / 2), "ngram_mixed")
-        pairs, entries_left = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
-        rest = cut_lineage(parts.join(mixed.select("token", "centre"), "token"), "ngram_rest")
-        if pairs <= 4 * entries_left or (before is not None and pairs > 0.8 * before):
+        rest, pairs = _mixed_lists(lists, links, None, turn)
+        if pairs <= 4 * rest.count() or (before is not None and pairs > 0.8 * before):
             break
         before = pairs
-    if turn:
-        left = rest.select("token", F.col("doc_id").alias("a"), F.col("component").alias("part_a"))
-        right = rest.select("token", F.col("doc_id").alias("b"), F.col("component").alias("part_b"))
-        counted = left.join(right, "token").filter("a < b and part_a <> part_b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    blocks = None
+    for turn in range(BLOCK_TURNS if turn else 0):
+        heavy = rest.filter(F.col("pairs") > HEAVY)
+        if heavy.isEmpty():
+            break
+        first = heavy.groupBy("doc_id").agg(F.max(F.struct("pairs", "token")).alias("best"), F.first("component").alias("component")).select("doc_id", F.col("best.token").alias("token"), "component")
+        first = cut_lineage(first, "ngram_first_blocks")
+        # the lists of one group of copies differ by a few documents: each list goes to where most of its documents go
+        usual = heavy.select("token", "doc_id").join(first.select("doc_id", F.col("token").alias("block")), "doc_id").groupBy("token", "block").agg(F.count("*").alias("n")).groupBy("token").agg(F.max(F.struct("n", "block")).alias("most"))
+        chosen = cut_lineage(first.join(usual, "token").select("doc_id", F.col("most.block").alias("block"), "component"), "ngram_blocks")
+        links = links.unionByName(_block_links(documents, chosen, size, percent))
+        added = chosen.select("doc_id", F.array("block").alias("blocks"))
+        blocks = added if blocks is None else cut_lineage(blocks.unionByName(added).groupBy("doc_id").agg(F.flatten(F.collect_list("blocks")).alias("blocks")), "ngram_all_blocks")
+        rest, pairs = _mixed_lists(lists, links, blocks, turn)
+        if pairs <= 4 * rest.count():
+            break
+    if not rest.isEmpty():
+        left, right = (rest.select("token", F.col("doc_id").alias(x), F.col("component").alias(f"part_{x}"), F.col("blocks").alias(f"blocks_{x}")) for x in ("a", "b"))
+        counted = left.join(right, "token").filter("a < b and part_a <> part_b and not arrays_overlap(blocks_a, blocks_b)").groupBy("a", "b").agg(F.count("*").alias("n"))
         links = links.unionByName(_verified(documents, _possible(counted, sizes, percent), size, percent))
     return classes, cut_lineage(links.distinct(), "ngram_all_links")
 
