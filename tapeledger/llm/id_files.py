@@ -129,9 +129,14 @@ def _blocks(documents: DataFrame, definition, end_id: int, file_ids: int) -> Dat
 
         for batch in slices(batches, "text"):
             offsets, ids = with_end(*tokenizer.encode(texts_of(batch, "text")), end_id)
-            held.append((batch.column("doc_id"), np.diff(offsets), ids))
-            if sum(len(h[2]) for h in held) >= file_ids:
-                yield one()
+            at, n = 0, batch.num_rows
+            while at < n:
+                there = sum(len(h[2]) for h in held)
+                end = min(n, int(np.searchsorted(offsets[1:], offsets[at] + file_ids - there)) + 1)
+                held.append((batch.column("doc_id").slice(at, end - at), np.diff(offsets[at:end + 1]), ids[offsets[at]:offsets[end]]))
+                at = end
+                if there + len(held[-1][2]) >= file_ids:
+                    yield one()
         if held:
             yield one()
 

@@ -22,7 +22,7 @@ KINDS = [
     ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2),
     ("access", r"AKIA[A-Z0-9]+", 18, 0),
     ("hex", r"[0-9a-f]+", 16, 0),
-    ("pat", r"gh[opsur]_[A-Za-z0-9]+", 40, 0),
+    ("pat", r"gh[opsur]_[A-Za-z0-9]{36,}", 40, 0),
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40, 0),
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", 64, 0),
 ]
@@ -31,7 +31,7 @@ BASE = ("assign", "access", "hex")
 SHARED_OWNERS = 3
 
 #: A maximal run of at least the least length is what the plain pattern finds, and is found faster.
-_FAST = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}", "pat": r"gh[opsur]_[A-Za-z0-9]{36,}"}
+_FAST = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 _COMPILED = [(kind, re.compile(_FAST.get(kind, p), re.A | (re.I if kind == "assign" else 0)), least, group) for kind, p, least, group in KINDS]
 #: A cheap test that every match of the kind passes.
 _NEEDS = {"assign": re.compile(r"[:=]"), "access": re.compile("AKIA"), "pat": re.compile("gh[opsur]_"), "jwt": re.compile("eyJ"), "pem": re.compile("-----BEGIN")}
