@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from tapeledger.functions.digest import table_digest
 from tapeledger.functions.timegrid import HOUR_US, epoch_us
-from tapeledger.operators.bars import BAR_VALUES
+from tapeledger.operators.bars import BAR_VALUES, dedupe_by_key
 
 KEYS = ["symbol", "timestamp"]
 
 
 def accrete(stored: DataFrame, fetched: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Stored rows as they are, plus fetched rows under new keys."""
-    fresh = fetched.join(stored.select(*keys), on=keys, how="left_anti")
+    """Stored rows as they are, plus fetched rows under new keys. Equal repeats of a fetched key count once; a new key
+    whose fetched rows differ is not stored (``duplicate_keys`` and ``dedupe_by_key`` report it)."""
+    fresh, _ = dedupe_by_key(fetched.select(*stored.columns).join(stored.select(*keys), on=keys, how="left_anti"), keys)
     return stored.unionByName(fresh.select(*stored.columns))
 
 

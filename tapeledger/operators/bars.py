@@ -5,6 +5,8 @@ one row per map task and bucket."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +43,12 @@ def roll_up(
     end: Column | None = None,
 ) -> DataFrame:
     """Coarser bars from finer ones. A bucket is kept only when every one of its bars is present and, if a
-    window is given, when the whole bucket lies inside ``[start, end)``. Presence is a bit mask of the slots
-    seen, so repeated rows cannot stand in for a missing slot."""
+    window is given, when the whole bucket lies inside ``[start, end)``. Presence is kept in bit masks of 62 slots
+    each, so repeated rows cannot stand in for a missing slot."""
     slots = to_us // from_us
-    if slots * from_us != to_us or slots > 62:
-        raise ValueError("the target width must be a small whole multiple of the source width")
+    if slots * from_us != to_us:
+        raise ValueError("the target width must be a whole multiple of the source width")
+    lanes = [min(62, slots - first) for first in range(0, slots, 62)]
     offset = F.pmod(epoch_us("timestamp"), F.lit(to_us))
     placed = bars.withColumns({"_bucket": bucket_start("timestamp", to_us), "_slot": (offset / from_us).cast("int")})
     placed = placed.where(F.pmod(epoch_us("timestamp"), F.lit(from_us)) == 0)
@@ -57,9 +60,10 @@ def roll_up(
         F.sum("volume").alias("volume"),
         F.sum("trade_count").cast("bigint").alias("trade_count"),
         F.bool_or("native_traded").alias("native_traded"),
-        F.bit_or(F.expr("shiftleft(1L, _slot)")).alias("_seen"),
+        *(F.bit_or(F.expr(f"case when _slot div 62 = {i} then shiftleft(1L, _slot % 62) else 0L end")).alias(f"_seen{i}") for i in range(len(lanes))),
     )
-    rolled = rolled.where(F.col("_seen") == F.lit((1 << slots) - 1)).drop("_seen").withColumnRenamed("_bucket", "timestamp")
+    whole = reduce(lambda a, b: a & b, [F.col(f"_seen{i}") == F.lit((1 << n) - 1) for i, n in enumerate(lanes)])
+    rolled = rolled.where(whole).drop(*(f"_seen{i}" for i in range(len(lanes)))).withColumnRenamed("_bucket", "timestamp")
     if start is not None:
         rolled = rolled.where(F.col("timestamp") >= start)
     if end is not None:

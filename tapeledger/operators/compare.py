@@ -50,7 +50,8 @@ def simple_returns(bars: DataFrame, keys: list[str] = ["symbol"]) -> DataFrame:
 
 def log_returns(bars: DataFrame, keys: list[str] = ["symbol"]) -> DataFrame:
     along = Window.partitionBy(*keys).orderBy("timestamp")
-    out = bars.select(*keys, "timestamp", (F.ln("close") - F.lag(F.ln("close")).over(along)).alias("ret"))
+    log = F.when(F.col("close") > 0, F.ln("close"))  # a bar without a positive close has no return, and none has the bar after it
+    out = bars.select(*keys, "timestamp", (log - F.lag(log).over(along)).alias("ret"))
     return out.where(F.col("ret").isNotNull())
 
 

@@ -204,9 +204,13 @@ def oos_overlaps(records: DataFrame, ancestors: DataFrame) -> DataFrame:
 
 
 def oos_relabels(records: DataFrame) -> DataFrame:
-    """Out-of-sample records that repeat the configuration family of a record of another stage."""
-    other = records.where("research_stage <> 'out_of_sample'").groupBy("config_family_hash").agg(F.count(F.lit(1)).alias("n_others"), F.min("experiment_id").alias("first_other"))
-    return records.where("research_stage = 'out_of_sample'").select("experiment_id", "config_family_hash").join(other, on="config_family_hash")
+    """Out-of-sample records that repeat the configuration family of a record of another stage that was logged before
+    them (by ``logged_at``, then id): how many, and the smallest id among them. A running count along the log."""
+    other = F.col("research_stage") != "out_of_sample"
+    narrow = records.select("experiment_id", "config_family_hash", "research_stage", "logged_at").where("config_family_hash is not null")
+    seen = with_running(narrow, ["config_family_hash"], ["logged_at", "experiment_id"], time_block("logged_at", DAY_US), {
+        "n_others": ("count", F.when(other, F.lit(1))), "first_other": ("min", F.when(other, F.col("experiment_id")))})
+    return seen.where("research_stage = 'out_of_sample' and n_others > 0").select("experiment_id", "config_family_hash", F.col("n_others").cast("bigint").alias("n_others"), "first_other")
 
 
 def record_warnings(records: DataFrame, overlaps: DataFrame | None = None) -> DataFrame:
@@ -315,7 +319,7 @@ def registry_findings(records: DataFrame, created: DataFrame, schema_version: st
     latest = created.groupBy("experiment_id").agg(F.max_by("record_sha256", "seq").alias("_sha"))
     joined = current.select("experiment_id", "record_sha256").join(latest, on="experiment_id", how="full_outer")
     parents = current.select(F.col("experiment_id").alias("parent_experiment_id"))
-    runs = current.groupBy("exact_hash").agg(F.min("run_seq").alias("_a"), F.max("run_seq").alias("_b"), F.count(F.lit(1)).alias("_n"))
+    runs = current.groupBy("exact_hash").agg(F.min("run_seq").alias("_a"), F.max("run_seq").alias("_b"), F.count(F.lit(1)).alias("_n"), F.count_distinct("run_seq").alias("_d"))
     prefixes = current.groupBy(F.left("exact_hash", F.lit(HASH_PREFIX)).alias("p")).agg(F.min("exact_hash").alias("_a"), F.max("exact_hash").alias("_b"))
     parts = [
         one(records.where(F.col("schema_version") != schema_version), "SCHEMA_VERSION_UNKNOWN", F.col("experiment_id")),
@@ -323,7 +327,7 @@ def registry_findings(records: DataFrame, created: DataFrame, schema_version: st
         one(joined.where("record_sha256 is null"), "MISSING_RECORD", F.col("experiment_id")),
         one(joined.where("record_sha256 <> _sha"), "RECORD_MODIFIED", F.col("experiment_id")),
         one(current.where("parent_experiment_id is not null").join(parents, on="parent_experiment_id", how="left_anti"), "DANGLING_PARENT", F.col("experiment_id")),
-        one(runs.where("_b - _a + 1 <> _n"), "RUN_SEQ_GAP", F.col("exact_hash")),
+        one(runs.where("_b - _a + 1 <> _n or _d <> _n"), "RUN_SEQ_GAP", F.col("exact_hash")),
         one(prefixes.where("_a <> _b"), "PREFIX_COLLISION", F.col("p")),
     ]
     if lineage_rows is not None:

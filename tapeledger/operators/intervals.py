@@ -232,8 +232,8 @@ def reindex_with_null(bars: DataFrame, values: list[str], width_us: int = HOUR_U
     return grid.join(bars.select("symbol", "timestamp", *values), on=["symbol", "timestamp"], how="left")
 
 
-def pivot_wide(bars: DataFrame, value: str, symbols: list[str] | None = None) -> DataFrame:
-    """One column per symbol. Spark refuses more distinct symbols than ``spark.sql.pivotMaxValues``."""
+def pivot_wide(bars: DataFrame, value: str, symbols: list[str]) -> DataFrame:
+    """One column for each of the given symbols."""
     return bars.groupBy("timestamp").pivot("symbol", symbols).agg(F.first(value))
 
 

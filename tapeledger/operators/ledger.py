@@ -99,14 +99,14 @@ def _settings(runs: DataFrame) -> DataFrame:
 
 def stretches(targets: DataFrame, runs: DataFrame) -> DataFrame:
     """Executed rebalances: run_id, symbol, weight, begin (execution bar), until (last bar before the next one).
-    A rebalance whose execution bar has no period after it is not executed."""
+    A rebalance whose execution bar has no period after it is not executed. A missing weight is NaN, never an exit."""
     settings = runs.select("run_id", "first_bar", "last_bar", "lag")
     executed = targets.join(settings, on="run_id").withColumn("begin", F.col("bar") + F.col("lag"))
     executed = executed.where((F.col("bar") >= F.col("first_bar")) & (F.col("begin") < F.col("last_bar")))
     bars = executed.select("run_id", "begin", "last_bar").distinct()
     nxt = F.lead("begin").over(Window.partitionBy("run_id").orderBy("begin"))
     bars = bars.select("run_id", "begin", (F.coalesce(nxt, F.col("last_bar")) - 1).alias("until"), nxt.isNotNull().alias("replaced"))
-    return executed.select("run_id", "begin", "symbol", F.col("weight").cast("double")).join(bars, on=["run_id", "begin"])
+    return executed.select("run_id", "begin", "symbol", F.coalesce(F.col("weight").cast("double"), F.lit(float("nan"))).alias("weight")).join(bars, on=["run_id", "begin"])
 
 
 def sized(stretch: DataFrame, market: DataFrame) -> DataFrame:
@@ -304,12 +304,14 @@ def target_violations(targets: DataFrame, market: DataFrame) -> DataFrame:
 
 def funding_by_bar(events: DataFrame, origin: Column, width_us: int, shift_us: int = 0) -> DataFrame:
     """Funding events per (symbol, bar): an event in ``[T_i, T_i+1)`` belongs to bar i. On a regular grid that is a
-    division, so the range join becomes a plain aggregation."""
+    division, so the range join becomes a plain aggregation. Where an event has no usable price the amount at event
+    prices is NaN: a run that pays such an event is not finite rather than too cheap."""
     bar = F.floor((epoch_us("timestamp") - epoch_us(origin) - F.lit(shift_us)) / F.lit(width_us)).cast("int")
     usable = F.when(finite_positive(F.col("notional_price")), F.col("notional_price"))
     return events.groupBy("symbol", bar.alias("bar")).agg(
         F.count(F.lit(1)).alias("n_events"), F.sum("funding_rate").alias("rate_sum"),
-        F.sum(F.col("funding_rate") * usable).alias("rate_px_sum"), (F.count(F.lit(1)) - F.count(usable)).alias("n_unpriced"),
+        F.when(F.count(usable) == F.count(F.lit(1)), F.sum(F.col("funding_rate") * usable)).otherwise(F.lit(float("nan"))).alias("rate_px_sum"),
+        (F.count(F.lit(1)) - F.count(usable)).alias("n_unpriced"),
     )
 
 

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from tapeledger.session import cut_lineage
 
-MAX_ROUNDS = 48
-
 
 def _links(records: DataFrame) -> DataFrame:
     """Parent links whose target exists; a link to an unknown parent ends the chain."""
@@ -27,39 +25,42 @@ def lineage(records: DataFrame) -> DataFrame:
         "experiment_id", F.col("parent_experiment_id").alias("jump"), F.coalesce("parent_experiment_id", "experiment_id").alias("root"),
         F.when(F.col("parent_experiment_id").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
     )
-    for k in range(MAX_ROUNDS):
-        d = cut_lineage(d, f"lineage-{k}")
-        if d.where("jump is not null").isEmpty() or _longer_than_table(records, k):
+    d, done, before, k = cut_lineage(d, "lineage-0"), None, None, 0
+    while True:
+        ended, active = d.where("jump is null"), d.where("jump is not null")
+        done = ended if done is None else done.unionByName(ended)
+        left = active.count()
+        if left == 0 or left == before:  # some record of every depth ends in a round, unless only cycles are left
             break
-        far = d.select(F.col("experiment_id").alias("jump"), F.col("jump").alias("_jump"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
-        d = d.join(far, on="jump", how="left").select(
+        before, k = left, k + 1
+        far = done.unionByName(active).select(F.col("experiment_id").alias("jump"), F.col("jump").alias("_jump"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
+        d = cut_lineage(active.join(far, on="jump", how="left").select(
             "experiment_id", F.col("_jump").alias("jump"), F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-        )
+        ), f"lineage-{k}")
+    d = done.unionByName(active)
     cyclic = F.col("jump").isNotNull()
     return d.select("experiment_id", F.when(~cyclic, F.col("root")).alias("root_id"), F.when(~cyclic, F.col("depth")).alias("depth"), cyclic.alias("in_cycle"))
 
 
 def _jumps(records: DataFrame) -> list[DataFrame]:
-    """Tables of 2^k-th ancestors, k = 0, 1, ..., until no record has one."""
+    """Tables of 2^k-th ancestors, k = 0, 1, ..., until no record has one. Records whose chain never ends are left
+    out: they have no ancestors here, and ``lineage`` marks them."""
     tables = [cut_lineage(_links(records).select("experiment_id", F.col("parent_experiment_id").alias("ancestor")), "jump-0")]
-    for k in range(1, MAX_ROUNDS):
+    left = tables[0].count()
+    while left:
         last = tables[-1]
         nxt = last.select("experiment_id", F.col("ancestor").alias("_mid")).join(last.select(F.col("experiment_id").alias("_mid"), "ancestor"), on="_mid")
-        nxt = cut_lineage(nxt.select("experiment_id", "ancestor"), f"jump-{k}")
-        if nxt.isEmpty():
-            break
-        if _longer_than_table(records, k):
-            raise ValueError("the parent links of these records form a cycle")
-        tables.append(nxt)
+        nxt = cut_lineage(nxt.select("experiment_id", "ancestor"), f"jump-{len(tables)}")
+        after = nxt.count()
+        if after == left:
+            endless = nxt.select("experiment_id")
+            return [cut_lineage(t.join(endless, on="experiment_id", how="left_anti"), f"jump-ended-{k}") for k, t in enumerate(tables)]
+        if after:
+            tables.append(nxt)
+        left = after
     return tables
 
 
-def _longer_than_table(records: DataFrame, k: int) -> bool:
-    """Whether a chain of 2^k links is longer than the table has records, so that it must repeat one. Short tables
-    pay a few more rounds instead of a count."""
-    return k >= 6 and (1 << k) > records.count()
-
-
 def lineage_of(records: DataFrame, ids: DataFrame) -> DataFrame:
     """Each given id with all its ancestors and itself: origin_id, experiment_id, distance."""
     found = ids.select(F.col("experiment_id").alias("origin_id"), "experiment_id", F.lit(0).cast("bigint").alias("distance"))

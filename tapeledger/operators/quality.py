@@ -35,9 +35,10 @@ class FindingsError(ValueError):
 
 
 def fail_on(findings: DataFrame, severity: str = "error") -> None:
-    first = findings.where(F.col("severity") == severity).limit(5).collect()
+    bad = findings.where(F.col("severity") == severity)
+    first = bad.limit(5).collect()
     if first:
-        raise FindingsError("; ".join(f"{r['code']} {r['symbol']} {r['timestamp']}" for r in first))
+        raise FindingsError(f"{bad.count()} findings: " + "; ".join(f"{r['code']} {r['symbol']} {r['timestamp']}" for r in first))
 
 
 def schema_problems(schema: T.StructType, columns: list[str], types: dict[str, T.DataType], zoned_time: bool = True) -> list[str]:

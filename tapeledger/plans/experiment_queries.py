@@ -111,8 +111,8 @@ def experiment_descendants(spark, sf):
     return lineage.descendant_counts(V.records(spark, sf))
 
 
-@query("oos_relabel", """SELECT o.experiment_id, o.config_family_hash, n_others, first_other FROM records o JOIN (SELECT config_family_hash, count(*) AS n_others, min(experiment_id) AS first_other FROM records
-  WHERE research_stage <> 'out_of_sample' GROUP BY config_family_hash) x USING (config_family_hash) WHERE research_stage = 'out_of_sample'""", ("records",))
+@query("oos_relabel", """SELECT o.experiment_id, o.config_family_hash, count(*) AS n_others, min(x.experiment_id) AS first_other FROM records o JOIN records x ON x.config_family_hash = o.config_family_hash
+  AND x.research_stage <> 'out_of_sample' AND (x.logged_at < o.logged_at OR (x.logged_at = o.logged_at AND x.experiment_id < o.experiment_id)) WHERE o.research_stage = 'out_of_sample' GROUP BY ALL""", ("records",))
 def oos_relabel(spark, sf):
     return X.oos_relabels(V.records(spark, sf))
 
@@ -141,7 +141,8 @@ def oos_overlap(spark, sf):
   CASE WHEN processing_version <> 'v2' THEN 'PROCESSING_VERSION_MISMATCH:' || dataset_id END, CASE WHEN content_hash IS NULL THEN 'CONTENT_HASH_UNAVAILABLE:' || dataset_id END, CASE WHEN artifact_sha IS NULL THEN 'MISSING_ARTIFACT:curve' END,
   CASE WHEN n_ancestors > 0 THEN 'OOS_WINDOW_OVERLAP:' || first_ancestor || ':' || n_ancestors END, CASE WHEN n_space_windows > 0 THEN 'OOS_WINDOW_OVERLAP:search_space:' || n_space_windows END], lambda x: x IS NOT NULL)), 'string_agg', ',') AS warnings
   FROM records r LEFT JOIN ov USING (experiment_id) LEFT JOIN (SELECT experiment_id AS pid, frozen_spec_blob_sha AS spec FROM records) p ON p.pid = r.parent_experiment_id
-  LEFT JOIN (SELECT config_family_hash AS h, count(*) AS n_others, min(experiment_id) AS first_other FROM records WHERE research_stage <> 'out_of_sample' GROUP BY 1) x ON r.research_stage = 'out_of_sample' AND x.h = r.config_family_hash""", ("records",))
+  LEFT JOIN (SELECT o.experiment_id AS h, count(*) AS n_others, min(x.experiment_id) AS first_other FROM records o JOIN records x ON x.config_family_hash = o.config_family_hash
+  AND x.research_stage <> 'out_of_sample' AND (x.logged_at < o.logged_at OR (x.logged_at = o.logged_at AND x.experiment_id < o.experiment_id)) WHERE o.research_stage = 'out_of_sample' GROUP BY 1) x ON x.h = r.experiment_id""", ("records",))
 def record_warnings(spark, sf):
     r = V.records(spark, sf)
     w = X.record_warnings(r, cut_lineage(_overlaps(r), "overlaps"))

@@ -143,7 +143,7 @@ def price_violations(spark, sf):
 
 
 @query("funding_by_period", """SELECT symbol, (floor((epoch_us(timestamp) - epoch_us(TIMESTAMP '2024-01-02')) / 3600000000::DOUBLE))::INT AS bar, count(*) AS n_events, round(sum((px - 50) / 1e6::DOUBLE), 10) AS rate_sum,
-  round(sum(CASE WHEN sz > 0 THEN sz * (px - 50) / 1e6::DOUBLE END), 9) AS rate_px_sum, count(*) FILTER (WHERE NOT sz > 0) AS n_unpriced FROM ticks GROUP BY ALL""", ("ticks",))
+  CASE WHEN count(*) FILTER (WHERE NOT coalesce(sz > 0, false)) > 0 THEN 'NaN'::DOUBLE ELSE round(sum(sz * (px - 50) / 1e6::DOUBLE), 9) END AS rate_px_sum, count(*) FILTER (WHERE NOT coalesce(sz > 0, false)) AS n_unpriced FROM ticks GROUP BY ALL""", ("ticks",))
 def funding_by_period(spark, sf):
     """Hourly periods from the second of January; earlier events fall into negative periods and are not lost."""
     e = V.ticks(spark, sf).select("symbol", "timestamp", ((F.col("px") - 50) / 1e6).alias("funding_rate"), F.col("sz").alias("notional_price"))

@@ -169,10 +169,10 @@ def grid_gaps(spark, sf):
     return intervals.grid_gaps(V.bars_1h(spark, sf))
 
 
-@query("first_grid_gap", f"""WITH p AS (SELECT DISTINCT timestamp FROM bars_1h WHERE symbol = 'error'), m AS (SELECT min(timestamp) AS first_missing FROM ({_EXPECTED.format(src='p')} EXCEPT SELECT timestamp FROM p))
+@query("first_grid_gap", f"""WITH p AS (SELECT DISTINCT timestamp FROM bars_1h), m AS (SELECT min(timestamp) AS first_missing FROM ({_EXPECTED.format(src='p')} EXCEPT SELECT timestamp FROM p))
   SELECT first_missing, (SELECT max(timestamp) FROM p WHERE timestamp < first_missing) AS previous_bar FROM m WHERE first_missing IS NOT NULL""", ("bars_1h",))
 def first_grid_gap(spark, sf):
-    return intervals.first_grid_gap(V.bars_1h(spark, sf).where("symbol = 'error'"))
+    return intervals.first_grid_gap(V.bars_1h(spark, sf))
 
 
 @query("hourly_coverage", """SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-03', INTERVAL 1 HOUR)) AS timestamp EXCEPT
@@ -262,9 +262,9 @@ def returns_simple(spark, sf):
     return compare.simple_returns(priced).select("symbol", "timestamp", F.round("ret", 9).alias("ret"))
 
 
-@query("returns_log", f"SELECT symbol, timestamp, round(ret, 9) AS ret FROM (SELECT symbol, timestamp, ln(close) - lag(ln(close)) OVER w AS ret FROM (SELECT * FROM bars_1h WHERE close > 0) {_W}) WHERE ret IS NOT NULL", ("bars_1h",))
+@query("returns_log", f"SELECT symbol, timestamp, round(ret, 9) AS ret FROM (SELECT symbol, timestamp, l - lag(l) OVER w AS ret FROM (SELECT *, CASE WHEN close > 0 THEN ln(close) END AS l FROM bars_1h) {_W}) WHERE ret IS NOT NULL", ("bars_1h",))
 def returns_log(spark, sf):
-    return compare.log_returns(V.bars_1h(spark, sf).where("close > 0")).select("symbol", "timestamp", F.round("ret", 9).alias("ret"))
+    return compare.log_returns(V.bars_1h(spark, sf)).select("symbol", "timestamp", F.round("ret", 9).alias("ret"))
 
 
 @query("sma_signal", f"""SELECT symbol, timestamp, close, round(sma, 9) AS sma, (close > sma)::DOUBLE AS signal FROM (SELECT *, avg(close) OVER f AS sma, count(*) OVER f AS n FROM bars_1h

@@ -201,10 +201,11 @@ def asof_oracle_price_2min(spark, sf):
 def asof_incremental_equals_full(spark, sf):
     """Three increments that hand on the last quote of each symbol; the result is that of one run."""
     events, quotes = _sides(spark, sf)
-    cuts = [F.lit(t).cast("timestamp_ntz") for t in ("1970-01-01", "2024-01-10", "2024-01-20", "2100-01-01")]
+    cuts = [None, F.lit("2024-01-10").cast("timestamp_ntz"), F.lit("2024-01-20").cast("timestamp_ntz"), None]
     parts, carry = [], None
     for low, high in zip(cuts, cuts[1:]):
-        inside = lambda df: df.where((F.col("timestamp") >= low) & (F.col("timestamp") < high))  # noqa: B023, E731
+        after, before = F.lit(True) if low is None else F.col("timestamp") >= low, F.lit(True) if high is None else F.col("timestamp") < high
+        inside = lambda df: df.where(after & before)  # noqa: B023, E731
         priced, carry = asof.incremental_asof(inside(events), inside(quotes), carry, tolerance_us=30 * MINUTE_US, sequence="quote_id")
         parts.append(priced)
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

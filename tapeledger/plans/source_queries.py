@@ -42,7 +42,17 @@ def candle_conflicts(spark, sf):
 @query("candle_findings", "SELECT symbol, timestamp, 'BAD_CLOSE_TIME' AS code FROM bars_1h WHERE close BETWEEN 70 AND 72", ("bars_1h",))
 def candle_findings(spark, sf):
     _, _, findings = candles.normalise_candles(candle_pages(spark, sf))
-    return findings.where("code = 'BAD_CLOSE_TIME'")
+    return findings
+
+
+@query("page_findings", """SELECT count(*) AS n_pages, 'UNPARSEABLE_PAGE' AS code FROM (SELECT DISTINCT symbol, day FROM (SELECT symbol, timestamp::DATE AS day FROM bars_1h UNION ALL
+  SELECT symbol, timestamp::DATE - 1 FROM bars_1h WHERE hour(timestamp) = 0) WHERE dayofmonth(day) = 13)""", ("bars_1h",))
+def page_findings(spark, sf):
+    """The pages of every thirteenth of a month are cut short; they are reported, the others are not."""
+    pages = candle_pages(spark, sf)
+    cut = F.when(F.dayofmonth("day") == 13, F.expr("left(value, length(value) - 2)")).otherwise(F.col("value"))
+    found = candles.page_findings(pages.withColumn("value", cut))
+    return found.groupBy("code").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
 def kline_lines(spark, sf):
@@ -131,5 +141,5 @@ def size_estimate(spark, sf):
     """A file per symbol and day; the trades of a bar stand for its bytes."""
     f = V.bars_1h(spark, sf).groupBy("symbol", F.to_date("timestamp").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("trade_count").alias("bytes"))
     per_row = f.agg((F.sum("bytes") / F.sum("n")).alias("b")).scalar()
-    d = kline.size_estimate(f, per_row)
+    d = kline.size_estimate(f, per_row, limit_gb=5.0)
     return d.withColumns({c: F.round(c, 12) for c in ("zip_gb", "parquet_gb")})

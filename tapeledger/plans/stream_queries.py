@@ -51,10 +51,39 @@ def stream_asof(spark, sf):
     return spark.read.schema("symbol string, timestamp timestamp_ntz, trade_id bigint, oracle_price double, quote_time timestamp_ntz").parquet(f"{out}/data").select("symbol", "timestamp", "trade_id", "oracle_price", "quote_time")
 
 
-@query("stream_accrete", "SELECT symbol, timestamp, trade_id, px FROM ticks", ("ticks",))
-def stream_accrete(spark, sf):
-    """Every tick arrives; the archive keeps each key once."""
+def _shuffled_files(spark, sf, n=3):
+    """The ticks in a few files without any order of time, one file a batch. A copy of every tenth tick comes in
+    another file, every fiftieth with another price; every seventieth comes twice in one file with two prices."""
+    t = V.ticks(spark, sf).select("symbol", "timestamp", "trade_id", "px")
+    at = F.pmod("trade_id", F.lit(n))
+    copies = F.array(
+        F.struct(at.alias("file"), F.lit(0.0).alias("off")),
+        F.when(F.col("trade_id") % 10 == 0, F.struct(F.pmod(at + 1, F.lit(n)).alias("file"), F.when(F.col("trade_id") % 50 == 0, 1.0).otherwise(0.0).alias("off"))),
+        F.when(F.col("trade_id") % 70 == 3, F.struct(at.alias("file"), F.lit(2.0).alias("off"))))
+    rows = t.withColumn("c", F.explode(F.array_compact(copies))).select("symbol", "timestamp", "trade_id", (F.col("px") + F.col("c.off")).alias("px"), "c.file")
+    path = scratch_path(spark, "stream-files")
+    for i in range(n):
+        rows.where(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(path)
+    schema = "symbol string, timestamp timestamp_ntz, trade_id bigint, px double"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path), schema
+
+
+def _accreted(spark, sf):
     out = scratch_path(spark, "stream-accrete")
-    rows = tick_stream(spark, sf).select("symbol", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "trade_id", "px")
-    tape.accrete_stream(rows, f"{out}/data", f"{out}/conflicts", f"{out}/checkpoint").awaitTermination()
-    return spark.read.schema("symbol string, timestamp timestamp_ntz, trade_id bigint, px double").parquet(f"{out}/data").select("symbol", "timestamp", "trade_id", "px")
+    rows, schema = _shuffled_files(spark, sf)
+    tape.accrete_stream(rows, f"{out}/data", f"{out}/conflicts", f"{out}/checkpoint", ["symbol", "timestamp", "trade_id"]).awaitTermination()
+    return out, schema
+
+
+@query("stream_accrete", "SELECT symbol, timestamp, trade_id FROM ticks WHERE trade_id % 70 <> 3", ("ticks",))
+def stream_accrete(spark, sf):
+    """Three batches in shuffled order; the archive keeps each key once, and none whose rows differ in its batch."""
+    out, schema = _accreted(spark, sf)
+    return spark.read.schema(schema).parquet(f"{out}/data").select("symbol", "timestamp", "trade_id")
+
+
+@query("stream_accrete_conflicts", "SELECT symbol, timestamp, trade_id, CASE WHEN trade_id % 70 = 3 THEN 'batch' ELSE 'stored' END AS kind FROM ticks WHERE trade_id % 70 = 3 OR trade_id % 50 = 0", ("ticks",))
+def stream_accrete_conflicts(spark, sf):
+    """What the archive refused: keys with two values in one batch, and stored keys that came back with another value."""
+    out, schema = _accreted(spark, sf)
+    return spark.read.schema("symbol string, timestamp timestamp_ntz, trade_id bigint, kind string").parquet(f"{out}/conflicts").select("symbol", "timestamp", "trade_id", "kind")

@@ -82,8 +82,8 @@ def crossvenue_high_vol(spark, sf):
     return _rounded(compare.return_statistics(compare.high_volatility(pairs(spark, sf))), _STAT_COLS)
 
 
-_LAGGED = """WITH la AS (SELECT symbol, timestamp, ln(close) - lag(ln(close)) OVER w AS ra FROM bars_1h_venue WHERE venue = 'A' AND close > 0 WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)),
-  lb AS (SELECT symbol, timestamp, ln(close) - lag(ln(close)) OVER w AS rb FROM bars_1h_venue WHERE venue = 'B' AND close > 0 WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)),
+_LAGGED = """WITH la AS (SELECT symbol, timestamp, l - lag(l) OVER w AS ra FROM (SELECT *, CASE WHEN close > 0 THEN ln(close) END AS l FROM bars_1h_venue WHERE venue = 'A') WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)),
+  lb AS (SELECT symbol, timestamp, l - lag(l) OVER w AS rb FROM (SELECT *, CASE WHEN close > 0 THEN ln(close) END AS l FROM bars_1h_venue WHERE venue = 'B') WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)),
   al AS (SELECT la.symbol, la.timestamp, ra, rb FROM la JOIN lb ON la.symbol = lb.symbol AND la.timestamp = lb.timestamp WHERE ra IS NOT NULL AND rb IS NOT NULL),
   sh AS (SELECT symbol, ra, lag(rb, 2) OVER w AS p2, lag(rb, 1) OVER w AS p1, rb AS z, lead(rb, 1) OVER w AS m1, lead(rb, 2) OVER w AS m2 FROM al WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)),
   rho AS (SELECT symbol, -2 AS lag, corr(ra, m2) AS rho FROM sh GROUP BY symbol UNION ALL SELECT symbol, -1, corr(ra, m1) FROM sh GROUP BY symbol UNION ALL SELECT symbol, 0, corr(ra, z) FROM sh GROUP BY symbol
@@ -91,7 +91,7 @@ _LAGGED = """WITH la AS (SELECT symbol, timestamp, ln(close) - lag(ln(close)) OV
 
 
 def _rho(spark, sf):
-    return compare.lagged_correlation(V.venue_bars(spark, sf, "A").where("close > 0"), V.venue_bars(spark, sf, "B").where("close > 0"))
+    return compare.lagged_correlation(V.venue_bars(spark, sf, "A"), V.venue_bars(spark, sf, "B"))
 
 
 @query("lagged_corr", _LAGGED + " SELECT symbol, lag, round(rho, 9) AS rho FROM rho", ("bars_1h_venue",))

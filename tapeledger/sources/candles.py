@@ -24,6 +24,14 @@ def write_pages(pages: DataFrame, path: str) -> None:
     pages.select("value").write.option("compression", "gzip").mode("errorifexists").text(path)
 
 
+def page_findings(pages: DataFrame, ddl: str = CANDLE_DDL) -> DataFrame:
+    """Pages that are no JSON array of the given kind. Their rows are in no table; the digest names the page."""
+    whole = F.from_json("value", "array<string>")
+    parsed = F.from_json(F.regexp_replace("value", r'"T"\s*:', '"close_ms":'), ddl.replace("T:bigint", "close_ms:bigint"))
+    broken = whole.isNull() | parsed.isNull() | F.exists(F.coalesce(parsed, F.array()), lambda x: x.isNull())
+    return pages.where(broken).select(F.sha2("value", 256).alias("page"), F.length("value").cast("bigint").alias("n_chars"), F.lit("UNPARSEABLE_PAGE").alias("code"))
+
+
 def parse_candles(pages: DataFrame) -> DataFrame:
     """Candles of all pages with times and numbers cast; repeated candles of overlapping pages are still there."""
     # Spark field names ignore case by default, so t and T are told apart by renaming one in the text
@@ -46,11 +54,13 @@ def candle_findings(candles: DataFrame) -> DataFrame:
 
 
 def normalise_candles(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(bars, conflicts, findings): pages are merged, equal repeats collapse, unequal repeats are conflicts."""
+    """(bars, conflicts, findings): pages are merged, equal repeats collapse, unequal repeats are conflicts. A page that
+    does not parse is a finding without symbol and time."""
     candles = parse_candles(pages)
     values = ["open", "high", "low", "close", "volume", "trade_count", "native_traded"]
     bars, conflicts = dedupe_by_key(candles.select("symbol", "timestamp", *values), ["symbol", "timestamp"], values)
-    return bars, conflicts, candle_findings(candles).distinct()
+    unread = page_findings(pages).select(F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("timestamp_ntz").alias("timestamp"), "code")
+    return bars, conflicts, candle_findings(candles).distinct().unionByName(unread)
 
 
 def parse_funding(pages: DataFrame) -> DataFrame:

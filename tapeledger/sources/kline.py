@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,23 +22,35 @@ KLINE_COLUMNS = ["open_time", "open", "high", "low", "close", "volume", "close_t
 FIELDS_NEEDED = 11
 ROWS_PER_MONTH = 730
 PARQUET_PER_ZIP_BYTE = 49.2 / 52.3
-LIMIT_GB = 5.0
 
-_LINE_DDL = "file string, line_no bigint, line string"
+_LINE_DDL = "file string, line_no bigint, line string, error string"
+_LINES_AT_ONCE = 50_000
 
 
 def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(name: str, first: int, lines: list[str]) -> pd.DataFrame:
+        return pd.DataFrame({"file": name, "line_no": range(first, first + len(lines)), "line": lines, "error": None})
+
     for batch in batches:
         for name, content in zip(batch["file"], batch["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                inner = name.rsplit("/", 1)[-1].removesuffix(".zip") + ".csv"
-                names = z.namelist()
-                if inner not in names:
-                    if len(names) != 1:
-                        raise ValueError(f"unexpected members of {name}: {names}")
-                    inner = names[0]
-                lines = z.read(inner).decode("utf-8").splitlines()
-            yield pd.DataFrame({"file": name, "line_no": range(len(lines)), "line": lines})
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    inner = name.rsplit("/", 1)[-1].removesuffix(".zip") + ".csv"
+                    names = z.namelist()
+                    if inner not in names and len(names) != 1:
+                        raise ValueError("UNEXPECTED_MEMBERS")
+                    z.testzip()  # a damaged member is found before any of its lines is given out
+                    with io.TextIOWrapper(z.open(inner if inner in names else names[0]), "utf-8", newline=None) as text:
+                        first, lines = 0, []
+                        for line in text:
+                            lines.append(line.rstrip("\n"))
+                            if len(lines) == _LINES_AT_ONCE:
+                                yield rows(name, first, lines)
+                                first, lines = first + len(lines), []
+                        yield rows(name, first, lines)
+            except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, UnicodeDecodeError, ValueError) as e:
+                code = str(e) if str(e) == "UNEXPECTED_MEMBERS" else "UNREADABLE_ARCHIVE"
+                yield pd.DataFrame({"file": [name], "line_no": [None], "line": [None], "error": [code]}).astype({"line_no": "Int64"})
 
 
 def read_archives(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
@@ -52,7 +65,13 @@ def read_sidecars(spark: SparkSession, path: str, pattern: str = "*.CHECKSUM") -
 
 
 def archive_lines(archives: DataFrame) -> DataFrame:
-    return archives.select("file", "content").mapInPandas(_unzip, _LINE_DDL)
+    """The lines of every archive that can be read; ``archive_findings`` names the others."""
+    return archives.select("file", "content").mapInPandas(_unzip, _LINE_DDL).where("error is null").drop("error")
+
+
+def archive_findings(archives: DataFrame) -> DataFrame:
+    """(file, code) for archives that are damaged or hold other members than expected. The job goes on."""
+    return archives.select("file", "content").mapInPandas(_unzip, _LINE_DDL).where("error is not null").select("file", F.col("error").alias("code")).distinct()
 
 
 def checksum_audit(archives: DataFrame, sidecars: DataFrame) -> DataFrame:
@@ -107,14 +126,15 @@ def file_manifest(rows: DataFrame) -> DataFrame:
     return rows.where("error is null").groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"))
 
 
-def size_estimate(files: DataFrame, bytes_per_row: F.Column, rows_per_file: int = ROWS_PER_MONTH, limit_gb: float = LIMIT_GB) -> DataFrame:
-    """Expected rows and gigabytes of an ingest from the listing alone, and whether it stays under the limit."""
+def size_estimate(files: DataFrame, bytes_per_row: F.Column, rows_per_file: int = ROWS_PER_MONTH, limit_gb: float | None = None) -> DataFrame:
+    """Expected rows and gigabytes of an ingest from the listing alone, and whether it stays under ``limit_gb``
+    (always, if there is none)."""
     n = F.count(F.lit(1))
     rows = n * F.lit(rows_per_file)
     out = files.agg(n.alias("n_files"), rows.alias("n_rows"))
     zipped = F.col("n_rows") * bytes_per_row / 1e9
     out = out.withColumn("zip_gb", zipped).withColumn("parquet_gb", F.col("zip_gb") * PARQUET_PER_ZIP_BYTE)
-    return out.withColumn("within_limit", F.col("parquet_gb") <= limit_gb)
+    return out.withColumn("within_limit", F.lit(True) if limit_gb is None else F.col("parquet_gb") <= limit_gb)
 
 
 def require_within_limit(estimate: DataFrame) -> None:

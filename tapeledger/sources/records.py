@@ -60,6 +60,12 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     }).drop("payload")
 
 
+def history_line_findings(history: DataFrame) -> DataFrame:
+    """Log lines that are not empty and gave no event; the digest names the line."""
+    unread = F.col("event").isNull() & F.col("experiment_id").isNull() & (F.trim("line") != "")
+    return history.where(unread).select(F.sha2("line", 256).alias("line_sha256"), F.lit("UNPARSEABLE_LINE").alias("code"))
+
+
 def created_events(history: DataFrame) -> DataFrame:
     return history.where(F.col("event").isin("created", "created_backfilled")).select("experiment_id", "record_sha256", "seq")
 

@@ -5,14 +5,15 @@ checkpoint and writes files, so it can be stopped, lose executors and go on."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tapeledger.functions.timegrid import moment
-from tapeledger.operators.accrete import conflicts
+from tapeledger.operators.accrete import KEYS
 from tapeledger.operators.asof import PRICE_TOLERANCE_US, incremental_asof
-from tapeledger.operators.bars import native_traded
+from tapeledger.operators.bars import dedupe_by_key, native_traded
+from tapeledger.session import cut_lineage
 
 
 def closed_bars(ticks: DataFrame, delay: str = "10 minutes", width: str = "1 hour") -> DataFrame:
@@ -34,11 +35,6 @@ def append_to(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _batches_before(spark: SparkSession, path: str, batch: int, schema) -> DataFrame:
-    """Rows that earlier batches wrote; ``batch`` is a directory level, so only the listing grows."""
-    return spark.read.schema(f"{schema}, batch bigint").parquet(path).where(F.col("batch") < batch).drop("batch")
-
-
 def asof_prices(stream: DataFrame, split, out: str, carry: str, checkpoint: str, tolerance_us: int = PRICE_TOLERANCE_US, sequence: str | None = None) -> StreamingQuery:
     """As-of prices batch by batch. ``split`` turns a batch into (events, quotes). The last quote of every symbol is
     carried to the next batch in a small table, one version per batch; a batch that is run again reads the
@@ -56,22 +52,28 @@ def asof_prices(stream: DataFrame, split, out: str, carry: str, checkpoint: str,
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def accrete_stream(stream: DataFrame, out: str, conflict_log: str, checkpoint: str) -> StreamingQuery:
-    """The accreting archive fed by a stream of bars: rows under new keys are appended, stored rows stay, and keys
-    that came back with other values are logged. Within a batch equal repeats collapse. Nothing is rewritten."""
+def accrete_stream(stream: DataFrame, out: str, conflict_log: str, checkpoint: str, keys: list[str] = KEYS) -> StreamingQuery:
+    """The accreting archive fed by a stream: rows under new keys are appended, stored rows stay.
+
+    Logged, and not stored: keys that came back with other values (``kind=stored``: the key, old and new values) and
+    keys whose rows differ within one batch (``kind=batch``: the key and ``n_rows``). Equal repeats collapse. The
+    archive is laid out by day, and a batch reads the days it touches, once. Nothing is rewritten; a batch that is
+    run again overwrites its own files."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates()
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema.fields)
-        if batch_id == 0:
-            rows.write.mode("overwrite").parquet(f"{out}/batch=0")
-            return
-        stored = _batches_before(spark, out, batch_id, schema)
-        conflicts(stored, rows).write.mode("overwrite").parquet(f"{conflict_log}/batch={batch_id}")
-        fresh = rows.join(stored.select("symbol", "timestamp"), on=["symbol", "timestamp"], how="left_anti")
-        fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        values = [c for c in batch.columns if c not in keys]
+        rows, unequal = dedupe_by_key(batch, keys, values)
+        unequal.write.mode("overwrite").parquet(f"{conflict_log}/kind=batch/batch={batch_id}")
+        rows = cut_lineage(rows.select(*batch.columns).withColumn("day", F.to_date("timestamp")), "accrete-batch")
+        if batch_id > 0:
+            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema.fields)
+            days = [r["day"] for r in rows.select("day").distinct().collect()]  # as many as the batch spans
+            stored = spark.read.schema(f"{schema}, batch bigint, day date").parquet(out).where((F.col("batch") < batch_id) & F.col("day").isin(days))
+            old = stored.select(*keys, F.struct(*values).alias("old"))
+            both = cut_lineage(rows.withColumn("new", F.struct(*values)).join(old, on=keys, how="left"), "accrete-both")
+            both.where(F.col("old").isNotNull() & ~F.col("old").eqNullSafe(F.col("new"))).select(*keys, "old", "new").write.mode("overwrite").parquet(f"{conflict_log}/kind=stored/batch={batch_id}")
+            rows = both.where("old is null").select(*batch.columns, "day")
+        rows.write.mode("overwrite").partitionBy("day").parquet(f"{out}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-

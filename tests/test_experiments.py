@@ -31,12 +31,13 @@ def test_counts_in_a_tree(spark):
     assert got == {"a": (2, 4), "b": (1, 2), "c": (0, 0), "d": (1, 1), "e": (0, 0), "x": (0, 0), "y": (0, 0)}
 
 
-def test_cycles_are_marked_and_refused(spark):
+def test_cycles_are_marked_and_left_out(spark):
     r = tree(spark, {"a": "c", "b": "a", "c": "b", "d": "c", "ok": None, "kid": "ok"})
     got = {x.experiment_id: x.in_cycle for x in G.lineage(r).collect()}
     assert got == {"a": True, "b": True, "c": True, "d": True, "ok": False, "kid": False}
-    with pytest.raises(ValueError, match="cycle"):
-        G.lineage_of(r, spark.createDataFrame([("a",)], "experiment_id string"))
+    asked = spark.createDataFrame([("a",), ("kid",)], "experiment_id string")
+    assert rows(G.lineage_of(r, asked), "origin_id", "distance") == [("a", "a", 0), ("kid", "kid", 0), ("kid", "ok", 1)]
+    assert {x.experiment_id: x.n_descendants for x in G.descendant_counts(r).collect()} == {"a": 0, "b": 0, "c": 0, "d": 0, "ok": 1, "kid": 0}
 
 
 def base(spark, items):

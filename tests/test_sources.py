@@ -50,10 +50,10 @@ def test_archives(spark, tmp_path, mapping):
     assert hours == [1, 2, 3, 5, 6] and b.first().symbol == "BTC"  # untraded start dropped, hour 4 is a conflict
     assert [r.n_rows for r in conflicts.collect()] == [2] and findings.count() == 0
     assert sorted(r.n_rows for r in kline.file_manifest(parsed).collect()) == [1, 2, 2, 4]
-    e = kline.size_estimate(a, F.lit(50.0)).first()
+    e = kline.size_estimate(a, F.lit(50.0), limit_gb=5.0).first()
     assert (e.n_files, e.n_rows, e.within_limit) == (4, 2920, True)
     with pytest.raises(ValueError):
-        kline.require_within_limit(kline.size_estimate(a, F.lit(1e9)))
+        kline.require_within_limit(kline.size_estimate(a, F.lit(1e9), limit_gb=5.0))
 
 
 def test_lines_that_cannot_be_used(spark, mapping):

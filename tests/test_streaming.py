@@ -60,9 +60,10 @@ def test_asof_over_batches(spark, feed):
 def test_accretion_over_batches(spark, tmp_path):
     schema = "symbol string, timestamp timestamp_ntz, open double, high double, low double, close double, volume double, trade_count bigint, native_traded boolean"
     row = lambda n, c: ("X", dt.datetime(2024, 1, 1) + dt.timedelta(hours=n), c, c, c, c, 1.0, 1, True)
-    for part in ([row(0, 1.0), row(1, 1.0)], [row(1, 1.0), row(2, 2.0)], [row(2, 9.0), row(3, 3.0)]):
+    for part in ([row(0, 1.0), row(1, 1.0)], [row(1, 1.0), row(2, 2.0)], [row(2, 9.0), row(3, 3.0), row(4, 1.0), row(4, 2.0)]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     tape.accrete_stream(stream, f"{tmp_path}/out", f"{tmp_path}/conflicts", f"{tmp_path}/cp").awaitTermination()
     assert [r.close for r in spark.read.parquet(f"{tmp_path}/out").orderBy("timestamp").collect()] == [1.0, 1.0, 2.0, 3.0]
-    assert [(r.old.close, r.new.close) for r in spark.read.parquet(f"{tmp_path}/conflicts").collect()] == [(2.0, 9.0)]
+    assert [(r.old.close, r.new.close) for r in spark.read.parquet(f"{tmp_path}/conflicts/kind=stored").collect()] == [(2.0, 9.0)]
+    assert [r.n_rows for r in spark.read.parquet(f"{tmp_path}/conflicts/kind=batch").collect()] == [2]
