@@ -284,10 +284,10 @@ def _block_links(documents: DataFrame, blocks: DataFrame, size: int, percent: in
     return cut_lineage(tiles.groupBy("block", "i", "j").applyInPandas(compare, "a long, b long").distinct(), "ngram_block_links")
 
 
-def _mixed_lists(lists: DataFrame, links: DataFrame, blocks: DataFrame | None, turn: int) -> tuple[DataFrame, float]:
+def _mixed_lists(lists: DataFrame, links: DataFrame, blocks: DataFrame | None) -> tuple[DataFrame, float]:
     """The lists whose documents are not all of one component, or of one block already compared.
 
-    ``(token, doc_id, component, blocks, pairs, centre)``, ``pairs`` those left to compare in the
+    ``(token, doc_id, component, blocks, pairs)``, ``pairs`` those left to compare in the
     list (of blocks the last one counts), and the sum of these over all lists. ``blocks(doc_id, blocks)`` has at most ``BLOCK_TURNS`` blocks a document.
     """
     named = connected_components(links.toDF("u", "v"), "ngram_components")
@@ -295,13 +295,13 @@ def _mixed_lists(lists: DataFrame, links: DataFrame, blocks: DataFrame | None, t
     nothing = F.array().cast("array<long>")
     parts = parts.join(blocks, "doc_id", "left").withColumn("blocks", F.coalesce("blocks", nothing)) if blocks is not None else parts.withColumn("blocks", nothing)
     parts = cut_lineage(parts, "ngram_parts")
-    groups = parts.groupBy("token", "component").agg(F.count("*").alias("n"), F.max_by("doc_id", F.xxhash64("doc_id", F.lit(turn))).alias("centre"))
-    mixed = groups.groupBy("token").agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"), F.max_by("centre", F.col("n")).alias("centre")).filter("k > 1")
+    groups = parts.groupBy("token", "component").agg(F.count("*").alias("n"))
+    mixed = groups.groupBy("token").agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own")).filter("k > 1")
     square = F.sum(F.col("n") * F.col("n"))
     inside = parts.filter(F.size("blocks") > 0).groupBy("token", F.element_at("blocks", -1).alias("block"), "component").agg(F.count("*").alias("n"))
     inside = inside.groupBy("token", "block").agg(F.sum("n").alias("n"), square.alias("both")).groupBy("token").agg((square - F.sum("both")).alias("done"))
     mixed = mixed.join(inside, "token", "left").withColumn("pairs", (F.col("all") * F.col("all") - F.col("own") - F.coalesce("done", F.lit(0))) / 2).filter("pairs > 0")
-    mixed = cut_lineage(mixed.select("token", "pairs", "centre"), "ngram_mixed")
+    mixed = cut_lineage(mixed.select("token", "pairs"), "ngram_mixed")
     rest = cut_lineage(parts.join(mixed, "token"), "ngram_rest")
     return rest, mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
 
@@ -331,19 +331,14 @@ def ngram_links(documents: DataFrame, size: int = SIZE, percent: int = PERCENT)
 
     same = classes.filter("class_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).filter("a <> b")
     links = classes.join(same.select("doc_id", "a"), "doc_id").select("a", F.col("class_id").alias("b")).filter("a <> b").distinct()
-    rest, before, turn = lists, None, 0
-    while not rest.isEmpty():
-        turn += 1
-        stars = rest.filter("doc_id <> centre").groupBy("doc_id", "centre").agg(F.count("*").alias("n"))
+    rest, blocks = lists, None
+    if not lists.isEmpty():
+        stars = lists.filter("doc_id <> centre").groupBy("doc_id", "centre").agg(F.count("*").alias("n"))
         best = stars.groupBy("doc_id").agg(F.max(F.struct("n", "centre")).alias("best"))
         hoped = best.select(F.least("doc_id", "best.centre").alias("a"), F.greatest("doc_id", "best.centre").alias("b"), "best.n")
         links = links.unionByName(_verified(documents, _possible(hoped, sizes, percent), size, percent))
-        rest, pairs = _mixed_lists(lists, links, None, turn)
-        if pairs <= 4 * rest.count() or (before is not None and pairs > 0.8 * before):
-            break
-        before = pairs
-    blocks = None
-    for turn in range(BLOCK_TURNS if turn else 0):
+        rest, _ = _mixed_lists(lists, links, None)
+    for _ in range(BLOCK_TURNS):
         heavy = rest.filter(F.col("pairs") > HEAVY)
         if heavy.isEmpty():
             break
@@ -355,7 +350,7 @@ def ngram_links(documents: DataFrame, size: int = SIZE, percent: int = PERCENT)
         links = links.unionByName(_block_links(documents, chosen, size, percent))
         added = chosen.select("doc_id", F.array("block").alias("blocks"))
         blocks = added if blocks is None else cut_lineage(blocks.unionByName(added).groupBy("doc_id").agg(F.flatten(F.collect_list("blocks")).alias("blocks")), "ngram_all_blocks")
-        rest, pairs = _mixed_lists(lists, links, blocks, turn)
+        rest, pairs = _mixed_lists(rest, links, blocks)
         if pairs <= 4 * rest.count():
             break
     if not rest.isEmpty():
