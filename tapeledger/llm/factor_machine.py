@@ -82,6 +82,12 @@ def features(texts: pa.Array, word_bins: int = WORD_BINS) -> tuple[np.ndarray, n
     return all_rows[keep][order], all_bins[keep][order], all_values[keep][order]
 
 
+def features_in_parts(texts: pa.Array, word_bins: int = WORD_BINS, rows: int = 250) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``features`` of many texts, a few at a time, so that only the sparse result is held whole."""
+    parts = [features(texts.slice(at, rows), word_bins) for at in range(0, len(texts), rows)] or [features(texts, word_bins)]
+    return (np.concatenate([p[0] + rows * i for i, p in enumerate(parts)]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
+
+
 @dataclass
 class Machine:
     bias: float
@@ -117,7 +123,7 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 25, rate: float = 0.1
         return Machine(float(np.log(share / (1 - share))), np.zeros(N_FEATURES), np.zeros((N_FEATURES, FACTORS)))
     share = y.mean()
     importance = np.where(y == 1, 1.0, np.sqrt(share / (1 - share)))
-    row, bin_, value = features(texts)
+    row, bin_, value = features_in_parts(texts)
     start = np.searchsorted(row, np.arange(len(y) + 1))
     g_w, g_v, g_b = np.full(N_FEATURES, 1e-2), np.full((N_FEATURES, FACTORS), 1e-2), 1e-2
     for epoch in range(epochs):

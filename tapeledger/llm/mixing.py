@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeledger.llm.batches import bound_batches, slices, texts_of
-from tapeledger.llm.factor_machine import N_STATS, features
+from tapeledger.llm.factor_machine import N_STATS, features, features_in_parts
 from tapeledger.llm.words import word_codes
 from tapeledger.session import cut_lineage
 
@@ -41,7 +41,7 @@ class DomainModel:
     weight: np.ndarray
 
     def matrix(self, texts: pa.Array) -> np.ndarray:
-        row, bin_, value = features(texts, WORD_BINS)
+        row, bin_, value = features_in_parts(texts, WORD_BINS) if len(texts) > 2000 else features(texts, WORD_BINS)
         at = self.column[bin_]
         used = at >= 0
         x = np.zeros((len(texts), len(self.weight)))
@@ -70,7 +70,7 @@ def fit_domains(texts: pa.Array, labels: np.ndarray, domains: list[str], words:
     bias = np.log((seen + 0.1) / (seen.sum() + 0.1 * k)) if k else np.zeros(0)
     if not n:
         return DomainModel(domains, bias, column, np.zeros((N_STATS, k)))
-    row, bin_, _ = features(texts, WORD_BINS)
+    row, bin_, _ = features_in_parts(texts, WORD_BINS)
     row, bin_ = row[bin_ >= N_STATS], bin_[bin_ >= N_STATS]
     row, bin_ = np.divmod(np.unique(row * len(column) + bin_), len(column))
     total = np.bincount(bin_, minlength=len(column))
