@@ -34,6 +34,7 @@ def table_digest(df: DataFrame, columns: list[str], group: list[str]) -> DataFra
 
 
 def config_hash(fields: dict[str, Column]) -> Column:
-    """Hash of named settings; names are sorted, so the order of the mapping does not matter."""
-    pairs = [F.concat(F.lit(f"{name}="), F.coalesce(col.cast("string"), F.lit("null"))) for name, col in sorted(fields.items())]
-    return F.sha2(F.concat_ws("|", *pairs), 256)
+    """Hash of named settings as JSON text: names are sorted, values are quoted text, a missing one is null, so no two
+    different settings share a text."""
+    settings = F.struct(*[col.cast("string").alias(name) for name, col in sorted(fields.items())])
+    return F.sha2(F.to_json(settings, {"ignoreNullFields": "false"}), 256)

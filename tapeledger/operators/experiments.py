@@ -58,6 +58,14 @@ def tags_and_notes(records: DataFrame, events: DataFrame) -> DataFrame:
     return tags.select("experiment_id", F.lit("tag").alias("kind"), F.lit(None).cast("bigint").alias("seq"), "text").unionByName(notes.select("experiment_id", F.lit("note").alias("kind"), "seq", "text"))
 
 
+def with_annotation_tags(folded: DataFrame, events: DataFrame) -> DataFrame:
+    """Records with the tags of later annotations among their ``tags``; each tag once."""
+    added = events.where("event = 'annotation'").select("experiment_id", F.explode("tags_added").alias("tag")).distinct().groupBy("experiment_id").agg(F.collect_list("tag").alias("_added"))
+    nothing = F.array().cast("array<string>")
+    tags = F.array_distinct(F.concat(F.coalesce("tags", nothing), F.coalesce("_added", nothing)))
+    return folded.join(added, on="experiment_id", how="left").withColumn("tags", tags).drop("_added")
+
+
 def all_artifacts(records: DataFrame, events: DataFrame) -> DataFrame:
     made = records.select("experiment_id", F.explode("artifacts").alias("a")).select("experiment_id", "a.name", "a.path", "a.sha256")
     return made.unionByName(events.where("event = 'artifact_added'").select("experiment_id", F.col("artifact.name"), F.col("artifact.path"), F.col("artifact.sha256")))
@@ -110,12 +118,13 @@ def _result_fields(metrics: str = "metrics") -> Column:
 def reproducibility(folded: DataFrame) -> DataFrame:
     """Compare each rerun with the first run of its exact hash: UNIQUE, NOT_COMPARABLE, REPRODUCED or DIVERGED,
     with the names of the fields that differ."""
-    cols = ["n_periods", "rebalance_count", "ruined", "metrics"]
+    cols = ["n_periods", "rebalance_count", "ruined", "result_warnings", "metrics"]
+    folded = folded.withColumn("result_warnings", F.array_sort("result_warnings"))
     base = folded.where("run_seq = 0").select("exact_hash", F.struct("folded_status", *cols).alias("_b"))
     d = folded.join(base, on="exact_hash", how="left")
     names = F.array_sort(F.array_distinct(F.concat(F.coalesce(F.map_keys("metrics"), F.array()), F.coalesce(F.map_keys("_b.metrics"), F.array()))))
     diff_metrics = F.transform(F.filter(names, lambda k: ~F.col("metrics")[k].eqNullSafe(F.col("_b.metrics")[k]) | (F.map_contains_key("metrics", k) != F.map_contains_key("_b.metrics", k))), lambda k: F.concat(F.lit("metrics."), k))
-    diff_plain = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_b.{c}")), F.lit(c)) for c in cols[:3]]))
+    diff_plain = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_b.{c}")), F.lit(c)) for c in cols[:4]]))
     differing = F.array_sort(F.concat(diff_plain, diff_metrics))
     comparable = (F.col("folded_status") == "COMPLETED") & (F.col("_b.folded_status") == "COMPLETED") & F.col("metrics").isNotNull() & F.col("_b.metrics").isNotNull()
     status = F.when(F.col("run_seq") == 0, "UNIQUE").when(F.col("_b").isNull(), "BASELINE_MISSING").when(~F.coalesce(comparable, F.lit(False)), "NOT_COMPARABLE")

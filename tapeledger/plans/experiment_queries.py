@@ -84,6 +84,14 @@ def find_by_warning(spark, sf):
     return found.select("experiment_id", "folded_status")
 
 
+@query("find_by_annotation_tag", "SELECT experiment_id FROM records WHERE key % 7 = 0", ("records",))
+def find_by_annotation_tag(spark, sf):
+    """A tag that was not given at creation but added by an annotation."""
+    r = V.records(spark, sf)
+    notes = r.where("bigint(substring(experiment_id, 2)) % 7 = 0").select("experiment_id", F.lit("annotation").alias("event"), F.array(F.lit("late"), F.lit("late")).alias("tags_added"))
+    return X.find_experiments(X.with_annotation_tags(folded(spark, sf), notes), tag="late").select("experiment_id")
+
+
 @query("experiment_table", """SELECT experiment_id, created_at, folded_status AS status, experiment_type, strategy_name, recorded_via, ever_failed::BIGINT + ever_invalid::BIGINT + ever_rejected::BIGINT + ruined::BIGINT AS n_warnings
   FROM folded ORDER BY created_at, experiment_id""", ("folded",))
 def experiment_table(spark, sf):
@@ -283,9 +291,14 @@ def hash_chain_check(spark, sf):
     return X.chain_breaks(cut_lineage(forged.select("seq", "line", "prev_line_sha256"), "log"))
 
 
-@query("config_hashes", """SELECT key, sha256(s) AS semantic_hash, sha256(f) AS config_family_hash, sha256('dirty_worktree=' || dirty_worktree || '|semantic_hash=' || sha256(s)) AS exact_hash FROM (
-  SELECT key, dirty_worktree, 'data_start=' || data_start || '|recorded_via=' || recorded_via || '|strategy_name=' || strategy_name AS s, 'recorded_via=' || recorded_via || '|strategy_name=' || strategy_name AS f FROM records)""", ("records",))
+_JSON = lambda *names: "'{' || " + " || ',' || ".join(f"""'"{n}":' || coalesce(to_json({n}::VARCHAR)::VARCHAR, 'null')""" for n in names) + " || '}'"
+
+
+@query("config_hashes", f"""SELECT key, semantic_hash, config_family_hash, sha256({_JSON("dirty_worktree", "semantic_hash")}) AS exact_hash FROM (
+  SELECT key, dirty_worktree, sha256({_JSON("data_start", "recorded_via", "strategy_name")}) AS semantic_hash, sha256({_JSON("recorded_via", "strategy_name")}) AS config_family_hash
+  FROM (SELECT * REPLACE (CASE WHEN key % 3 = 0 THEN NULL ELSE strategy_name || '|recorded_via="x' END AS strategy_name) FROM records))""", ("records",))
 def config_hashes(spark, sf):
-    r = V.records(spark, sf).select(F.expr("bigint(substring(experiment_id, 2))").alias("key"), F.date_format(F.col("datasets")[0]["data_start"].cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("data_start"), "recorded_via", "strategy_name", F.col("code.dirty_worktree").alias("dirty_worktree"))
+    r = V.records(spark, sf).select(F.expr("bigint(substring(experiment_id, 2))").alias("key"), F.date_format(F.col("datasets")[0]["data_start"].cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("data_start"), "recorded_via", F.concat("strategy_name", F.lit('|recorded_via="x')).alias("strategy_name"), F.col("code.dirty_worktree").alias("dirty_worktree"))
+    r = r.withColumn("strategy_name", F.when(F.col("key") % 3 != 0, F.col("strategy_name")))  # delimiters in a value, and missing values
     h = X.configuration_hashes(r, ["data_start", "recorded_via", "strategy_name"], ["data_start"], ["dirty_worktree"])
     return h.select("key", "semantic_hash", "config_family_hash", "exact_hash")
