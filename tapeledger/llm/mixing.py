@@ -183,8 +183,8 @@ def solve_rates(scored: DataFrame, weights: list[float], anchor: int | None = No
 def mix(documents: DataFrame, model: DomainModel, weights: dict[str, float], anchor: str | None = None, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``documents`` with ``tokens``, ``posterior``, ``rate`` and ``copies`` (columns of these names are replaced).
 
-    ``copies`` is the whole part of the rate, and one more with the probability of the rest, decided by a hash of the
-    row's text and of a row's own draw, so equal texts are drawn apart. Rates within ``SNAP`` of a whole number are
+    ``copies`` is the whole part of the rate, and one more with the probability of the rest, decided by a draw
+    that is stored with the row, so equal texts are drawn apart. Rates within ``SNAP`` of a whole number are
     that number. Null and empty texts have no tokens and are given their rate like others. An empty table stays empty.
     """
     documents = documents.drop("tokens", "posterior", "rate", "copies")

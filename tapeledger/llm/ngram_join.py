@@ -287,13 +287,12 @@ def _block_links(documents: DataFrame, blocks: DataFrame, size: int, percent: in
 def _mixed_lists(lists: DataFrame, links: DataFrame, blocks: DataFrame | None) -> tuple[DataFrame, float]:
     """The lists whose documents are not all of one component, or of one block already compared.
 
-    ``(token, doc_id, component, blocks, pairs)``, ``pairs`` those left to compare in the
-    list (of blocks the last one counts), and the sum of these over all lists. ``blocks(doc_id, blocks)`` has at most ``BLOCK_TURNS`` blocks a document.
+    ``(token, doc_id, component, blocks, pairs)``, ``pairs`` those left to compare in the list (of blocks the last one
+    counts), and the sum of these over all lists. ``blocks(doc_id, blocks)`` has at most ``BLOCK_TURNS`` a document.
     """
-    named = connected_components(links.toDF("u", "v"), "ngram_components")
-    parts = lists.select("token", "doc_id").join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    nothing = F.array().cast("array<long>")
-    parts = parts.join(blocks, "doc_id", "left").withColumn("blocks", F.coalesce("blocks", nothing)) if blocks is not None else parts.withColumn("blocks", nothing)
+    known, nothing = connected_components(links.toDF("u", "v"), "ngram_components").withColumnRenamed("node", "doc_id"), F.array().cast("array<long>")
+    known = known.join(blocks, "doc_id", "full_outer") if blocks is not None else known.withColumn("blocks", nothing)
+    parts = lists.select("token", "doc_id").join(known, "doc_id", "left").withColumns({"component": F.coalesce("component", "doc_id"), "blocks": F.coalesce("blocks", nothing)})
     parts = cut_lineage(parts, "ngram_parts")
     groups = parts.groupBy("token", "component").agg(F.count("*").alias("n"))
     mixed = groups.groupBy("token").agg(F.count("*").alias("k"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own")).filter("k > 1")
@@ -331,13 +330,14 @@ def ngram_links(documents: DataFrame, size: int = SIZE, percent: int = PERCENT)
 
     same = classes.filter("class_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).filter("a <> b")
     links = classes.join(same.select("doc_id", "a"), "doc_id").select("a", F.col("class_id").alias("b")).filter("a <> b").distinct()
-    rest, blocks = lists, None
-    if not lists.isEmpty():
-        stars = lists.filter("doc_id <> centre").groupBy("doc_id", "centre").agg(F.count("*").alias("n"))
-        best = stars.groupBy("doc_id").agg(F.max(F.struct("n", "centre")).alias("best"))
-        hoped = best.select(F.least("doc_id", "best.centre").alias("a"), F.greatest("doc_id", "best.centre").alias("b"), "best.n")
-        links = links.unionByName(_verified(documents, _possible(hoped, sizes, percent), size, percent))
-        rest, _ = _mixed_lists(lists, links, None)
+    if lists.isEmpty():
+        return classes, cut_lineage(links, "ngram_all_links")
+    stars = lists.filter("doc_id <> centre").groupBy("doc_id", "centre").agg(F.count("*").alias("n"))
+    best = stars.groupBy("doc_id").agg(F.max(F.struct("n", "centre")).alias("best"))
+    hoped = best.select(F.least("doc_id", "best.centre").alias("a"), F.greatest("doc_id", "best.centre").alias("b"), "best.n")
+    links = links.unionByName(_verified(documents, _possible(hoped, sizes, percent), size, percent))
+    rest, _ = _mixed_lists(lists, links, None)
+    blocks = None
     for _ in range(BLOCK_TURNS):
         heavy = rest.filter(F.col("pairs") > HEAVY)
         if heavy.isEmpty():
