@@ -93,7 +93,7 @@ def test_ngram_join_matches_brute_force(spark, monkeypatch):
 def test_ngram_join_of_nothing(spark):
     empty = docs_of(spark, [])
     assert ngram_join.near_duplicates(empty).count() == 0
-    assert ngram_join.near_duplicates(docs_of(spark, [(1, None, "s"), (2, "", "s")])).collect() == [(1, 0, 1), (2, 0, 2)]
+    assert sorted(ngram_join.near_duplicates(docs_of(spark, [(1, None, "s"), (2, "", "s")])).collect()) == [(1, 0, 1), (2, 0, 2)]
 
 
 def test_prefix_choice_asks_for_more_where_lists_are_long():
