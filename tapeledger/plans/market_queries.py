@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeledger.functions.timegrid import DAY_US, HOUR_US, epoch_us
+from tapeledger.functions.timegrid import DAY_US, HOUR_US, epoch_us, time_block
 from tapeledger.operators import bars as B
-from tapeledger.operators import compare, intervals, signals
+from tapeledger.operators import compare, intervals, quality, signals
 from tapeledger.plans import views as V
 from tapeledger.plans.registry import query
 from tapeledger.sources.bar_store import scan_bars, scan_funding
@@ -276,3 +276,48 @@ def sma_signal(spark, sf):
 @query("repeated_close", f"SELECT symbol, count(*) AS n_bars, count(*) FILTER (WHERE same) AS n_repeated FROM (SELECT symbol, close = lag(close) OVER w AS same FROM bars_1h {_W}) GROUP BY symbol", ("bars_1h",))
 def repeated_close(spark, sf):
     return compare.repeated_closes(V.bars_1h(spark, sf))
+
+
+# Every fifth day lacks its fourth hour, for all symbols.
+_HOLED = "SELECT * FROM bars_1h WHERE NOT (hour(timestamp) = 3 AND dayofmonth(timestamp) % 5 = 0)"
+
+
+def _holed(spark, sf):
+    return V.bars_1h(spark, sf).where("not (hour(timestamp) = 3 and day(timestamp) % 5 = 0)")
+
+
+@query("grid_gaps_found", f"WITH p AS ({_HOLED}) {_EXPECTED.format(src='p')} EXCEPT SELECT timestamp FROM p", ("bars_1h",))
+def grid_gaps_found(spark, sf):
+    return intervals.grid_gaps(_holed(spark, sf))
+
+
+@query("first_grid_gap_found", f"""WITH p AS ({_HOLED}), m AS (SELECT min(timestamp) AS first_missing FROM ({_EXPECTED.format(src='p')} EXCEPT SELECT timestamp FROM p))
+  SELECT first_missing, (SELECT max(timestamp) FROM p WHERE timestamp < first_missing) AS previous_bar FROM m WHERE first_missing IS NOT NULL""", ("bars_1h",))
+def first_grid_gap_found(spark, sf):
+    return intervals.first_grid_gap(_holed(spark, sf))
+
+
+@query("time_order_violations", f"""SELECT symbol, previous, timestamp, epoch_us(timestamp) - epoch_us(previous) AS step_us FROM (SELECT symbol, timestamp, lag(timestamp) OVER w AS previous FROM ({_HOLED}) {_W})
+  WHERE previous IS NOT NULL AND timestamp <> previous + INTERVAL 1 HOUR""", ("bars_1h",))
+def time_order_violations(spark, sf):
+    return quality.time_order_violations(_holed(spark, sf), ["symbol"], HOUR_US, time_block("timestamp", DAY_US))
+
+
+@query("rebalance_every_bar", "SELECT DISTINCT symbol, timestamp, true AS rebalance FROM bars_1h", ("bars_1h",))
+def rebalance_every_bar(spark, sf):
+    return signals.rebalance_every_bar(V.bars_1h(spark, sf), ["symbol"], "timestamp")
+
+
+@query("prefix_multiplier", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 1000 ELSE 1 END AS unit_multiplier FROM customer")
+def prefix_multiplier(spark, sf):
+    """Every third customer's name is written with the prefix."""
+    c = V.table(spark, sf, "customer").select("c_custkey", F.concat(F.when(F.col("c_custkey") % 3 == 0, "k").otherwise(""), F.lit("S"), F.col("c_custkey").cast("string")).alias("symbol"))
+    return c.select("c_custkey", B.prefix_multiplier(F.col("symbol")).alias("unit_multiplier"))
+
+
+@query("universe_findings", """WITH u AS (SELECT 'S' || (s_suppkey % 97) AS symbol, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_suppkey % 11 = 0 END AS safe FROM supplier)
+  SELECT 'error' AS severity, 'DUPLICATE_SYMBOL_NAME' AS code, symbol, count(*) AS n FROM u GROUP BY symbol HAVING count(*) > 1
+  UNION ALL SELECT 'error', 'SURVIVORSHIP_SAFE_NOT_FALSE', symbol, 1 FROM u WHERE coalesce(safe, true)""")
+def universe_findings(spark, sf):
+    u = V.table(spark, sf, "supplier").select(F.concat(F.lit("S"), (F.col("s_suppkey") % 97).cast("string")).alias("symbol"), F.when(F.col("s_suppkey") % 7 != 0, F.col("s_suppkey") % 11 == 0).alias("survivorship_safe"))
+    return quality.validate_universe(u).select("severity", "code", "symbol", F.col("n").cast("bigint").alias("n"))
