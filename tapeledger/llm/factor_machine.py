@@ -32,7 +32,7 @@ N_FEATURES = N_STATS + WORD_BINS
 
 
 def _byte_classes() -> np.ndarray:
-    table = np.zeros(256, np.intp)
+    table = np.zeros(256, np.uint8)
     for k, chars in enumerate(CLASSES):
         table[np.frombuffer(chars, np.uint8)] = k
     return table
@@ -55,7 +55,7 @@ def features(texts: pa.Array, word_bins: int = WORD_BINS) -> tuple[np.ndarray, n
     if len(filled):
         begins = (offsets[:-1] - offsets[0])[filled]
         for k in range(len(CLASSES)):
-            stats[filled, k] = np.add.reduceat((classes == k).astype(np.int64), begins) / length[filled]
+            stats[filled, k] = np.add.reduceat(classes == k, begins, dtype=np.int64) / length[filled]
     codes, rows, words = word_codes(texts, lower=False)
     counts = np.bincount(rows, minlength=n)
     some = np.maximum(counts, 1)

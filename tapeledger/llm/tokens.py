@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Word parts a worker remembers, at most; longer ones are encoded each time.
-MOST_PARTS, LONGEST_PART = 1_200_000, 60
+MOST_PARTS, LONGEST_PART = 400_000, 60
 
 #: The white space of the tokenizers' patterns.
 _SPACE = "\t-\r \x85\xa0  -     　"
