@@ -249,6 +249,47 @@ def test_license_scan_rows(spark):
     assert license_scan.scan_licenses(frame.limit(0)).count() == 0
 
 
+def test_usual_licenses_get_their_own_names():
+    library = license_scan.prepare(license_scan.TEMPLATES, marks=license_scan.MARKS)
+    name = lambda text: [(f["license"], f["start"], f["end"]) for f in license_scan.find_licenses(text, library)]
+    notices = {
+        "Licensed under the MIT License": "MIT", "Licensed under CC BY 4.0": "CC-BY-4.0", "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0", "Licensed under CC BY-ND 4.0": "CC-BY-ND-4.0",
+        "Licensed under CC BY-NC 4.0": "CC-BY-NC-4.0", "Licensed under the Mozilla Public License, v. 2.0": "MPL-2.0", "Released under CC0 1.0": "CC0-1.0", "Released under the Unlicense": "Unlicense",
+        "Licensed under the BSD 3-Clause License": "BSD-3-Clause", "This work is licensed under the GNU General Public License, version 2": "GPL-2.0",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1": "LGPL-2.1", "This work is licensed under the GNU Affero General Public License, version 3": "AGPL-3.0",
+        "This work is licensed under the GNU General Public License, version 3": "GPL-3.0"}
+    for notice, expected in notices.items():
+        assert name(f"ab {notice}. cd") == [(f"{expected}-notice", 3, 3 + len(notice))], notice
+    assert name("This work is licensed under the GNU General Public License, version 4.") == []
+    forms = [n for n in license_scan.TEMPLATES if not n.endswith("-notice")]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC0-1.0", "BSD-3-Clause", "Unlicense", "GPL-2.0-header", "LGPL-2.1-header", "AGPL-3.0-header"} <= set(forms)
+    for form in forms:  # whole texts and headers, also with a changed word, which the notices within them do not have
+        wording = license_scan.TEMPLATES[form]
+        for text in [wording] if isinstance(wording, str) else wording:
+            assert [n for n, _, _ in name("ab " + text + " cd")] == [form]
+    assert [n for n, _, _ in name(license_scan.TEMPLATES["Apache-2.0"].replace("perpetual", "lasting"))] == ["Apache-2.0"]
+
+
+def test_passages_keep_to_their_marks():
+    """Every run of words that begins and ends with a bigram of the template, by its coefficient and marks, against the passage found."""
+    template, marks = {"x": "under the gnu public license version 3 of the license"}, {"x": (["version 3", "v3"], ["lesser"])}
+    library, r = license_scan.prepare(template, 0.7, marks), random.Random(5)
+    pool, found_some = "under the gnu public license version 3 of the license lesser v3 other".split(), 0
+    for _ in range(200):
+        text = " ".join([r.choice(pool) for _ in range(3)] + [w for w in template["x"].split() if r.random() < 0.9] + [r.choice(pool) for _ in range(4)])
+        w, best = text.split(), 0.0
+        for i in range(len(w)):
+            for j in range(i + 2, len(w) + 1):
+                run, own = " ".join(w[i:j]), set(zip(template["x"].split(), template["x"].split()[1:]))
+                if tuple(w[i:i + 2]) in own and tuple(w[j - 2:j]) in own and ("version 3" in run or "v3" in run) and "lesser" not in run:
+                    a, b = Counter(zip(w[i:j], w[i + 1:j])), Counter(zip(template["x"].split(), template["x"].split()[1:]))
+                    best = max(best, 2 * (a & b).total() / (a.total() + b.total()))
+        found = license_scan.find_licenses(text, library, 0.7)
+        found_some += bool(found)
+        assert max((f["dice"] for f in found), default=0) == pytest.approx(best if best >= 0.7 else 0), text
+    assert 20 < found_some < 200
+
+
 # 6. secrets
 
 SECRET = "0123456789abcdef0123456789abcdef"
