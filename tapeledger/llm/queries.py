@@ -121,7 +121,15 @@ def op10_packing(spark, sf_dir):
 def op3_simhash(spark, sf_dir):
     prints = simhash.fingerprint_with_next(table(spark, sf_dir, "documents"))
     prints = cut_lineage(prints.withColumn("fp", F.conv("fingerprint", 16, -10).cast("long")), "simhash_prints")
-    return prints.join(simhash.count_within(prints.select("fp")), "fp").drop("fp")
+    return prints.join(simhash.count_within(prints.select("fp")).select("fp", "n_near"), "fp").drop("fp")
+
+
+@query()
+def simhash_links(spark, sf_dir):
+    """The near neighbours that ``n_near`` of ``op3_simhash`` counts, between its different fingerprints."""
+    prints = simhash.fingerprint_with_next(table(spark, sf_dir, "documents")).select(F.conv("fingerprint", 16, -10).cast("long").alias("fp"))
+    named = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return simhash.links_within(prints).select(named("fp").alias("fingerprint"), named("near_fp").alias("near_fingerprint"), "distance")
 
 
 @query()

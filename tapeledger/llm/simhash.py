@@ -24,6 +24,8 @@ from tapeledger.session import cut_lineage
 BITS, RADIUS, BLOCKS = 64, 3, 6
 #: Fingerprints of a bucket compared in one tile, from each side.
 TILE = 2048
+#: Links that leave a task in one batch, about.
+LINKS = 1 << 16
 
 _SIGNS = (((np.arange(256)[:, None] >> np.arange(8)) & 1) * 2.0 - 1.0)
 
@@ -124,13 +126,12 @@ def _tables(radius: int, blocks: int) -> tuple[list[tuple[int, ...]], list[int]]
     return list(combinations(range(blocks), blocks - radius)), [BITS * i // blocks for i in range(blocks + 1)]
 
 
-def count_within(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """``(fp, n_near)`` for each distinct ``fp`` of ``prints(fp long)``: how many other rows lie within ``radius`` bits.
+def _distinct(prints: DataFrame) -> DataFrame:
+    return cut_lineage(prints.filter("fp is not null").groupBy("fp").agg(F.count("*").alias("n")), "simhash_distinct")
 
-    Equal fingerprints are counted once with their number and never paired. Members of a bucket are compared inside
-    the task that holds them, in tiles of at most ``TILE`` from each side, and leave as sums, not as pairs; a pair is counted
-    in the first table in which it meets. Null fingerprints are ignored; an empty table gives no rows.
-    """
+
+def _links(distinct: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """``(fp, near_fp, distance, n, near_n)`` of the links between ``distinct(fp, n)``, each once."""
     tables, bounds = _tables(radius, blocks)
     first_of = np.array([next((t for t, c in enumerate(tables) if all(m >> b & 1 for b in c)), -1) for m in range(1 << blocks)])
     masks = [sum(1 << i for i in range(bounds[b], bounds[b + 1])) for b in range(blocks)]
@@ -147,15 +148,21 @@ def count_within(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS)
             done = int(cut[-1]) + 1 if len(cut) else 0
             held = table.slice(done)
             if done:
-                yield sums(table.slice(0, done), keys[:, :done])
+                yield from linked(table.slice(0, done), keys[:, :done])
         if held is not None and held.num_rows:
-            yield sums(held, np.stack([held.column(c).to_numpy() for c in ("t", "key", "i", "j")]))
+            yield from linked(held, np.stack([held.column(c).to_numpy() for c in ("t", "key", "i", "j")]))
 
-    def sums(table: pa.Table, keys: np.ndarray) -> pa.RecordBatch:
+    def linked(table: pa.Table, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         fp, n, tile = table.column("fp").to_numpy().view(np.uint64), table.column("n").to_numpy(), table.column("b").to_numpy()
         group = np.concatenate([[0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(axis=0))])
         end = np.searchsorted(group, group, side="right")
-        near, at, d = np.zeros(len(fp), np.int64), np.arange(len(fp)), 1
+        some, size, at, d = [], 0, np.arange(len(fp)), 1
+
+        def batch() -> pa.RecordBatch:
+            x, y = np.concatenate(some, axis=1)
+            bits = np.bitwise_count(fp[x] ^ fp[y]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in (fp[x].view(np.int64), fp[y].view(np.int64), bits, n[x], n[y])], ["fp", "near_fp", "distance", "n", "near_n"])
+
         while True:
             at = at[at + d < end[at]]
             if not len(at):
@@ -166,18 +173,50 @@ def count_within(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS)
                 differ = fp[pair] ^ fp[pair + d]
                 equal = ((differ[:, None] & block_masks) == 0) @ (1 << np.arange(blocks))
                 pair = pair[first_of[equal] == keys[0][pair]]
-                np.add.at(near, pair, n[pair + d])
-                np.add.at(near, pair + d, n[pair])
+                some.append(np.stack([pair, pair + d]))
+                size += len(pair)
+                if size >= LINKS:
+                    yield batch()
+                    some, size = [], 0
             d += 1
-        some = np.flatnonzero(near)
-        return pa.RecordBatch.from_arrays([pa.array(fp[some].view(np.int64)), pa.array(near[some])], ["fp", "near"])
+        if size:
+            yield batch()
 
-    distinct = cut_lineage(prints.filter("fp is not null").groupBy("fp").agg(F.count("*").alias("n")), "simhash_distinct")
     keyed = distinct.select("fp", "n", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(sum(masks[b] for b in c)))) for c in tables))).alias("t", "key"))
     full = keyed.groupBy("t", "key").agg(F.count("*").alias("size")).filter("size > 1")
     members = keyed.join(full, ["t", "key"]).withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
     members = members.withColumn("b", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = members.select("t", "key", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "b", "fp", "n")
     sorted_ = tiled.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "fp")
-    found = sorted_.mapInArrow(run, "fp long, near long").groupBy("fp").agg(F.sum("near").alias("near"))
-    return distinct.join(found, "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"))
+    return sorted_.mapInArrow(run, "fp long, near_fp long, distance int, n long, near_n long")
+
+
+def links_within(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """``(fp, near_fp, distance)``: every two different fingerprints of ``prints(fp long)`` within ``radius`` bits, once, the smaller first.
+
+    Rows with equal fingerprints are one class and make no link; who is in a class is told by the rows of ``prints``.
+    Members of a bucket are compared inside the task that holds them, in tiles of at most ``TILE`` from each side; a
+    link is given by the first table in which it meets. Null fingerprints are ignored; an empty table gives no rows.
+    """
+    return _links(_distinct(prints), radius, blocks).select("fp", "near_fp", "distance")
+
+
+def count_within(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """``(fp, n_equal, n_near)`` for each distinct ``fp`` of ``prints(fp long)``: how many other rows hold it, and how
+    many other rows lie within ``radius`` bits, those included.
+
+    The second is the sum over the links, combined before the shuffle. Null fingerprints are ignored; an empty
+    table gives no rows.
+    """
+    distinct = _distinct(prints)
+    ends = F.explode(F.array(F.struct("fp", F.col("near_n").alias("near")), F.struct(F.col("near_fp").alias("fp"), F.col("n").alias("near"))))
+    found = _links(distinct, radius, blocks).select(ends.alias("e")).groupBy(F.col("e.fp").alias("fp")).agg(F.sum("e.near").alias("near"))
+    return distinct.join(found, "fp", "left").select("fp", (F.col("n") - 1).alias("n_equal"), (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"))
+
+
+def near_documents(prints: DataFrame, links: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``(doc_id, near_id, distance)``, both ways: the documents of ``prints(doc_id, fp)`` whose different fingerprints
+    ``links`` connects. Those with the same fingerprint are found by it."""
+    both = links.unionByName(links.select(F.col("near_fp").alias("fp"), F.col("fp").alias("near_fp"), "distance"))
+    near = prints.select(F.col("fp").alias("near_fp"), F.col(id_col).alias("near_id"))
+    return prints.select("fp", id_col).join(both, "fp").join(near, "near_fp").select(id_col, "near_id", "distance")

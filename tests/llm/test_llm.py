@@ -176,6 +176,37 @@ def test_all_fingerprints_within_the_radius(spark, monkeypatch, tile):
     assert got == {s: sum((p ^ q).bit_count() <= 3 for q in prints) - 1 for s, p in zip(signed, prints, strict=True)}
 
 
+@pytest.mark.parametrize("tile", [2048, 8])
+def test_links_name_every_near_fingerprint_once(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "LINKS", 5)
+    r = random.Random(9)
+    base = [r.getrandbits(64) for _ in range(30)]
+    prints = base + base[:9] + [b ^ sum(1 << k for k in r.sample(range(64), d)) for b in base[:15] for d in (1, 1, 2, 3, 3, 4)]
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    frame = spark.createDataFrame(list(enumerate(signed)) + [(-1, None)], "doc_id long, fp long")
+    links = simhash.links_within(frame)
+    got = [tuple(x) for x in links.collect()]
+    distance = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    kinds = sorted(set(signed))
+    assert sorted(got) == [(a, b, distance(a, b)) for i, a in enumerate(kinds) for b in kinds[i + 1:] if distance(a, b) <= 3]
+    pairs = sorted(tuple(x) for x in simhash.near_documents(frame, links).collect())
+    assert pairs == [(i, j, distance(a, b)) for i, a in enumerate(signed) for j, b in enumerate(signed) if a != b and distance(a, b) <= 3]
+    assert {x["fp"]: x["n_equal"] for x in simhash.count_within(frame).collect()} == {a: signed.count(a) - 1 for a in kinds}
+    assert simhash.links_within(frame.limit(0)).count() == 0
+
+
+def test_link_query_accounts_for_the_counts(spark):
+    source = "/root/testdata/sf0.001"
+    counts = queries.op3_simhash(spark, source).collect()
+    held, near = Counter(x["fingerprint"] for x in counts), Counter()
+    for x in queries.simhash_links(spark, source).collect():
+        assert x["fingerprint"] != x["near_fingerprint"] and (int(x["fingerprint"], 16) ^ int(x["near_fingerprint"], 16)).bit_count() == x["distance"] <= 3
+        near[x["fingerprint"]] += held[x["near_fingerprint"]]
+        near[x["near_fingerprint"]] += held[x["fingerprint"]]
+    assert all(x["n_near"] == held[x["fingerprint"]] - 1 + near[x["fingerprint"]] for x in counts)
+
+
 # 4. cross-polytope
 
 
