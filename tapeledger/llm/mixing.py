@@ -131,21 +131,31 @@ def _matrix(batch: pa.RecordBatch, k: int) -> np.ndarray:
     return batch.column("posterior").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, k)
 
 
-def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+@dataclass
+class Bounds:
+    """Least and greatest rate of a document, by its likeliest domain."""
+
+    low: np.ndarray
+    high: np.ndarray
+
+
+def rates(p: np.ndarray, steps: list[np.ndarray], bounds: Bounds | None = None) -> np.ndarray:
     """The rates after the gradient steps, each given as one number per domain."""
-    r = np.ones(len(p))
+    likeliest = p.argmax(axis=1) if bounds else None
+    low, high = (bounds.low[likeliest], bounds.high[likeliest]) if bounds else (0.0, np.inf)
+    r = np.clip(np.ones(len(p)), low, high)
     for step in steps:
-        r = np.maximum(0, r - p @ step)
+        r = np.clip(r - p @ step, low, high)
     return r
 
 
-def _totals(scored: DataFrame, steps: list[np.ndarray], k: int) -> np.ndarray:
+def _totals(scored: DataFrame, steps: list[np.ndarray], k: int, bounds: Bounds | None = None) -> np.ndarray:
     """``sum_i r_i t_i p_id`` per domain: one row from each task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k)
         for batch in batches:
             p = _matrix(batch, k)
-            total += (rates(p, steps) * batch.column("tokens").to_numpy()) @ p
+            total += (rates(p, steps, bounds) * batch.column("tokens").to_numpy()) @ p
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(total)], ["d", "total"])
 
     rows = scored.select("tokens", "posterior").mapInArrow(run, "d long, total double").groupBy("d").agg(F.sum("total").alias("total")).toArrow()
@@ -154,7 +164,7 @@ def _totals(scored: DataFrame, steps: list[np.ndarray], k: int) -> np.ndarray:
     return out
 
 
-def solve_rates(scored: DataFrame, weights: list[float], anchor: int | None = None) -> list[np.ndarray]:
+def solve_rates(scored: DataFrame, weights: list[float], anchor: int | None = None, bounds: Bounds | None = None) -> list[np.ndarray]:
     """The gradient steps that lead from rate 1 to the best rates for ``weights`` (shares of the mixed tokens).
 
     The mixture has as many tokens as the corpus, or, with ``anchor``, so many that this domain keeps its own. Domains
@@ -167,34 +177,36 @@ def solve_rates(scored: DataFrame, weights: list[float], anchor: int | None = No
     if not live.any():
         return []
     size = mass[anchor] / w[anchor] if anchor is not None and mass[anchor] > 0 and w[anchor] > 0 else mass.sum()
-    target, steps, totals = w * size, [], mass
+    target, steps, totals = w * size, [], mass if bounds is None else _totals(scored, [], k, bounds)
     for _ in range(MAX_STEPS):
         off = totals - target
         if np.all(np.abs(off[live]) <= TOLERANCE * np.maximum(target, 0.01 * size)[live]):
             break
         steps.append(np.where(live, off / np.where(live, mass, 1), 0.0))
-        after = _totals(scored, steps, k)
+        after = _totals(scored, steps, k, bounds)
         if np.abs(after - totals).max() <= 1e-5 * size:
             break
         totals = after
     return steps
 
 
-def mix(documents: DataFrame, model: DomainModel, weights: dict[str, float], anchor: str | None = None, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def mix(documents: DataFrame, model: DomainModel, weights: dict[str, float], anchor: str | None = None, text_col: str = "text", keep_text: bool = True, keep: tuple[str, ...] = (), drop: tuple[str, ...] = ()) -> DataFrame:
     """``documents`` with ``tokens``, ``posterior``, ``rate`` and ``copies`` (columns of these names are replaced).
 
     ``copies`` is the whole part of the rate, and one more with the probability of the rest, decided by a draw
     that is stored with the row, so equal texts are drawn apart. Rates within ``SNAP`` of a whole number are
-    that number. Null and empty texts have no tokens and are given their rate like others. An empty table stays empty.
+    that number. Documents whose likeliest domain is one of ``keep`` have a rate of at least 1, so they are never drawn
+    out; those of ``drop`` have rate 0. Null and empty texts have no tokens and are given their rate like others. An empty table stays empty.
     """
     documents = documents.drop("tokens", "posterior", "rate", "copies")
     scored = cut_lineage(posteriors(documents, model, text_col, keep_text).withColumn("_draw", F.rand(17)), "mixing_scored")
     k = len(model.domains)
-    steps = solve_rates(scored, [weights.get(d, 0.0) for d in model.domains], model.domains.index(anchor) if anchor else None)
+    bounds = Bounds(np.array([float(d in keep) for d in model.domains]), np.array([0.0 if d in drop else np.inf for d in model.domains])) if keep or drop else None
+    steps = solve_rates(scored, [weights.get(d, 0.0) for d in model.domains], model.domains.index(anchor) if anchor else None, bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(_matrix(batch, k), steps))], [*batch.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(_matrix(batch, k), steps, bounds))], [*batch.schema.names, "rate"])
 
     rated = scored.mapInArrow(run, scored.withColumn("rate", F.lit(0.0)).schema)
     whole = F.when(F.abs(F.col("rate") - F.round("rate")) <= SNAP, F.round("rate")).otherwise(F.floor(F.col("rate") + F.col("_draw")))

@@ -544,6 +544,25 @@ def test_pipeline_stages(spark, tmp_path):
         before = after
 
 
+def test_mixture_keeps_clean_documents_and_drops_toxic_ones(spark):
+    import corpus_pipeline
+
+    source = "/root/testdata/sf0.01"
+    labels = queries.domains_of(queries.table(spark, source, "labels"))
+    good = queries.table(spark, source, "documents").join(labels.filter("domain in ('clean', 'toxic')").select("doc_id"), "doc_id", "left_semi")
+    left = {r["doc_id"] for r in corpus_pipeline.mixture(spark, good, source).select("doc_id").collect()}
+    by = defaultdict(set)
+    for r in labels.collect():
+        by[r["domain"]].add(r["doc_id"])
+    here = {r["doc_id"] for r in good.select("doc_id").collect()}
+    clean, toxic = by["clean"] & here, by["toxic"] & here
+    print(f"clean {len(clean & left)} of {len(clean)}, toxic {len(toxic & left)} of {len(toxic)}")
+    assert len(toxic) > 5 and len(clean - left) <= 0.01 * len(clean) and len(toxic & left) <= 0.3 * len(toxic)
+    model = mixing.train_domains(queries.table(spark, source, "documents"), labels, list(corpus_pipeline.SHARES))
+    likeliest = {r["doc_id"]: int(np.argmax(r["posterior"])) for r in mixing.posteriors(good, model).select("doc_id", "posterior").collect()}
+    assert left == {d for d, k in likeliest.items() if model.domains[k] == "clean"}
+
+
 def test_entry_points_hold_one_query_for_each_operator():
     import __spark_entry__
 
