@@ -8,13 +8,26 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 BATCH_BYTES = 4 << 20
 
 
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def _ship_package(spark: SparkSession) -> None:
     """Give the executors this package, once per context: they need not have the repository."""
     context = spark.sparkContext
@@ -52,5 +65,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYT
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
-    """The texts of a batch; a missing text is an empty one."""
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """The texts of a batch as an array of its own; a missing text is an empty one.
+
+    The cast of a slice has offsets that do not begin at 0, which some Arrow kernels misread: slices are copied first.
+    """
+    texts = batch.column(column)
+    if texts.offset:
+        texts = texts.take(pa.array(np.arange(len(texts))))
+    return pc.fill_null(texts.cast(pa.large_string()), "")

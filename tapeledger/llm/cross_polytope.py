@@ -67,23 +67,28 @@ def buckets(x: np.ndarray, table: int, functions: int, probes: int) -> np.ndarra
 def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(query, id, score)`` of the ``k`` best of these vectors for each query, its own id left out.
 
-    The matrix product only preselects, ties and its rounding included; scores are summed per pair in one fixed
-    order, so equal vectors have equal scores wherever they lie.
+    Rows of one id count as one, by the best of them. The matrix product only preselects, ties and its rounding
+    included; scores are summed per pair in one fixed order, so equal vectors have equal scores wherever they lie.
     """
     out_q, out_i, out_s = [], [], []
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
+    names, first = np.unique(ids, return_index=True)
+    group = np.repeat(np.arange(len(names)), np.diff(np.append(first, len(ids))))
     for at in range(0, len(queries), 256):
         block = queries[at:at + 256]
         rough = block @ vectors.T
         rough[query_ids[at:at + 256][:, None] == ids] = -np.inf
-        keep = min(k, len(ids))
-        edge = -np.partition(-rough, keep - 1, axis=1)[:, keep - 1]
+        keep = min(k, len(names))
+        best = np.maximum.reduceat(rough, first, axis=1)
+        edge = -np.partition(-best, keep - 1, axis=1)[:, keep - 1]
         slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(edge), edge, 0)))
         for i, q in enumerate(block):
             some = np.flatnonzero((rough[i] >= edge[i] - slack[i]) & (rough[i] > -np.inf))
             score = np.add.reduce(vectors[some] * q, axis=1)
-            top = np.lexsort((ids[some], -score))[:k]
+            by_id = np.lexsort((-score, group[some]))
+            by_id = by_id[np.unique(group[some][by_id], return_index=True)[1]]
+            top = by_id[np.lexsort((ids[some][by_id], -score[by_id]))[:k]]
             out_q.append(np.full(len(top), query_ids[at + i]))
             out_i.append(ids[some][top])
             out_s.append(score[top])

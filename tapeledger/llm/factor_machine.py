@@ -12,10 +12,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from tapeledger.llm.batches import bound_batches, slices, texts_of
+from tapeledger.llm.batches import bound_batches, slices, spare_names, texts_of
 from tapeledger.llm.words import word_codes, word_hashes
 
 WORD_BINS = 1 << 14
@@ -38,8 +39,20 @@ def _byte_classes() -> np.ndarray:
     return table
 
 
-def features(texts: pa.Array, word_bins: int = WORD_BINS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse ``(row, feature, value)`` of the texts, sorted by row: statistics first, then hashed words.
+def metadata_column(documents: DataFrame, columns: tuple[str, ...]) -> Column:
+    """The columns as ``name=value`` strings; numbers by the power of two below them, so that near values share a feature."""
+    def value(c: str) -> Column:
+        if isinstance(documents.schema[c].dataType, NumericType):
+            x = F.col(c).cast("double")
+            return F.when(x.isNotNull() & ~F.isnan(x), F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), F.floor(F.log2(F.abs(x) + 1)).cast("string")))
+        return F.col(c).cast("string")
+
+    return F.array(*(F.concat(F.lit(f"{c}="), F.coalesce(value(c), F.lit(""))) for c in columns)).cast("array<string>")
+
+
+def features(texts: pa.Array, word_bins: int = WORD_BINS, metadata: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse ``(row, feature, value)`` of the texts, sorted by row: statistics first, then hashed words, then the
+    hashed ``metadata`` (a list of strings per text), each of value 1/2.
 
     Statistics are between 0 and 1, so no document's length dominates; word values are square roots of shares
     (unit length per document). An empty text has only the statistics of its length.
@@ -76,15 +89,19 @@ def features(texts: pa.Array, word_bins: int = WORD_BINS) -> tuple[np.ndarray, n
     share = np.sqrt(times / some[row])
     bins = N_STATS + (word_hashes(words) % np.uint64(word_bins)).astype(np.int64)[code] if len(words) else code
     r, c = np.divmod(np.arange(n * N_STATS), N_STATS)
-    all_rows, all_bins, all_values = np.concatenate([r, row]), np.concatenate([c, bins]), np.concatenate([stats.ravel(), share])
+    told = np.zeros(0, np.int64)
+    if metadata is not None:
+        told = pc.list_parent_indices(metadata).to_numpy(zero_copy_only=False).astype(np.int64)
+    about = N_STATS + (word_hashes([f"\0{x}" for x in metadata.flatten().to_pylist()]) % np.uint64(word_bins)).astype(np.int64) if len(told) else told
+    all_rows, all_bins, all_values = np.concatenate([r, row, told]), np.concatenate([c, bins, about]), np.concatenate([stats.ravel(), share, np.full(len(told), 0.5)])
     keep = all_values != 0
     order = np.argsort(all_rows[keep], kind="stable")
     return all_rows[keep][order], all_bins[keep][order], all_values[keep][order]
 
 
-def features_in_parts(texts: pa.Array, word_bins: int = WORD_BINS, rows: int = 250) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features_in_parts(texts: pa.Array, word_bins: int = WORD_BINS, rows: int = 250, metadata: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``features`` of many texts, a few at a time, so that only the sparse result is held whole."""
-    parts = [features(texts.slice(at, rows), word_bins) for at in range(0, len(texts), rows)] or [features(texts, word_bins)]
+    parts = [features(texts.slice(at, rows), word_bins, None if metadata is None else metadata.slice(at, rows)) for at in range(0, len(texts), rows)] or [features(texts, word_bins)]
     return (np.concatenate([p[0] + rows * i for i, p in enumerate(parts)]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
 
 
@@ -105,12 +122,12 @@ class Machine:
             pair += inner[:, f] ** 2 - np.bincount(row, vx * vx, n)
         return self.bias + linear + pair / 2, inner
 
-    def score(self, texts: pa.Array) -> np.ndarray:
-        row, bin_, value = features(texts)
+    def score(self, texts: pa.Array, metadata: pa.Array | None = None) -> np.ndarray:
+        row, bin_, value = features(texts, metadata=metadata)
         return 1 / (1 + np.exp(-np.clip(self.sums(row, bin_, value, len(texts))[0], -30, 30)))
 
 
-def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 25, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Machine:
+def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 25, rate: float = 0.1, decay: float = 1e-4, seed: int = 7, metadata: pa.Array | None = None) -> Machine:
     """Fit by AdaGrad over mini-batches of 256 documents, both classes weighted by the root of their rarity.
 
     Without rows of both classes the machine gives every document the share of label 1 (a half without rows).
@@ -123,7 +140,7 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 25, rate: float = 0.1
         return Machine(float(np.log(share / (1 - share))), np.zeros(N_FEATURES), np.zeros((N_FEATURES, FACTORS)))
     share = y.mean()
     importance = np.where(y == 1, 1.0, np.sqrt(share / (1 - share)))
-    row, bin_, value = features_in_parts(texts)
+    row, bin_, value = features_in_parts(texts, metadata=metadata)
     start = np.searchsorted(row, np.arange(len(y) + 1))
     g_w, g_v, g_b = np.full(N_FEATURES, 1e-2), np.full((N_FEATURES, FACTORS), 1e-2), 1e-2
     for epoch in range(epochs):
@@ -150,31 +167,39 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 25, rate: float = 0.1
     return model
 
 
-def train(documents: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> Machine:
+def train(documents: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED, metadata: tuple[str, ...] = ()) -> Machine:
     """Fit on at most ``most`` labelled rows (a bounded sample, the same for the same rows).
 
+    ``metadata`` names columns of ``documents`` whose values are hashed into features of their own.
+
     Rows whose label is neither 0 nor 1 or whose identifier is null are left out; conflicting labels of one
     document are left out too. Identifier and label serve to pick rows only.
     """
     clean = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y"), F.max(label_col).alias("_y2")).filter("_y = _y2")
     chosen = clean.orderBy(F.xxhash64("_id"), "_id").limit(most).select("_id", "_y")
-    known = documents.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(chosen, "_id")
-    rows = known.groupBy("_id").agg(F.min("_text").alias("_text"), F.min("_y").alias("_y")).orderBy("_id").toArrow()
-    return fit(rows.column("_text").combine_chunks() if rows.num_rows else pa.array([], pa.string()), rows.column("_y").to_numpy())
+    known = documents.select(F.col(id_col).alias("_id"), F.struct(F.coalesce(F.col(text_col), F.lit("")).alias("text"), metadata_column(documents, metadata).alias("told")).alias("_row")).join(chosen, "_id")
+    rows = known.groupBy("_id").agg(F.min("_row").alias("_row"), F.min("_y").alias("_y")).orderBy("_id").select("_id", "_row.text", "_row.told", "_y").toArrow().combine_chunks()
+    if not rows.num_rows:
+        return fit(pa.array([], pa.string()), np.zeros(0))
+    return fit(rows.column("text").combine_chunks(), rows.column("_y").to_numpy(), metadata=rows.column("told").combine_chunks() if metadata else None)
 
 
-def score_documents(documents: DataFrame, model: Machine, text_col: str = "text", score_col: str = "score") -> DataFrame:
+def score_documents(documents: DataFrame, model: Machine, text_col: str = "text", score_col: str = "score", metadata: tuple[str, ...] = ()) -> DataFrame:
     """``documents`` with ``score_col``, the probability of label 1 (a column of that name is replaced).
 
-    Null texts are scored as empty ones; every row is scored, repeated ones alike.
+    ``metadata`` names the columns that ``train`` was given. Null texts are scored as empty ones; every row is scored, repeated ones alike.
     """
     spark = documents.sparkSession
     bound_batches(spark)
     documents = documents.drop(score_col)
+    (told,) = spare_names(documents, "told")
+    kept = documents.columns
     fitted = spark.sparkContext.broadcast(model)  # of fixed size: (statistics + word bins) x (1 + factors) numbers
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fitted.value.score(texts_of(batch, text_col)))], [*batch.schema.names, score_col])
+            likely = fitted.value.score(texts_of(batch, text_col), batch.column(told) if metadata else None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(likely)], [*kept, score_col])
 
-    return documents.mapInArrow(score, documents.withColumn(score_col, F.lit(0.0)).schema)
+    given = documents.withColumn(told, metadata_column(documents, metadata)) if metadata else documents
+    return given.mapInArrow(score, documents.withColumn(score_col, F.lit(0.0)).schema)

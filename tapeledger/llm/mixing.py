@@ -17,18 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeledger.llm.batches import bound_batches, slices, texts_of
+from tapeledger.llm.batches import bound_batches, slices, spare_names, texts_of
 from tapeledger.llm.factor_machine import N_STATS, features, features_in_parts
 from tapeledger.llm.words import word_codes
 from tapeledger.session import cut_lineage
 
 #: Labelled rows used for fitting, at most; taken by the hash of the identifier.
 MAX_LABELLED = 4000
-MAX_STEPS, TOLERANCE = 60, 1e-3
+#: Steps at most, and how near to its target a domain must come, as a share of the mixture.
+MAX_STEPS, TOLERANCE = 200, 1e-3
 #: Hashed words, and the scale of the statistics beside a word's 1.
 WORD_BINS, STAT_SCALE = 1 << 18, 4.0
-#: A rate this near to a whole number is taken as that number.
-SNAP = 0.05
 
 
 @dataclass
@@ -119,7 +118,7 @@ def posteriors(documents: DataFrame, model: DomainModel, text_col: str = "text",
         for batch in slices(batches, text_col):
             texts = texts_of(batch, text_col)
             p = known.value.posteriors(texts)
-            words = np.bincount(word_codes(texts)[1], minlength=len(texts)).astype(np.int64)
+            words = np.bincount(word_codes(texts, lower=False)[1], minlength=len(texts)).astype(np.int64)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(words), flat], [*names, "tokens", "posterior"])
 
@@ -164,7 +163,17 @@ def _totals(scored: DataFrame, steps: list[np.ndarray], k: int, bounds: Bounds |
     return out
 
 
-def solve_rates(scored: DataFrame, weights: list[float], anchor: int | None = None, bounds: Bounds | None = None) -> list[np.ndarray]:
+@dataclass
+class Solution:
+    """The gradient steps, how far the totals stay from their targets (largest difference as a share of the mixture),
+    and whether the steps came to rest: at the targets, or at the least-squares answer where no rates reach them."""
+
+    steps: list[np.ndarray]
+    residual: float = 0.0
+    converged: bool = True
+
+
+def solve_rates(scored: DataFrame, weights: list[float], anchor: int | None = None, bounds: Bounds | None = None) -> Solution:
     """The gradient steps that lead from rate 1 to the best rates for ``weights`` (shares of the mixed tokens).
 
     The mixture has as many tokens as the corpus, or, with ``anchor``, so many that this domain keeps its own. Domains
@@ -175,44 +184,50 @@ def solve_rates(scored: DataFrame, weights: list[float], anchor: int | None = No
     mass = _totals(scored, [], k)
     live = mass > 0
     if not live.any():
-        return []
+        return Solution([])
     size = mass[anchor] / w[anchor] if anchor is not None and mass[anchor] > 0 and w[anchor] > 0 else mass.sum()
     target, steps, totals = w * size, [], mass if bounds is None else _totals(scored, [], k, bounds)
-    for _ in range(MAX_STEPS):
+    rest = False
+    while not rest and len(steps) < MAX_STEPS:
         off = totals - target
         if np.all(np.abs(off[live]) <= TOLERANCE * np.maximum(target, 0.01 * size)[live]):
+            rest = True
             break
         steps.append(np.where(live, off / np.where(live, mass, 1), 0.0))
         after = _totals(scored, steps, k, bounds)
-        if np.abs(after - totals).max() <= 1e-5 * size:
-            break
+        rest = bool(np.abs(after - totals).max() <= 1e-5 * size)
         totals = after
-    return steps
+    return Solution(steps, float(np.abs((totals - target)[live]).max() / size), rest)
 
 
-def mix(documents: DataFrame, model: DomainModel, weights: dict[str, float], anchor: str | None = None, text_col: str = "text", keep_text: bool = True, keep: tuple[str, ...] = (), drop: tuple[str, ...] = ()) -> DataFrame:
-    """``documents`` with ``tokens``, ``posterior``, ``rate`` and ``copies`` (columns of these names are replaced).
+def mix(documents: DataFrame, model: DomainModel, weights: dict[str, float], anchor: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``documents`` with ``tokens``, ``posterior``, ``rate``, ``copies``, ``n_steps``, ``residual`` and ``converged``
+    (columns of these names are replaced; the last three are those of the solution, alike on all rows).
 
-    ``copies`` is the whole part of the rate, and one more with the probability of the rest, decided by a draw
-    that is stored with the row, so equal texts are drawn apart. Rates within ``SNAP`` of a whole number are
-    that number. Documents whose likeliest domain is one of ``keep`` have a rate of at least 1, so they are never drawn
-    out; those of ``drop`` have rate 0. Null and empty texts have no tokens and are given their rate like others. An empty table stays empty.
+    ``copies`` is the whole part of the rate, and one more with the probability of the rest, decided by a hash of
+    identifier and text: the same on every cluster, for equal texts under different identifiers different, for
+    repeated rows the same. Documents whose likeliest domain (of equally likely ones the first) is one of ``keep``
+    have a rate of at least 1, so they are never drawn out. Null and empty texts have no tokens and are given their
+    rate like others. An empty table stays empty.
     """
-    documents = documents.drop("tokens", "posterior", "rate", "copies")
-    scored = cut_lineage(posteriors(documents, model, text_col, keep_text).withColumn("_draw", F.rand(17)), "mixing_scored")
+    documents = documents.drop("tokens", "posterior", "rate", "copies", "n_steps", "residual", "converged")
+    (draw,) = spare_names(documents, "draw")
+    drawn = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), 11) / float(1 << 53)
+    scored = cut_lineage(posteriors(documents.withColumn(draw, drawn), model, text_col, keep_text), "mixing_scored")
     k = len(model.domains)
-    bounds = Bounds(np.array([float(d in keep) for d in model.domains]), np.array([0.0 if d in drop else np.inf for d in model.domains])) if keep or drop else None
-    steps = solve_rates(scored, [weights.get(d, 0.0) for d in model.domains], model.domains.index(anchor) if anchor else None, bounds)
+    bounds = Bounds(np.array([float(d in keep) for d in model.domains]), np.full(k, np.inf)) if keep else None
+    solution = solve_rates(scored, [weights.get(d, 0.0) for d in model.domains], model.domains.index(anchor) if anchor else None, bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(_matrix(batch, k), steps, bounds))], [*batch.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates(_matrix(batch, k), solution.steps, bounds))], [*batch.schema.names, "rate"])
 
     rated = scored.mapInArrow(run, scored.withColumn("rate", F.lit(0.0)).schema)
-    whole = F.when(F.abs(F.col("rate") - F.round("rate")) <= SNAP, F.round("rate")).otherwise(F.floor(F.col("rate") + F.col("_draw")))
-    return rated.withColumn("copies", whole.cast("int")).drop("_draw")
+    return rated.withColumn("copies", F.floor(F.col("rate") + F.col(draw)).cast("int")).drop(draw).withColumns(
+        {"n_steps": F.lit(len(solution.steps)), "residual": F.lit(solution.residual), "converged": F.lit(solution.converged)})
 
 
 def apply_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mixed corpus: every row as many times as its ``copies``; rows with none go."""
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    (copy,) = spare_names(mixed, "copy")
+    return mixed.filter("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeledger.llm.batches import bound_batches, slices, texts_of
+from tapeledger.llm.batches import bound_batches, slices, spare_names, texts_of
 from tapeledger.llm.components import connected_components
 from tapeledger.llm.words import shingles
 from tapeledger.session import cut_lineage
@@ -382,11 +382,12 @@ def keep_first(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     Rows without ``doc_id`` stay. Rows that share the kept ``doc_id`` are of one node and leave one row, the one with
     the smallest text hash.
     """
-    groups = near_duplicates(documents, size, percent).filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    kept = documents.join(groups, F.col("doc_id") == F.col("_drop"), "left_anti")
-    twice = documents.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_k"), F.min(F.xxhash64("text")).alias("_h")).filter("_k > 1")
+    groups = near_duplicates(documents, size, percent).filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    kept = documents.join(groups, "doc_id", "left_anti").select(*documents.columns)
+    k, h, own = spare_names(documents, "k", "h", "own")
+    twice = documents.filter("doc_id is not null").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(k), F.min(F.xxhash64("text")).alias(h)).filter(F.col(k) > 1)
     if twice.isEmpty():
         return kept
-    marked = kept.join(twice.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
-    plain = marked.filter("_id is null").select(*documents.columns)
-    return plain.unionByName(marked.filter("_id is not null").filter(F.xxhash64("text") == F.col("_h")).dropDuplicates(["doc_id"]).select(*documents.columns))
+    marked = kept.join(twice, F.col("doc_id") == F.col(own), "left")
+    plain = marked.filter(F.col(own).isNull()).select(*documents.columns)
+    return plain.unionByName(marked.filter(F.xxhash64("text") == F.col(h)).dropDuplicates(["doc_id"]).select(*documents.columns))

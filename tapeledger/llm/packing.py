@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tapeledger.llm.batches import bound_batches, slices, texts_of
 from tapeledger.llm.tokens import piece_tokenizer, with_end
@@ -99,7 +100,7 @@ def pack_documents(documents: DataFrame, tokenizer_file: str, end_id: int = 2, w
 
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "fill", *(["ids"] if with_ids else [])]
     kept = documents.select(id_col, text_col)
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[dict(kept.dtypes)[id_col]]
+    key_type = to_arrow_type(kept.schema[id_col].dataType)
     schema = f"`{id_col}` {dict(kept.dtypes)[id_col]}, " + ", ".join(f"{c} long" for c in names[1:8]) + (", ids binary" if with_ids else "")
     placed = cut_lineage(kept.mapInArrow(run, schema), "packed")
     left = placed.filter("fill is not null").select("sequence_id", "fill")

@@ -83,15 +83,15 @@ def op6_secret_scan(spark, sf_dir):
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     number = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *(number(k) for k in secret_scan.BASE), F.sha2(secret_scan.spans_text(F.col("found"), secret_scan.BASE).cast("binary"), 256).alias("base_sha256"),
-                        secret_scan.spans_text(F.col("found")).alias("spans"), "n_live", "n_example")
+                        secret_scan.spans_text(F.col("found")).alias("spans"), "n_live", "n_example", "most_repos", "most_owners")
 
 
 @query()
 def op9_quality_classifier(spark, sf_dir):
     docs, held_out = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    model = factor_machine.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
-    scored = factor_machine.score_documents(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    model = factor_machine.train(docs, table(spark, sf_dir, "labels").filter(~held_out), metadata=("n_chars",))
+    scored = factor_machine.score_documents(docs.select("doc_id", "text", "n_chars"), model, metadata=("n_chars",))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 @query()
@@ -104,7 +104,7 @@ def op2_mix_sources(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = mixing.train_domains(docs, domains_of(table(spark, sf_dir, "labels")), list(MIX_DOMAINS))
     mixed = mixing.mix(docs, model, MIX_DOMAINS, anchor="clean", keep_text=False)
-    return mixed.select("doc_id", "tokens", *(F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)), "rate", "copies")
+    return mixed.select("doc_id", "tokens", *(F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)), "rate", "copies", "n_steps", "residual", "converged")
 
 
 @query()

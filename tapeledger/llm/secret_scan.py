@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeledger.llm.batches import bound_batches, slices, texts_of
+from tapeledger.llm.batches import bound_batches, slices, spare_names, texts_of
 from tapeledger.session import cut_lineage
 
 # Kinds in their order, pattern, least length, group measured.
@@ -29,6 +29,8 @@ KINDS = [
 BASE = ("assign", "access", "hex")
 #: Owners from which on a value counts as a copied example.
 SHARED_OWNERS = 3
+#: Repositories from which on it counts as one even if a single owner holds them: a template copied along.
+SHARED_REPOS = 10
 
 #: A maximal run of at least the least length is what the plain pattern finds, and is found faster.
 _FAST = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
@@ -67,29 +69,33 @@ def scan_texts(documents: DataFrame, text_col: str = "text", found_col: str = "f
     return kept.mapInArrow(scan, kept.select(*rest, F.lit(None).cast(FOUND).alias(found_col)).schema)
 
 
-def ownership(found: DataFrame, repo_col: str, owner_col: str, shared_owners: int = SHARED_OWNERS) -> DataFrame:
-    """Per value hash: distinct repositories and owners, and whether it looks live.
+def ownership(found: DataFrame, repo_col: str, owner_col: str, shared_owners: int = SHARED_OWNERS, shared_repos: int = SHARED_REPOS) -> DataFrame:
+    """Per value hash: distinct repositories and owners, and whether it looks live: few owners hold it, in few repositories.
 
     Repeats within a repository are combined before the shuffle, so a value copied into a third of all rows
     costs one row per task and repository. A null repository or owner counts as one more, unnamed one.
     """
     values = found.select(F.explode("found.value").alias("value"), F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner")).distinct()
     owners = values.groupBy("value", "owner").agg(F.count("*").alias("repos"))
-    return owners.groupBy("value").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners")).withColumn("live", F.col("n_owners") < shared_owners)
+    return owners.groupBy("value").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners")).withColumn("live", (F.col("n_owners") < shared_owners) & (F.col("n_repos") < shared_repos))
 
 
-def scan_secrets(documents: DataFrame, repo_col: str = "source", owner_col: str = "source", text_col: str = "text", shared_owners: int = SHARED_OWNERS) -> DataFrame:
-    """One row per document: its other columns, ``found`` (spans with value hashes), ``n_live`` and ``n_example``.
+def scan_secrets(documents: DataFrame, repo_col: str = "source", owner_col: str = "source", text_col: str = "text", shared_owners: int = SHARED_OWNERS, shared_repos: int = SHARED_REPOS) -> DataFrame:
+    """One row per document: its other columns, ``found`` (spans with value hashes), ``n_live``, ``n_example``,
+    ``most_repos`` and ``most_owners`` (columns of these names are replaced).
 
-    ``n_live`` counts the spans whose value fewer than ``shared_owners`` owners hold, ``n_example`` the others.
+    ``n_live`` counts the spans whose value fewer than ``shared_owners`` owners hold in fewer than ``shared_repos``
+    repositories, ``n_example`` the others; ``most_repos`` and ``most_owners`` are those of its most spread value.
     Null and empty texts give empty ``found`` and zeros; repeated rows stay repeated; an empty table stays empty.
     """
-    documents = documents.drop("found", "n_live", "n_example")
-    found = cut_lineage(scan_texts(documents.withColumn("_row", F.expr("uuid()")), text_col), "secrets_found")
-    states = ownership(found, repo_col, owner_col, shared_owners)
-    counts = found.select("_row", F.explode("found.value").alias("value")).join(states, "value").groupBy("_row").agg(
-        F.sum(F.col("live").cast("long")).alias("n_live"), F.sum((~F.col("live")).cast("long")).alias("n_example"))
-    return found.join(counts, "_row", "left").na.fill(0, ["n_live", "n_example"]).drop("_row")
+    added = ["n_live", "n_example", "most_repos", "most_owners"]
+    documents = documents.drop("found", *added)
+    (row,) = spare_names(documents, "row")
+    found = cut_lineage(scan_texts(documents.withColumn(row, F.expr("uuid()")), text_col), "secrets_found")
+    states = ownership(found, repo_col, owner_col, shared_owners, shared_repos)
+    counts = found.select(row, F.explode("found.value").alias("value")).join(states, "value").groupBy(row).agg(
+        F.sum(F.col("live").cast("long")).alias("n_live"), F.sum((~F.col("live")).cast("long")).alias("n_example"), F.max("n_repos").alias("most_repos"), F.max("n_owners").alias("most_owners"))
+    return found.join(counts, row, "left").na.fill(0, added).drop(row)
 
 
 def spans_text(found, kinds: tuple[str, ...] | None = None):
@@ -98,21 +104,22 @@ def spans_text(found, kinds: tuple[str, ...] | None = None):
     return F.array_join(F.transform(kept, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact_live(documents: DataFrame, repo_col: str = "source", owner_col: str = "source", text_col: str = "text", mask: str = "[secret]", shared_owners: int = SHARED_OWNERS) -> DataFrame:
+def redact_live(documents: DataFrame, repo_col: str = "source", owner_col: str = "source", text_col: str = "text", mask: str = "[secret]", shared_owners: int = SHARED_OWNERS, shared_repos: int = SHARED_REPOS) -> DataFrame:
     """``documents`` with every live-looking span of the text replaced by ``mask``; nothing else changes.
 
     Rows, their number and all other columns stay. Overlapping live spans are masked as one. Null texts stay null.
     """
     digest = F.md5(F.col(text_col).cast("binary"))
-    keyed = documents.withColumn("_text", digest)
-    found = cut_lineage(scan_texts(keyed.select("_text", F.col(repo_col).alias("_repo"), F.col(owner_col).alias("_owner"), text_col).filter(F.col(text_col).isNotNull()), text_col).filter(F.size("found") > 0), "secrets_found")
-    live = ownership(found, "_repo", "_owner", shared_owners).filter("live").select("value")
-    spans = found.select("_text", F.explode("found").alias("s")).distinct().withColumn("value", F.col("s.value")).join(live, "value", "left_semi")
-    cuts = spans.groupBy("_text").agg(F.array_sort(F.collect_set(F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end")))).alias("_cuts"))
+    key, cut = spare_names(documents, "digest", "cuts")
+    keyed = documents.withColumn(key, digest)
+    found = cut_lineage(scan_texts(documents.select(digest.alias("digest"), F.col(repo_col).alias("repo"), F.col(owner_col).alias("owner"), F.col(text_col).alias("text")).filter("text is not null")).filter(F.size("found") > 0), "secrets_found")
+    live = ownership(found, "repo", "owner", shared_owners, shared_repos).filter("live").select("value")
+    spans = found.select(F.col("digest").alias(key), F.explode("found").alias("s")).distinct().withColumn("value", F.col("s.value")).join(live, "value", "left_semi")
+    cuts = spans.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end")))).alias(cut))
     # left to right: a span that begins within the last one lengthens it; substring() counts code points from 1
     text = F.col(text_col)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     step = lambda a, c: F.when(c["end"] <= a["at"], a).otherwise(F.struct(
         F.when((c["start"] < a["at"]) & (a["at"] > 0), a["out"]).otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, c["start"] - a["at"]), F.lit(mask))).alias("out"), c["end"].alias("at")))
-    masked = F.aggregate("_cuts", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return keyed.join(cuts, "_text", "left").withColumn(text_col, F.when(F.col("_cuts").isNull(), text).otherwise(masked)).select(*documents.columns)
+    masked = F.aggregate(cut, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return keyed.join(cuts, key, "left").withColumn(text_col, F.when(F.col(cut).isNull(), text).otherwise(masked)).select(*documents.columns)

@@ -27,7 +27,8 @@ class PieceTokenizer:
     """Encodes Arrow texts to ids; ``definition`` is the content of a tokenizer file of the ``tokenizers`` library.
 
     A tokenizer with a normaliser drops white space but for its splitting words (``word_bpe``); one without lets a
-    space belong to the word after it (byte-level BPE). Strings of special tokens are ordinary text.
+    space belong to the word after it (byte-level BPE). The strings of added tokens become their ids, as in the
+    library's own call.
     """
 
     def __init__(self, definition: str) -> None:
@@ -36,7 +37,6 @@ class PieceTokenizer:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
         self.drops_space = self.tokenizer.normalizer is not None
         shown = ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {i: shown.pre_tokenize_str(chr(i))[0][0] for i in range(1, 256)}  # how the model's vocabulary writes each character
@@ -46,6 +46,8 @@ class PieceTokenizer:
         self.runs = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
         #: Texts that are encoded whole: a space within white space, or what only one side takes for white space.
         self.odd = "[\x1c-\x1f]" if self.drops_space else f"[{_SPACE}] (?:[{_SPACE}]|$)|^ (?:[{_SPACE}]|$)"
+        for token in self.tokenizer.get_added_tokens_decoder().values():  # or that hold the string of an added token
+            self.odd += "|" + re.escape(token.content)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeledger.llm.batches import spare_names
 from tapeledger.llm.components import connected_components
 from tapeledger.session import cut_lineage
 
@@ -102,16 +103,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", html_co
     if redirects is not None:
         edges = edges.unionByName(redirects.select(key_of(F.col("from_url")).alias("u"), key_of(F.col("to_url")).alias("v")))
     edges = cut_lineage(edges.filter("u <> v").distinct(), "url_edges")
-    added = ["host", "path", "rule", "verdict"]
-    pages = pages.drop(*added).withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
+    pages = pages.drop("host", "path", "rule", "verdict")
+    action, key, is_reached = spare_names(pages, "action", "key", "reached")
+    pages = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     if edges.isEmpty():
-        found = match_rules(pages, rules)
-        return pages.join(found, ["host", "path"], "left").withColumn("verdict", F.coalesce("action", F.lit("allow"))).drop("action")
+        found = match_rules(pages, rules).withColumnRenamed("action", action)
+        return pages.join(found, ["host", "path"], "left").withColumn("verdict", F.coalesce(action, F.lit("allow"))).drop(action)
     names = connected_components(edges, "url_components")
     url = F.concat(F.lit("x://"), F.col("node"))
     nodes = cut_lineage(names.withColumns({"host": host_of(url), "path": path_of(url)}), "url_nodes")
     found = match_rules(pages.select("host", "path").unionByName(nodes.select("host", "path")), rules)
     blocked = nodes.join(found.filter("action = 'block'"), ["host", "path"]).select("component").distinct()
-    reached = nodes.join(blocked, "component", "left_semi").select(F.col("node").alias("_key"), F.lit("block").alias("_reached"))
-    out = pages.withColumn("_key", key_of(F.col(url_col))).join(found, ["host", "path"], "left").join(reached, "_key", "left")
-    return out.withColumn("verdict", F.coalesce("action", "_reached", F.lit("allow"))).drop("action", "_key", "_reached")
+    reached = nodes.join(blocked, "component", "left_semi").select(F.col("node").alias(key), F.lit("block").alias(is_reached))
+    out = pages.withColumn(key, key_of(F.col(url_col))).join(found.withColumnRenamed("action", action), ["host", "path"], "left").join(reached, key, "left")
+    return out.withColumn("verdict", F.coalesce(action, is_reached, F.lit("allow"))).drop(action, key, is_reached)

@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 import xxhash
 
 _M = np.uint64(0x9E3779B97F4A7C15)
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,12 +23,17 @@ def word_codes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndar
 
     Words are runs of anything but space and ``\\t`` to ``\\r``; ``lower`` lower-cases A-Z only.
     """
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    lists = pc.ascii_split_whitespace(texts)
     words, rows = pc.list_flatten(lists), pc.list_parent_indices(lists)
     full = pc.not_equal(words, "")
     words, rows = pc.filter(words, full), pc.filter(rows, full)
     coded = words.combine_chunks().dictionary_encode() if isinstance(words, pa.ChunkedArray) else words.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), rows.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+    codes, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    if lower:  # the distinct words only; those that become equal share a code
+        place: dict[str, int] = {}
+        same = np.fromiter((place.setdefault(w.lower() if w.isascii() else w.translate(_LOWER), len(place)) for w in names), np.int64, len(names))
+        codes, names = same[codes], list(place)
+    return codes, rows.to_numpy(zero_copy_only=False).astype(np.int64), names
 
 
 def word_hashes(words: list[str]) -> np.ndarray:

@@ -379,7 +379,6 @@ def encoded(name, texts, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer(name))
-    t.encode_special_tokens = True
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, end], "<u4") for x in texts]
 
 
