@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeledger.llm import cross_polytope, factor_machine, id_files, license_scan, mixing, ngram_join, packing, secret_scan, simhash, url_filter
+from tapeledger.llm import cross_polytope, divergence, factor_machine, id_files, license_scan, line_crf, mixing, ngram_join, packing, secret_scan, simhash, url_filter, whitening
 from tapeledger.session import cut_lineage
 
 #: shares of the mixed tokens by domain of the labelled table
@@ -143,3 +143,45 @@ def op5_license_scan(spark, sf_dir):
     best = F.array_sort("licenses", lambda a, b: F.when(a["dice"] != b["dice"], F.when(a["dice"] > b["dice"], -1).otherwise(1)).otherwise(F.when(a["license"] < b["license"], -1).when(a["license"] > b["license"], 1).otherwise(a["start"] - b["start"])))
     spans = F.array_join(F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.try_element_at(best, F.lit(1))["license"].alias("license"), F.try_element_at(best, F.lit(1))["dice"].alias("dice"), spans.alias("spans"))
+
+
+DIVERGENCE_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+words AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+held AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM words GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM held GROUP BY ALL HAVING sum(docs) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+voc AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+total AS (
+  SELECT g.lang, g.source, coalesce(sum(h.n), 0) AS n FROM groups g LEFT JOIN (SELECT held.* FROM held SEMI JOIN kept USING (lang, term)) h USING (lang, source) GROUP BY ALL),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(h.n, 0) + 1)) // (t.n + v.v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (k.n + 1)) // (v.n + v.v)::HUGEINT AS q
+  FROM groups g JOIN kept k USING (lang) JOIN voc v USING (lang) JOIN total t ON t.lang = g.lang AND t.source = g.source
+  LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value FROM pairs LEFT JOIN sums USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query(DIVERGENCE_SQL)
+def op11_source_divergence(spark, sf_dir):
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_line_crf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = line_crf.train_field(docs, table(spark, sf_dir, "labels"))
+    return line_crf.label_lines(docs, field, keep_text=False).select("doc_id", *line_crf.STATS, "base_failed", "kept", "n_content_words", "line_labels")
+
+
+@query()
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.component_rows(whitening.whiten(table(spark, sf_dir, "embeddings")))
