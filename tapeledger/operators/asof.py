@@ -56,20 +56,26 @@ def _struct_of(df: DataFrame):
 
 def incremental_asof(
     events: DataFrame, quotes: DataFrame, carry: DataFrame | None, keys: list[str] = ["symbol"], tolerance_us: int = PRICE_TOLERANCE_US,
-    sequence: str | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """One increment of the join. ``carry`` holds the last quote per key of everything processed before
-    (keys, timestamp, oracle_px); returns (priced events, new carry). Chaining increments gives what one run
-    over all of them gives, including events just after midnight."""
+    sequence: str | None = None, lateness_us: int = 0,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One increment of the join: ``(priced events, new carry, late events)``.
+
+    The mark of a key is the time of the newest quote of the increments before. An event may come up to ``lateness_us``
+    behind the mark. ``carry`` holds the quotes (keys, timestamp, oracle_px) that such an event can still need: those
+    no older than lateness and tolerance together, and the newest. So increments in any order within the lateness give
+    what one run over all of them gives. Events further behind come out as late, without a price that could be wrong."""
     columns = [*keys, "timestamp", "oracle_px"] + ([sequence] if sequence else [])
-    known = quotes.select(*columns)
+    known, late = quotes.select(*columns), events.limit(0)
     if carry is not None:
+        marks = carry.groupBy(*keys).agg(F.max("timestamp").alias("_mark"))
+        behind = F.coalesce(epoch_us("_mark") - epoch_us("timestamp") > lateness_us, F.lit(False))
+        placed = events.join(marks, on=keys, how="left").withColumn("_late", behind)
+        late, events = (placed.where(c).select(*events.columns) for c in ("_late", "not _late"))
         known = known.unionByName(carry.select(*columns))
     priced = asof_price(events, known, keys=keys, tolerance_us=tolerance_us, sequence=sequence)
-    newest = F.struct("timestamp", *([sequence] if sequence else []))
-    rest = [c for c in columns if c not in keys]
-    latest = known.groupBy(*keys).agg(F.max_by(F.struct(*rest), newest).alias("_r")).select(*keys, "_r.*")
-    return priced, latest
+    newest = known.groupBy(*keys).agg(F.max("timestamp").alias("_mark"))
+    kept = known.join(newest, on=keys).where(epoch_us("_mark") - epoch_us("timestamp") <= lateness_us + tolerance_us)
+    return priced, kept.select(*columns), late
 
 
 def new_dates(requested: DataFrame, high_water_mark: str | None) -> DataFrame:

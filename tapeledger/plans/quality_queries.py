@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeledger.functions.digest import table_digest
-from tapeledger.functions.timegrid import MINUTE_US
+from tapeledger.functions.timegrid import DAY_US, MINUTE_US
 from tapeledger.operators import asof, intervals, quality
 from tapeledger.operators.ordered import exact_percentiles
 from tapeledger.plans import views as V
@@ -197,18 +197,35 @@ def asof_oracle_price_2min(spark, sf):
     return asof.asof_price(events, quotes, sequence="quote_id")
 
 
+_INCREMENT = "CASE WHEN timestamp < TIMESTAMP '2024-01-10' THEN 0 WHEN timestamp < TIMESTAMP '2024-01-20' THEN 1 ELSE 2 END"
+
+
 @query("asof_incremental_equals_full", _ASOF.format(m=30), ("ticks",))
 def asof_incremental_equals_full(spark, sf):
-    """Three increments that hand on the last quote of each symbol; the result is that of one run."""
+    """Three increments that hand on the quotes an event may still need; every ninth event comes an increment after its
+    quotes, behind the newest quote. The result is that of one run."""
+    parts, _ = _increments(spark, sf, lateness_us=12 * DAY_US)
+    return parts
+
+
+@query("asof_incremental_late", f"""SELECT symbol, timestamp, trade_id FROM (SELECT *, {_INCREMENT} AS i FROM ticks WHERE venue = 'B') e WHERE trade_id % 9 = 0 AND i < 2
+  AND timestamp + INTERVAL 6 DAY < (SELECT max(timestamp) FROM ticks q WHERE q.venue = 'A' AND q.symbol = e.symbol AND {_INCREMENT.replace('timestamp', 'q.timestamp')} <= e.i)""", ("ticks",))
+def asof_incremental_late(spark, sf):
+    """The events that come more than six days behind the newest quote of their symbol."""
+    _, late = _increments(spark, sf, lateness_us=6 * DAY_US)
+    return late
+
+
+def _increments(spark, sf, lateness_us):
     events, quotes = _sides(spark, sf)
-    cuts = [None, F.lit("2024-01-10").cast("timestamp_ntz"), F.lit("2024-01-20").cast("timestamp_ntz"), None]
-    parts, carry = [], None
-    for low, high in zip(cuts, cuts[1:]):
-        after, before = F.lit(True) if low is None else F.col("timestamp") >= low, F.lit(True) if high is None else F.col("timestamp") < high
-        inside = lambda df: df.where(after & before)  # noqa: B023, E731
-        priced, carry = asof.incremental_asof(inside(events), inside(quotes), carry, tolerance_us=30 * MINUTE_US, sequence="quote_id")
-        parts.append(priced)
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    number = F.when(F.col("timestamp") < F.lit("2024-01-10").cast("timestamp_ntz"), 0).when(F.col("timestamp") < F.lit("2024-01-20").cast("timestamp_ntz"), 1).otherwise(2)
+    comes = F.when(F.col("trade_id") % 9 == 0, F.least(number + 1, F.lit(2))).otherwise(number)
+    priced, late, carry = None, None, None
+    for i in range(3):
+        done, carry, behind = asof.incremental_asof(events.where(comes == i), quotes.where(number == i), carry, tolerance_us=30 * MINUTE_US, sequence="quote_id", lateness_us=lateness_us)
+        carry = cut_lineage(carry, "asof-carry")
+        priced, late = (done, behind) if priced is None else (priced.unionByName(done), late.unionByName(behind))
+    return priced, late
 
 
 _PERCENTS = [1, 5, 25, 50, 75, 95, 99]

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tapeledger.functions.timegrid import moment
+from tapeledger.functions.timegrid import HOUR_US, moment, time_block
 from tapeledger.operators.accrete import KEYS
-from tapeledger.operators.asof import PRICE_TOLERANCE_US, incremental_asof
+from tapeledger.operators.asof import PRICE_TOLERANCE_US
 from tapeledger.operators.bars import dedupe_by_key, native_traded
 from tapeledger.session import cut_lineage
 
@@ -35,21 +35,42 @@ def append_to(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def asof_prices(stream: DataFrame, split, out: str, carry: str, checkpoint: str, tolerance_us: int = PRICE_TOLERANCE_US, sequence: str | None = None) -> StreamingQuery:
-    """As-of prices batch by batch. ``split`` turns a batch into (events, quotes). The last quote of every symbol is
-    carried to the next batch in a small table, one version per batch; a batch that is run again reads the
-    version before it and writes the same files."""
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        events, quotes = split(batch)
-        columns = ["symbol", "timestamp", "oracle_px"] + ([sequence] if sequence else [])
-        before = spark.read.schema(quotes.select(*columns).schema).parquet(f"{carry}/{batch_id - 1}") if batch_id > 0 else None
-        priced, latest = incremental_asof(events, quotes, before, tolerance_us=tolerance_us, sequence=sequence)
-        priced.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        latest.write.mode("overwrite").parquet(f"{carry}/{batch_id}")
-
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def asof_prices(events: DataFrame, quotes: DataFrame, delay: str, tolerance_us: int = PRICE_TOLERANCE_US, sequence: str = "quote_id") -> DataFrame:
+    """As-of prices of an event stream ``(symbol, timestamp, ...)`` from a quote stream ``(symbol, timestamp, oracle_px,
+    sequence)``; both may be out of order by ``delay``. Event rows must differ in some column.
+
+    A stream-stream join by interval keeps both sides only as long as the watermarks need them; the newest quote of each
+    event is then picked by an aggregation that appends an event once nothing can change it. Spark keeps and
+    cleans the state. Rows behind the watermark are dropped: see ``late_events``. Blocks of time are part of the join key, so a
+    hot symbol is spread over tasks; a quote is copied to the next block, as blocks are no shorter than the tolerance."""
+    width = max(HOUR_US, tolerance_us)
+    left = events.withWatermark("timestamp", delay).withColumn("_block", time_block("timestamp", width))
+    right = quotes.select(F.col("symbol").alias("_symbol"), F.col("timestamp").alias("_quote_time"), F.col("oracle_px").alias("_px"), F.col(sequence).alias("_sequence"))
+    right = right.withWatermark("_quote_time", delay).withColumn("_quote_block", F.explode(F.array(*(time_block("_quote_time", width) + i for i in (0, 1)))))
+    within = F.expr(f"_quote_time <= timestamp AND _quote_time >= timestamp - INTERVAL {tolerance_us} MICROSECONDS")
+    pairs = left.join(right, (F.col("symbol") == F.col("_symbol")) & (F.col("_block") == F.col("_quote_block")) & within, "leftOuter")
+    # of quotes at the very time of the event the first counts, of earlier ones the last
+    newest = F.struct("_quote_time", F.when(F.col("_quote_time") == F.col("timestamp"), -F.col("_sequence")).otherwise(F.col("_sequence")))
+    best = pairs.groupBy(*events.columns).agg(F.max_by(F.struct("_px", "_quote_time"), newest).alias("_best"))
+    return best.select(*events.columns, F.col("_best._px").alias("oracle_price"), F.col("_best._quote_time").alias("quote_time"))
+
+
+def late_events(events: DataFrame, priced: DataFrame, keys: list[str]) -> DataFrame:
+    """Events of a finished stream (one whose watermark has passed all of them) that came behind the watermark and so have no row."""
+    return events.join(priced.select(*keys), on=keys, how="left_anti")
+
+
+def agreed_pages(pages: DataFrame, keys: list[str], values: list[str], delay: str) -> DataFrame:
+    """Overlapping pages of a stream merged: each key once, when the watermark has passed it, with ``n_rows`` (rows that
+    gave it) and ``agree`` (whether their values were equal; of unequal ones those of the smallest hash come out).
+
+    ``keys`` hold the event time ``timestamp``. Exact repeats are dropped within the watermark before they reach the
+    aggregation, so a page that is read over and over costs one row of state per key and value, and ``n_rows`` counts
+    different rows."""
+    marked = pages.withWatermark("timestamp", delay).withColumn("_hash", F.xxhash64(*values))
+    once = marked.dropDuplicatesWithinWatermark([*keys, "_hash"])
+    merged = once.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.min_by(F.struct(*values), "_hash").alias("_row"))
+    return merged.select(*keys, "_row.*", "n_rows", (F.col("n_rows") == 1).alias("agree"))
 
 
 def accrete_stream(stream: DataFrame, out: str, conflict_log: str, checkpoint: str, keys: list[str] = KEYS) -> StreamingQuery:

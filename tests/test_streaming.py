@@ -42,19 +42,53 @@ def test_bars_and_coverage(spark, feed):
     assert rows(seen, "symbol", "coverage_start") == rows(closed, "symbol", "coverage_start")
 
 
-def _split(b):
-    b = b.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
-    return b.where("venue = 'B'").select("symbol", "timestamp", "trade_id"), b.where("venue = 'A'").select("symbol", "timestamp", F.col("px").alias("oracle_px"), F.col("trade_id").alias("qid"))
+def test_asof_of_a_stream_out_of_order(spark, tmp_path):
+    """Quotes of one instant, an event at that very instant, hot symbol; days come in the order 1, 0, 2; one event is late."""
+    rnd = random.Random(5)
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    items = [("hot" if rnd.random() < 0.7 else "cold", at(rnd.randrange(3 * 24 * 60)), i, round(rnd.uniform(1, 9), 2), 1.0, rnd.choice("AB")) for i in range(600)]
+    items += [("solo", at(100), 1000 + i, float(i), 1.0, "A") for i in range(3)] + [("solo", at(100), 1010, 0.0, 1.0, "B"), ("solo", at(101), 1011, 0.0, 1.0, "B")]
+    late = [("cold", at(7), 2000, 0.0, 1.0, "B")]
+    end = [("end", at(60 * 24 * 60), 3000 + i, 0.0, 1.0, v) for i, v in enumerate("AB")]
+    batch = spark.createDataFrame(items, SCHEMA)
 
+    def split(b):
+        return b.where("venue = 'B'").select("symbol", "timestamp", "trade_id"), b.where("venue = 'A'").select("symbol", "timestamp", F.col("px").alias("oracle_px"), F.col("trade_id").alias("quote_id"))
 
-def test_asof_over_batches(spark, feed):
-    stream, batch, tmp = feed
-    tape.asof_prices(stream, _split, f"{tmp}/a", f"{tmp}/carry", f"{tmp}/ac", 30 * 60_000_000, "qid").awaitTermination()
-    events, quotes = _split(batch)
-    want = asof.asof_price(events, quotes, tolerance_us=30 * 60_000_000, sequence="qid").select("trade_id", "oracle_price")
-    got = spark.read.parquet(f"{tmp}/a")
-    assert got.select("batch").distinct().count() == 3
+    for part in ([x for x in items if (x[1] - T0).days == 1], [x for x in items if (x[1] - T0).days == 0], [x for x in items if (x[1] - T0).days == 2], late, end):
+        spark.createDataFrame(part, SCHEMA).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+        tape.append_to(tape.asof_prices(*split(stream), "2 days", 30 * 60_000_000), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out")
+    want = asof.asof_price(*split(batch), tolerance_us=30 * 60_000_000, sequence="quote_id").select("trade_id", "oracle_price")
     assert rows(got.select("trade_id", "oracle_price"), "trade_id") == rows(want, "trade_id")
+    assert {r.trade_id: r.oracle_price for r in got.collect()}[1010] == 0.0 and {r.trade_id: r.oracle_price for r in got.collect()}[1011] == 2.0
+    everything = spark.createDataFrame(items + late, SCHEMA)
+    assert [r.trade_id for r in tape.late_events(split(everything)[0], got, ["trade_id"]).collect()] == [2000]
+
+
+def test_increments_keep_what_late_events_need(spark):
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    quotes = lambda *q: spark.createDataFrame([("X", t, p, i) for i, (t, p) in enumerate(q)], "symbol string, timestamp timestamp_ntz, oracle_px double, qid bigint")
+    events = lambda *t: spark.createDataFrame([("X", x) for x in t], "symbol string, timestamp timestamp_ntz")
+    minute = 60_000_000
+    _, carry, _ = asof.incremental_asof(events(), quotes((at(10, 0), 1.0), (at(10, 20), 2.0), (at(8, 0), 9.0)), None, tolerance_us=30 * minute, sequence="qid", lateness_us=15 * minute)
+    assert sorted(r.oracle_px for r in carry.collect()) == [1.0, 2.0]
+    priced, carry, late = asof.incremental_asof(events(at(10, 10), at(10, 25), at(10, 4)), quotes((at(10, 24), 3.0)), carry, tolerance_us=30 * minute, sequence="qid", lateness_us=15 * minute)
+    assert [(r.timestamp, r.oracle_price) for r in priced.orderBy("timestamp").collect()] == [(at(10, 10), 1.0), (at(10, 25), 3.0)]
+    assert [r.timestamp for r in late.collect()] == [at(10, 4)]
+
+
+def test_pages_merge_once(spark, tmp_path):
+    schema = "key string, timestamp timestamp, px double"
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    pages = [[("a", at(1), 1.0), ("a", at(1), 1.0), ("b", at(2), 5.0)], [("b", at(2), 6.0), ("c", at(3), None)], [("a", at(1), 1.0), ("c", at(3), None)], [("end", at(500), 0.0)]]
+    for page in pages:
+        spark.createDataFrame(page, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        tape.append_to(tape.agreed_pages(stream, ["key", "timestamp"], ["px"], "1 day"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    got = {r.key: (r.px if r.agree else None, r.n_rows, r.agree) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {"a": (1.0, 1, True), "b": (None, 2, False), "c": (None, 1, True)}
 
 
 def test_accretion_over_batches(spark, tmp_path):
