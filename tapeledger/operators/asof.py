@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeledger.functions.timegrid import HOUR_US, MINUTE_US, epoch_us, time_block
+from tapeledger.operators.ordered import row_blocks
 
 PRICE_TOLERANCE_US = 2 * MINUTE_US
 
@@ -18,33 +19,22 @@ def asof_price(
     most ``tolerance_us``; otherwise NULL. Where several quotes carry one time, the first counts for an event at
     that very time and the last for later events (``sequence`` tells them apart).
 
-    Time is cut into blocks at least as wide as the tolerance, so the answer lies in the event's block or is the
-    last quote of the block before. That one row per block is handed on, and a window never holds more than one
-    block of one key. Nothing is paired, each side is read and shuffled once."""
-    block_us = max(block_us, tolerance_us)
+    Both sides are laid on one time line per key, cut into blocks of time and, where many rows fall into one, of rows.
+    A window never holds more than one block; the last quote before a block is handed on as one row per
+    block. Nothing is paired, each side is read and shuffled once."""
     order = F.col(sequence) if sequence else F.lit(0)
     instants = quotes.groupBy(*keys, F.col(time).alias("_qt")).agg(
         F.min_by(price, order).alias("_first_px"), F.max_by(price, order).alias("_last_px")
     )
-    instants = instants.withColumn("_block", time_block("_qt", block_us))
     quote = F.struct("_qt", "_first_px", "_last_px")
-    carried = instants.groupBy(*keys, "_block").agg(F.max(quote).alias("_q"))
-    carried = carried.select(*keys, (F.col("_block") + 1).alias("_block"), "_q")
-    rows = (
-        instants.select(*keys, "_block", F.col("_qt").alias("_at"), quote.alias("_q"), F.lit(0).alias("_side"), F.lit(None).cast(_struct_of(events)).alias("_event"))
-        .unionByName(
-            carried.select(*keys, "_block", F.col("_q._qt").alias("_at"), "_q", F.lit(0).alias("_side"), F.lit(None).cast(_struct_of(events)).alias("_event"))
-        )
-        .unionByName(
-            events.select(
-                *keys, time_block(time, block_us).alias("_block"), F.col(time).alias("_at"),
-                F.lit(None).cast(instants.select(quote.alias("q")).schema["q"].dataType).alias("_q"),
-                F.lit(1).alias("_side"), F.struct(*events.columns).alias("_event"),
-            )
-        )
-    )
+    quote_type, event_type = instants.select(quote.alias("q")).schema["q"].dataType, _struct_of(events)
+    rows = instants.select(*keys, F.col("_qt").alias("_at"), F.lit(0).alias("_side"), F.lit(0).cast("bigint").alias("_tie"), quote.alias("_q"), F.lit(None).cast(event_type).alias("_event")).unionByName(
+        events.select(*keys, F.col(time).alias("_at"), F.lit(1).alias("_side"), F.xxhash64(*[c for c, t in events.dtypes if "map<" not in t]).alias("_tie"), F.lit(None).cast(quote_type).alias("_q"), F.struct(*events.columns).alias("_event")))
+    rows = row_blocks(rows, keys, ["_at", "_side", "_tie"], time_block("_at", block_us))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(*keys, "_block").agg(F.max("_q").alias("_q")).select(*keys, "_block", F.last("_q", ignorenulls=True).over(earlier).alias("_carry"))
     seen = Window.partitionBy(*keys, "_block").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_q", F.last("_q", ignorenulls=True).over(seen)).where(F.col("_side") == 1)
+    rows = rows.join(carried, on=[*keys, "_block"], how="left").withColumn("_q", F.coalesce(F.last("_q", ignorenulls=True).over(seen), F.col("_carry"))).where(F.col("_side") == 1)
     near = epoch_us("_at") - epoch_us(F.col("_q._qt")) <= tolerance_us
     px = F.when(F.col("_q._qt") == F.col("_at"), F.col("_q._first_px")).otherwise(F.col("_q._last_px"))
     return rows.select("_event.*", F.when(near, px).alias("oracle_price"), F.when(near, F.col("_q._qt")).alias("quote_time"))

@@ -3,8 +3,8 @@
 A plain window over a series key puts the whole series into one task. That is fine for bars, whose keys are
 unique on a fixed grid (a ten-year series of hourly bars has 87,600 rows), but not for ticks, events or log
 lines, where one key may hold a third of the table. The operators here cut every series into blocks, work on
-blocks in parallel, and pass only one summary row per block along the series. The number of blocks of a key
-is set by the calendar (or by the sequence number), never by how many rows fall into them.
+blocks in parallel, and pass only one summary row per block along the series. Blocks are first those of the
+calendar (or of the sequence number); one with more than ``ROWS_PER_BLOCK`` rows is cut further by the rows themselves.
 """
 
 from __future__ import annotations
@@ -12,6 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeledger.session import cut_lineage
+
+#: Rows of one block, at most; blocks that a round cuts a larger one into, and rows sampled for that.
+ROWS_PER_BLOCK, FAN_OUT, SAMPLED = 1_000_000, 64, 4096
+
 _COMBINE = {
     "sum": lambda before, here: F.coalesce(before, F.lit(0)) + here,
     "count": lambda before, here: F.coalesce(before, F.lit(0)) + here,
@@ -22,6 +27,35 @@ _AGGREGATE = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
 _OVER_BLOCKS = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
 
 
+def row_blocks(df: DataFrame, keys: list[str], order: list[str], block: Column, most: int | None = None) -> DataFrame:
+    """``df`` with ``_block``, an array that rises along each series, such that no block of a key has more than ``most``
+    rows (``ROWS_PER_BLOCK`` if not given).
+
+    Blocks that are too large get splitters: rows of a sample, picked by a hash of the whole ``order``, at even distances.
+    Rows of one time are told apart by the further columns of ``order``; only rows that agree in all of them stay
+    together. A poor sample costs another round. Without large blocks this is one count, combined before the shuffle."""
+    most = most or ROWS_PER_BLOCK
+    cut, on, at = df.withColumn("_block", F.array(block.cast("bigint"))), [*keys, "_block"], F.struct(*order)
+    done = None
+    while True:
+        large = cut.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most)
+        large = cut_lineage(large.withColumn("_parts", F.least(F.lit(FAN_OUT), F.ceil(2 * F.col("_rows") / most))), "large-blocks")
+        if large.isEmpty():
+            return cut if done is None else done.unionByName(cut)
+        draw = F.shiftrightunsigned(F.xxhash64(F.lit(17), *order), 11) / float(1 << 53)
+        sample = cut.join(large, on=on).where(draw * F.col("_rows") < SAMPLED)
+        picked = sample.groupBy(*on).agg(F.array_sort(F.collect_set(at)).alias("_sample"), F.first("_parts").alias("_parts"))
+        place = lambda i: F.element_at("_sample", F.ceil(i * F.size("_sample") / F.col("_parts")).cast("int"))
+        splitters = picked.where(F.size("_sample") > 1).select(*on, F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_parts").cast("int") - 1), place)).alias("_splitters"))
+        splitters = cut_lineage(splitters, "splitters")
+        marked = cut.join(splitters, on=on, how="left")
+        part = F.size(F.filter("_splitters", lambda s: s < at)).cast("bigint")
+        whole = marked.where("_splitters is null").drop("_splitters")  # small enough, or all rows alike
+        done = cut_lineage(whole if done is None else done.unionByName(whole), "whole-blocks")
+        cut = marked.where("_splitters is not null").withColumn("_block", F.concat("_block", F.array(part))).drop("_splitters")
+        cut = cut_lineage(cut, "cut-blocks")
+
+
 def with_previous(
     df: DataFrame, keys: list[str], order: list[str], block: Column, columns: dict[str, str], ahead: bool = False
 ) -> DataFrame:
@@ -30,7 +64,7 @@ def with_previous(
     non-empty block."""
     pick = F.min_by if ahead else F.max_by
     step = F.lead if ahead else F.lag
-    cut = df.withColumn("_block", block)
+    cut = row_blocks(df, keys, order, block)
     values = F.struct(*[F.col(src).alias(new) for new, src in columns.items()])
     edges = cut.groupBy(*keys, "_block").agg(pick(values, F.struct(*order)).alias("_edge"))
     along = Window.partitionBy(*keys).orderBy("_block")
@@ -48,7 +82,7 @@ def with_running(
 ) -> DataFrame:
     """Running aggregates from the start of the series to each row, as ``{name: (kind, column)}`` with kind
     ``sum``, ``count``, ``max`` or ``min``: totals of earlier blocks combined with the running value inside."""
-    cut = df.withColumn("_block", block)
+    cut = row_blocks(df, keys, order, block)
     totals = cut.groupBy(*keys, "_block").agg(*[_AGGREGATE[k](c).alias(f"_t_{n}") for n, (k, c) in aggregates.items()])
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(
@@ -66,33 +100,56 @@ def with_position(df: DataFrame, keys: list[str], order: list[str], block: Colum
     return out.withColumn(name, F.col(name).cast("bigint"))
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, percents: list[int], accuracy: int = 10_000) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, percents: list[int], accuracy: int = 10_000, most: int = ROWS_PER_BLOCK) -> DataFrame:
     """Exact percentiles with linear interpolation for groups of any size: ``keys, percent, n, value``.
 
-    The built-in exact percentile keeps a group's distinct values in one task. Here a mergeable sketch gives a
-    narrow bracket around each percentile, rows are counted per bracket, and only the bracket that holds a wanted
-    rank is ordered: about 4/``accuracy`` of a group. The counts are exact, so a poor sketch would cost time, not
-    correctness. Equal values are counted before they are ordered. ``df`` is read three times; store it first if
-    it is expensive."""
+    The built-in exact percentile keeps a group's distinct values in one task. Here a mergeable sketch gives a narrow
+    bracket around each percentile, rows are counted per bracket, and only brackets that hold a wanted rank go on. One with
+    more than ``most`` rows of different values is narrowed again, in as many rounds as it takes; what is left is ordered.
+    The counts are exact, so a poor sketch costs a round, not correctness. ``df`` is read three times; store it first
+    if it is expensive."""
     rows = df.select(*keys, value).where(F.col(value).isNotNull() & ~F.isnan(value))
-    around = sorted({min(max(p / 100.0 + d / accuracy, 0.0), 1.0) for p in percents for d in (-2.0, 2.0)})
-    edges = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, around, accuracy)).alias("_edges"))
-    placed = rows.join(edges, on=keys) if keys else rows.withColumn("_edges", edges.select("_edges").scalar())
-    placed = placed.withColumn("_bin", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
-    counts = placed.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_in_bin"))
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # a few rows per group
-    counts = counts.withColumns({"_upto": F.sum("_in_bin").over(group.orderBy("_bin")), "n": F.sum("_in_bin").over(group)})
-    wanted = counts.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 0")
     rank = (F.col("n") - 1) * F.col("percent") / F.lit(100.0)
+    wanted = counts.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
     wanted = wanted.withColumns({"_lo": F.floor(rank), "_hi": F.ceil(rank), "_frac": rank - F.floor(rank)})
-    wanted = wanted.withColumn("_rank", F.explode(F.array_distinct(F.array("_lo", "_hi"))))
-    wanted = wanted.where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_in_bin")))
-    needed = placed.join(wanted.select(*keys, "_bin").distinct(), on=[*keys, "_bin"], how="left_semi")
-    needed = needed.groupBy(*keys, "_bin", F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-    ordered = needed.withColumn("_end", F.sum("_n").over(Window.partitionBy(*keys, "_bin").orderBy("_value")))
-    local = F.col("_rank") - (F.col("_upto") - F.col("_in_bin"))
-    found = wanted.join(ordered, on=[*keys, "_bin"]).where((local < F.col("_end")) & (local >= F.col("_end") - F.col("_n")))
+    wanted = wanted.withColumn("_rank", F.explode(F.array_distinct(F.array("_lo", "_hi")))).withColumns({"_path": F.array().cast("array<bigint>"), "_local": F.col("_rank")})
+    around = sorted({min(max(p / 100.0 + d / accuracy, 0.0), 1.0) for p in percents for d in (-2.0, 2.0)})
+    rows, wanted = _narrow(rows.withColumn("_path", F.array().cast("array<bigint>")), wanted, keys, value, around, accuracy)
+    found = None
+    while True:
+        large = (F.col("_in_bin") > most) & (F.element_at("_path", -1) % 2 == 0)
+        part = _ranked(rows, wanted.where(~large), keys, value)
+        found = part if found is None else found.unionByName(part)
+        wanted = wanted.where(large)
+        if wanted.isEmpty():
+            break
+        rows, wanted = _narrow(rows, wanted, keys, value, [i / FAN_OUT for i in range(1, FAN_OUT)], accuracy)
     low = F.max(F.when(F.col("_rank") == F.col("_lo"), F.col("_value")))
     high = F.max(F.when(F.col("_rank") == F.col("_hi"), F.col("_value")))
     found = found.groupBy(*keys, "percent", "n", "_frac").agg(low.alias("_low"), high.alias("_high"))
     return found.select(*keys, "percent", "n", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_frac")).alias("value"))
+
+
+def _narrow(rows: DataFrame, wanted: DataFrame, keys: list[str], value: str, quantiles: list[float], accuracy: int) -> tuple[DataFrame, DataFrame]:
+    """One round: every bracket (``keys, _path``) that holds a wanted rank is cut at its quantiles; values equal to a cut
+    are a bracket of their own, with an odd number. Gives the rows and ranks of the brackets that are still wanted."""
+    on = [*keys, "_path"]
+    rows = rows.join(wanted.select(*on).distinct(), on=on, how="left_semi")
+    edges = rows.groupBy(*on).agg(F.array_distinct(F.percentile_approx(value, quantiles, accuracy)).alias("_edges"))
+    bin_ = 2 * F.size(F.filter("_edges", lambda e: e < F.col(value))) + F.array_contains("_edges", F.col(value)).cast("int")
+    placed = cut_lineage(rows.join(edges, on=on).select(*on, value, bin_.cast("bigint").alias("_bin")), "brackets")
+    counts = placed.groupBy(*on, "_bin").agg(F.count(F.lit(1)).alias("_in_bin"))
+    counts = counts.withColumn("_upto", F.sum("_in_bin").over(Window.partitionBy(*on).orderBy("_bin")))  # a few rows per bracket
+    inside = (F.col("_local") < F.col("_upto")) & (F.col("_local") >= F.col("_upto") - F.col("_in_bin"))
+    ahead = wanted.drop("_in_bin").join(counts, on=on).where(inside).withColumn("_local", F.col("_local") - (F.col("_upto") - F.col("_in_bin")))
+    ahead = cut_lineage(ahead.withColumn("_path", F.concat("_path", F.array("_bin"))).drop("_bin", "_upto"), "wanted-ranks")
+    return placed.select(*keys, F.concat("_path", F.array("_bin")).alias("_path"), value), ahead
+
+
+def _ranked(rows: DataFrame, wanted: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The values at the wanted ranks of brackets small enough to be ordered; equal values are counted first."""
+    on = [*keys, "_path"]
+    needed = rows.join(wanted.select(*on).distinct(), on=on, how="left_semi").groupBy(*on, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    ordered = needed.withColumn("_end", F.sum("_n").over(Window.partitionBy(*on).orderBy("_value")))
+    return wanted.join(ordered, on=on).where((F.col("_local") < F.col("_end")) & (F.col("_local") >= F.col("_end") - F.col("_n"))).select(*keys, "percent", "n", "_frac", "_lo", "_hi", "_rank", "_value")
