@@ -200,14 +200,14 @@ def solve_rates(scored: DataFrame, weights: list[float], anchor: int | None = No
     return Solution(steps, float(np.abs((totals - target)[live]).max() / size), rest)
 
 
-def mix(documents: DataFrame, model: DomainModel, weights: dict[str, float], anchor: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(documents: DataFrame, model: DomainModel, weights: dict[str, float], anchor: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, keep: tuple[str, ...] = (), most: float = np.inf) -> DataFrame:
     """``documents`` with ``tokens``, ``posterior``, ``rate``, ``copies``, ``n_steps``, ``residual`` and ``converged``
     (columns of these names are replaced; the last three are those of the solution, alike on all rows).
 
     ``copies`` is the whole part of the rate, and one more with the probability of the rest, decided by a hash of
     identifier and text: the same on every cluster, for equal texts under different identifiers different, for
     repeated rows the same. Documents whose likeliest domain (of equally likely ones the first) is one of ``keep``
-    have a rate of 1, so they are neither drawn out nor doubled. Null and empty texts have no tokens and are given their
+    have a rate of 1, so they are neither drawn out nor doubled; no rate is above ``most``. Null and empty texts have no tokens and are given their
     rate like others. An empty table stays empty.
     """
     documents = documents.drop("tokens", "posterior", "rate", "copies", "n_steps", "residual", "converged")
@@ -215,7 +215,7 @@ def mix(documents: DataFrame, model: DomainModel, weights: dict[str, float], anc
     drawn = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), 11) / float(1 << 53)
     scored = cut_lineage(posteriors(documents.withColumn(draw, drawn), model, text_col, keep_text), "mixing_scored")
     k = len(model.domains)
-    bounds = Bounds(np.array([float(d in keep) for d in model.domains]), np.array([1.0 if d in keep else np.inf for d in model.domains])) if keep else None
+    bounds = Bounds(np.array([float(d in keep) for d in model.domains]), np.array([1.0 if d in keep else most for d in model.domains])) if keep or most < np.inf else None
     solution = solve_rates(scored, [weights.get(d, 0.0) for d in model.domains], model.domains.index(anchor) if anchor else None, bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
