@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from tapeledger.functions.digest import canonical_text, config_hash
 from tapeledger.functions.timegrid import DAY_US, epoch_us, time_block
 from tapeledger.operators.intervals import overlap_join
-from tapeledger.operators.ordered import with_position, with_previous, with_running
+from tapeledger.operators.lineage import ancestor_overlaps
+from tapeledger.operators.ordered import counts_before, with_position, with_previous, with_running
+from tapeledger.session import cut_lineage
 
 # Fixed values of the record format.
 EXPERIMENT_TYPES = ["pipeline_validation", "infrastructure", "data_audit", "alpha_research", "robustness", "replication"]
@@ -170,46 +172,39 @@ def prior_uses(records: DataFrame, protected: DataFrame, blocking: list[str], di
 
 def _evaluations(records: DataFrame) -> DataFrame:
     """Evaluation windows of all datasets that have one."""
-    d = records.select("experiment_id", "strategy_name", "search_space_id", F.explode("datasets").alias("d"))
-    return d.where("d.eval_start is not null").select("experiment_id", "strategy_name", "search_space_id", "d.eval_start", "d.eval_end")
+    d = records.select("experiment_id", "strategy_name", "search_space_id", "logged_at", F.explode("datasets").alias("d"))
+    return d.where("d.eval_start is not null").select("experiment_id", "strategy_name", "search_space_id", "logged_at", "d.eval_start", "d.eval_end")
 
 
 def _space_overlaps(oos: DataFrame, every: DataFrame) -> DataFrame:
-    """Number of evaluation windows in the same strategy and search space that intersect each record's own.
-    Windows that began by an end, minus windows that ended before a start, is the number of intersections: two
-    running counts along time and no pairs."""
+    """Number of evaluation windows of records logged earlier in the same strategy and search space that intersect each
+    record's own. Those logged earlier, less those of them that end before it starts or start after it ends: counts
+    of points before a place in the log and before a moment, and no pairs."""
     space = ["strategy_name", "search_space_id"]
-    none = F.lit(None).cast("string")
-    point = lambda df, at, rank, begun, ended, who, sign: df.select(
-        *space, F.col(at).alias("_at"), F.lit(rank).alias("_rank"), F.lit(begun).alias("_b"), F.lit(ended).alias("_e"), who.alias("_who"), F.lit(sign).alias("_sign"))
-    others, own = every.where("search_space_id is not null"), oos.where("search_space_id is not null")
-    points = (
-        point(others, "eval_start", 0, 1, 0, none, 0).unionByName(point(others, "eval_end", 2, 0, 1, none, 0))
-        .unionByName(point(own, "eval_end", 1, 0, 0, F.col("experiment_id"), 1)).unionByName(point(own, "eval_start", 1, 0, 0, F.col("experiment_id"), -1))
-    )
-    counted = with_running(points, space, ["_at", "_rank"], time_block("_at", DAY_US), {"_begun": ("sum", F.col("_b")), "_ended": ("sum", F.col("_e"))})
-    value = F.when(F.col("_sign") == 1, F.col("_begun")).when(F.col("_sign") == -1, -F.col("_ended"))
-    return counted.where("_who is not null").groupBy(F.col("_who").alias("experiment_id")).agg(F.sum(value).cast("bigint").alias("_hits"))
-
-
-def oos_overlaps(records: DataFrame, ancestors: DataFrame) -> DataFrame:
+    order = ["logged_at", "experiment_id", "eval_start", "eval_end"]
+    placed = with_position(every.where("search_space_id is not null"), space, order, time_block("logged_at", DAY_US))
+    placed = cut_lineage(placed.withColumn("position", F.col("position") - 1), "placed-windows")
+    begins = placed.groupBy(*space, "experiment_id").agg(F.min("position").alias("upto"))
+    own = cut_lineage(oos.where("search_space_id is not null").select(*space, "experiment_id", "eval_start", "eval_end").join(begins, on=[*space, "experiment_id"]), "own-windows")
+    # ended before the start, and, with time reversed, begun after the end
+    both_ways = lambda before, after: F.explode(F.array(F.struct(F.lit(0).alias("way"), epoch_us(before).alias("value")), F.struct(F.lit(1).alias("way"), (-epoch_us(after)).alias("value")))).alias("_v")
+    points = placed.select(*space, "position", both_ways("eval_end", "eval_start")).select(*space, "position", "_v.*")
+    asked = own.select(*space, "experiment_id", "upto", both_ways("eval_start", "eval_end")).select(*space, "experiment_id", "upto", "_v.*")
+    earlier = own.groupBy("experiment_id").agg(F.sum("upto").alias("n"))
+    apart = counts_before(points, asked, [*space, "way"], "experiment_id").withColumnRenamed("n", "_apart")
+    return earlier.join(apart, on="experiment_id", how="left").select("experiment_id", (F.col("n") - F.coalesce("_apart", F.lit(0))).cast("bigint").alias("_hits"))
+
+
+def oos_overlaps(records: DataFrame) -> DataFrame:
     """Per out-of-sample record with a parent: ancestors evaluated on an overlapping window (number and first id)
-    and overlapping windows of other records in its strategy and search space (number).
-
-    ``ancestors`` holds (origin_id, experiment_id) for the out-of-sample records."""
+    and overlapping windows of records logged earlier in its strategy and search space (number)."""
     oos = records.where("research_stage = 'out_of_sample' and parent_experiment_id is not null")
     own, every = _evaluations(oos), _evaluations(records)
-    theirs = every.select("experiment_id", F.col("eval_start").alias("_s"), F.col("eval_end").alias("_e"))
-    line = ancestors.where("origin_id <> experiment_id").join(theirs, on="experiment_id").select(F.col("origin_id").alias("experiment_id"), F.col("experiment_id").alias("_ancestor"), "_s", "_e")
-    touch = (F.col("eval_start") <= F.col("_e")) & (F.col("_s") <= F.col("eval_end"))
-    hits = own.join(line, on="experiment_id").where(touch).select("experiment_id", "_ancestor").distinct()
-    by_line = hits.groupBy("experiment_id").agg(F.count(F.lit(1)).alias("n_ancestors"), F.min("_ancestor").alias("first_ancestor"))
-    meets = lambda a, b: (a["eval_start"] <= b["eval_end"]) & (b["eval_start"] <= a["eval_end"])
-    windows = F.filter("datasets", lambda d: d["eval_start"].isNotNull())
-    itself = F.aggregate(windows, F.lit(0), lambda n, a: n + F.size(F.filter(windows, lambda b: meets(a, b))))
-    d = oos.select("experiment_id", itself.alias("_itself")).join(_space_overlaps(own, every), on="experiment_id", how="left").join(by_line, on="experiment_id", how="left")
-    in_space = F.when(F.col("_hits").isNotNull(), F.col("_hits") - F.col("_itself")).otherwise(0).cast("bigint")
-    return d.select("experiment_id", F.coalesce("n_ancestors", F.lit(0)).alias("n_ancestors"), "first_ancestor", in_space.alias("n_space_windows"))
+    spans = F.transform(F.filter("datasets", lambda d: d["eval_start"].isNotNull()), lambda d: F.struct(d["eval_start"].alias("s"), d["eval_end"].alias("e")))
+    windows = records.select("experiment_id", spans.alias("spans")).where(F.size("spans") > 0)
+    by_line = ancestor_overlaps(records, windows, oos.select("experiment_id"))
+    d = oos.select("experiment_id").join(_space_overlaps(own, every), on="experiment_id", how="left").join(by_line, on="experiment_id", how="left")
+    return d.select("experiment_id", F.coalesce("n_ancestors", F.lit(0)).cast("bigint").alias("n_ancestors"), "first_ancestor", F.coalesce("_hits", F.lit(0)).cast("bigint").alias("n_space_windows"))
 
 
 def oos_relabels(records: DataFrame) -> DataFrame:

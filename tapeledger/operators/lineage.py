@@ -70,6 +70,62 @@ def lineage_of(records: DataFrame, ids: DataFrame) -> DataFrame:
     return found
 
 
+def _hulls(records: DataFrame, windows: DataFrame) -> list[DataFrame]:
+    """Table k holds for every record with a parent what its next 2^k ancestors span: ``n`` of them with windows, the hull
+    of these (``low`` to ``high``), what all of them reach (``late``, the latest start, and ``early``, the earliest end, of one window
+    each), the smallest id, and ``mid``, the record 2^(k-1) above. ``windows(experiment_id, spans)`` has arrays of (s, e)."""
+    links = _links(records)
+    starts = windows.select(F.col("experiment_id").alias("parent_experiment_id"), "spans")
+    longest = F.array_max(F.transform("spans", lambda w: F.struct((w["e"].cast("timestamp") - w["s"].cast("timestamp")).alias("d"), w["s"].alias("s"), w["e"].alias("e"))))
+    has = F.col("spans").isNotNull()
+    first = links.join(starts, on="parent_experiment_id", how="left").withColumn("_l", longest).select(
+        "experiment_id", F.col("parent_experiment_id").alias("jump"), F.lit(None).cast("string").alias("mid"), has.cast("bigint").alias("n"),
+        F.array_min(F.transform("spans", lambda w: w["s"])).alias("low"), F.array_max(F.transform("spans", lambda w: w["e"])).alias("high"), F.col("_l.s").alias("late"), F.col("_l.e").alias("early"),
+        F.when(has, F.col("parent_experiment_id")).alias("first"), "spans")
+    tables = [cut_lineage(first, "hull-0")]
+    after = tables[0].where("jump is not null").count()
+    while True:
+        last, left = tables[-1], after
+        above = last.select(F.col("experiment_id").alias("jump"), *(F.col(c).alias(f"_{c}") for c in ("jump", "n", "low", "high", "late", "early", "first")))
+        both = last.where("jump is not null").join(above, on="jump", how="left")
+        nxt = both.select("experiment_id", F.col("_jump").alias("jump"), F.col("jump").alias("mid"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.least("low", "_low").alias("low"), F.greatest("high", "_high").alias("high"),
+                          F.greatest("late", "_late").alias("late"), F.least("early", "_early").alias("early"), F.least("first", "_first").alias("first"), F.lit(None).cast(first.schema["spans"].dataType).alias("spans"))
+        ended = last.where("jump is null").select("experiment_id", "jump", F.lit(None).cast("string").alias("mid"), "n", "low", "high", "late", "early", "first", F.lit(None).cast(first.schema["spans"].dataType).alias("spans"))
+        nxt = cut_lineage(nxt.unionByName(ended), f"hull-{len(tables)}")
+        after = nxt.where("jump is not null").count()
+        if after == left and after:  # only cycles are left: those records have no ancestors here
+            endless = nxt.where("jump is not null").select("experiment_id")
+            return [cut_lineage(t.join(endless, on="experiment_id", how="left_anti"), f"hull-ended-{k}") for k, t in enumerate(tables)]
+        tables.append(nxt)
+        if not after:
+            return tables
+
+
+def ancestor_overlaps(records: DataFrame, windows: DataFrame, origins: DataFrame) -> DataFrame:
+    """Per record of ``origins(experiment_id)``: number of ancestors with a window that meets one of its own, and the
+    smallest id of these; records without any are left out. ``windows(experiment_id, spans)``, closed at both ends.
+
+    No ancestor pairs are built. A record starts at the stretch of all its ancestors; a stretch whose hull misses the
+    record's windows goes, one all of whose records meet them counts as a whole, and any other is halved. The stretches come
+    from doubling, so a chain of any length takes a logarithmic number of rounds up and down."""
+    tables = _hulls(records, windows)
+    own = origins.join(windows, on="experiment_id").select(F.col("experiment_id").alias("origin"), F.col("experiment_id").alias("node"), F.col("spans").alias("own"))
+    front, found = own, None
+    for k in range(len(tables) - 1, -1, -1):
+        met = front.join(tables[k].withColumnRenamed("experiment_id", "node"), on="node").where("n > 0")
+        met = met.where(F.exists("own", lambda w: (F.col("low") <= w["e"]) & (F.col("high") >= w["s"])))
+        sure = F.exists("own", lambda w: (F.col("late") <= w["e"]) & (F.col("early") >= w["s"]))
+        if k == 0:
+            sure = sure | F.exists("own", lambda w: F.exists("spans", lambda a: (a["s"] <= w["e"]) & (a["e"] >= w["s"])))
+        met = cut_lineage(met.select("origin", "node", "mid", "own", "n", "first", sure.alias("sure")), f"descent-{k}")
+        hits = met.where("sure").groupBy("origin").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+        found = hits if found is None else found.unionByName(hits)
+        if k:
+            open_ = met.where("not sure")
+            front = open_.select("origin", "node", "own").unionByName(open_.where("mid is not null").select("origin", F.col("mid").alias("node"), "own"))
+    return found.groupBy(F.col("origin").alias("experiment_id")).agg(F.sum("n").cast("bigint").alias("n_ancestors"), F.min("first").alias("first_ancestor"))
+
+
 def descendants_of(records: DataFrame, ids: DataFrame) -> DataFrame:
     """All records below each given id: origin_id, experiment_id, distance."""
     found = ids.select(F.col("experiment_id").alias("origin_id"), "experiment_id", F.lit(0).cast("bigint").alias("distance"))

@@ -100,6 +100,24 @@ def with_position(df: DataFrame, keys: list[str], order: list[str], block: Colum
     return out.withColumn(name, F.col(name).cast("bigint"))
 
 
+def counts_before(points: DataFrame, queries: DataFrame, keys: list[str], id_: str) -> DataFrame:
+    """``(id_, n)``: for every query ``(keys, id_, upto, value)`` the number of ``points(keys, position, value)`` of its key
+    with ``position < upto`` and a smaller value, summed over the queries of an id.
+
+    Positions count from 0. The first ``upto`` positions are a handful of aligned stretches of 2^k positions; within each
+    stretch the count is a running one along the values. Every point is in a stretch of each size, so the
+    work is rows times the logarithm of their number and no pair of point and query is built."""
+    top = points.agg(F.max("position")).first()[0]
+    levels = max(1, ((top or 0) + 1).bit_length())
+    each = lambda df: df.withColumn("_k", F.explode(F.array(*(F.lit(k) for k in range(levels)))))
+    node = lambda c: F.expr(f"shiftright({c}, _k)")
+    p = each(points).where(node("position") % 2 == 0).select(*keys, "_k", node("position").alias("_node"), "value", F.lit(1).alias("_side"), "position", F.lit(None).cast(queries.schema[id_].dataType).alias(id_))
+    q = each(queries).where(node("upto") % 2 == 1).select(*keys, "_k", (node("upto") - 1).alias("_node"), "value", F.lit(0).alias("_side"), F.lit(-1).cast("bigint").alias("position"), id_)
+    rows = p.unionByName(q)
+    seen = with_running(rows, [*keys, "_k", "_node"], ["value", "_side", "position", id_], F.lit(0), {"_n": ("sum", F.col("_side"))})
+    return seen.where("_side = 0").groupBy(id_).agg(F.sum("_n").cast("bigint").alias("n"))
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, percents: list[int], accuracy: int = 10_000, most: int = ROWS_PER_BLOCK) -> DataFrame:
     """Exact percentiles with linear interpolation for groups of any size: ``keys, percent, n, value``.
 

@@ -127,19 +127,14 @@ def oos_relabel(spark, sf):
 
 _OOS = _LINE + """, o AS (SELECT * FROM records WHERE research_stage = 'out_of_sample' AND parent_experiment_id IS NOT NULL),
   line AS (SELECT o.experiment_id, a.experiment_id AS other FROM o JOIN up ON up.experiment_id = o.experiment_id AND depth > 0 JOIN records a ON a.experiment_id = up.node WHERE o.eval_start <= a.eval_end AND a.eval_start <= o.eval_end),
-  mates AS (SELECT o.experiment_id, a.experiment_id AS other FROM o JOIN records a ON a.strategy_name = o.strategy_name AND a.search_space_id = o.search_space_id AND a.experiment_id <> o.experiment_id WHERE o.eval_start <= a.eval_end AND a.eval_start <= o.eval_end),
+  mates AS (SELECT o.experiment_id, a.experiment_id AS other FROM o JOIN records a ON a.strategy_name = o.strategy_name AND a.search_space_id = o.search_space_id AND (a.logged_at < o.logged_at OR (a.logged_at = o.logged_at AND a.experiment_id < o.experiment_id)) WHERE o.eval_start <= a.eval_end AND a.eval_start <= o.eval_end),
   ov AS (SELECT o.experiment_id, coalesce(l.n, 0) AS n_ancestors, l.f AS first_ancestor, coalesce(m.n, 0) AS n_space_windows FROM o LEFT JOIN (SELECT experiment_id, count(*) AS n, min(other) AS f FROM line GROUP BY 1) l USING (experiment_id)
   LEFT JOIN (SELECT experiment_id, count(*) AS n FROM mates GROUP BY 1) m USING (experiment_id))"""
 
 
-def _overlaps(records):
-    oos = records.where("research_stage = 'out_of_sample' and parent_experiment_id is not null").select("experiment_id")
-    return X.oos_overlaps(records, lineage.lineage_of(records, oos))
-
-
 @query("oos_overlap", _OOS + " SELECT * FROM ov", ("records",))
 def oos_overlap(spark, sf):
-    return _overlaps(V.records(spark, sf))
+    return X.oos_overlaps(V.records(spark, sf))
 
 
 @query("record_warnings", _OOS + """ SELECT r.experiment_id, list_aggregate(list_sort(list_filter([CASE WHEN native_or_proxy = 'proxy' THEN 'PROXY_DATA' END, CASE WHEN survivorship_safe IS NULL THEN 'SURVIVORSHIP_UNKNOWN' WHEN NOT survivorship_safe THEN 'SURVIVORSHIP_UNSAFE' END,
@@ -153,7 +148,7 @@ def oos_overlap(spark, sf):
   AND x.research_stage <> 'out_of_sample' AND (x.logged_at < o.logged_at OR (x.logged_at = o.logged_at AND x.experiment_id < o.experiment_id)) WHERE o.research_stage = 'out_of_sample' GROUP BY 1) x ON x.h = r.experiment_id""", ("records",))
 def record_warnings(spark, sf):
     r = V.records(spark, sf)
-    w = X.record_warnings(r, cut_lineage(_overlaps(r), "overlaps"))
+    w = X.record_warnings(r, cut_lineage(X.oos_overlaps(r), "overlaps"))
     return w.select("experiment_id", F.when(F.size("warnings") > 0, F.concat_ws(",", "warnings")).alias("warnings"))
 
 

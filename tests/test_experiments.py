@@ -106,18 +106,54 @@ def test_integrity_findings(spark):
 
 
 def test_overlap_counts_against_all_pairs(spark):
-    """The sweep that counts overlaps without pairs, against the pairs themselves, in one crowded search space."""
+    """Counts without pairs, against the pairs themselves: a crowded search space, forests, several and missing windows."""
     import random
 
     rnd, day = random.Random(5), dt.timedelta(days=1)
     items = []
-    for i in range(120):
+    for i in range(160):
         s = dt.datetime(2020, 1, 1) + rnd.randint(0, 300) * day
-        items.append((f"e{i:03d}", f"e{i // 2:03d}" if i else None, "st", "hot" if i % 3 else None, "out_of_sample" if i % 2 else "in_sample", [(s, s + rnd.randint(0, 40) * day)] + ([(s + 100 * day, s + 110 * day)] if i % 5 == 0 else [])))
-    r = spark.createDataFrame(items, "experiment_id string, parent_experiment_id string, strategy_name string, search_space_id string, research_stage string, datasets array<struct<eval_start:timestamp_ntz,eval_end:timestamp_ntz>>")
-    none = spark.createDataFrame([], "origin_id string, experiment_id string")
-    got = {x.experiment_id: x.n_space_windows for x in X.oos_overlaps(r, none).collect()}
-    for eid, parent, _, space, stage, ws in items:
-        if stage == "out_of_sample" and parent:
-            want = sum(a[0] <= b[1] and b[0] <= a[1] for o in items if o[3] == space and o[0] != eid and space for a in ws for b in o[5])
-            assert got[eid] == want
+        parent = None if i % 40 == 0 else f"e{i - 1:03d}" if i < 80 else f"e{rnd.randrange(i):03d}"
+        windows = [(s, s + rnd.randint(0, 40) * day)] + ([(s + 100 * day, s + 110 * day)] if i % 5 == 0 else [])
+        items.append((f"e{i:03d}", parent if i != 90 else "unknown", "st", "hot" if i % 3 else None, "out_of_sample" if i % 2 else "in_sample", dt.datetime(2021, 1, 1) + rnd.randint(0, 30) * day, windows if i % 11 else [(None, None)]))
+    items += [("c1", "c2", "st", "hot", "out_of_sample", dt.datetime(2021, 1, 1), [(dt.datetime(2020, 1, 1), dt.datetime(2021, 1, 1))]), ("c2", "c1", "st", "hot", "out_of_sample", dt.datetime(2021, 1, 1), [(dt.datetime(2020, 1, 1), dt.datetime(2021, 1, 1))])]
+    r = spark.createDataFrame(items, "experiment_id string, parent_experiment_id string, strategy_name string, search_space_id string, research_stage string, logged_at timestamp_ntz, datasets array<struct<eval_start:timestamp_ntz,eval_end:timestamp_ntz>>")
+    got = {x.experiment_id: (x.n_ancestors, x.first_ancestor, x.n_space_windows) for x in X.oos_overlaps(r).collect()}
+    by = {x[0]: x for x in items}
+    for eid, parent, _, space, stage, logged, ws in items:
+        if stage != "out_of_sample" or not parent:
+            continue
+        ws = [w for w in ws if w[0]]
+        meets = lambda o: [1 for a in ws for b in o[6] if b[0] and a[0] <= b[1] and b[0] <= a[1]]  # noqa: B023, E731
+        line, at = [], parent
+        while at in by and at not in ("c1", "c2"):  # records of a cycle have no ancestors
+            line.append(at)
+            at = by[at][1]
+        hits = [x for x in line if meets(by[x])]
+        near = sum(len(meets(o)) for o in items if space and o[3] == space and (o[5], o[0]) < (logged, eid))
+        assert got[eid] == (len(hits), min(hits, default=None), near), eid
+
+
+def test_overlaps_of_a_very_long_chain(spark):
+    """A hundred thousand records, each the child of the one before, all on nearly the same window."""
+    n = 100_000
+    at = lambda d: F.timestamp_seconds(F.lit(1_500_000_000) + d).cast("timestamp_ntz")
+    r = spark.range(n).select(
+        F.format_string("e%06d", "id").alias("experiment_id"), F.when(F.col("id") > 0, F.format_string("e%06d", F.col("id") - 1)).alias("parent_experiment_id"), F.lit("st").alias("strategy_name"), F.lit(None).cast("string").alias("search_space_id"),
+        F.when(F.col("id") % 1000 == 999, "out_of_sample").otherwise("in_sample").alias("research_stage"), at(F.col("id")).alias("logged_at"),
+        F.array(F.struct(at(F.when(F.col("id") % 5000 == 7, 9_000_000).otherwise(F.col("id") % 50)).alias("eval_start"), at(F.when(F.col("id") % 5000 == 7, 9_000_001).otherwise(100_000)).alias("eval_end"))).alias("datasets"))
+    got = {x.experiment_id: x.n_ancestors for x in X.oos_overlaps(r).collect()}
+    assert len(got) == 100 and all(m == (i := int(e[1:])) - len([x for x in range(7, i, 5000)]) for e, m in got.items())
+
+
+def test_counts_before(spark):
+    import random
+
+    from tapeledger.operators.ordered import counts_before
+
+    rnd = random.Random(3)
+    points = [(k, i, rnd.randrange(20)) for k in "ab" for i in range(37)]
+    queries = [(rnd.choice("ab"), rnd.randrange(12), rnd.randrange(38), rnd.randrange(22)) for _ in range(60)]
+    got = {r.q: r.n for r in counts_before(spark.createDataFrame(points, "k string, position bigint, value bigint"), spark.createDataFrame(queries, "k string, q bigint, upto bigint, value bigint"), ["k"], "q").collect()}
+    for q in {x[1] for x in queries}:
+        assert got.get(q, 0) == sum(1 for k, i, u, v in queries if i == q for p in points if p[0] == k and p[1] < u and p[2] < v)
