@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeledger.functions.timegrid import DAY_US, HOUR_US, MINUTE_US, epoch_us, from_epoch_us, time_block
-from tapeledger.operators.ordered import with_previous
+from tapeledger.operators.ordered import range_maxima, with_previous, with_running
+from tapeledger.session import cut_lineage
 
 MAX_FUNDING_GAP_US = 90 * MINUTE_US
 
@@ -157,6 +158,56 @@ def containing_records(events: DataFrame, coverage: DataFrame, keys: list[str])
     return joined.where(F.col("timestamp").between(F.col("coverage_start"), F.col("coverage_end"))).drop("_block")
 
 
+def stretch_gaps(events: DataFrame, stretches: DataFrame, id_: list[str], keys: list[str] = ["symbol"], width_us: int = HOUR_US, tie: str | None = None) -> DataFrame:
+    """``id_, max_gap_us``: the widest spacing of neighbouring events that touches a stretch ``[stretch_start, stretch_end)``
+    on the grid; NULL if no spacing does. ``stretches`` has ``id_`` (unique) and the keys.
+
+    Periods of the grid keep the widest spacing before or after one of their events. A stretch asks for the maximum over the
+    periods it spans (``range_maxima``), and, if none of its periods has an event, for the spacing it lies in."""
+    spaced = event_spacings(events, keys, tie=tie)
+    spaced = with_previous(spaced, keys, ["timestamp"] + ([tie] if tie else []), time_block("timestamp", HOUR_US), {"_after": "gap_us"}, ahead=True)
+    period = time_block("timestamp", width_us)
+    per = spaced.groupBy(*keys, period.alias("_period")).agg(F.max(F.greatest("gap_us", "_after")).alias("value"), F.max_by("_after", F.struct(epoch_us("timestamp"), *([tie] if tie else []))).alias("_tail"))
+    per = cut_lineage(per.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("_period"))), "gap-periods")
+    first, last = time_block("stretch_start", width_us), F.floor((epoch_us("stretch_end") - 1) / F.lit(width_us)).cast("bigint")
+    asked = cut_lineage(stretches.select(*id_, *[k for k in keys if k not in id_], F.explode(F.array(F.struct(F.lit(0).alias("end"), (first - 1).alias("at")), F.struct(F.lit(1).alias("end"), last.alias("at")))).alias("_e")).select("*", "_e.*").drop("_e"), "asked-stretches")
+    # how many periods with events lie at or before each end of a stretch
+    rows = per.select(*keys, F.col("_period").alias("at"), F.lit(0).alias("_side"), F.lit(1).alias("_one"), *[F.lit(None).cast(dict(asked.dtypes)[c]).alias(c) for c in [*[i for i in id_ if i not in keys], "end"]])
+    points = asked.select(*keys, "at", F.lit(1).alias("_side"), F.lit(0).alias("_one"), *[c for c in id_ if c not in keys], "end")
+    counted = with_running(rows.unionByName(points), keys, ["at", "_side", *[c for c in id_ if c not in keys], "end"], F.lit(0), {"_n": ("sum", F.col("_one"))}).where("_side = 1")
+    ranks = counted.groupBy(*id_, *[k for k in keys if k not in id_]).agg((F.max(F.when(F.col("end") == 0, F.col("_n"))) + 1).alias("low"), F.max(F.when(F.col("end") == 1, F.col("_n"))).alias("high"))
+    ranks = cut_lineage(ranks, "stretch-ranks")
+    within = range_maxima(per.select(*keys, "place", "value"), ranks, keys, id_)
+    around = ranks.where("low > high").withColumn("place", F.col("low") - 1).join(per.select(*keys, "place", "_tail"), on=[*keys, "place"]).select(*id_, F.col("_tail").alias("most"))
+    return stretches.select(*id_).join(within.unionByName(around), on=id_, how="left").withColumnRenamed("most", "max_gap_us")
+
+
+def covered_periods(coverage: DataFrame, stretches: DataFrame, id_: list[str], keys: list[str] = ["symbol"], width_us: int = HOUR_US) -> DataFrame:
+    """``id_, n_periods, n_covered``: periods of the grid in each stretch ``[stretch_start, stretch_end)``, and those that a
+    single coverage record holds whole.
+
+    A record holds a run of whole periods; overlapping runs are merged, and the number of covered periods up to a place is
+    a running sum along them. A stretch is the difference of two places: neither records nor stretches are expanded."""
+    ends = lambda c: epoch_us(c) / F.lit(width_us)
+    runs = coverage.select(*keys, F.ceil(ends("coverage_start")).alias("_a"), (F.floor(ends("coverage_end")) - 1).alias("_b")).where("_a <= _b")
+    before = Window.partitionBy(*keys).orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    opened = runs.withColumn("_new", F.coalesce(F.col("_a") > F.max("_b").over(before), F.lit(True)).cast("int"))
+    opened = opened.withColumn("_island", F.sum("_new").over(Window.partitionBy(*keys).orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, 0)))
+    runs = opened.groupBy(*keys, "_island").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"))
+    first, last = time_block("stretch_start", width_us), F.floor((epoch_us("stretch_end") - 1) / F.lit(width_us)).cast("bigint")
+    others = [c for c in id_ if c not in keys]
+    none = [F.lit(None).cast(dict(stretches.dtypes)[c]).alias(c) for c in others]
+    # a run adds (x - a + 1) from its start on, and that stops growing at its end
+    marks = runs.select(*keys, F.explode(F.array(F.struct(F.col("_a").alias("at"), F.lit(1).alias("open"), (1 - F.col("_a")).alias("base")), F.struct((F.col("_b") + 1).alias("at"), F.lit(-1).alias("open"), F.col("_b").alias("base")))).alias("m"))
+    marks = marks.select(*keys, "m.at", F.lit(0).alias("_side"), "m.open", "m.base", *none, F.lit(0).alias("sign"))
+    points = stretches.select(*keys, *others, F.explode(F.array(F.struct((first - 1).alias("at"), F.lit(-1).alias("sign")), F.struct(last.alias("at"), F.lit(1).alias("sign")))).alias("p"))
+    points = points.select(*keys, "p.at", F.lit(1).alias("_side"), F.lit(0).alias("open"), F.lit(0).cast("bigint").alias("base"), *others, "p.sign")
+    seen = with_running(marks.unionByName(points), keys, ["at", "_side", "open", "base", *others, "sign"], F.lit(0), {"_open": ("sum", F.col("open")), "_base": ("sum", F.col("base"))}).where("_side = 1")
+    upto = F.col("_base") + F.col("_open") * F.col("at")
+    sums = seen.groupBy(*id_).agg(F.sum(F.col("sign") * upto).cast("bigint").alias("n_covered"))
+    return stretches.select(*id_, (last - first + 1).alias("n_periods")).join(sums, on=id_, how="left")
+
+
 # --- bars: keys are unique on the grid, so a series has at most span/width rows ----------------------------
 
 

@@ -26,9 +26,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeledger.functions.numeric import finite_positive, ratio
-from tapeledger.functions.timegrid import epoch_us
+from tapeledger.functions.numeric import finite, finite_positive, ratio
+from tapeledger.functions.timegrid import epoch_us, from_epoch_us
 from tapeledger.operators.intervals import single_cover
+from tapeledger.session import cut_lineage
 
 FUNDING_MODES = ("disabled", "period_start", "event_price")
 
@@ -79,6 +80,11 @@ def execution_shift_us(mode: str, width_us: int) -> int:
     return {"next_open": 0, "next_close": width_us}[mode]
 
 
+def executions(bars: DataFrame, mode: str, width_us: int) -> DataFrame:
+    """Price ``px`` and instant ``executed_at`` at which a target would be executed in each bar."""
+    return execution_price(bars, mode).withColumn("executed_at", from_epoch_us(epoch_us("timestamp") + F.lit(execution_shift_us(mode, width_us))))
+
+
 def _with_next_price(market: DataFrame) -> DataFrame:
     along = Window.partitionBy("symbol").orderBy("bar")
     follows = F.lead("bar").over(along) == F.col("bar") + 1
@@ -123,20 +129,19 @@ def held_positions(stretch: DataFrame, market: DataFrame) -> DataFrame:
 
 
 def _trade_legs(stretch: DataFrame, market: DataFrame) -> DataFrame:
-    """Per rebalance: new weight ``w`` and value ``v`` of the old position per unit of the stretch before, one
-    entry per symbol that is held on either side."""
+    """Per rebalance and symbol that is held on either side: new weight ``w`` and value ``v`` of the old position per
+    unit of the stretch before."""
     exit_px = market.select("symbol", (F.col("bar") - 1).alias("until"), F.col("px").alias("exit_px"))
     zero = F.lit(0.0)
     enters = stretch.select("run_id", F.col("begin").alias("bar"), "symbol", F.col("weight").alias("w"), zero.alias("v"))
     leaves = sized(stretch, market).where("replaced").join(exit_px, on=["symbol", "until"], how="left")
     value = F.coalesce(F.col("a") * F.col("exit_px"), F.lit(float("nan")))
     leaves = leaves.select("run_id", (F.col("until") + 1).alias("bar"), "symbol", zero.alias("w"), value.alias("v"))
-    legs = enters.unionByName(leaves).groupBy("run_id", "bar", "symbol").agg(F.sum("w").alias("w"), F.sum("v").alias("v"))
-    return legs.groupBy("run_id", "bar").agg(F.collect_list(F.struct("w", "v")).alias("legs"))
+    return enters.unionByName(leaves).groupBy("run_id", "bar", "symbol").agg(F.sum("w").alias("w"), F.sum("v").alias("v"))
 
 
-def _period_sums(stretch: DataFrame, market: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per (run, bar): asset and funding return per unit, exposure sums, and the trade legs of rebalance bars.
+def _period_sums(held: DataFrame, stretch: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per (run, bar): asset and funding return per unit, exposure sums, and whether it rebalances.
     Periods without a position come in as zero rows. A missing price turns the sums into NaN, never into zero."""
     amounts = {
         "ax": F.col("a") * (F.col("px_next") - F.col("px")),
@@ -145,23 +150,16 @@ def _period_sums(stretch: DataFrame, market: DataFrame, runs: DataFrame) -> Data
         "gross": F.abs(F.col("a") * F.col("px")),
         "net": F.col("a") * F.col("px"),
     }
-    nan = F.lit(float("nan"))
-    part = held_positions(stretch, market).select("run_id", "bar", *[F.coalesce(c, nan).alias(n) for n, c in amounts.items()])
+    nan, no = F.lit(float("nan")), F.lit(False)
+    part = held.select("run_id", "bar", *[F.coalesce(c, nan).alias(n) for n, c in amounts.items()], no.alias("rebalance"))
     every = F.explode(F.sequence("first_bar", F.col("last_bar") - 1)).alias("bar")
-    blank = runs.select("run_id", every, *[F.lit(0.0).alias(n) for n in amounts])
-    sums = part.unionByName(blank).groupBy("run_id", "bar").agg(*[F.sum(n).alias(n) for n in amounts])
-    return sums.join(_trade_legs(stretch, market), on=["run_id", "bar"], how="left")
+    blank = [F.lit(0.0).alias(n) for n in amounts]
+    rows = part.unionByName(runs.select("run_id", every, *blank, no.alias("rebalance"))).unionByName(stretch.select("run_id", F.col("begin").alias("bar"), *blank, F.lit(True).alias("rebalance")))
+    return rows.groupBy("run_id", "bar").agg(*[F.sum(n).alias(n) for n in amounts], F.bool_or("rebalance").alias("rebalance"))
 
 
-def ledger(market: DataFrame, targets: DataFrame, runs: DataFrame, counterfactual: bool = False) -> DataFrame:
-    """One row per (run, path, bar) up to and including the period of ruin.
-
-    ``path`` is ``actual`` or, if asked for, ``counterfactual``: the same trades without costs and funding. The
-    position sums are shared by both paths. The trade legs of a rebalance are two numbers per symbol traded by one
-    run, so their list is as long as the portfolio is wide."""
-    settings = _settings(runs)
-    stretch = stretches(targets, settings)
-    sums = _period_sums(stretch, market, settings)
+def _with_growth(sums: DataFrame, settings: DataFrame, counterfactual: bool) -> DataFrame:
+    """Periods of every path with ``growth`` since the rebalance and ``before``, what it had come to before the period."""
     paths = F.array(F.lit("actual"), F.lit("counterfactual")) if counterfactual else F.array(F.lit("actual"))
     actual = F.col("path") == "actual"
     d = sums.join(settings, on="run_id").withColumn("path", F.explode(paths)).withColumns(
@@ -169,17 +167,36 @@ def ledger(market: DataFrame, targets: DataFrame, runs: DataFrame, counterfactua
             "fee": F.when(actual, F.col("fee_bps")).otherwise(0.0) / 10_000,
             "slip": F.when(actual, F.col("slippage_bps")).otherwise(0.0) / 10_000,
             "fx": F.when(actual & (F.col("funding") == "period_start"), F.col("fx_start")).when(actual & (F.col("funding") == "event_price"), F.col("fx_event")).otherwise(0.0),
-            "rebalance": F.col("legs").isNotNull(),
         }
     )
     run = Window.partitionBy("run_id", "path").orderBy("bar")
-    so_far = run.rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("stretch", F.sum(F.col("rebalance").cast("bigint")).over(so_far))
+    d = d.withColumn("stretch", F.sum(F.col("rebalance").cast("bigint")).over(run.rowsBetween(Window.unboundedPreceding, 0)))
     inside = Window.partitionBy("run_id", "path", "stretch").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("growth", 1.0 + F.sum(F.col("ax") + F.col("fx")).over(inside))
-    d = d.withColumn("before", F.coalesce(F.lag("growth").over(run), F.lit(1.0)))
-    legs_turnover = F.aggregate("legs", F.lit(0.0), lambda acc, leg: acc + F.abs(leg["w"] - ratio(leg["v"], F.col("before"))))
-    d = d.withColumn("turnover", F.when(F.col("rebalance"), legs_turnover).otherwise(0.0))
+    return d.withColumn("before", F.coalesce(F.lag("growth").over(run), F.lit(1.0)))
+
+
+def _turnovers(grown: DataFrame, legs: DataFrame) -> DataFrame:
+    """Per rebalance of a path: turnover and the exposures of the old positions, summed over one row per symbol and leg."""
+    old = ratio(F.col("v"), F.col("before"))
+    each = grown.where("rebalance").select("run_id", "path", "bar", "before").join(legs, on=["run_id", "bar"])
+    return each.groupBy("run_id", "path", "bar").agg(F.sum(F.abs(F.col("w") - old)).alias("traded"), F.sum(F.abs(old)).alias("old_gross"), F.sum(old).alias("old_net"))
+
+
+def ledger(market: DataFrame, targets: DataFrame, runs: DataFrame, counterfactual: bool = False, held: DataFrame | None = None) -> DataFrame:
+    """One row per (run, path, bar) up to and including the period of ruin.
+
+    ``path`` is ``actual`` or, if asked for, ``counterfactual``: the same trades without costs and funding. The
+    position sums are shared by both paths. What is traded stays one row per symbol and leg: the growth of a stretch does
+    not depend on it, so turnovers are summed in a shuffle of their own. ``held`` are ``held_positions``, if they are stored."""
+    settings = _settings(runs)
+    stretch = stretches(targets, settings)
+    sums = _period_sums(held_positions(stretch, market) if held is None else held, stretch, settings)
+    grown = cut_lineage(_with_growth(sums, settings, counterfactual), "ledger-growth")
+    d = grown.join(_turnovers(grown, _trade_legs(stretch, market)), on=["run_id", "path", "bar"], how="left")
+    run = Window.partitionBy("run_id", "path").orderBy("bar")
+    so_far = run.rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("turnover", F.when(F.col("rebalance"), F.col("traded")).otherwise(0.0))
     d = d.withColumn("keep", 1.0 - (F.col("fee") + F.col("slip")) * F.col("turnover"))
     d = d.withColumn("factor", F.when(F.col("rebalance"), F.col("keep") * F.col("before")).otherwise(1.0))
     d = d.withColumn("scale", F.col("capital") * F.product("factor").over(so_far))
@@ -199,8 +216,6 @@ def _report(d: DataFrame) -> DataFrame:
     asset = F.when(cost, nan).otherwise(F.col("scale") * F.col("ax"))
     funding = F.when(cost, nan).otherwise(F.col("scale") * F.col("fx"))
     end = F.col("scale") * F.col("growth")
-    old_gross = F.aggregate("legs", F.lit(0.0), lambda acc, leg: acc + F.abs(ratio(leg["v"], F.col("before"))))
-    old_net = F.aggregate("legs", F.lit(0.0), lambda acc, leg: acc + ratio(leg["v"], F.col("before")))
     uncapped = F.when(cost, F.col("keep") - 1.0).when(ruined, ratio(end, F.col("nav_pre")) - 1.0)
     d = d.withColumns(
         {
@@ -211,8 +226,8 @@ def _report(d: DataFrame) -> DataFrame:
             "nav_end": F.when(ruined, F.lit(0.0)).otherwise(end),
             "net_return": F.when(ruined, F.lit(-1.0)).otherwise(ratio(end, F.col("nav_pre")) - 1.0),
             "fee_return": -F.col("turnover") * F.col("fee"), "slippage_return": -F.col("turnover") * F.col("slip"),
-            "gross_exposure": F.when(cost, old_gross).otherwise(ratio(F.col("gross"), start_growth)),
-            "net_exposure": F.when(cost, old_net).otherwise(ratio(F.col("net"), start_growth)),
+            "gross_exposure": F.when(cost, F.col("old_gross")).otherwise(ratio(F.col("gross"), start_growth)),
+            "net_exposure": F.when(cost, F.col("old_net")).otherwise(ratio(F.col("net"), start_growth)),
             "uncapped_ruin_return": uncapped, "ruin_stage": F.col("stage"),
         }
     )
@@ -225,12 +240,11 @@ def _report(d: DataFrame) -> DataFrame:
     )
 
 
-def positions(market: DataFrame, targets: DataFrame, runs: DataFrame, periods: DataFrame) -> DataFrame:
+def positions(market: DataFrame, targets: DataFrame, runs: DataFrame, periods: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """Per (run, bar, symbol) of the actual path: state, quantity, notional, weight held, weight before the trade
     and trade. Rows exist for symbols that are held or trade in the period; every other symbol is INACTIVE."""
-    settings = _settings(runs)
-    stretch = stretches(targets, settings)
-    held = held_positions(stretch, market)
+    if held is None:
+        held = held_positions(stretches(targets, _settings(runs)), market)
     now = held.select("run_id", "bar", "symbol", "a", "px", "weight", (F.col("bar") == F.col("begin")).alias("_starts"), F.lit(0.0).alias("_pa"), F.lit(None).cast("double").alias("_ppx"))
     # the same position one period later: what is held before that period's trade
     later = held.where((F.col("bar") < F.col("until")) | F.col("replaced")).select(
@@ -278,10 +292,16 @@ def accounting_violations(periods: DataFrame) -> DataFrame:
     return periods.where(bad("nav_after_cost") | bad("nav_end")).select("run_id", "path", "bar", F.lit("NON_FINITE_NAV").alias("code"))
 
 
-def prices_in_use(market: DataFrame, targets: DataFrame, runs: DataFrame) -> DataFrame:
-    """The prices a run reads: at the start and the end of every period in which it holds the symbol. The end
-    price of the last period of a stretch is the price at which the symbol exits or is resized."""
+def stored_positions(market: DataFrame, targets: DataFrame, runs: DataFrame) -> DataFrame:
+    """``held_positions`` written once, for callers that read them for the ledger and for the positions."""
+    return cut_lineage(held_positions(stretches(targets, _settings(runs)), market), "held-positions")
+
+
+def prices_in_use(market: DataFrame, targets: DataFrame, runs: DataFrame, periods: DataFrame) -> DataFrame:
+    """The prices a run reads: at the start and the end of every period in which it holds the symbol, up to its ruin
+    (``periods``, its ledger). The end price of the last period of a stretch is the price at which the symbol exits or is resized."""
     held = held_positions(stretches(targets, _settings(runs)), market)
+    held = held.join(periods.where("path = 'actual'").select("run_id", "bar"), on=["run_id", "bar"], how="left_semi")
     starts = held.select("run_id", "symbol", "bar", F.lit("period_start").alias("use"), "px")
     ends = held.select("run_id", "symbol", (F.col("bar") + 1).alias("bar"), F.lit("period_end").alias("use"), F.col("px_next").alias("px"))
     return starts.unionByName(ends)
@@ -302,6 +322,39 @@ def target_violations(targets: DataFrame, market: DataFrame) -> DataFrame:
     return empty.unionByName(unknown)
 
 
+def setting_findings(runs: DataFrame) -> DataFrame:
+    """Broken settings, one row per run and code. Errors keep a run from being computed; a negative cost is a warning."""
+    r, bad = _settings(runs), lambda c: ~finite(F.col(c))
+    codes = F.array_compact(F.array(
+        F.when(F.coalesce(F.col("lag") < 1, F.lit(True)), F.lit("error:LAG_BELOW_ONE")),
+        F.when(F.coalesce(F.col("last_bar") - F.col("first_bar") < 1, F.lit(True)), F.lit("error:TOO_FEW_BARS")),
+        F.when(~F.coalesce(F.col("funding").isin(*FUNDING_MODES), F.lit(False)), F.lit("error:UNKNOWN_FUNDING_MODE")),
+        F.when(bad("fee_bps"), F.lit("error:FEE_REQUIRED")), F.when(bad("slippage_bps"), F.lit("error:SLIPPAGE_REQUIRED")),
+        F.when(~finite_positive(F.col("capital")), F.lit("error:BAD_CAPITAL")),
+        F.when((F.col("fee_bps") < 0) | (F.col("slippage_bps") < 0), F.lit("warning:NEGATIVE_COST")),
+    ))
+    found = r.select("run_id", F.explode(codes).alias("c"))
+    return found.select("run_id", F.split_part("c", F.lit(":"), F.lit(1)).alias("severity"), F.split_part("c", F.lit(":"), F.lit(2)).alias("code"), F.lit(1).cast("bigint").alias("n"))
+
+
+def run_findings(market: DataFrame, targets: DataFrame, runs: DataFrame) -> DataFrame:
+    """What is wrong with runs before they are computed: ``run_id, severity, code, n``. Settings, targets that cannot be
+    executed, runs without targets, targets without a run, and rebalances that come too late (a warning)."""
+    known = runs.select("run_id").distinct()
+    broken = target_violations(targets, market).groupBy("run_id", "code").agg(F.count(F.lit(1)).alias("n")).select("run_id", F.lit("error").alias("severity"), "code", "n")
+    late = unexecuted_rebalances(targets, runs.dropDuplicates(["run_id"])).groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).select("run_id", F.lit("warning").alias("severity"), F.lit("UNEXECUTED_REBALANCES").alias("code"), "n")
+    asked = targets.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    idle = known.join(asked, on="run_id", how="left_anti").select("run_id", F.lit("error").alias("severity"), F.lit("NO_TARGETS").alias("code"), F.lit(1).cast("bigint").alias("n"))
+    stray = asked.join(known, on="run_id", how="left_anti").select("run_id", F.lit("error").alias("severity"), F.lit("UNKNOWN_RUN").alias("code"), "n")
+    twice = runs.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("run_id", F.lit("error").alias("severity"), F.lit("DUPLICATE_RUN").alias("code"), "n")
+    return setting_findings(runs).unionByName(broken).unionByName(late).unionByName(idle).unionByName(stray).unionByName(twice)
+
+
+def sound_runs(runs: DataFrame, findings: DataFrame) -> DataFrame:
+    """The runs without an error, fit for the ledger."""
+    return runs.join(findings.where("severity = 'error'").select("run_id").distinct(), on="run_id", how="left_anti")
+
+
 def funding_by_bar(events: DataFrame, origin: Column, width_us: int, shift_us: int = 0) -> DataFrame:
     """Funding events per (symbol, bar): an event in ``[T_i, T_i+1)`` belongs to bar i. On a regular grid that is a
     division, so the range join becomes a plain aggregation. Where an event has no usable price the amount at event

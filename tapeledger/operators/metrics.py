@@ -53,8 +53,11 @@ def performance(
     )
 
 
-def run_flags(periods: DataFrame, unexecuted: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per run of the actual path: counts, ruin and leverage flags, and the warning tokens in sorted order."""
+def run_flags(periods: DataFrame, unexecuted: DataFrame, runs: DataFrame, suspicious: DataFrame | None = None) -> DataFrame:
+    """Per run of the actual path: counts, ruin and leverage flags, and the warning tokens in sorted order.
+
+    ``suspicious(run_id)`` are runs that read funding from coverage whose gap limit looks far too wide. Runs whose column
+    ``suppress_cagr`` is true are told so: their growth rate is not to be shown."""
     actual, other = F.col("path") == "actual", F.col("path") == "counterfactual"
     ended = lambda path, stage: F.bool_or(path & (F.coalesce(F.col("ruin_stage"), F.lit("")) == stage))
     both = periods.groupBy("run_id").agg(
@@ -62,16 +65,19 @@ def run_flags(periods: DataFrame, unexecuted: DataFrame, runs: DataFrame) -> Dat
         ended(actual, "cost").alias("_cost"), ended(actual, "pnl").alias("_pnl"), F.count_if(other).alias("_cf_periods"), (ended(other, "cost") | ended(other, "pnl")).alias("_cf_ruined"),
     )
     late = unexecuted.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_unexecuted"))
-    d = runs.select("run_id", *(["funding"] if "funding" in runs.columns else [])).join(both, on="run_id").join(late, on="run_id", how="left")
+    suppress = F.col("suppress_cagr") if "suppress_cagr" in runs.columns else F.lit(False)
+    d = runs.select("run_id", suppress.alias("suppress_cagr"), *(["funding"] if "funding" in runs.columns else [])).join(both, on="run_id").join(late, on="run_id", how="left")
     d = d.withColumns({"n_unexecuted": F.coalesce("n_unexecuted", F.lit(0)), "ruin_stage": F.when(F.col("_cost"), "cost").when(F.col("_pnl"), "pnl")})
     status = F.when(F.col("_cf_periods") == 0, "NOT_COMPUTED").when(F.col("_cf_ruined"), "RUINED").otherwise("COMPLETED")
     comparable = (status == "COMPLETED") & F.col("ruin_stage").isNull() & (F.col("_cf_periods") == F.col("n_periods"))
     funded = F.col("funding") != "disabled" if "funding" in runs.columns else F.lit(False)
+    marked = (suspicious if suspicious is not None else runs.limit(0)).select("run_id", F.lit(True).alias("_suspicious")).distinct()
+    d = d.join(marked, on="run_id", how="left")
     tokens = F.array_sort(F.array_compact(F.array(
         F.when(F.col("ruin_stage").isNotNull(), "RUINED"), F.when(F.col("n_leverage_breaches") > 0, "LEVERAGE_BREACH"),
         F.when(~funded, "FUNDING_NOT_MODELLED"), F.when(status != "COMPLETED", F.concat(F.lit("COUNTERFACTUAL_"), status)),
         F.when(F.col("n_unexecuted") > 0, F.concat(F.lit("UNEXECUTED_REBALANCES:"), F.col("n_unexecuted").cast("string"))),
-        F.when(~comparable, "DRAG_NOT_COMPARABLE"),
+        F.when(~comparable, "DRAG_NOT_COMPARABLE"), F.when(funded & F.col("_suspicious"), "FUNDING_GAP_SUSPICIOUS"), F.when(F.col("suppress_cagr"), "CAGR_SUPPRESSED"),
     )))
     return d.select("run_id", "n_periods", "rebalance_count", "ruin_stage", "n_leverage_breaches", "n_unexecuted", tokens.alias("warnings"))
 

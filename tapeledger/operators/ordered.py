@@ -118,6 +118,24 @@ def counts_before(points: DataFrame, queries: DataFrame, keys: list[str], id_: s
     return seen.where("_side = 0").groupBy(id_).agg(F.sum("_n").cast("bigint").alias("n"))
 
 
+def range_maxima(values: DataFrame, ranges: DataFrame, keys: list[str], id_: list[str]) -> DataFrame:
+    """``id_, most``: the largest ``value`` of the places ``low`` to ``high`` of each range's key (no row for an empty range).
+
+    ``values(keys, place, value)`` has places 1, 2, ... without gaps; ``ranges(id_, keys, low, high)``. A table of the maxima
+    of 2^k places from every place on is doubled up to the longest range; two overlapping entries give any range, so ranges
+    are looked up and never expanded."""
+    asked = cut_lineage(ranges.where("low <= high").withColumn("_k", F.floor(F.log2(F.col("high") - F.col("low") + 1)).cast("int")), "asked-ranges")
+    top = asked.agg(F.max("_k")).first()[0]
+    level = values.select(*keys, "place", "value")
+    tables = level.withColumn("_k", F.lit(0))
+    for k in range(1, (top or 0) + 1):
+        ahead = level.select(*keys, (F.col("place") - (1 << (k - 1))).alias("place"), F.col("value").alias("_ahead"))
+        level = cut_lineage(level.join(ahead, on=[*keys, "place"]).select(*keys, "place", F.greatest("value", "_ahead").alias("value")), f"maxima-{k}")
+        tables = tables.unionByName(level.withColumn("_k", F.lit(k)))
+    ends = F.explode(F.array(F.col("low"), F.expr("high - shiftleft(1L, _k) + 1"))).alias("place")
+    return asked.select(*id_, *[k for k in keys if k not in id_], "_k", ends).join(tables, on=[*keys, "_k", "place"]).groupBy(*id_).agg(F.max("value").alias("most"))
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, percents: list[int], accuracy: int = 10_000, most: int = ROWS_PER_BLOCK) -> DataFrame:
     """Exact percentiles with linear interpolation for groups of any size: ``keys, percent, n, value``.
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeledger.operators import compare, ledger, metrics, quality, signals
+from tapeledger.functions.timegrid import DAY_US, HOUR_US, bucket_start
+from tapeledger.operators import compare, intervals, ledger, metrics, quality, signals
 from tapeledger.plans import views as V
+from tapeledger.plans.quality_queries import _CLAIMED_SQL, claimed_coverage
 from tapeledger.plans.registry import query
 from tapeledger.session import cut_lineage
 
@@ -59,7 +61,8 @@ _POSITIONS = """SELECT run_id, bar, syms[j] AS symbol, CASE WHEN q_prev[j] <> 0
 
 def _positions(spark, sf):
     m, t, r = supplier_inputs(spark, sf)
-    return ledger.positions(m, t, r, ledger.ledger(m, t, r))
+    held = ledger.stored_positions(m, t, r)
+    return ledger.positions(m, t, r, ledger.ledger(m, t, r, held=held), held)
 
 
 @query("ledger_positions", f"SELECT run_id, bar, symbol, state, round(quantity, 4) AS quantity, round(notional, 1) AS notional, round(weight_held, 8) AS weight_held, round(pre_trade_weight, 8) AS pre_trade_weight, round(trade, 8) AS trade FROM ({_POSITIONS})", ("led",))
@@ -111,13 +114,23 @@ def cost_drag(spark, sf):
   count(*) FILTER (WHERE CASE WHEN stage = 'cost' THEN list_sum([abs(x) for x in wpre]) ELSE list_sum(list_transform(range(1, len(p) + 1), lambda j: abs(q[j] * p[j]))) / nav_after_cost END > 1.05) AS n_leverage_breaches FROM led WHERE path = 'actual' GROUP BY run_id),
   c AS (SELECT run_id, count(*) AS n, max(stage) AS stage FROM led WHERE path = 'counterfactual' GROUP BY run_id),
   u AS (SELECT t.run_id, count(DISTINCT t.bar) AS n FROM targets t JOIN runs r ON r.run_id = t.run_id WHERE t.bar + lag > last_bar - 1 GROUP BY t.run_id),
+  days AS (SELECT DISTINCT 'S' || (l_partkey % 8) AS symbol, l_shipdate::DATE AS day FROM lineitem), gaps AS (SELECT symbol, day - lag(day) OVER (PARTITION BY symbol ORDER BY day) AS gap FROM days),
+  usual AS (SELECT symbol, gap FROM (SELECT symbol, gap, row_number() OVER (PARTITION BY symbol ORDER BY n DESC, gap) AS k FROM (SELECT symbol, gap, count(*) AS n FROM gaps WHERE gap IS NOT NULL GROUP BY symbol, gap)) WHERE k = 1),
+  sus AS (SELECT DISTINCT run_id FROM targets JOIN usual USING (symbol) WHERE weight <> 0 AND gap < CASE WHEN symbol IN ('S0', 'S2') THEN 3 ELSE 1.5 END / 2),
   d AS (SELECT a.*, funding, coalesce(u.n, 0) AS n_unexecuted, CASE WHEN c.stage IS NULL THEN 'COMPLETED' ELSE 'RUINED' END AS cf, c.n AS cn FROM a JOIN runs USING (run_id) JOIN c USING (run_id) LEFT JOIN u USING (run_id))
-  SELECT run_id, n_periods, rebalance_count, ruin_stage, n_leverage_breaches, n_unexecuted, concat_ws(',', CASE WHEN cf <> 'COMPLETED' THEN 'COUNTERFACTUAL_' || cf END,
-  CASE WHEN cf <> 'COMPLETED' OR ruin_stage IS NOT NULL OR cn <> n_periods THEN 'DRAG_NOT_COMPARABLE' END, CASE WHEN funding = 'disabled' THEN 'FUNDING_NOT_MODELLED' END,
+  SELECT run_id, n_periods, rebalance_count, ruin_stage, n_leverage_breaches, n_unexecuted, concat_ws(',', CASE WHEN substr(run_id, 2)::INT % 4 = 1 THEN 'CAGR_SUPPRESSED' END, CASE WHEN cf <> 'COMPLETED' THEN 'COUNTERFACTUAL_' || cf END,
+  CASE WHEN cf <> 'COMPLETED' OR ruin_stage IS NOT NULL OR cn <> n_periods THEN 'DRAG_NOT_COMPARABLE' END, CASE WHEN funding <> 'disabled' AND run_id IN (SELECT run_id FROM sus) THEN 'FUNDING_GAP_SUSPICIOUS' END, CASE WHEN funding = 'disabled' THEN 'FUNDING_NOT_MODELLED' END,
   CASE WHEN n_leverage_breaches > 0 THEN 'LEVERAGE_BREACH' END, CASE WHEN ruin_stage IS NOT NULL THEN 'RUINED' END, CASE WHEN n_unexecuted > 0 THEN 'UNEXECUTED_REBALANCES:' || n_unexecuted END) AS warnings FROM d""", ("led", "targets", "runs"))
 def ledger_flags(spark, sf):
     m, t, r = supplier_inputs(spark, sf)
-    d = metrics.run_flags(ledger.ledger(m, t, r, True), ledger.unexecuted_rebalances(t, r), r)
+    days = V.table(spark, sf, "lineitem").select(F.concat(F.lit("S"), (F.col("l_partkey") % 8).cast("string")).alias("symbol"), F.to_date("l_shipdate").cast("timestamp_ntz").alias("timestamp")).distinct()
+    whole = days.groupBy("symbol").agg(F.min("timestamp").alias("coverage_start"), F.max("timestamp").alias("coverage_end"))
+    wide = F.col("symbol").isin("S0", "S2")
+    checks = [intervals.coverage_checks(days.where(w), whole.where(w), max_gap_us=limit * DAY_US // 2) for w, limit in ((wide, 6), (~wide, 3))]
+    suspicious = checks[0].unionByName(checks[1]).where("tolerance_suspicious").select("symbol")
+    suspicious = t.where("weight <> 0").join(suspicious.distinct(), on="symbol", how="left_semi").select("run_id").distinct()
+    r = r.withColumn("suppress_cagr", F.substring("run_id", 2, 9).cast("int") % 4 == 1)
+    d = metrics.run_flags(ledger.ledger(m, t, r, True), ledger.unexecuted_rebalances(t, r), r, suspicious)
     return d.withColumn("warnings", F.concat_ws(",", "warnings"))
 
 
@@ -129,17 +142,79 @@ def unexecuted_rebalances(spark, sf):
 
 _HELD_SQL = """b AS (SELECT DISTINCT t.run_id, t.bar, t.bar + lag AS begin, last_bar FROM targets t JOIN runs r ON r.run_id = t.run_id WHERE t.bar >= first_bar AND t.bar + lag < last_bar),
   st AS (SELECT *, coalesce(lead(begin) OVER (PARTITION BY run_id ORDER BY begin), last_bar) - 1 AS until FROM b),
-  held AS (SELECT st.run_id, t.symbol, unnest(generate_series(begin, until)) AS bar FROM st JOIN targets t ON t.run_id = st.run_id AND t.bar = st.bar WHERE t.weight <> 0)"""
+  held AS (SELECT st.run_id, t.symbol, unnest(generate_series(begin, until)) AS bar FROM st JOIN targets t ON t.run_id = st.run_id AND t.bar = st.bar WHERE t.weight <> 0),
+  read AS (SELECT held.* FROM held SEMI JOIN (SELECT * FROM led WHERE path = 'actual') l ON l.run_id = held.run_id AND l.bar = held.bar)"""
 
 
 @query("price_violations", f"""WITH pm AS (SELECT symbol, bar, CASE WHEN px > 1580 THEN NULL WHEN px < 1450 THEN -px ELSE px END AS px FROM market), {_HELD_SQL},
-  used AS (SELECT run_id, symbol, bar, 'period_start' AS use FROM held UNION ALL SELECT run_id, symbol, bar + 1, 'period_end' FROM held)
-  SELECT used.run_id, used.symbol, used.bar, use, CASE WHEN px IS NULL THEN 'MISSING_PRICE' ELSE 'INVALID_PRICE' END AS code FROM used LEFT JOIN pm ON pm.symbol = used.symbol AND pm.bar = used.bar WHERE px IS NULL OR px <= 0""", ("targets", "runs"))
+  used AS (SELECT run_id, symbol, bar, 'period_start' AS use FROM read UNION ALL SELECT run_id, symbol, bar + 1, 'period_end' FROM read)
+  SELECT used.run_id, used.symbol, used.bar, use, CASE WHEN px IS NULL THEN 'MISSING_PRICE' ELSE 'INVALID_PRICE' END AS code FROM used LEFT JOIN pm ON pm.symbol = used.symbol AND pm.bar = used.bar WHERE px IS NULL OR px <= 0""", ("led", "targets", "runs"))
 def price_violations(spark, sf):
-    """Prices in use that are missing or not positive, after some prices of the market were spoilt."""
+    """Prices in use, up to the ruin of each run, that are missing or not positive, after some prices of the market were spoilt."""
     m, t, r = supplier_inputs(spark, sf)
     spoilt = m.withColumn("px", F.when(F.col("px") > 1580, F.lit(None)).when(F.col("px") < 1450, -F.col("px")).otherwise(F.col("px")))
-    return quality.price_violations(ledger.prices_in_use(spoilt, t, r)).select("run_id", "symbol", "bar", "use", "code")
+    return quality.price_violations(ledger.prices_in_use(spoilt, t, r, ledger.ledger(m, t, r))).select("run_id", "symbol", "bar", "use", "code")
+
+
+@query("unpriced_funding", f"""WITH {_HELD_SQL} SELECT held.run_id, held.symbol, held.bar, 1 + held.bar % 2 AS n_unpriced FROM held JOIN runs r ON r.run_id = held.run_id JOIN market m ON m.symbol = held.symbol AND m.bar = held.bar
+  WHERE r.funding = 'event_price' AND m.px > 1550""", ("led", "targets", "runs"))
+def unpriced_funding(spark, sf):
+    """Held periods with funding events whose price is missing, for runs that pay at event prices."""
+    m, t, r = supplier_inputs(spark, sf)
+    events = m.select("symbol", "bar", F.when(F.col("px") > 1550, 1 + F.col("bar") % 2).otherwise(0).alias("n_unpriced"))
+    return ledger.unpriced_funding(m, t, r, events)
+
+
+_BAD_RUNS = """rr AS (SELECT run_id, s, CASE WHEN s % 5 = 4 THEN last_bar ELSE first_bar END AS first_bar, last_bar, CASE WHEN s % 9 = 8 THEN 0.0::DOUBLE ELSE capital END AS capital, CASE WHEN s % 3 = 2 THEN NULL WHEN s % 4 = 1 THEN -5.0::DOUBLE ELSE fee_bps END AS fee_bps, slippage_bps,
+  CASE WHEN s % 6 = 3 THEN 0 ELSE lag END AS lag, CASE WHEN s % 7 = 0 THEN 'sometimes' ELSE funding END AS funding FROM (SELECT *, substr(run_id, 2)::INT AS s FROM runs) WHERE s % 10 <> 7),
+  tt AS (SELECT run_id, bar, CASE WHEN substr(run_id, 2)::INT % 4 = 2 AND symbol = 'S2' THEN 'X9' ELSE symbol END AS symbol, CASE WHEN substr(run_id, 2)::INT % 5 = 1 AND symbol = 'S1' THEN NULL ELSE weight END AS weight FROM targets WHERE substr(run_id, 2)::INT % 10 <> 6),
+  dd AS (SELECT * FROM rr UNION ALL SELECT * FROM rr WHERE s % 10 = 2)"""
+
+
+@query("run_findings", f"""WITH {_BAD_RUNS} SELECT run_id, 'error' AS severity, 'LAG_BELOW_ONE' AS code, 1::BIGINT AS n FROM dd WHERE lag < 1 UNION ALL SELECT run_id, 'error', 'TOO_FEW_BARS', 1 FROM dd WHERE last_bar - first_bar < 1
+  UNION ALL SELECT run_id, 'error', 'UNKNOWN_FUNDING_MODE', 1 FROM dd WHERE funding = 'sometimes' UNION ALL SELECT run_id, 'error', 'FEE_REQUIRED', 1 FROM dd WHERE fee_bps IS NULL UNION ALL SELECT run_id, 'error', 'BAD_CAPITAL', 1 FROM dd WHERE capital <= 0
+  UNION ALL SELECT run_id, 'warning', 'NEGATIVE_COST', 1 FROM dd WHERE fee_bps < 0 UNION ALL SELECT run_id, 'error', 'MISSING_WEIGHT', count(*) FROM tt WHERE weight IS NULL GROUP BY run_id UNION ALL SELECT run_id, 'error', 'UNKNOWN_SYMBOL', count(*) FROM tt WHERE symbol = 'X9' GROUP BY run_id
+  UNION ALL SELECT run_id, 'warning', 'UNEXECUTED_REBALANCES', count(*) FROM (SELECT DISTINCT t.run_id, t.bar, d.first_bar FROM tt t JOIN rr d ON d.run_id = t.run_id WHERE t.bar + lag > last_bar - 1 AND t.bar BETWEEN first_bar AND last_bar) x
+    GROUP BY run_id UNION ALL SELECT run_id, 'error', 'NO_TARGETS', 1 FROM rr WHERE s % 10 = 6
+  UNION ALL SELECT run_id, 'error', 'UNKNOWN_RUN', count(*) FROM tt WHERE run_id NOT IN (SELECT run_id FROM rr) GROUP BY run_id UNION ALL SELECT run_id, 'error', 'DUPLICATE_RUN', 2 FROM rr WHERE s % 10 = 2""", ("targets", "runs"))
+def run_findings(spark, sf):
+    """Settings and targets of the supplier portfolios, spoilt by rules on the supplier's number."""
+    m, t, r = supplier_inputs(spark, sf)
+    s = F.substring("run_id", 2, 9).cast("int")
+    r = r.where(s % 10 != 7).withColumns({
+        "first_bar": F.when(s % 5 == 4, F.col("last_bar")).otherwise(F.col("first_bar")), "capital": F.when(s % 9 == 8, 0.0).otherwise(F.col("capital")),
+        "fee_bps": F.when(s % 3 == 2, F.lit(None)).when(s % 4 == 1, -5.0).otherwise(F.col("fee_bps")), "lag": F.when(s % 6 == 3, 0).otherwise(F.col("lag")), "funding": F.when(s % 7 == 0, "sometimes").otherwise(F.col("funding"))})
+    t = t.where(s % 10 != 6).withColumns({"weight": F.when((s % 5 == 1) & (F.col("symbol") == "S1"), F.lit(None)).otherwise(F.col("weight")), "symbol": F.when((s % 4 == 2) & (F.col("symbol") == "S2"), "X9").otherwise(F.col("symbol"))})
+    return ledger.run_findings(m, t, r.unionByName(r.where(s % 10 == 2)))
+
+
+@query("executions", """SELECT symbol, timestamp, 'next_open' AS mode, open AS px, timestamp AS executed_at FROM bars_1h UNION ALL SELECT symbol, timestamp, 'next_close', close, timestamp + INTERVAL 1 HOUR FROM bars_1h""", ("bars_1h",))
+def executions(spark, sf):
+    """Price and instant of execution in each bar, for both modes."""
+    b = V.bars_1h(spark, sf)
+    modes = [ledger.executions(b, mode, HOUR_US).select("symbol", "timestamp", F.lit(mode).alias("mode"), "px", "executed_at") for mode in ("next_open", "next_close")]
+    return modes[0].unionByName(modes[1])
+
+
+_STRETCH_SQL = """st AS (SELECT symbol, 'r' || (trade_id % 20) AS run_id, date_trunc('day', timestamp) AS day, date_trunc('hour', min(timestamp)) AS s, date_trunc('hour', max(timestamp)) + INTERVAL 1 HOUR AS e FROM ticks GROUP BY ALL)"""
+
+
+@query("held_coverage", f"""WITH c AS ({_CLAIMED_SQL}), {_STRETCH_SQL}, g AS (SELECT symbol, timestamp, lag(timestamp) OVER (PARTITION BY symbol ORDER BY timestamp, trade_id) AS before FROM ticks),
+  p AS (SELECT symbol, run_id, day, s, e, unnest(generate_series(s, e - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS h FROM st)
+  SELECT st.symbol, st.run_id, st.s AS stretch_start, st.e AS stretch_end, (epoch_us(st.e) - epoch_us(st.s)) // 3600000000 AS n_periods,
+  (SELECT count(*) FROM p WHERE p.symbol = st.symbol AND p.run_id = st.run_id AND p.day = st.day AND EXISTS (SELECT 1 FROM c WHERE c.symbol = p.symbol AND coverage_start <= h AND h + INTERVAL 1 HOUR <= coverage_end)) AS n_covered,
+  (SELECT max(epoch_us(timestamp) - epoch_us(before)) FROM g WHERE g.symbol = st.symbol AND g.timestamp >= st.s AND g.before < st.e) AS max_gap_us FROM st""", ("coverage",))
+def held_coverage(spark, sf):
+    """Held stretches against funding coverage: periods that a single record holds, and the widest spacing of funding events
+    that touches the stretch. Neither stretches nor records are expanded to periods."""
+    ticks = V.ticks(spark, sf)
+    day = F.date_trunc("day", "timestamp")
+    st = ticks.groupBy("symbol", F.concat(F.lit("r"), (F.col("trade_id") % 20).cast("string")).alias("run_id"), day.alias("_day")).agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b"))
+    st = cut_lineage(st.select("symbol", "run_id", bucket_start("a", HOUR_US).alias("stretch_start"), (bucket_start("b", HOUR_US) + F.expr("INTERVAL 1 HOUR")).alias("stretch_end")), "held-stretches")
+    key = ["symbol", "run_id", "stretch_start"]
+    covered = intervals.covered_periods(claimed_coverage(spark, sf), st, key)
+    gaps = intervals.stretch_gaps(ticks.select("symbol", "timestamp", "trade_id"), st, key, tie="trade_id")
+    return st.join(covered, on=key).join(gaps, on=key)
 
 
 @query("funding_by_period", """SELECT symbol, (floor((epoch_us(timestamp) - epoch_us(TIMESTAMP '2024-01-02')) / 3600000000::DOUBLE))::INT AS bar, count(*) AS n_events, round(sum((px - 50) / 1e6::DOUBLE), 10) AS rate_sum,

@@ -117,7 +117,7 @@ def test_counterfactual_has_no_costs_and_survives_the_ruin_of_the_actual_path(sp
 
 def test_missing_price_while_held_is_reported_and_never_silent(spark):
     m, t, r = build(spark, {"A": [100.0, 110.0, None, 120.0, 130.0]}, {0: {"A": 1.0}})
-    used = price_violations(L.prices_in_use(m, t, r)).collect()
+    used = price_violations(L.prices_in_use(m, t, r, L.ledger(m, t, r))).collect()
     assert {(x.bar, x.use, x.code) for x in used} == {(2, "period_end", "MISSING_PRICE"), (2, "period_start", "MISSING_PRICE")}
     assert L.accounting_violations(L.ledger(m, t, r)).count() > 0
 
@@ -173,3 +173,39 @@ def test_metrics_edge_cases(spark):
     assert flat.total_return == 0.0 and flat.annualized_volatility == 0.0 and math.isnan(flat.sharpe) and flat.max_drawdown == 0.0
     m, t, r = build(spark, {"A": [1.0, 1.0, 1e9]}, {0: {"A": 1.0}})
     assert M.performance(L.ledger(m, t, r), 1e6).first().cagr == math.inf
+
+
+def test_price_violations_stop_at_ruin(spark):
+    """Ruined in the second period: the prices of later bars are never read."""
+    m, t, r = build(spark, {"A": [100.0, 100.0, 1.0, None, None]}, {0: {"A": 3.0}})
+    periods = L.ledger(m, t, r)
+    assert [p.ruin_stage for p in periods.orderBy("bar").collect()] == [None, "pnl"]
+    assert price_violations(L.prices_in_use(m, t, r, periods)).count() == 0
+
+
+def test_stored_positions_give_the_same_ledger(spark):
+    m, t, r = build(spark, {"A": [100.0, 100.0, 110.0, 110.0], "B": [50.0, 50.0, 50.0, 55.0]}, {0: {"A": 0.5, "B": -0.5}, 1: {"A": 1.0}}, fee=5.0)
+    held = L.stored_positions(m, t, r)
+    plain = L.ledger(m, t, r)
+    stored = L.ledger(m, t, r, held=held)
+    assert stored.orderBy("bar").collect() == plain.orderBy("bar").collect()
+    by = ["bar", "symbol"]
+    assert L.positions(m, t, r, plain, held).orderBy(*by).collect() == L.positions(m, t, r, plain).orderBy(*by).collect()
+    assert "collect_list" not in stored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_run_findings(spark):
+    m, t, r = build(spark, {"A": [1.0, 2.0, 3.0]}, {0: {"A": 1.0, "Q": 1.0}, 1: {"A": None}}, fee=-1.0, lag=0, funding="sometimes")
+    bare = spark.createDataFrame([("idle", 5, 5, float("nan"), None, None, None, None, None)], RUNS)
+    found = {(f.run_id, f.severity, f.code, f.n) for f in L.run_findings(m, t, r.unionByName(bare)).collect()}
+    assert found == {("r", "error", "LAG_BELOW_ONE", 1), ("r", "error", "UNKNOWN_FUNDING_MODE", 1), ("r", "warning", "NEGATIVE_COST", 1), ("r", "error", "MISSING_WEIGHT", 1), ("r", "error", "UNKNOWN_SYMBOL", 1),
+                     ("idle", "error", "TOO_FEW_BARS", 1), ("idle", "error", "FEE_REQUIRED", 1), ("idle", "error", "SLIPPAGE_REQUIRED", 1), ("idle", "error", "BAD_CAPITAL", 1), ("idle", "error", "LAG_BELOW_ONE", 1),
+                     ("idle", "error", "UNKNOWN_FUNDING_MODE", 1), ("idle", "error", "NO_TARGETS", 1)}
+    assert L.sound_runs(r.unionByName(bare), L.run_findings(m, t, r.unionByName(bare))).count() == 0
+
+
+def test_flags_of_funding_and_growth(spark):
+    m, t, r = build(spark, {"A": [100.0, 101.0, 102.0, 103.0]}, {0: {"A": 1.0}}, funding="period_start")
+    marked = r.select("run_id").withColumn("suppress_cagr", r.run_id == "r").join(r, on="run_id")
+    flags = M.run_flags(L.ledger(m, t, r, True), L.unexecuted_rebalances(t, r), marked, r.select("run_id")).first()
+    assert {"FUNDING_GAP_SUSPICIOUS", "CAGR_SUPPRESSED"} <= set(flags.warnings)

@@ -291,3 +291,27 @@ def test_period_of_funding_events(spark):
     e = spark.createDataFrame([("X", h(1), 0.1, 2.0), ("X", h(1, 59), 0.1, None), ("X", h(2), 0.1, 1.0)], "symbol string, timestamp timestamp_ntz, funding_rate double, notional_price double")
     got = {r.bar: (r.n_events, r.n_unpriced) for r in funding_by_bar(e, F.lit(h(0)).cast("timestamp_ntz"), HOUR_US).collect()}
     assert got == {1: (2, 1), 2: (1, 0)} and DAY_US == 24 * HOUR_US
+
+
+def test_coverage_and_gaps_of_held_stretches(spark):
+    """Against counting period by period: overlapping records, stretches without events, before and after all events."""
+    import random
+
+    from tapeledger.operators import intervals as I
+
+    rnd, t0, hour = random.Random(8), dt.datetime(2024, 1, 1), dt.timedelta(hours=1)
+    at = lambda m: t0 + dt.timedelta(minutes=m)
+    events = sorted((s, at(rnd.choice([rnd.randrange(0, 900), rnd.randrange(4000, 5000)])), i) for i, s in enumerate(["A"] * 60 + ["B"] * 5))
+    records = [(rnd.choice("AB"), at(a := rnd.randrange(0, 5000)), at(a + rnd.randrange(10, 900))) for _ in range(12)]
+    stretches = [(i, rnd.choice("ABC"), t0 + (h := rnd.randrange(-5, 90)) * hour, t0 + (h + rnd.randrange(1, 30)) * hour) for i in range(60)]
+    e = spark.createDataFrame(events, "symbol string, timestamp timestamp_ntz, n int")
+    c = spark.createDataFrame(records, "symbol string, coverage_start timestamp_ntz, coverage_end timestamp_ntz")
+    s = spark.createDataFrame(stretches, "id int, symbol string, stretch_start timestamp_ntz, stretch_end timestamp_ntz")
+    covered = {r.id: (r.n_periods, r.n_covered) for r in I.covered_periods(c, s, ["id"]).collect()}
+    gaps = {r.id: r.max_gap_us for r in I.stretch_gaps(e, s, ["id"], tie="n").collect()}
+    for i, symbol, a, b in stretches:
+        hours = [a + k * hour for k in range(int((b - a) / hour))]
+        assert covered[i] == (len(hours), sum(any(x == symbol and p <= h and h + hour <= q for x, p, q in records) for h in hours))
+        times = [t for x, t, _ in events if x == symbol]
+        touching = [(q - p) // dt.timedelta(microseconds=1) for p, q in zip(times, times[1:]) if q >= a and p < b]
+        assert gaps[i] == max(touching, default=None), i
