@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 from pyspark.sql import functions as F
 
 from tapeledger.plans import views as V
 from tapeledger.plans.registry import query
-from tapeledger.session import cut_lineage
-from tapeledger.sources import candles, catalog, kline
+from tapeledger.session import cut_lineage, scratch_path
+from tapeledger.sources import candles, catalog, kline, records
+from tapeledger.sources.files import write_files
 
 _BAR_OUT = "symbol, timestamp, open, high, low, close, volume, trade_count, native_traded"
 
@@ -79,9 +83,64 @@ def _mapping(spark, sf):
     return V.bars_1h(spark, sf).select("symbol").distinct().select("symbol", F.concat("symbol", F.lit("USDT")).alias("venue_symbol"), F.lit("mapped").alias("status"))
 
 
+def kline_archives(spark, sf, spoil=False):
+    """The lines as zip files with their digests beside them, in a folder. If asked for, the files of the eleventh are cut short,
+    those of the twelfth hold two members of other names, and the sidecars of the fourteenth name another digest."""
+    whole = cut_lineage(kline.zip_lines(cut_lineage(kline_lines(spark, sf), "lines")), "zips")
+    day = F.regexp_extract("file", r"-(\d\d)\.zip$", 1)
+    sidecar = F.concat(F.sha2("content", 256), F.lit("  "), F.col("file"), F.lit("\n"))
+    files, sidecars = whole, whole.select("file", sidecar.alias("text"))
+    if spoil:
+        files = whole.withColumn("content", F.when(day == "11", F.expr("substring(content, 1, length(content) - 30)")).when(day == "12", F.unhex(F.lit(_TWO_MEMBERS))).otherwise(F.col("content")))
+        sidecars = files.select("file", F.concat(F.when(day == "14", F.sha2(F.lit("x"), 256)).otherwise(F.sha2("content", 256)), F.lit("  "), F.col("file"), F.lit("\n")).alias("text"))
+    folder = scratch_path(spark, "archives")
+    write_files(files, folder)
+    write_files(sidecars.select(F.concat("file", F.lit(".CHECKSUM")).alias("file"), F.encode("text", "utf-8").alias("content")), folder)
+    return folder
+
+
+def _two_members():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name in ("a.csv", "b.csv"):
+            z.writestr(zipfile.ZipInfo(name), "1\n")
+    return out.getvalue().hex()
+
+
+_TWO_MEMBERS = _two_members()
+def _name():
+    return F.element_at(F.split("file", "/"), -1).alias("file")
+
+
+@query("archive_findings", """SELECT DISTINCT symbol || 'USDT-1h-' || day || '.zip' AS file, CASE WHEN dayofmonth(day) = 11 THEN 'UNREADABLE_ARCHIVE' ELSE 'UNEXPECTED_MEMBERS' END AS code
+  FROM (SELECT symbol, timestamp::DATE AS day FROM bars_1h UNION ALL SELECT symbol, timestamp::DATE - 1 FROM bars_1h WHERE hour(timestamp) = 0) WHERE dayofmonth(day) IN (11, 12)""", ("bars_1h",))
+def archive_findings(spark, sf):
+    """Damaged archives and archives with other members are named; the others are read."""
+    return kline.archive_findings(kline.read_archives(spark, kline_archives(spark, sf, True))).select(_name(), "code")
+
+
+@query("archive_checksums", """SELECT DISTINCT symbol || 'USDT-1h-' || day || '.zip' AS file, CASE WHEN dayofmonth(day) = 14 THEN 'MISMATCH' ELSE 'OK' END AS checksum_status
+  FROM (SELECT symbol, timestamp::DATE AS day FROM bars_1h UNION ALL SELECT symbol, timestamp::DATE - 1 FROM bars_1h WHERE hour(timestamp) = 0)""", ("bars_1h",))
+def archive_checksums(spark, sf):
+    """Digests of the files as they lie in the folder against the sidecars beside them."""
+    folder = kline_archives(spark, sf, True)
+    return kline.checksum_audit(kline.read_archives(spark, folder), kline.read_sidecars(spark, folder)).select(_name(), "checksum_status")
+
+
+@query("archive_selection", """SELECT symbol, timestamp::DATE AS day, count(*) AS n FROM (SELECT symbol, timestamp FROM bars_1h UNION ALL SELECT symbol, timestamp - INTERVAL 1 HOUR FROM bars_1h WHERE hour(timestamp) = 0)
+  WHERE symbol IN ('click', 'view') AND timestamp::DATE IN (DATE '2024-01-05', DATE '2024-01-06') GROUP BY ALL""", ("bars_1h",))
+def archive_selection(spark, sf):
+    """Two symbols and two days: the listing leaves all other files closed."""
+    pattern = kline.archive_pattern(["clickUSDT", "viewUSDT"], ["2024-01-05", "2024-01-06"])
+    lines = kline.archive_lines(kline.read_archives(spark, kline_archives(spark, sf), pattern)).where("not startswith(line, 'open_time')")
+    return lines.groupBy(F.regexp_replace(kline.venue_symbol_of(F.col("file")), "USDT$", "").alias("symbol"), F.to_date(F.regexp_extract("file", r"-(\d{4}-\d\d-\d\d)\.zip$", 1)).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("kline_csv_ingest", f"SELECT {_BAR_OUT} FROM bars_1h WHERE NOT (hour(timestamp) = 0 AND close BETWEEN 20 AND 22) AND NOT close BETWEEN 80 AND 81", ("bars_1h",))
 def kline_csv_ingest(spark, sf):
-    bars, _, _ = kline.normalise_klines(kline.parse_lines(cut_lineage(kline_lines(spark, sf), "lines")), _mapping(spark, sf))
+    """From zip files in a folder to bars."""
+    lines = cut_lineage(kline.archive_lines(kline.read_archives(spark, kline_archives(spark, sf))), "lines")
+    bars, _, _ = kline.normalise_klines(kline.parse_lines(lines), _mapping(spark, sf))
     return bars
 
 
@@ -143,3 +202,48 @@ def size_estimate(spark, sf):
     per_row = f.agg((F.sum("bytes") / F.sum("n")).alias("b")).scalar()
     d = kline.size_estimate(f, per_row, limit_gb=5.0)
     return d.withColumns({c: F.round(c, 12) for c in ("zip_gb", "parquet_gb")})
+
+
+@query("sidecar_findings", """SELECT 's/' || o_orderkey AS file, CASE WHEN o_orderpriority = '1-URGENT' THEN 'UNPARSEABLE_SIDECAR' WHEN o_orderpriority = '2-HIGH' THEN 'MISSING_DATASET_ID' ELSE 'DUPLICATE_DATASET' END AS code
+  FROM (SELECT *, min('s/' || o_orderkey) FILTER (WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) OVER (PARTITION BY o_custkey) AS head FROM orders) WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') OR 's/' || o_orderkey <> head""")
+def sidecar_findings(spark, sf):
+    """A sidecar per order: cut short, without a name, or one of several for a customer's dataset."""
+    o = V.table(spark, sf, "orders")
+    text = F.to_json(F.struct(F.when(F.col("o_orderpriority") != "2-HIGH", F.concat(F.lit("d."), F.col("o_custkey").cast("string"))).alias("dataset_id"), F.lit("v2").alias("processing_version")))
+    cut = F.when(F.col("o_orderpriority") == "1-URGENT", F.expr("left(t, length(t) - 4)")).otherwise(F.col("t"))
+    docs = o.withColumn("t", text).select(F.concat(F.lit("s/"), F.col("o_orderkey").cast("string")).alias("file"), cut.alias("value"))
+    return catalog.sidecar_findings(docs)
+
+
+@query("history_line_findings", """SELECT sha256('{"seq":' || o_orderkey || ',"event":"created"') AS line_sha256, 'UNPARSEABLE_LINE' AS code FROM orders WHERE o_orderstatus = 'P'""")
+def history_line_findings(spark, sf):
+    """A log line per order, written and read back; those of orders in progress are cut short, some are empty."""
+    o = V.table(spark, sf, "orders")
+    head = F.concat(F.lit('{"seq":'), F.col("o_orderkey").cast("string"), F.lit(',"event":"created"'))
+    line = F.when(F.col("o_orderstatus") == "P", head).when(F.col("o_orderkey") % 5 == 0, F.lit(" ")).otherwise(F.concat(head, F.lit(',"experiment_id":"E'), F.col("o_orderkey").cast("string"), F.lit('"}')))
+    path = scratch_path(spark, "history-lines")
+    o.select(line.alias("value")).write.text(path)
+    return records.history_line_findings(records.read_history(spark, path))
+
+
+@query("contexts_csv_scan", "SELECT symbol, timestamp, px AS oracle_px FROM (SELECT symbol, time_bucket(INTERVAL 1 MILLISECOND, timestamp) AS timestamp, px FROM ticks WHERE timestamp::DATE BETWEEN DATE '2024-01-08' AND DATE '2024-01-12')", ("ticks",))
+def contexts_csv_scan(spark, sf):
+    """Context rows as gzip CSV of eight columns in a folder per day; five days and three columns are read back."""
+    t = V.ticks(spark, sf)
+    ms = F.unix_millis(F.col("timestamp").cast("timestamp"))
+    rows = t.select(F.to_date("timestamp").alias("date"), ms.alias("time"), F.col("symbol").alias("coin"), F.lit("0.0000125").alias("funding"), F.col("sz").alias("open_interest"), F.col("px").alias("prev_day_px"), F.col("sz").alias("day_ntl_vlm"), F.lit("").alias("premium"), F.col("px").alias("oracle_px"))
+    path = scratch_path(spark, "contexts")
+    rows.write.partitionBy("date").option("header", "true").option("compression", "gzip").csv(path)
+    return candles.parse_contexts(candles.read_contexts(spark, path, "2024-01-08", "2024-01-12"))
+
+
+@query("universe_from_json", """SELECT CASE WHEN n_nationkey % 5 = 0 THEN 'k' ELSE '' END || n_name AS symbol, (row_number() OVER (ORDER BY n_nationkey) - 1)::INT AS asset_index, n_regionkey::INT AS sz_decimals, (n_nationkey + 1)::INT AS max_leverage, n_nationkey % 7 = 0 AS is_delisted,
+  CASE WHEN n_nationkey % 5 = 0 THEN 1000 ELSE 1 END AS unit_multiplier, false AS survivorship_safe FROM nation""")
+def universe_from_json(spark, sf):
+    """Instruments from the venue's one JSON document, written as gzip and read back."""
+    n = V.table(spark, sf, "nation")
+    item = F.struct(F.col("n_nationkey").alias("_order"), F.concat(F.when(F.col("n_nationkey") % 5 == 0, "k").otherwise(""), "n_name").alias("name"), F.col("n_regionkey").alias("szDecimals"), (F.col("n_nationkey") + 1).alias("maxLeverage"), F.when(F.col("n_nationkey") % 7 == 0, True).alias("isDelisted"))
+    doc = n.agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.dropFields("_order")).alias("universe"))).alias("value"))  # one row per instrument of a venue
+    path = scratch_path(spark, "instruments")
+    candles.write_pages(doc, path)
+    return candles.parse_universe(candles.read_pages(spark, path))

@@ -90,6 +90,17 @@ def parse_universe(meta: DataFrame, listing: DataFrame | None = None, symbols: l
     return out if listing is None else out.join(listing.select("symbol", "first_native_bar", "last_native_bar"), on="symbol", how="left")
 
 
+_CONTEXT_DDL = "time bigint, coin string, funding string, open_interest string, prev_day_px string, day_ntl_vlm string, premium string, oracle_px double, date date"
+
+
+def read_contexts(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Context rows of CSV files in a folder per day (``date=2024-01-31``). Other days are not opened, and only the
+    columns that a plan uses are parsed."""
+    rows = spark.read.schema(_CONTEXT_DDL).option("header", "true").csv(path)
+    rows = rows if first is None else rows.where(F.col("date") >= F.lit(first).cast("date"))
+    return rows if last is None else rows.where(F.col("date") <= F.lit(last).cast("date"))
+
+
 def parse_contexts(csv_rows: DataFrame) -> DataFrame:
     """Context rows (time in epoch ms, coin, oracle_px, ...) cut down to the three columns the price join needs."""
     return csv_rows.select(

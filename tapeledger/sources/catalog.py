@@ -27,6 +27,17 @@ def parse_sidecars(text: DataFrame) -> DataFrame:
     }).drop("unit_multiplier", "hl_unit_multiplier", "hl_symbol", "binance_symbol")
 
 
+def sidecar_findings(text: DataFrame, name: str = "file") -> DataFrame:
+    """(name, code) of documents (columns ``name`` and ``value``) that are no JSON object, name no dataset or repeat one."""
+    known = text.withColumns({"_d": F.from_json("value", SIDECAR_DDL), "_object": F.from_json("value", "map<string,string>").isNotNull()})
+    named = known.withColumn("_id", F.col("_d.dataset_id"))
+    code = F.when(~F.col("_object"), "UNPARSEABLE_SIDECAR").when(F.trim(F.coalesce("_id", F.lit(""))) == "", "MISSING_DATASET_ID")
+    single = named.select(name, code.alias("code")).where("code is not null")
+    repeated = named.where(code.isNull()).groupBy("_id").agg(F.count(F.lit(1)).alias("_n"), F.min(name).alias("_first")).where("_n > 1")
+    again = named.join(repeated, on="_id").where(F.col(name) != F.col("_first")).select(name, F.lit("DUPLICATE_DATASET").alias("code"))
+    return single.unionByName(again)
+
+
 def write_sidecars(catalog: DataFrame, path: str, mode: str = "append") -> None:
     catalog.write.mode(mode).json(path)
 

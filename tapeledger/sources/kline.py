@@ -53,12 +53,32 @@ def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"file": [name], "line_no": [None], "line": [None], "error": [code]}).astype({"line_no": "Int64"})
 
 
+def archive_pattern(symbols: list[str] | None = None, months: list[str] | None = None) -> str:
+    """The file names of some venue symbols and months (or days), as a pattern for the listing: other files are never opened."""
+    one = lambda names: "*" if names is None else "{" + ",".join(names) + "}"
+    return f"{one(symbols)}-1h-{one(months)}.zip"
+
+
 def read_archives(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
-    """Archive files: file, content, length, sha256."""
+    """Archive files: file, content, length, sha256. The listing is pruned by ``pattern`` (see ``archive_pattern``), and the
+    bytes are read only by plans that use ``content`` or ``sha256``. Spark lists and opens the files, so they may lie in
+    any store it reaches; a source of our own in Python could not."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return f.select(F.col("path").alias("file"), "content", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def zip_lines(lines: DataFrame) -> DataFrame:
+    """The archive of each file of ``lines(file, line_no, line)``: ``file, content``. A file is a month of bars at most."""
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        name, out = pdf["file"].iloc[0], io.BytesIO()
+        member = zipfile.ZipInfo(name.rsplit("/", 1)[-1].removesuffix(".zip") + ".csv")  # no time stamp: equal lines give equal bytes
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(member, "\n".join(pdf.sort_values("line_no")["line"]) + "\n", zipfile.ZIP_DEFLATED)
+        return pd.DataFrame({"file": [name], "content": [out.getvalue()]})
+
+    return lines.groupBy("file").applyInPandas(pack, "file string, content binary")
+
+
 def read_sidecars(spark: SparkSession, path: str, pattern: str = "*.CHECKSUM") -> DataFrame:
     t = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path, wholetext=True)
     return t.select(F.regexp_replace(F.col("_metadata.file_path"), r"\.CHECKSUM$", "").alias("file"), "value")
