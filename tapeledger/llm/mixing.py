@@ -231,3 +231,14 @@ def apply_copies(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mixed corpus: every row as many times as its ``copies``; rows with none go."""
     (copy,) = spare_names(mixed, "copy")
     return mixed.filter("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+
+
+def mixed_corpus(documents: DataFrame, model: DomainModel, weights: dict[str, float], **options) -> DataFrame:
+    """The mixed corpus of ``mix`` (same ``options``) with exactly the columns of ``documents``, also where these have names
+    that ``mix`` gives to columns of its own."""
+    own = ["tokens", "posterior", "rate", "copies", "n_steps", "residual", "converged"]
+    clash = [c for c in documents.columns if c.lower() in own]
+    aside = dict(zip(clash, spare_names(documents, *clash), strict=True))
+    renamed = documents.withColumnsRenamed(aside)
+    out = apply_copies(mix(renamed, model, weights, **options), renamed.columns)
+    return out.withColumnsRenamed({new: old for old, new in aside.items()}).select(*documents.columns)
