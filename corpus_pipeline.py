@@ -42,7 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are taken by their rate like others, repeated rows alike; an empty table stays empty.
     """
     model = mixing.train_domains(table(spark, sf_dir, "documents"), domains_of(table(spark, sf_dir, "labels")), list(SHARES))
-    return mixing.apply_copies(mixing.mix(docs, model, SHARES, anchor="clean", keep=("clean",), most=1.0), docs.columns)
+    return mixing.mixed_corpus(docs, model, SHARES, anchor="clean", keep=("clean",), most=1.0)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
