@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def spare_names(df: DataFrame, *names: str) -> list[str]:
@@ -50,10 +50,12 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows in order, in pieces whose ``column`` holds at most ``most`` bytes (or one row)."""
+    """The rows in order, in pieces whose ``column`` holds at most ``most`` bytes (or one row). Workers live on from task
+    to task, so what Arrow keeps of freed memory is given back after every batch."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
+        pa.default_memory_pool().release_unused()
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(sizes):

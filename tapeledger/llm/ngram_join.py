@@ -35,7 +35,7 @@ SIZE, PERCENT = 5, 80
 #: Bits of the sketch of frequent shingles, and of the filter of documents to verify: fixed sizes, 4 and 8 MB.
 SKETCH_BITS, FILTER_BITS = 22, 26
 #: Shingles a task counts at a time when it looks for repeated ones.
-COUNTED = 4 << 20
+COUNTED = 2 << 20
 #: Largest number of shared shingles asked for, and the cost of verifying a pair in list entries.
 MOST_MATCHES, VERIFY_COST = 16, 50
 
