@@ -33,6 +33,43 @@ def table_digest(df: DataFrame, columns: list[str], group: list[str]) -> DataFra
     return out.select(*group, "n_rows", F.sha2(text, 256).alias("digest"))
 
 
+def digest_tree(df: DataFrame, columns: list[str], levels: list[str]) -> list[DataFrame]:
+    """Digests of a dataset at every level, root first: the whole, then by ``levels[0]``, by the first two levels, and so on.
+
+    Only the leaves read the rows; a branch is the digest of its sorted children, so it is made from one row per child."""
+    trees = [table_digest(df, columns, levels)]
+    for depth in range(len(levels) - 1, -1, -1):
+        keys, child = levels[:depth], levels[depth]
+        below = trees[0]
+        # children are summed like rows: the order in which they come does not matter
+        named = below.select(*levels[:depth + 1], "n_rows", "digest")
+        rolled = table_digest(named.withColumn("_child", F.col(child).cast("string")), ["_child", "digest"], keys)
+        totals = named.groupBy(*keys).agg(F.sum("n_rows").alias("_total"))
+        joined = rolled.join(totals, on=keys) if keys else rolled.withColumn("_total", totals.select("_total").scalar())
+        trees.insert(0, joined.select(*keys, F.col("_total").alias("n_rows"), "digest"))
+    return trees
+
+
+def digest_diff(old: list[DataFrame], new: list[DataFrame], levels: list[str]) -> DataFrame:
+    """Leaves of two digest trees that differ: ``levels, change`` (added, removed or changed).
+
+    The trees are compared from the root down; children of equal branches are not read further."""
+    changed = None
+    for depth in range(len(levels) + 1):
+        keys = levels[:depth]
+        a, b = old[depth].select(*keys, F.col("digest").alias("_a")), new[depth].select(*keys, F.col("digest").alias("_b"))
+        if depth == 0:
+            if a.first()["_a"] == b.first()["_b"]:
+                return old[-1].limit(0).select(*levels, F.lit("").alias("change"))
+            continue
+        if changed is not None:
+            a, b = (d.join(changed.select(*levels[:depth - 1]), on=levels[:depth - 1], how="left_semi") for d in (a, b))
+        both = a.join(b, on=keys, how="full_outer")
+        kind = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.col("_a") != F.col("_b"), "changed")
+        changed = both.withColumn("change", kind).where("change is not null").select(*keys, "change")
+    return changed
+
+
 def config_hash(fields: dict[str, Column]) -> Column:
     """Hash of named settings as JSON text: names are sorted, values are quoted text, a missing one is null, so no two
     different settings share a text."""

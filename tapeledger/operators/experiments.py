@@ -339,6 +339,33 @@ def registry_findings(records: DataFrame, created: DataFrame, schema_version: st
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def integrity_report(
+    records: DataFrame, created: DataFrame, schema_version: str, lines: DataFrame | None = None, artifacts: DataFrame | None = None, reproduced: DataFrame | None = None,
+    unreadable: DataFrame | None = None, lineage_rows: DataFrame | None = None,
+) -> DataFrame:
+    """Everything that is wrong with a log as (code, subject), each once: the findings of ``registry_findings``, and, where
+    their inputs are given, broken or missing log lines (``lines``), artifacts that are gone or changed (``artifacts``, of
+    ``artifact_status``), diverged repeats (``reproduced``, of ``reproducibility``), files without a record (``unreadable``), inconsistent
+    dataset hashes and results that differ under one configuration (where the records have datasets and metrics)."""
+    one = lambda df, code, subject: df.select(code.alias("code") if isinstance(code, Column) else F.lit(code).alias("code"), subject.cast("string").alias("subject"))
+    current = records.where(F.col("schema_version") == schema_version)
+    parts = [registry_findings(records, created, schema_version, lineage_rows)]
+    if "datasets" in records.columns:
+        parts.append(one(inconsistent_hashes(current).select("dataset_id").distinct(), "INCONSISTENT_CONTENT_HASH", F.col("dataset_id")))
+    if "metrics" in records.columns:
+        parts.append(one(differing_results(current).select("semantic_hash").distinct(), "SEMANTIC_DUP_RESULT_DIFF", F.col("semantic_hash")))
+    if lines is not None:
+        parts.append(one(chain_breaks(lines), F.col("code"), F.col("seq")))
+    if artifacts is not None:
+        gone = artifacts.where("artifact_status in ('MISSING', 'MODIFIED')")
+        parts.append(one(gone, F.concat(F.lit("ARTIFACT_"), "artifact_status"), F.concat_ws(":", "experiment_id", "name")))
+    if reproduced is not None:
+        parts.append(one(reproduced.where("reproducibility_status = 'DIVERGED'"), "DIVERGED", F.col("experiment_id")))
+    if unreadable is not None:
+        parts.append(one(unreadable, F.col("code"), F.col("file")))
+    return reduce(lambda a, b: a.unionByName(b), parts).distinct()
+
+
 def artifact_status(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """OK, MISSING, MODIFIED or UNVERIFIABLE for each artifact (experiment_id, name, path, sha256) against the
     files found (path, file_sha256)."""

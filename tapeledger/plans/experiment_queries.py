@@ -297,3 +297,45 @@ def config_hashes(spark, sf):
     r = r.withColumn("strategy_name", F.when(F.col("key") % 3 != 0, F.col("strategy_name")))  # delimiters in a value, and missing values
     h = X.configuration_hashes(r, ["data_start", "recorded_via", "strategy_name"], ["data_start"], ["dirty_worktree"])
     return h.select("key", "semantic_hash", "config_family_hash", "exact_hash")
+
+
+_REPORT = _REG.replace("cur AS (", """r2 AS (SELECT * REPLACE (CASE WHEN key % 101 = 7 THEN left(exact_hash, 16) || 'x' ELSE exact_hash END AS exact_hash, CASE WHEN cust % 37 = 4 THEN experiment_id ELSE parent2 END AS parent2) FROM r), cur AS (""").replace("SELECT * FROM r WHERE", "SELECT * FROM r2 WHERE")
+_REPORT = _REPORT.replace("WITH n AS", "WITH RECURSIVE n AS") + f""", cyc AS (SELECT experiment_id FROM cur WHERE parent2 = experiment_id UNION SELECT cur.experiment_id FROM cur JOIN cyc ON cur.parent2 = cyc.experiment_id),
+  l AS ({_LOG}), stored AS (SELECT seq, line, sha256(lag(line) OVER (ORDER BY seq)) AS prev FROM l), kept AS (SELECT seq, prev, CASE WHEN seq % 1009 = 0 THEN line || '!' ELSE line END AS line FROM stored WHERE seq % 2003 <> 5),
+  seen AS (SELECT seq, prev, lag(seq) OVER (ORDER BY seq) AS before_seq, sha256(lag(line) OVER (ORDER BY seq)) AS before FROM kept), nf AS (SELECT *, row_number() OVER (PARTITION BY exact_hash ORDER BY logged_at, experiment_id) - 1 AS k FROM folded)"""
+
+
+@query("integrity_report", _REPORT + """ SELECT 'SCHEMA_VERSION_UNKNOWN' AS code, experiment_id AS subject FROM r2 WHERE schema_version <> 'schema-1' UNION SELECT 'ORPHAN_RECORD', experiment_id FROM cur WHERE experiment_id NOT IN (SELECT experiment_id FROM c)
+  UNION SELECT 'MISSING_RECORD', experiment_id FROM c WHERE experiment_id NOT IN (SELECT experiment_id FROM cur) UNION SELECT 'RECORD_MODIFIED', cur.experiment_id FROM cur JOIN c USING (experiment_id) WHERE sha <> record_sha256
+  UNION SELECT 'DANGLING_PARENT', experiment_id FROM cur WHERE parent2 IS NOT NULL AND parent2 NOT IN (SELECT experiment_id FROM cur) UNION SELECT 'RUN_SEQ_GAP', exact_hash FROM cur GROUP BY exact_hash HAVING max(run_seq) - min(run_seq) + 1 <> count(*)
+  UNION SELECT 'PREFIX_COLLISION', left(exact_hash, 16) FROM cur GROUP BY 2 HAVING count(DISTINCT exact_hash) > 1 UNION SELECT 'PARENT_CYCLE', experiment_id FROM cyc
+  UNION SELECT 'INCONSISTENT_CONTENT_HASH', dataset_id FROM cur WHERE content_hash IS NOT NULL GROUP BY dataset_id, data_start, data_end HAVING count(DISTINCT content_hash) > 1
+  UNION SELECT 'SEMANTIC_DUP_RESULT_DIFF', semantic_hash FROM cur GROUP BY semantic_hash HAVING count(DISTINCT (sharpe, cust % 100)) > 1
+  UNION SELECT 'HISTORY_CHAIN_BROKEN', seq::VARCHAR FROM seen WHERE prev IS DISTINCT FROM before UNION SELECT 'BAD_SEQ', seq::VARCHAR FROM seen WHERE seq <> coalesce(before_seq, 0) + 1
+  UNION SELECT CASE WHEN cust % 16 = 0 THEN 'ARTIFACT_MISSING' ELSE 'ARTIFACT_MODIFIED' END, experiment_id || ':curve' FROM records WHERE artifact_sha IS NOT NULL AND (cust % 16 = 0 OR cust % 18 = 0)
+  UNION SELECT 'DIVERGED', a.experiment_id FROM nf a JOIN nf b ON b.exact_hash = a.exact_hash AND b.k = 0 WHERE a.k > 0 AND a.folded_status = 'COMPLETED' AND b.folded_status = 'COMPLETED' AND a.sharpe <> b.sharpe
+  UNION SELECT 'UNPARSEABLE_RECORD', 'f/' || o_orderkey FROM orders WHERE o_orderkey % 50 = 1""", ("records", "history", "folded"))
+def integrity_report(spark, sf):
+    """One report with every code, over a log spoilt in every way."""
+    from tapeledger.operators.ordered import with_previous
+
+    o = V.table(spark, sf, "orders")
+    eid = F.concat(F.lit("E"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
+    r = X.run_numbers(V.records(spark, sf)).join(o.select(eid.alias("experiment_id"), F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("key")), on="experiment_id")
+    r = r.withColumns({
+        "run_seq": F.when((F.col("cust") % 25 == 3) & (F.col("run_seq") > 0), F.col("run_seq") + 1).otherwise(F.col("run_seq")), "schema_version": F.when(F.col("cust") % 29 == 0, "schema-0").otherwise("schema-1"),
+        "exact_hash": F.when(F.col("key") % 101 == 7, F.concat(F.left("exact_hash", F.lit(16)), F.lit("x"))).otherwise(F.col("exact_hash")),
+        "parent_experiment_id": F.when(F.col("cust") % 37 == 4, F.col("experiment_id")).when(F.col("cust") % 27 == 0, "E-none").otherwise(F.col("parent_experiment_id"))})
+    r = cut_lineage(r.drop("cust", "key"), "registry")
+    sha = F.when(F.col("o_custkey") % 31 == 0, "x").otherwise(F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus"), 256))
+    made = o.where(F.col("o_custkey") % 33 != 0).select(eid.alias("experiment_id"), sha.alias("record_sha256"))
+    z = V.table(spark, sf, "customer").where("c_acctbal < -900").select(F.concat(F.lit("Z"), F.col("c_custkey").cast("string")).alias("experiment_id"), F.lit("y").alias("record_sha256"))
+    log = V.history(spark, sf).select("seq", F.concat_ws("|", "experiment_id", "to_status", F.col("seq").cast("string")).alias("line"), F.lit(0).alias("_log"))
+    log = with_previous(log, ["_log"], ["seq"], F.floor(F.col("seq") / 1_000_000), {"_p": "line"}).withColumn("prev_line_sha256", F.sha2("_p", 256)).where("seq % 2003 <> 5")
+    lines = cut_lineage(log.select("seq", F.when(F.col("seq") % 1009 == 0, F.concat("line", F.lit("!"))).otherwise(F.col("line")).alias("line"), "prev_line_sha256"), "log")
+    files = o.where(F.col("o_custkey") % 16 != 0).select(F.concat(F.lit("a/"), eid).alias("path"), F.sha2(F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_custkey") % 18 == 0, "x").otherwise("")), 256).alias("file_sha256"))
+    artifacts = X.artifact_status(V.records(spark, sf).select("experiment_id", F.explode("artifacts").alias("a")).select("experiment_id", "a.*"), files)
+    again = X.reproducibility(cut_lineage(X.run_numbers(folded(spark, sf)), "numbered"))
+    unreadable = o.where("o_orderkey % 50 = 1").select(F.concat(F.lit("f/"), F.col("o_orderkey").cast("string")).alias("file"), F.lit("UNPARSEABLE_RECORD").alias("code"))
+    current = r.where("schema_version = 'schema-1'")
+    return X.integrity_report(r, made.unionByName(z).withColumn("seq", F.lit(1)), "schema-1", lines, artifacts, again, unreadable, lineage.lineage(current))

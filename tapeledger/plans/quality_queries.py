@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeledger.functions.digest import table_digest
+from tapeledger.functions import digest as digests
+from tapeledger.functions.digest import digest_tree, table_digest
 from tapeledger.functions.timegrid import DAY_US, MINUTE_US
 from tapeledger.operators import asof, intervals, quality
 from tapeledger.operators.ordered import exact_percentiles
@@ -265,6 +266,28 @@ def table_digest_by_day(spark, sf):
     return table_digest(b, ["close_c", "open_c", "epoch_s", "trade_count"], ["symbol", "day"])
 
 
+_VERSIONS = """bb AS (SELECT symbol, timestamp::DATE AS day, hour(timestamp)::INT AS hour, close FROM bars_1h), nn AS (SELECT symbol, day, hour, CASE WHEN day = DATE '2024-01-07' AND symbol = 'click' AND hour >= 12 THEN close + 1 ELSE close END AS close FROM bb WHERE NOT (symbol = 'view' AND day = DATE '2024-01-09')
+  UNION ALL SELECT symbol, DATE '2025-01-01', hour, close FROM bb WHERE symbol = 'error' AND day = DATE '2024-01-02')"""
+
+
+@query("digest_diff", f"""WITH {_VERSIONS}, o AS (SELECT DISTINCT symbol, day, hour // 6 AS block FROM bb), n AS (SELECT DISTINCT symbol, day, hour // 6 AS block FROM nn)
+  SELECT symbol, day, block, CASE WHEN o.symbol IS NOT NULL AND n.symbol IS NOT NULL THEN 'changed' WHEN o.symbol IS NULL THEN 'added' ELSE 'removed' END AS change FROM o FULL JOIN n USING (symbol, day, block)
+  WHERE o.symbol IS NULL OR n.symbol IS NULL OR EXISTS (SELECT 1 FROM bb JOIN nn USING (symbol, day, hour) WHERE bb.symbol = o.symbol AND bb.day = o.day AND bb.hour // 6 = o.block AND bb.close <> nn.close)""".replace(
+    "SELECT symbol, day, block, CASE", "SELECT coalesce(o.symbol, n.symbol) AS symbol, coalesce(o.day, n.day) AS day, coalesce(o.block, n.block) AS block, CASE").replace("FULL JOIN n USING (symbol, day, block)", "FULL JOIN n ON n.symbol = o.symbol AND n.day = o.day AND n.block = o.block"), ("bars_1h",))
+def digest_diff(spark, sf):
+    """Two versions of the bars: a changed half day, a day that is gone and a day that is new, found from the top of a tree of
+    digests (dataset, symbol, day, quarter of a day)."""
+    b = V.bars_1h(spark, sf).select("symbol", F.to_date("timestamp").alias("day"), F.hour("timestamp").alias("hour"), "close").withColumn("block", F.floor(F.col("hour") / 6).cast("int"))
+    b = cut_lineage(b, "version")
+    day = lambda t: F.lit(t).cast("date")
+    moved = (F.col("day") == day("2024-01-07")) & (F.col("symbol") == "click") & (F.col("hour") >= 12)
+    n = b.withColumn("close", F.when(moved, F.col("close") + 1).otherwise(F.col("close"))).where((F.col("symbol") != "view") | (F.col("day") != day("2024-01-09")))
+    n = n.unionByName(b.where((F.col("symbol") == "error") & (F.col("day") == day("2024-01-02"))).withColumn("day", day("2025-01-01")))
+    levels = ["symbol", "day", "block"]
+    trees = [[cut_lineage(t, "digests") for t in digest_tree(v, ["hour", "close"], levels)] for v in (b, n)]
+    return digests.digest_diff(*trees, levels)
+
+
 @query("snapshot_manifest", _DIGEST.format(g="symbol", cols="px_c::VARCHAR, trade_id::VARCHAR", src="SELECT symbol, (px * 100)::BIGINT AS px_c, trade_id FROM ticks WHERE timestamp BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25'"), ("ticks",))
 def snapshot_manifest(spark, sf):
     """Row count and digest per symbol of a closed time slice, as a sealed snapshot lists them."""
