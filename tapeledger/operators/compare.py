@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeledger.functions.numeric import ratio
+from tapeledger.operators.ordered import exact_percentiles
+from tapeledger.session import cut_lineage
 from tapeledger.functions.timegrid import DAY_US, epoch_us
 
 FIELDS = ["open", "high", "low", "close"]
@@ -173,6 +175,16 @@ def repeated_closes(bars: DataFrame, keys: list[str] = ["symbol"]) -> DataFrame:
     return marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_bars"), F.count_if("_same").alias("n_repeated"))
 
 
+def overlap_differences(reconstructed: DataFrame, official: DataFrame, keys: list[str] = ["symbol"], percents: list[int] = PERCENTS) -> DataFrame:
+    """Percentiles of the relative difference of each price field on bars of both sides: ``keys, field, percent, n, value``.
+    Bars whose official price is zero give no difference. Exact for groups of any size."""
+    fields = ["open", "high", "low", "close"]
+    both = reconstructed.select(*keys, "timestamp", *[F.col(f).alias(f"_r_{f}") for f in fields]).join(official.select(*keys, "timestamp", *[F.col(f).alias(f"_o_{f}") for f in fields]), on=[*keys, "timestamp"])
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), ratio(F.abs(F.col(f"_r_{f}") - F.col(f"_o_{f}")), F.abs(F.col(f"_o_{f}"))).alias("_d")) for f in fields]))
+    rows = both.select(*keys, each.alias("e")).select(*keys, "e.field", "e._d").where("_d is not null")
+    return exact_percentiles(cut_lineage(rows, "field-differences"), [*keys, "field"], "_d", percents)
+
+
 def overlap_report(reconstructed: DataFrame, official: DataFrame, keys: list[str] = ["symbol"]) -> DataFrame:
     """Bars on both sides, on one side only, and volume-ratio percentiles (a ratio near two means that both sides
     of each trade were counted). Official bars without volume give no ratio."""

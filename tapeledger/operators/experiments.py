@@ -29,6 +29,7 @@ SEARCHED_TYPES = ["alpha_research", "robustness", "validation", "replication"]
 DATALESS_TYPES = ["infrastructure", "data_audit"]
 ARTIFACT_KINDS = ["equity_curve", "weights", "trades", "metrics", "log", "notes", "report", "dataset_snapshot", "other"]
 RESULT_WARNINGS = ["RUINED", "LEVERAGE_BREACH", "FUNDING_GAP_SUSPICIOUS", "FUNDING_NOT_MODELLED", "COUNTERFACTUAL_", "UNEXECUTED_REBALANCES", "DRAG_NOT_COMPARABLE", "CAGR_SUPPRESSED"]
+CONTRACTS = ["backtest_contract", "data_contract", "data_processing_version", "registry_schema"]
 HASH_PREFIX = 16
 BACKDATED_SECONDS = 3600
 
@@ -117,17 +118,25 @@ def _result_fields(metrics: str = "metrics") -> Column:
     return F.array_sort(F.map_entries(metrics))
 
 
+def _differing_entries(c: str) -> Column:
+    """``column.key`` of the entries in which a map and that of the baseline differ. A missing map has no entries."""
+    mine, base = F.coalesce(F.col(c), F.map_from_arrays(F.slice(F.map_keys(f"_b.{c}"), 1, 0), F.slice(F.map_values(f"_b.{c}"), 1, 0))), F.col(f"_b.{c}")
+    base = F.coalesce(base, F.map_from_arrays(F.slice(F.map_keys(c), 1, 0), F.slice(F.map_values(c), 1, 0)))
+    names = F.array_distinct(F.concat(F.coalesce(F.map_keys(mine), F.array()), F.coalesce(F.map_keys(base), F.array())))
+    differ = lambda k: ~mine[k].eqNullSafe(base[k]) | (F.map_contains_key(mine, k) != F.map_contains_key(base, k))
+    return F.transform(F.filter(names, differ), lambda k: F.concat(F.lit(f"{c}."), k))
+
+
 def reproducibility(folded: DataFrame) -> DataFrame:
     """Compare each rerun with the first run of its exact hash: UNIQUE, NOT_COMPARABLE, REPRODUCED or DIVERGED,
-    with the names of the fields that differ."""
-    cols = ["n_periods", "rebalance_count", "ruined", "result_warnings", "metrics"]
+    with the names of the fields that differ. Records may have ``custom``, a map of results of their own."""
+    maps = [c for c in ("metrics", "custom") if c in folded.columns]
+    cols = ["n_periods", "rebalance_count", "ruined", "result_warnings", *maps]
     folded = folded.withColumn("result_warnings", F.array_sort("result_warnings"))
     base = folded.where("run_seq = 0").select("exact_hash", F.struct("folded_status", *cols).alias("_b"))
     d = folded.join(base, on="exact_hash", how="left")
-    names = F.array_sort(F.array_distinct(F.concat(F.coalesce(F.map_keys("metrics"), F.array()), F.coalesce(F.map_keys("_b.metrics"), F.array()))))
-    diff_metrics = F.transform(F.filter(names, lambda k: ~F.col("metrics")[k].eqNullSafe(F.col("_b.metrics")[k]) | (F.map_contains_key("metrics", k) != F.map_contains_key("_b.metrics", k))), lambda k: F.concat(F.lit("metrics."), k))
     diff_plain = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_b.{c}")), F.lit(c)) for c in cols[:4]]))
-    differing = F.array_sort(F.concat(diff_plain, diff_metrics))
+    differing = F.array_sort(F.concat(diff_plain, *[_differing_entries(c) for c in maps]))
     comparable = (F.col("folded_status") == "COMPLETED") & (F.col("_b.folded_status") == "COMPLETED") & F.col("metrics").isNotNull() & F.col("_b.metrics").isNotNull()
     status = F.when(F.col("run_seq") == 0, "UNIQUE").when(F.col("_b").isNull(), "BASELINE_MISSING").when(~F.coalesce(comparable, F.lit(False)), "NOT_COMPARABLE")
     status = status.when(F.size(differing) > 0, "DIVERGED").otherwise("REPRODUCED")
@@ -258,11 +267,13 @@ def sticky_warnings() -> Column:
 def experiment_table(folded: DataFrame) -> DataFrame:
     """The listing: one row per record with its number of warnings."""
     count = F.size(F.array_distinct(F.concat("warnings", sticky_warnings()))) + F.coalesce(F.size("result_warnings"), F.lit(0))
-    return folded.select("experiment_id", "created_at", F.col("folded_status").alias("status"), "experiment_type", "strategy_name", "recorded_via", count.cast("bigint").alias("n_warnings"))
+    verdict = ["reproducibility_status"] if "reproducibility_status" in folded.columns else []
+    return folded.select("experiment_id", "created_at", F.col("folded_status").alias("status"), "experiment_type", "strategy_name", "recorded_via", *verdict, count.cast("bigint").alias("n_warnings"))
 
 
 # --- search ------------------------------------------------------------------------------------------------
 
+# Names of the filters.
 _PLAIN = ["semantic_hash", "exact_hash", "experiment_type", "research_stage", "strategy_name", "hypothesis_id", "parent_experiment_id", "uses_proxy_data", "reproducibility_status", "search_space_id", "config_family_hash"]
 _DATASET = ["dataset_id", "source_venue", "field_type", "native_or_proxy"]
 
@@ -413,6 +424,31 @@ def record_findings(records: DataFrame) -> DataFrame:
     return records.select("experiment_id", F.explode(F.concat(own, of_dataset)).alias("code"))
 
 
+def code_findings(records: DataFrame) -> DataFrame:
+    """Broken rules of the identity of the code: experiment_id, code. ``code`` has git_commit, code_fingerprint,
+    code_fingerprint_n_files and contract_versions (a map with exactly ``CONTRACTS``)."""
+    c, when = F.col("code"), F.when
+    hexadecimal = lambda col, n: F.coalesce(col.rlike(f"^[0-9a-f]{{{n}}}$"), F.lit(False))
+    versions = c["contract_versions"]
+    codes = F.array_compact(F.array(
+        when(c["git_commit"].isNotNull() & ~hexadecimal(c["git_commit"], 40), "BAD_GIT_COMMIT"), when(F.coalesce(F.length(c["code_fingerprint"]) != 64, F.lit(True)), "FINGERPRINT_REQUIRED"),
+        when(F.coalesce(c["code_fingerprint_n_files"] <= 0, F.lit(True)), "EMPTY_FINGERPRINT"), when(F.coalesce(F.array_sort(F.map_keys(versions)) != F.array(*[F.lit(k) for k in CONTRACTS]), F.lit(True)), "CONTRACTS_REQUIRED"),
+        when(versions["registry_schema"] != F.col("schema_version"), "SCHEMA_CONTRACT_MISMATCH"),
+    ))
+    return records.select("experiment_id", F.explode(codes).alias("code"))
+
+
+def artifact_findings(artifacts: DataFrame) -> DataFrame:
+    """Broken rules of artifacts (experiment_id, name, kind, path): a name, a known kind, and a relative path with slashes."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))) == ""
+    path = F.col("path")
+    codes = F.array_compact(F.array(
+        F.when(blank("name"), "NAME_REQUIRED"), F.when(~F.coalesce(F.col("kind").isin(ARTIFACT_KINDS), F.lit(False)), "BAD_KIND"), F.when(blank(path), "PATH_REQUIRED"),
+        F.when(path.rlike("^(/|.:)"), "ABSOLUTE_PATH"), F.when(F.contains(path, F.lit("\\")), "BACKSLASH_IN_PATH"),
+    ))
+    return artifacts.select("experiment_id", "name", F.explode(codes).alias("code"))
+
+
 def window_containment(windows: DataFrame, frames: DataFrame) -> DataFrame:
     """Datasets of a run against the span it evaluated (both ends included): whether the data hold the span,
     whether the declared evaluation window is that span, and datasets only one side knows."""

@@ -339,3 +339,72 @@ def integrity_report(spark, sf):
     unreadable = o.where("o_orderkey % 50 = 1").select(F.concat(F.lit("f/"), F.col("o_orderkey").cast("string")).alias("file"), F.lit("UNPARSEABLE_RECORD").alias("code"))
     current = r.where("schema_version = 'schema-1'")
     return X.integrity_report(r, made.unionByName(z).withColumn("seq", F.lit(1)), "schema-1", lines, artifacts, again, unreadable, lineage.lineage(current))
+
+
+@query("rerun_results", """WITH n AS (SELECT *, row_number() OVER (PARTITION BY exact_hash ORDER BY logged_at, experiment_id) - 1 AS run_seq FROM folded),
+  d AS (SELECT n.experiment_id, n.run_seq, n.folded_status, b.folded_status AS base_status, n.key % 2 <> b.key % 2 AS custom_differs, (n.key % 5 = 0) <> (b.key % 5 = 0) AS warnings_differ FROM n JOIN n b ON b.exact_hash = n.exact_hash AND b.run_seq = 0)
+  SELECT experiment_id, CASE WHEN run_seq = 0 THEN 'UNIQUE' WHEN folded_status <> 'COMPLETED' OR base_status <> 'COMPLETED' THEN 'NOT_COMPARABLE' WHEN custom_differs OR warnings_differ THEN 'DIVERGED' ELSE 'REPRODUCED' END AS reproducibility_status,
+  CASE WHEN run_seq > 0 AND folded_status = 'COMPLETED' AND base_status = 'COMPLETED' AND (custom_differs OR warnings_differ) THEN concat_ws(',', CASE WHEN custom_differs THEN 'custom.seed' END, CASE WHEN warnings_differ THEN 'result_warnings' END) END AS divergence FROM d""", ("folded",))
+def rerun_results(spark, sf):
+    """Repeats that differ in results of their own or in their result warnings; their metrics are alike."""
+    key = F.expr("bigint(substring(experiment_id, 2))")
+    f = folded(spark, sf).withColumns({
+        "metrics": F.create_map(F.lit("sharpe"), F.lit(1.0)), "custom": F.create_map(F.lit("seed"), key % 2, F.lit("fixed"), F.lit(1).cast("bigint")),
+        "result_warnings": F.when(key % 5 == 0, F.array(F.lit("LEVERAGE_BREACH"))).otherwise(F.array().cast("array<string>"))})
+    d = X.reproducibility(cut_lineage(X.run_numbers(f), "numbered"))
+    return d.select("experiment_id", "reproducibility_status", F.when(F.col("divergence").isNotNull(), F.concat_ws(",", "divergence")).alias("divergence"))
+
+
+@query("code_findings", """WITH r AS (SELECT 'E' || o_orderkey AS experiment_id, o_custkey AS c FROM orders) SELECT experiment_id, 'BAD_GIT_COMMIT' AS code FROM r WHERE c % 7 = 1 UNION ALL SELECT experiment_id, 'FINGERPRINT_REQUIRED' FROM r WHERE c % 11 IN (0, 1)
+  UNION ALL SELECT experiment_id, 'EMPTY_FINGERPRINT' FROM r WHERE c % 13 = 0 UNION ALL SELECT experiment_id, 'CONTRACTS_REQUIRED' FROM r WHERE c % 17 = 0 UNION ALL SELECT experiment_id, 'SCHEMA_CONTRACT_MISMATCH' FROM r WHERE c % 19 = 0""")
+def code_findings(spark, sf):
+    """Code identities made from orders, broken by rules on the customer's number."""
+    c, t = F.col("o_custkey"), lambda x: F.lit(x)
+    commit = F.when(c % 7 == 1, "main").when(c % 7 != 2, F.left(F.sha2(c.cast("string"), 256), F.lit(40)))
+    print_ = F.when(c % 11 == 0, F.lit(None).cast("string")).when(c % 11 == 1, "abc").otherwise(F.sha2(c.cast("string"), 256))
+    versions = F.create_map(t("registry_schema"), F.when(c % 19 == 0, "s0").otherwise("s1"), t("data_contract"), t("1"), t("backtest_contract"), t("1"), F.when(c % 17 == 0, "other").otherwise("data_processing_version"), t("v2"))
+    code = F.struct(commit.alias("git_commit"), print_.alias("code_fingerprint"), F.when(c % 13 == 0, 0).otherwise(5).alias("code_fingerprint_n_files"), versions.alias("contract_versions"))
+    return X.code_findings(V.table(spark, sf, "orders").select(F.concat(F.lit("E"), F.col("o_orderkey").cast("string")).alias("experiment_id"), F.lit("s1").alias("schema_version"), code.alias("code")))
+
+
+_ARTIFACTS = """a AS (SELECT experiment_id, 'curve' AS name, 'a/' || experiment_id AS path, artifact_sha AS sha256 FROM records UNION ALL
+  SELECT 'E' || lpad(l_orderkey::VARCHAR, 12, '0'), 'log' || l_linenumber, CASE l_suppkey % 7 WHEN 0 THEN '/abs/' WHEN 1 THEN 'C:\\x' WHEN 2 THEN 'a\\b' WHEN 3 THEN '' ELSE 'logs/' END || CASE WHEN l_suppkey % 7 = 3 THEN '' ELSE l_linenumber::VARCHAR END, NULL FROM lineitem WHERE l_linenumber = 1)"""
+
+
+def _artifacts(spark, sf):
+    mode, n = F.col("l_suppkey") % 7, F.col("l_linenumber").cast("string")
+    path = F.when(mode == 3, "").otherwise(F.concat(F.when(mode == 0, "/abs/").when(mode == 1, "C:\\x").when(mode == 2, "a\\b").otherwise("logs/"), n))
+    added = V.table(spark, sf, "lineitem").where("l_linenumber = 1").select(
+        F.concat(F.lit("E"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0")).alias("experiment_id"), F.lit("artifact_added").alias("event"), F.struct(F.concat(F.lit("log"), n).alias("name"), path.alias("path"), F.lit(None).cast("string").alias("sha256")).alias("artifact"))
+    return X.all_artifacts(V.records(spark, sf), added)
+
+
+@query("experiment_artifacts", f"WITH {_ARTIFACTS} SELECT * FROM a", ("records",))
+def experiment_artifacts(spark, sf):
+    """Artifacts of records and those that later events added."""
+    return _artifacts(spark, sf)
+
+
+@query("artifact_rule_findings", f"""WITH {_ARTIFACTS} SELECT experiment_id, name, 'BAD_KIND' AS code FROM a WHERE name = 'curve' AND sha256 IS NULL UNION ALL SELECT experiment_id, name, 'ABSOLUTE_PATH' FROM a WHERE path LIKE '/%' OR path LIKE 'C:%'
+  UNION ALL SELECT experiment_id, name, 'BACKSLASH_IN_PATH' FROM a WHERE contains(path, '\\') UNION ALL SELECT experiment_id, name, 'PATH_REQUIRED' FROM a WHERE path = ''""", ("records",))
+def artifact_rule_findings(spark, sf):
+    kind = F.when((F.col("name") == "curve") & F.col("sha256").isNull(), "picture").when(F.col("name") == "curve", "equity_curve").otherwise("log")
+    return X.artifact_findings(_artifacts(spark, sf).withColumn("kind", kind))
+
+
+@query("tags_and_notes", """SELECT experiment_id, 'tag' AS kind, NULL::BIGINT AS seq, tag AS text FROM records UNION SELECT experiment_id, 'tag', NULL, 'late' || seq % 3 FROM history WHERE seq % 4 = 0
+  UNION ALL SELECT experiment_id, 'note', seq, reason || seq FROM history WHERE seq % 4 = 0 UNION ALL SELECT experiment_id, 'note', 0, 'made by hand' FROM records WHERE cust % 6 = 0""", ("records", "history"))
+def tags_and_notes(spark, sf):
+    """Tags and notes of records and of annotations, folded into rows."""
+    h = V.history(spark, sf).where("seq % 4 = 0")
+    notes = h.select("experiment_id", "seq", F.lit("annotation").alias("event"), F.array(F.concat(F.lit("late"), (F.col("seq") % 3).cast("string"))).alias("tags_added"), F.concat("reason", F.col("seq").cast("string")).alias("note"))
+    r = V.records(spark, sf).withColumn("notes", F.when(F.col("recorded_via") == "manual", "made by hand"))
+    return X.tags_and_notes(r, cut_lineage(notes, "annotations"))
+
+
+@query("experiment_listing", """WITH n AS (SELECT *, row_number() OVER (PARTITION BY exact_hash ORDER BY logged_at, experiment_id) - 1 AS run_seq FROM folded)
+  SELECT n.experiment_id, n.folded_status AS status, CASE WHEN n.run_seq = 0 THEN 'UNIQUE' WHEN n.folded_status <> 'COMPLETED' OR b.folded_status <> 'COMPLETED' THEN 'NOT_COMPARABLE' WHEN n.sharpe <> b.sharpe THEN 'DIVERGED' ELSE 'REPRODUCED' END AS reproducibility_status
+  FROM n JOIN n b ON b.exact_hash = n.exact_hash AND b.run_seq = 0""", ("folded",))
+def experiment_listing(spark, sf):
+    """The listing with the verdict on each repeat."""
+    return X.experiment_table(X.reproducibility(cut_lineage(X.run_numbers(folded(spark, sf)), "numbered"))).select("experiment_id", "status", "reproducibility_status")

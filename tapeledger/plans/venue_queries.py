@@ -256,3 +256,11 @@ def ingest_summary(spark, sf):
     clashes = accrete.conflicts(s, f).groupBy("symbol").agg(F.count(F.lit(1)).alias("conflicts"))
     outcomes = per.join(clashes, on="symbol", how="left").withColumns({"conflicts": F.coalesce("conflicts", F.lit(0)), "ok": F.col("n_rows") >= 600})
     return accrete.ingest_summary(outcomes)
+
+
+@query("overlap_field_percentiles", " UNION ALL ".join(f"""SELECT symbol, '{f}' AS field, p AS percent, count(*) AS n, round(quantile_cont(d, p / 100.0::DOUBLE), 9) AS value FROM (SELECT symbol, abs(a_{f} - b_{f}) / abs(b_{f}) AS d FROM overlap_ab WHERE b_{f} <> 0), (SELECT unnest({_PCT}) AS p) GROUP BY symbol, p"""
+       for f in ("open", "high", "low", "close")).replace("quantile_cont(d, p / 100.0::DOUBLE)", "(list_sort(list(d))[1 + floor((count(*) - 1) * p / 100.0)::INT] + (list_sort(list(d))[1 + ceil((count(*) - 1) * p / 100.0)::INT] - list_sort(list(d))[1 + floor((count(*) - 1) * p / 100.0)::INT]) * ((count(*) - 1) * p / 100.0 - floor((count(*) - 1) * p / 100.0)))"), ("overlap_ab",))
+def overlap_field_percentiles(spark, sf):
+    """Relative differences of every price field, by symbol."""
+    d = compare.overlap_differences(V.venue_bars(spark, sf, "A"), V.venue_bars(spark, sf, "B"), percents=list(_PCT))
+    return d.withColumn("value", F.round("value", 9))
