@@ -157,3 +157,36 @@ def test_counts_before(spark):
     got = {r.q: r.n for r in counts_before(spark.createDataFrame(points, "k string, position bigint, value bigint"), spark.createDataFrame(queries, "k string, q bigint, upto bigint, value bigint"), ["k"], "q").collect()}
     for q in {x[1] for x in queries}:
         assert got.get(q, 0) == sum(1 for k, i, u, v in queries if i == q for p in points if p[0] == k and p[1] < u and p[2] < v)
+
+
+def test_custom_results_and_listing(spark):
+    schema = "experiment_id string, exact_hash string, run_seq int, folded_status string, n_periods int, rebalance_count int, ruined boolean, result_warnings array<string>, metrics map<string,double>, custom map<string,int>"
+    same = ("COMPLETED", 5, 1, False, ["A", "B"], {"s": 1.0})
+    r = spark.createDataFrame([("a", "h", 0, *same, {"x": 1, "y": 2}), ("b", "h", 1, *same, {"y": 2, "x": 1}), ("c", "h", 2, *same, {"x": 3, "z": 1}), ("d", "h", 3, *same, None), ("e", "g", 0, *same, None), ("f", "g", 1, *same, None)], schema)
+    got = {x.experiment_id: (x.reproducibility_status, x.divergence) for x in X.reproducibility(r).collect()}
+    assert got == {"a": ("UNIQUE", None), "b": ("REPRODUCED", None), "c": ("DIVERGED", ["custom.x", "custom.y", "custom.z"]), "d": ("DIVERGED", ["custom.x", "custom.y"]), "e": ("UNIQUE", None), "f": ("REPRODUCED", None)}
+
+
+def test_rules_of_code_and_artifacts(spark):
+    code = "struct<git_commit:string,code_fingerprint:string,code_fingerprint_n_files:int,contract_versions:map<string,string>>"
+    four = {"registry_schema": "s1", "data_contract": "1", "backtest_contract": "1", "data_processing_version": "1"}
+    rows_ = [("ok", "s1", (None, "f" * 64, 1, four)), ("ok2", "s1", ("a" * 40, "f" * 64, 1, four)), ("commit", "s1", ("A" * 40, "f" * 64, 1, four)), ("print", "s1", (None, None, None, four)), ("keys", "s1", (None, "f" * 64, 1, {"registry_schema": "s1"})), ("schema", "s2", (None, "f" * 64, 1, four)), ("none", "s1", (None, "f" * 64, 1, None))]
+    got = sorted((x.experiment_id, x.code) for x in X.code_findings(spark.createDataFrame(rows_, f"experiment_id string, schema_version string, code {code}")).collect())
+    assert got == [("commit", "BAD_GIT_COMMIT"), ("keys", "CONTRACTS_REQUIRED"), ("none", "CONTRACTS_REQUIRED"), ("print", "EMPTY_FINGERPRINT"), ("print", "FINGERPRINT_REQUIRED"), ("schema", "SCHEMA_CONTRACT_MISMATCH")]
+    files = [("e", "a", "log", "x/y"), ("e", "", "log", "x"), ("e", "b", "picture", "/x"), ("e", "c", None, "C:x"), ("e", "d", "log", "x\\y"), ("e", "f", "log", None)]
+    got = sorted((x.name, x.code) for x in X.artifact_findings(spark.createDataFrame(files, "experiment_id string, name string, kind string, path string")).collect())
+    assert got == [("", "NAME_REQUIRED"), ("b", "ABSOLUTE_PATH"), ("b", "BAD_KIND"), ("c", "ABSOLUTE_PATH"), ("c", "BAD_KIND"), ("d", "BACKSLASH_IN_PATH"), ("f", "PATH_REQUIRED")]
+
+
+def test_digest_trees(spark):
+    from tapeledger.functions.digest import digest_diff, digest_tree
+
+    base = [(s, d, i, float(i)) for s in "ab" for d in (1, 2, 3) for i in range(4)]
+    frame = lambda data: spark.createDataFrame(data, "s string, d int, i int, x double")
+    tree = lambda data: digest_tree(frame(data).repartition(3), ["i", "x"], ["s", "d"])
+    find = lambda a, b: sorted(tuple(r) for r in digest_diff(tree(a), tree(b), ["s", "d"]).collect())
+    assert tree(base)[0].first()["n_rows"] == 24 and find(base, list(reversed(base))) == []
+    other = [(s, d, i, x + 1 if (s, d, i) == ("b", 2, 3) else x) for s, d, i, x in base if (s, d) != ("a", 3)] + [("c", 1, 0, 0.0)]
+    assert find(base, other) == [("a", 3, "removed"), ("b", 2, "changed"), ("c", 1, "added")]
+    moved = [(s, {1: 2, 2: 1}.get(d, d) if s == "a" else d, i, x) for s, d, i, x in base]
+    assert find(base, moved) == []  # equal content under exchanged days

@@ -170,3 +170,30 @@ def test_snapshots_are_written_once(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         snapshots.seal(d, str(tmp_path), "set", T0, T0)
     assert snapshots.store_by_content(d, str(tmp_path)) == snapshots.store_by_content(d.orderBy(F.desc("x")), str(tmp_path))
+
+
+def test_archives_in_a_folder(spark, tmp_path):
+    """Files written by tasks, listed with a pattern, one damaged; sidecars beside them."""
+    from pyspark.sql import functions as F
+
+    from tapeledger.sources import kline
+    from tapeledger.sources.files import write_files
+
+    lines = spark.createDataFrame([(f"{s}USDT-1h-2024-0{m}.zip", i, f"{m},{i}") for s in ("A", "B") for m in (1, 2) for i in (1, 0)], "file string, line_no bigint, line string")
+    zips = kline.zip_lines(lines)
+    broken = zips.withColumn("content", F.when(F.col("file").startswith("BUSDT-1h-2024-02"), F.expr("substring(content, 1, 20)")).otherwise(F.col("content")))
+    assert write_files(broken, str(tmp_path / "z")) == 4 and write_files(zips.limit(0), str(tmp_path / "z")) == 0
+    name = F.element_at(F.split("file", "/"), -1)
+    read = kline.read_archives(spark, str(tmp_path / "z"), kline.archive_pattern(["AUSDT", "BUSDT"], ["2024-02"]))
+    assert sorted(r[0] for r in read.select(name).collect()) == ["AUSDT-1h-2024-02.zip", "BUSDT-1h-2024-02.zip"]
+    assert [(r[0], r[1]) for r in kline.archive_findings(read).select(name, "code").collect()] == [("BUSDT-1h-2024-02.zip", "UNREADABLE_ARCHIVE")]
+    assert [r.line for r in kline.archive_lines(read).orderBy("line_no").collect()] == ["2,0", "2,1"]
+    assert {bytes(r.content) for r in kline.zip_lines(lines.repartition(5)).collect()} == {bytes(r.content) for r in zips.collect()}
+
+
+def test_sidecar_findings(spark):
+    from tapeledger.sources import catalog
+
+    docs = spark.createDataFrame([("a", '{"dataset_id":"x"}'), ("b", '{"dataset_id":"x"}'), ("c", "{"), ("d", None), ("e", '{"dataset_id":" "}'), ("f", "[1]"), ("g", '{"dataset_id":"y"}')], "file string, value string")
+    got = sorted((r.file, r.code) for r in catalog.sidecar_findings(docs).collect())
+    assert got == [("b", "DUPLICATE_DATASET"), ("c", "UNPARSEABLE_SIDECAR"), ("d", "UNPARSEABLE_SIDECAR"), ("e", "MISSING_DATASET_ID"), ("f", "UNPARSEABLE_SIDECAR")]
