@@ -8,7 +8,7 @@ from tools.compare import connect, difference
 SF = "/root/testdata/sf0.001"
 # The smallest data have months without a price for some symbols, which a ledger reports and SQL lists cannot hold.
 WHOLE_GRID = "/root/testdata/sf0.01"
-NEEDS_WHOLE_GRID = {"ledger_periods", "ledger_returns", "ledger_positions", "ledger_ruin", "ledger_flags", "symbol_state_counts", "equity_curve", "drawdown_curve", "performance_metrics", "cost_drag", "crossvenue_run_compare"}
+NEEDS_WHOLE_GRID = {"price_violations", "unpriced_funding", "ledger_periods", "ledger_returns", "ledger_positions", "ledger_ruin", "ledger_flags", "symbol_state_counts", "equity_curve", "drawdown_curve", "performance_metrics", "cost_drag", "crossvenue_run_compare"}
 
 
 @pytest.fixture(scope="module")
