@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Word parts a worker remembers, at most; longer ones are encoded each time.
-MOST_PARTS, LONGEST_PART = 200_000, 60
+MOST_PARTS, LONGEST_PART = 400_000, 60
 
 #: The white space of the tokenizers' patterns.
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -54,7 +54,9 @@ class PieceTokenizer:
 
     def _new(self, part: str, whole: bool) -> bytes:
         ids = self.whole(part) if whole else array("I", [t.id for t in self.tokenizer.model.tokenize(part.translate(self.shown))]).tobytes()
-        if len(part) <= LONGEST_PART and len(self.parts) < MOST_PARTS:  # frequent parts come early
+        if len(part) <= LONGEST_PART:
+            if len(self.parts) >= MOST_PARTS:
+                self.parts.clear()
             self.parts[part] = ids
         return ids
 
