@@ -66,4 +66,17 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def drop_stored(*frames: DataFrame) -> None:
+    """Delete tables made by ``cut_lineage`` from the shared folder. Only for tables whose every reader was itself
+    stored since: a plan that still reads one would fail. Other frames are left alone."""
+    for df in frames:
+        stored_at = vars(df).get("_stored_at")
+        if stored_at:
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(stored_at)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

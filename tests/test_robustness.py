@@ -63,3 +63,17 @@ def test_leave_one_out_and_beta(spark):
 def test_dropped_windows(spark, series):
     got = {r.k: r for r in R.drop_best_windows(frame(spark, series), ["k"], "t", "r", 3, 2, 12.0).collect()}
     assert got["a"].n == 34 and got["a"].n_removed == 6 and got["d"].n == 2 and got["d"].n_removed == 0 and "c" not in got
+
+
+def test_stored_tables_are_dropped(spark):
+    import os
+
+    from tapeledger.session import cut_lineage, drop_stored
+
+    stored, other = cut_lineage(spark.range(5).toDF("x"), "drop_me"), cut_lineage(spark.range(3).toDF("x"), "keep_me")
+    after = cut_lineage(stored.filter("x > 2"), "after")
+    path = stored._stored_at
+    drop_stored(stored, spark.range(2))
+    assert not os.path.exists(path.removeprefix("file:"))
+    assert sorted(r.x for r in after.collect()) == [3, 4]
+    assert other.count() == 3
