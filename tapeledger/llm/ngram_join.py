@@ -132,14 +132,19 @@ def _prefixes(documents: DataFrame, levels: np.ndarray, size: int, percent: int)
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, matches int, n long, tokens array<long>")
 
 
-def _position(column: str) -> Column:
+def _position(column: str | Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(column), 64 - FILTER_BITS)
 
 
+def _filter_words(wanted: DataFrame, column: str) -> DataFrame:
+    """``(word, bits)``: a bit for the hash of every value, at most ``2 ** (FILTER_BITS - 6)`` rows whatever their number."""
+    at = wanted.select(_position(column).alias("position"))
+    return at.groupBy(F.shiftright("position", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(position & 63 as int))")).alias("bits"))
+
+
 def _filter(spark: SparkSession, wanted: DataFrame, column: str) -> Broadcast:
     """A bit for the hash of every value: of a fixed size, so it only lets more pass as the values grow in number."""
-    at = wanted.select(_position(column).alias("position"))
-    words = at.groupBy(F.shiftright("position", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(position & 63 as int))")).alias("bits")).toArrow()
+    words = _filter_words(wanted, column).toArrow()
     bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return spark.sparkContext.broadcast(bits)
@@ -376,6 +381,21 @@ def near_duplicates(documents: DataFrame, size: int = SIZE, percent: int = PERCE
     return joined.join(ids, "doc_id", "left").select("doc_id", "n_shingles", F.least(F.coalesce("c_id", "c"), F.coalesce("c", "c_id")).alias("component_id"))
 
 
+def _without(documents: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``documents`` less the rows whose ``doc_id`` is in ``dropped(doc_id)``.
+
+    Rows that miss a bit filter of the dropped ids, at most ``2 ** FILTER_BITS`` bits in words of 64, stay where they
+    are; only the others are shuffled with their texts for the exact anti join.
+    """
+    word, bits, position = spare_names(documents, "word", "bits", "position")
+    words = _filter_words(dropped, "doc_id").toDF(word, bits)
+    at = documents.withColumn(position, _position(F.col("doc_id").cast("long"))).withColumn(word, F.shiftright(position, 6))
+    marked = at.join(F.broadcast(words), word, "left")
+    hit = F.coalesce(F.expr(f"shiftright(`{bits}`, cast(`{position}` & 63 as int)) & 1"), F.lit(0)) == 1
+    missed = marked.filter(~hit | F.col("doc_id").isNull()).select(*documents.columns)
+    return missed.unionByName(marked.filter(hit & F.col("doc_id").isNotNull()).join(dropped, "doc_id", "left_anti").select(*documents.columns))
+
+
 def keep_first(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """``documents`` with one document of each component: the one with the smallest ``doc_id``.
 
@@ -383,7 +403,7 @@ def keep_first(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     the smallest text hash.
     """
     groups = near_duplicates(documents, size, percent).filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    kept = documents.join(groups, "doc_id", "left_anti").select(*documents.columns)
+    kept = _without(documents, cut_lineage(groups, "ngram_dropped"))
     k, h, own = spare_names(documents, "k", "h", "own")
     twice = documents.filter("doc_id is not null").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(k), F.min(F.xxhash64("text")).alias(h)).filter(F.col(k) > 1)
     if twice.isEmpty():
