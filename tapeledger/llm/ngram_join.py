@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tapeledger.llm.batches import bound_batches, slices, spare_names, texts_of
 from tapeledger.llm.components import connected_components
 from tapeledger.llm.words import shingles
-from tapeledger.session import cut_lineage
+from tapeledger.session import cut_lineage, drop_stored
 
 SIZE, PERCENT = 5, 80
 #: Bits of the sketch of frequent shingles, and of the filter of documents to verify: fixed sizes, 4 and 8 MB.
@@ -220,7 +220,9 @@ def _verified(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     near = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    return cut_lineage(pairs.join(left, "a").join(right, "b").filter(near).mapInArrow(run, "a long, b long"), "ngram_links")
+    links = cut_lineage(pairs.join(left, "a").join(right, "b").filter(near).mapInArrow(run, "a long, b long"), "ngram_links")
+    drop_stored(pairs, sets)
+    return links
 
 
 def _tile_links(a: pd.DataFrame, b: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
@@ -286,7 +288,9 @@ def _block_links(documents: DataFrame, blocks: DataFrame, size: int, percent: in
         a, b = pdf[pdf["out"]], pdf[~pdf["out"]]
         return pd.DataFrame(_tile_links(a, b, percent) if len(a) and len(b) else [], columns=["a", "b"]).astype("int64")
 
-    return cut_lineage(tiles.groupBy("block", "i", "j").applyInPandas(compare, "a long, b long").distinct(), "ngram_block_links")
+    links = cut_lineage(tiles.groupBy("block", "i", "j").applyInPandas(compare, "a long, b long").distinct(), "ngram_block_links")
+    drop_stored(sets)
+    return links
 
 
 def _mixed_lists(lists: DataFrame, links: DataFrame, blocks: DataFrame | None) -> tuple[DataFrame, float]:
@@ -294,6 +298,7 @@ def _mixed_lists(lists: DataFrame, links: DataFrame, blocks: DataFrame | None) -
 
     ``(token, doc_id, component, blocks, pairs)``, ``pairs`` those left to compare in the list (of blocks the last one
     counts), and the sum of these over all lists. ``blocks(doc_id, blocks)`` has at most ``BLOCK_TURNS`` a document.
+    ``lists`` is deleted from the shared folder: what is returned takes its place.
     """
     known, nothing = connected_components(links.toDF("u", "v"), "ngram_components").withColumnRenamed("node", "doc_id"), F.array().cast("array<long>")
     known = known.join(blocks, "doc_id", "full_outer") if blocks is not None else known.withColumn("blocks", nothing)
@@ -307,7 +312,9 @@ def _mixed_lists(lists: DataFrame, links: DataFrame, blocks: DataFrame | None) -
     mixed = mixed.join(inside, "token", "left").withColumn("pairs", (F.col("all") * F.col("all") - F.col("own") - F.coalesce("done", F.lit(0))) / 2).filter("pairs > 0")
     mixed = cut_lineage(mixed.select("token", "pairs"), "ngram_mixed")
     rest = cut_lineage(parts.join(mixed, "token"), "ngram_rest")
-    return rest, mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+    pairs = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+    drop_stored(lists, parts, mixed)
+    return rest, pairs
 
 
 def ngram_links(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -332,6 +339,7 @@ def ngram_links(documents: DataFrame, size: int = SIZE, percent: int = PERCENT)
     shared = cut_lineage(shared, "ngram_shared")
     lists = cut_lineage(_entries_of(prefixes, _filter(spark, shared, "token")).join(shared.select("token", "centre"), "token"), "ngram_lists")
     sizes = cut_lineage(prefixes.groupBy("doc_id").agg(F.min("matches").alias("m"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.size("tokens")).alias("beyond")), "ngram_sizes")
+    drop_stored(profiles, prefixes, shared)
 
     same = classes.filter("class_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).filter("a <> b")
     links = classes.join(same.select("doc_id", "a"), "doc_id").select("a", F.col("class_id").alias("b")).filter("a <> b").distinct()
@@ -362,7 +370,9 @@ def ngram_links(documents: DataFrame, size: int = SIZE, percent: int = PERCENT)
         left, right = (rest.select("token", F.col("doc_id").alias(x), F.col("component").alias(f"part_{x}"), F.col("blocks").alias(f"blocks_{x}")) for x in ("a", "b"))
         counted = left.join(right, "token").filter("a < b and part_a <> part_b and not arrays_overlap(blocks_a, blocks_b)").groupBy("a", "b").agg(F.count("*").alias("n"))
         links = links.unionByName(_verified(documents, _possible(counted, sizes, percent), size, percent))
-    return classes, cut_lineage(links.distinct(), "ngram_all_links")
+    links = cut_lineage(links.distinct(), "ngram_all_links")
+    drop_stored(rest, sizes)
+    return classes, links
 
 
 def near_duplicates(documents: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
