@@ -190,3 +190,12 @@ def test_digest_trees(spark):
     assert find(base, other) == [("a", 3, "removed"), ("b", 2, "changed"), ("c", 1, "added")]
     moved = [(s, {1: 2, 2: 1}.get(d, d) if s == "a" else d, i, x) for s, d, i, x in base]
     assert find(base, moved) == []  # equal content under exchanged days
+
+
+def test_verdicts_need_no_join_with_the_first_run(spark):
+    r = spark.createDataFrame(
+        [("a", "h", dt.datetime(2024, 1, 1), "COMPLETED", 1, 1, False, ["x", "y"], {"s": 1.0}), ("b", "h", dt.datetime(2024, 1, 2), "COMPLETED", 1, 1, False, ["y", "x"], {"s": 2.0})],
+        "experiment_id string, exact_hash string, logged_at timestamp_ntz, folded_status string, n_periods int, rebalance_count int, ruined boolean, result_warnings array<string>, metrics map<string,double>")
+    got = X.reproducibility(X.run_numbers(r, first_run=X.result_columns(r)))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(x) for x in got.orderBy("run_seq").select("reproducibility_status", "divergence").collect()] == [("UNIQUE", None), ("DIVERGED", ["metrics.s"])]

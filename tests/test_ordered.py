@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import rows
 from tapeledger.functions.timegrid import HOUR_US, MINUTE_US, time_block
 from tapeledger.operators import ordered
 from tapeledger.operators.asof import asof_price
@@ -131,3 +132,18 @@ def test_last_brackets_are_bounded(spark, monkeypatch):
 def test_blocks_do_not_depend_on_wall_clock(spark):
     one = spark.createDataFrame([(dt.datetime(1969, 12, 31, 23, 30),)], "t timestamp_ntz")
     assert one.select(time_block("t", HOUR_US)).first()[0] == -1
+
+
+def test_short_series_are_shuffled_once(spark):
+    df = spark.createDataFrame([("a", 3, 1.0), ("a", 1, 2.0), ("b", 2, 3.0)], "k string, t bigint, x double")
+    got = with_running(df, ["k"], ["t"], F.col("t"), {"n": ("count", F.lit(1)), "f": ("first", F.struct("x"))})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert rows(got.select("k", "t", "n", "f.x"), "k", "t") == [("a", 1, 1, 2.0), ("a", 3, 2, 2.0), ("b", 2, 1, 3.0)]
+
+
+def test_first_of_a_long_series_crosses_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_BLOCK", 2)
+    df = spark.createDataFrame([("a", i, float(i)) for i in range(9)], "k string, t bigint, x double")
+    got = with_running(df, ["k"], ["t"], F.floor(F.col("t") / 2), {"n": ("count", F.lit(1)), "f": ("first", F.struct("x"))})
+    assert rows(got.select("t", "n", "f.x"), "t") == [(i, i + 1, 0.0) for i in range(9)]
