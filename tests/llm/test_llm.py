@@ -11,6 +11,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+
 from tapeledger.llm import cross_polytope, factor_machine, id_files, license_scan, mixing, ngram_join, packing, queries, secret_scan, simhash, url_filter
 from tapeledger.llm.components import connected_components
 from tapeledger.llm.tokens import PieceTokenizer
@@ -196,6 +198,12 @@ def test_links_name_every_near_fingerprint_once(spark, monkeypatch, tile):
     assert simhash.links_within(frame.limit(0)).count() == 0
 
 
+def test_buckets_never_go_through_the_driver(spark):
+    prints = spark.range(2000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links_within(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_link_query_accounts_for_the_counts(spark):
     source = "/root/testdata/sf0.001"
     counts = queries.op3_simhash(spark, source).collect()
