@@ -5,11 +5,11 @@ checkpoint and writes files, so it can be stopped, lose executors and go on."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tapeledger.functions.timegrid import HOUR_US, moment, time_block
+from tapeledger.functions.timegrid import MINUTE_US, epoch_us, moment
 from tapeledger.operators.accrete import KEYS
 from tapeledger.operators.asof import PRICE_TOLERANCE_US
 from tapeledger.operators.bars import dedupe_by_key, native_traded
@@ -37,22 +37,46 @@ def append_to(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 def asof_prices(events: DataFrame, quotes: DataFrame, delay: str, tolerance_us: int = PRICE_TOLERANCE_US, sequence: str = "quote_id") -> DataFrame:
     """As-of prices of an event stream ``(symbol, timestamp, ...)`` from a quote stream ``(symbol, timestamp, oracle_px,
-    sequence)``; both may be out of order by ``delay``. Event rows must differ in some column.
-
-    A stream-stream join by interval keeps both sides only as long as the watermarks need them; the newest quote of each
-    event is then picked by an aggregation that appends an event once nothing can change it. Spark keeps and
-    cleans the state. Rows behind the watermark are dropped: see ``late_events``. Blocks of time are part of the join key, so a
-    hot symbol is spread over tasks; a quote is copied to the next block, as blocks are no shorter than the tolerance."""
-    width = max(HOUR_US, tolerance_us)
-    left = events.withWatermark("timestamp", delay).withColumn("_block", time_block("timestamp", width))
-    right = quotes.select(F.col("symbol").alias("_symbol"), F.col("timestamp").alias("_quote_time"), F.col("oracle_px").alias("_px"), F.col(sequence).alias("_sequence"))
-    right = right.withWatermark("_quote_time", delay).withColumn("_quote_block", F.explode(F.array(*(time_block("_quote_time", width) + i for i in (0, 1)))))
-    within = F.expr(f"_quote_time <= timestamp AND _quote_time >= timestamp - INTERVAL {tolerance_us} MICROSECONDS")
-    pairs = left.join(right, (F.col("symbol") == F.col("_symbol")) & (F.col("_block") == F.col("_quote_block")) & within, "leftOuter")
-    # of quotes at the very time of the event the first counts, of earlier ones the last
-    newest = F.struct("_quote_time", F.when(F.col("_quote_time") == F.col("timestamp"), -F.col("_sequence")).otherwise(F.col("_sequence")))
-    best = pairs.groupBy(*events.columns).agg(F.max_by(F.struct("_px", "_quote_time"), newest).alias("_best"))
-    return best.select(*events.columns, F.col("_best._px").alias("oracle_price"), F.col("_best._quote_time").alias("quote_time"))
+    sequence)``; both may be out of order by ``delay``.
+
+    Both sides go into one aggregation by symbol and block of time, no shorter than the tolerance. A block collects its events
+    and quotes, each row once, and of the block before only the newest quote. It comes out when the watermark has passed its
+    end; a search in the sorted quotes then finds each event's, so events and quotes are never paired and the work grows with
+    the rows, however dense they are. A task holds one block of one symbol at a time, not a symbol. Spark keeps and cleans
+    the state. Rows of a block behind the watermark are dropped: see ``late_events``."""
+    width = max(MINUTE_US, tolerance_us)
+    at = F.col("timestamp").alias("_at")
+    event = F.struct(*events.columns).alias("_event")
+    quote = F.struct(F.col("timestamp").alias("at"), F.col(sequence).alias("n"), F.col("oracle_px").alias("px")).alias("_quote")
+    event_type, quote_type = events.select(event).schema["_event"].dataType, quotes.select(quote).schema["_quote"].dataType
+    left = events.withWatermark("timestamp", delay).select(F.col("symbol").alias("_symbol"), at, event, F.lit(None).cast(quote_type).alias("_quote"))
+    right = quotes.where("symbol is not null").withWatermark("timestamp", delay).select(F.col("symbol").alias("_symbol"), at, F.lit(None).cast(event_type).alias("_event"), quote)
+    # a window is a block, its second half, and the block before
+    rows = left.unionByName(right).withColumn("_w", F.window("_at", f"{2 * width} microseconds", f"{width} microseconds"))
+    own = epoch_us("_at") - epoch_us(F.col("_w.start")) >= width
+    blocks = rows.where(own | F.col("_quote").isNotNull()).groupBy("_symbol", "_w").agg(
+        F.collect_list(F.when(own, F.col("_event"))).alias("_events"), F.collect_list(F.when(own, F.col("_quote"))).alias("_quotes"), F.max(F.when(~own, F.col("_quote"))).alias("_carry"))
+    blocks = blocks.where(F.size("_events") > 0).select("_events", F.sort_array("_quotes").alias("_quotes"), "_carry")
+    n, quote_at = F.size("_quotes"), lambda i: F.get("_quotes", i)
+    steps = F.when(n > 0, F.sequence(F.floor(F.log2(n)).cast("int") + 1, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+
+    def earlier(e: Column) -> Column:
+        """How many quotes of the block are earlier than the event: steps of falling powers of two."""
+        def step(found: Column, k: Column) -> Column:
+            ahead = found + F.call_function("shiftleft", F.lit(1), k)
+            return F.when((ahead <= n) & (quote_at(ahead - 1)["at"] < e["timestamp"]), ahead).otherwise(found)
+
+        return F.aggregate("_steps", F.lit(0), step)
+
+    def newest(x: Column) -> Column:
+        """Of quotes at the very time of the event the first counts, of earlier ones the last."""
+        here = quote_at(x["found"])
+        return F.struct(x["event"].alias("event"), F.when(here["at"] == x["event"]["timestamp"], here).otherwise(F.coalesce(quote_at(x["found"] - 1), F.col("_carry"))).alias("quote"))
+
+    placed = blocks.withColumn("_steps", steps).withColumn("_found", F.transform("_events", lambda e: F.struct(e.alias("event"), earlier(e).alias("found"))))
+    best = placed.select(F.explode(F.transform("_found", newest)).alias("_b"))
+    near = epoch_us(F.col("_b.event.timestamp")) - epoch_us(F.col("_b.quote.at")) <= tolerance_us
+    return best.select("_b.event.*", F.when(near, F.col("_b.quote.px")).alias("oracle_price"), F.when(near, F.col("_b.quote.at")).alias("quote_time"))
 
 
 def late_events(events: DataFrame, priced: DataFrame, keys: list[str]) -> DataFrame:

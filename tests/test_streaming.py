@@ -67,6 +67,24 @@ def test_asof_of_a_stream_out_of_order(spark, tmp_path):
     assert [r.trade_id for r in tape.late_events(split(everything)[0], got, ["trade_id"]).collect()] == [2000]
 
 
+def test_dense_events_and_quotes_are_not_paired(spark, tmp_path):
+    """700 rows of one symbol within two hours, many at one instant: each is kept once, in the state of its block."""
+    rnd = random.Random(8)
+    items = [("hot", T0 + dt.timedelta(minutes=rnd.randrange(120)), i, round(rnd.uniform(1, 9), 2), 1.0, rnd.choice("ABB")) for i in range(700)]
+    end = [("end", T0 + dt.timedelta(days=60), 3000 + i, 0.0, 1.0, v) for i, v in enumerate("AB")]
+    split = lambda b: (b.where("venue = 'B'").select("symbol", "timestamp", "trade_id"), b.where("venue = 'A'").select("symbol", "timestamp", F.col("px").alias("oracle_px"), F.col("trade_id").alias("quote_id")))
+    kept = []
+    for part in (items[::2], items[1::2], end):
+        spark.createDataFrame(part, SCHEMA).write.mode("append").parquet(f"{tmp_path}/in")
+        job = tape.append_to(tape.asof_prices(*split(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")), "2 days", 7 * 60_000_000), f"{tmp_path}/out", f"{tmp_path}/cp")
+        job.awaitTermination()
+        kept += [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in job.recentProgress]
+    want = asof.asof_price(*split(spark.createDataFrame(items, SCHEMA)), tolerance_us=7 * 60_000_000, sequence="quote_id").select("trade_id", "oracle_price", "quote_time")
+    got = spark.read.parquet(f"{tmp_path}/out").select("trade_id", "oracle_price", F.col("quote_time").cast("timestamp_ntz").alias("quote_time"))
+    assert rows(got, "trade_id") == rows(want.withColumn("quote_time", F.col("quote_time").cast("timestamp_ntz")), "trade_id")
+    assert max(kept) <= 30  # blocks of seven minutes, not rows or pairs
+
+
 def test_increments_keep_what_late_events_need(spark):
     at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
     quotes = lambda *q: spark.createDataFrame([("X", t, p, i) for i, (t, p) in enumerate(q)], "symbol string, timestamp timestamp_ntz, oracle_px double, qid bigint")
