@@ -97,6 +97,15 @@ def test_chain_of_hashes(spark, block):
     assert find([x for x in good if x[0] != 4]) == [("BAD_SEQ", 5), ("HISTORY_CHAIN_BROKEN", 5)]
 
 
+def test_hashes_travel_as_bytes_and_texts_that_are_none_are_breaks(spark):
+    good, schema = log(spark, [f"line {i}" for i in range(5)])
+    odd = {2: str.upper, 3: lambda p: "no hash", 4: lambda p: p + "\n", 5: lambda p: ""}
+    found = X.chain_breaks(spark.createDataFrame([(s, t, odd.get(s, lambda p: p)(p)) for s, t, p in good], schema), 1000)
+    assert rows(found.select("code", "seq"), "seq") == [("HISTORY_CHAIN_BROKEN", i) for i in (2, 3, 4, 5)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "unhex(sha2(" in plan and "unhex(prev_line_sha256" in plan
+
+
 def test_integrity_findings(spark):
     r = spark.createDataFrame([("a", "s1", "p" * 16 + "1", 0, None, "ok"), ("b", "s1", "p" * 16 + "2", 0, "zz", "ok"), ("c", "s0", "q", 0, None, "ok"), ("d", "s1", "r", 0, None, "ok"), ("e", "s1", "r", 2, None, "ok")],
                               "experiment_id string, schema_version string, exact_hash string, run_seq int, parent_experiment_id string, record_sha256 string")
