@@ -193,7 +193,11 @@ def ledger(market: DataFrame, targets: DataFrame, runs: DataFrame, counterfactua
     stretch = stretches(targets, settings)
     sums = _period_sums(held_positions(stretch, market) if held is None else held, stretch, settings)
     grown = cut_lineage(_with_growth(sums, settings, counterfactual), "ledger-growth")
-    d = grown.join(_turnovers(grown, _trade_legs(stretch, market)), on=["run_id", "path", "bar"], how="left")
+    # turnovers come as rows of their own beside the periods they belong to: a join by bar would shuffle all periods once more
+    traded = _turnovers(grown, _trade_legs(stretch, market))
+    d = grown.withColumn("_period", F.lit(True)).unionByName(traded, allowMissingColumns=True).repartition("run_id", "path")
+    here = Window.partitionBy("run_id", "path", "bar")  # two rows at most
+    d = d.withColumns({c: F.max(c).over(here) for c in ("traded", "old_gross", "old_net")}).where("_period")
     run = Window.partitionBy("run_id", "path").orderBy("bar")
     so_far = run.rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("turnover", F.when(F.col("rebalance"), F.col("traded")).otherwise(0.0))

@@ -209,3 +209,9 @@ def test_flags_of_funding_and_growth(spark):
     marked = r.select("run_id").withColumn("suppress_cagr", r.run_id == "r").join(r, on="run_id")
     flags = M.run_flags(L.ledger(m, t, r, True), L.unexecuted_rebalances(t, r), marked, r.select("run_id")).first()
     assert {"FUNDING_GAP_SUSPICIOUS", "CAGR_SUPPRESSED"} <= set(flags.warnings)
+
+
+def test_periods_are_not_joined_by_bar(spark):
+    m, t, r = build(spark, {"A": [10.0, 11.0, 12.0, 13.0]}, {0: {"A": 1.0}})
+    plan = L.ledger(m, t, r, True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter, ((run_id" not in plan and "Join LeftOuter, (((run_id" not in plan
