@@ -85,7 +85,7 @@ def _priced_late(spark, sf):
     batches, end = _batches(spark, sf, 6, _ORDER)
     late = F.expr("venue = 'B' AND trade_id % 7 = 2")
     batches[1], held_back = batches[1].where(~late), batches[1].where(late)
-    return _run(spark, [*batches, held_back, end], split, "stream-asof").where(F.col("symbol") != END)
+    return _run(spark, [*batches, held_back, end], split, "stream-asof").where(~F.col("symbol").eqNullSafe(END))
 
 
 @query("stream_asof", _ASOF.format(m=30).replace("WHERE venue = 'B'", f"WHERE venue = 'B' AND NOT ({_LATE})"), ("ticks",))

@@ -5,6 +5,9 @@ checkpoint and writes files, so it can be stopped, lose executors and go on."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -80,8 +83,11 @@ def asof_prices(events: DataFrame, quotes: DataFrame, delay: str, tolerance_us:
 
 
 def late_events(events: DataFrame, priced: DataFrame, keys: list[str]) -> DataFrame:
-    """Events of a finished stream (one whose watermark has passed all of them) that came behind the watermark and so have no row."""
-    return events.join(priced.select(*keys), on=keys, how="left_anti")
+    """Events of a finished stream (one whose watermark has passed all of them) that came behind the watermark and so have no row.
+    Missing keys count as equal; an event without a time is in no stream and is not late."""
+    done = priced.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return events.where("timestamp is not null").join(done, on=same, how="left_anti")
 
 
 def agreed_pages(pages: DataFrame, keys: list[str], values: list[str], delay: str) -> DataFrame:

@@ -85,6 +85,19 @@ def test_dense_events_and_quotes_are_not_paired(spark, tmp_path):
     assert max(kept) <= 30  # blocks of seven minutes, not rows or pairs
 
 
+def test_events_without_symbol_are_late_only_if_unpriced(spark, tmp_path):
+    """Events without a symbol have no price but a row of the stream, so they are not late; nor is one without a time."""
+    items = [(None, T0, 1, 0.0, 1.0, "B"), ("hot", T0, 2, 0.0, 1.0, "B"), ("end", T0 + dt.timedelta(days=60), 3, 0.0, 1.0, "B"), ("end", T0 + dt.timedelta(days=60), 4, 0.0, 1.0, "A")]
+    late = [(None, T0, 5, 0.0, 1.0, "B"), ("hot", T0, 6, 0.0, 1.0, "B"), ("hot", None, 7, 0.0, 1.0, "B")]
+    split = lambda b: (b.where("venue = 'B'").select("symbol", "timestamp", "trade_id"), b.where("venue = 'A'").select("symbol", "timestamp", F.col("px").alias("oracle_px"), F.col("trade_id").alias("quote_id")))
+    for part in (items, late):
+        spark.createDataFrame(part, SCHEMA).write.mode("append").parquet(f"{tmp_path}/in")
+        tape.append_to(tape.asof_prices(*split(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")), "2 days", 7 * 60_000_000), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    events, got = split(spark.createDataFrame(items[:2] + late, SCHEMA))[0], spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(r.trade_id for r in got.collect()) == [1, 2]
+    assert sorted(r.trade_id for r in tape.late_events(events, got, ["symbol", "timestamp", "trade_id"]).collect()) == [5, 6]
+
+
 def test_increments_keep_what_late_events_need(spark):
     at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
     quotes = lambda *q: spark.createDataFrame([("X", t, p, i) for i, (t, p) in enumerate(q)], "symbol string, timestamp timestamp_ntz, oracle_px double, qid bigint")
