@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeledger.session import cut_lineage
+from tapeledger.session import cut_lineage, drop_stored
 
 
 def _links(records: DataFrame) -> DataFrame:
@@ -42,6 +42,20 @@ def lineage(records: DataFrame) -> DataFrame:
     return d.select("experiment_id", F.when(~cyclic, F.col("root")).alias("root_id"), F.when(~cyclic, F.col("depth")).alias("depth"), cyclic.alias("in_cycle"))
 
 
+def endless(records: DataFrame) -> DataFrame:
+    """Records whose chain of parents never ends, as (experiment_id, in_cycle): what ``lineage`` marks, without roots and depths.
+    A record goes as soon as its chain ends, so every round reads and stores fewer rows, and only the last two rounds are kept."""
+    d, left, before, k = cut_lineage(_links(records).select("experiment_id", F.col("parent_experiment_id").alias("jump")).distinct(), "endless-0", release=True), None, None, 0
+    while True:
+        left = d.count()
+        if left == 0 or left == before:  # some record of every depth ends in a round, unless only cycles are left
+            return d.select("experiment_id", F.lit(True).alias("in_cycle"))
+        before, k, last = left, k + 1, d
+        far = last.select(F.col("experiment_id").alias("jump"), F.col("jump").alias("_jump"))
+        d = cut_lineage(last.join(far, on="jump").select("experiment_id", F.col("_jump").alias("jump")), f"endless-{k}", release=True)
+        drop_stored(last)
+
+
 def _jumps(records: DataFrame) -> list[DataFrame]:
     """Tables of 2^k-th ancestors, k = 0, 1, ..., until no record has one. Records whose chain never ends are left
     out: they have no ancestors here, and ``lineage`` marks them."""

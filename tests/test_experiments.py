@@ -7,8 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from tapeledger.functions.digest import hash_bytes, hash_text
 from tapeledger.operators import experiments as X
 from tapeledger.operators import lineage as G
+from tapeledger.operators.ordered import with_previous
+from tapeledger.session import RELEASE_SHUFFLES, cut_lineage
 
 
 def tree(spark, links):
@@ -106,6 +109,59 @@ def test_hashes_travel_as_bytes_and_texts_that_are_none_are_breaks(spark):
     assert "unhex(sha2(" in plan and "unhex(prev_line_sha256" in plan
 
 
+@pytest.mark.parametrize("width", [1, 2, 4, 1000])
+def test_chain_in_blocks_that_the_lines_are_shuffled_by(spark, width):
+    """Numbers, stored hashes and the check by one column of blocks: lost, forged and first lines at the edges of blocks."""
+    log_ = spark.range(1, 25).select(F.col("id").alias("seq"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("line"))
+    lines = with_previous(log_, [], ["seq"], F.floor(F.col("seq") / width), {"_p": "line"}, placed="block")
+    lines = lines.where("seq not in (1, 8, 9, 10, 20)").select("seq", "block", F.when(F.col("seq") % 6 == 0, "forged").otherwise(F.col("line")).alias("line"), F.sha2("_p", 256).alias("prev_line_sha256"))
+    found = X.chain_breaks(lines, placed="block")
+    assert rows(found.select("code", "seq"), "code", "seq") == [("BAD_SEQ", i) for i in (2, 11, 21)] + [("HISTORY_CHAIN_BROKEN", i) for i in (2, 7, 11, 13, 19, 21)]
+    plain = rows(X.chain_breaks(lines.drop("block"), width).select("code", "seq"), "code", "seq")
+    assert rows(found.select("code", "seq"), "code", "seq") == plain
+
+
+def test_hashes_as_bytes_are_told_apart_from_other_texts(spark):
+    h = hashlib.sha256(b"x").hexdigest()
+    texts = [h, h.upper(), h[:63], h + "\n", "", "x", " " * 33, "é", h[:31], None, hashlib.sha256(b"y").hexdigest()]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", "t", hash_bytes("t").alias("b"))
+    assert [x.u for x in df.select("i", hash_text("b").alias("u")).orderBy("i").collect()] == texts
+    assert df.where("t is not null").select("b").distinct().count() == len(texts) - 1 and df.where("octet_length(b) = 32").count() == 2
+
+
+def test_endless_chains_are_those_that_lineage_marks(spark):
+    import random
+
+    draw = random.Random(5)
+    ids = [f"e{i}" for i in range(200)]
+    r = tree(spark, {x: draw.choice([None, "gone", x] if draw.random() < 0.1 else ids) for x in ids})
+    marked = {x.experiment_id for x in G.lineage(r).where("in_cycle").collect()}
+    assert marked and {x.experiment_id for x in G.endless(r).where("in_cycle").collect()} == marked
+    assert {x.experiment_id for x in G.endless(r.unionByName(r)).collect()} == marked  # rows that come twice
+    assert G.endless(tree(spark, {"a": None, "b": "a", "c": "gone"})).count() == 0
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    counted = spark.range(10_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.max("id").alias("m"))
+    stored = cut_lineage(counted, "released", release=True)
+    assert not shuffled() - before and stored.count() == counted.count() == 1000
+    assert spark.conf.get(RELEASE_SHUFFLES) == "false"
+
+
+def test_the_report_joins_nothing_when_it_is_read(spark):
+    """Each part is stored by its own job, so the files of one part's shuffles are on disk at a time; only findings are left."""
+    from tapeledger.plans.catalogue import QUERIES
+
+    report = QUERIES["integrity_report"](spark, "/root/testdata/sf0.001")
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and plan.count("Aggregate") == 1
+
+
 def test_integrity_findings(spark):
     r = spark.createDataFrame([("a", "s1", "p" * 16 + "1", 0, None, "ok"), ("b", "s1", "p" * 16 + "2", 0, "zz", "ok"), ("c", "s0", "q", 0, None, "ok"), ("d", "s1", "r", 0, None, "ok"), ("e", "s1", "r", 2, None, "ok")],
                               "experiment_id string, schema_version string, exact_hash string, run_seq int, parent_experiment_id string, record_sha256 string")
